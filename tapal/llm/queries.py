@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tapal.llm import simhash
+from tapal.llm import lines, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality.op3_quality,
+        "op5_lines": lines.op5_lines,
         "op6_simhash": simhash.op6_simhash,
     }
 
