@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapal.llm import lines, quality, simhash
+from tapal.llm import decontaminate, lines, quality, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op5_lines": lines.op5_lines,
         "op6_simhash": simhash.op6_simhash,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
