@@ -126,7 +126,9 @@ def without_lines(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    return without_lines(docs).drop("_lines", "_lines_gone", "_chunks_gone")
+    """docs with its own columns; n_chars, if there is one, is that of the text that is left."""
+    out = without_lines(docs).drop("_lines", "_lines_gone", "_chunks_gone")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def brute_force(texts: dict[int, str]) -> dict[int, str]:

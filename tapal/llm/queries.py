@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from tapal.llm import decontaminate, lines, quality, simhash
+from tapal.llm import decontaminate, lines, quality, simhash, tokens
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
+        "op1_sentencepiece": tokens.op1_sentencepiece,
         "op3_quality": quality.op3_quality,
         "op5_lines": lines.op5_lines,
         "op6_simhash": simhash.op6_simhash,
+        "op8_token_counts": tokens.op8_token_counts,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 

@@ -15,6 +15,8 @@ from tapal.llm.common import LOWER, binary, components, cut, sorted_groups
 
 #: Rows of the trie join that one step of a task takes, unless a group is larger.
 STEP_ROWS = 100_000
+#: Stands for a null doc_id in keys.
+MISSING = -(1 << 63)
 
 
 def fingerprint(data: bytes, shingle: int = 3) -> int:
@@ -38,15 +40,17 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row of docs; a null text counts as empty and has fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3, key: list | None = None) -> DataFrame:
+    """The key columns (doc_id, unless others are given, all long) and fp of each row of docs; a null text counts as empty and has fingerprint 0."""
+    held = docs.select(*(key or [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").cast("string").alias("text"))
+    names = held.columns[:-1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, shingle) for x in binary(batch.column(1)).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(x, shingle) for x in binary(batch.column(len(names))).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fp long")
+    return held.mapInArrow(each, ", ".join(f"{x} long" for x in [*names, "fp"]))
 
 
 def trie_pairs(values: np.ndarray, width: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +143,16 @@ def links(fps: DataFrame, budget: int = 2, blocks: int = 4) -> DataFrame:
     return dealt.repartition("k", "top").sortWithinPartitions("k", "top").mapInArrow(join, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
+def components_of(own: DataFrame, budget: int = 2, blocks: int = 4) -> DataFrame:
+    """(fp, label, component_id) for the distinct fingerprints of own (doc_id, fp); the label names the component."""
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = components(links(nodes.select("fp"), budget, blocks))
+    named = nodes.join(labels.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return cut(named.select("fp", "label").join(least, "label").select("fp", "label", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, blocks: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
     component_id is the smallest doc_id reachable over links of fingerprints at `budget` or fewer differing bits,
@@ -148,12 +161,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
     no member has a doc_id. An empty table gives an empty result; other columns are not looked at.
     """
     own = cut(fingerprints(docs, shingle))
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(nodes.select("fp"), budget))
-    named = nodes.join(labels.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = cut(named.select("fp", "label").join(least, "label").select("fp", "component_id"))
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return own.join(components_of(own, budget, blocks), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int, budget: int, blocks: int) -> DataFrame:
+    """One row of docs for each component, with its columns unchanged: the smallest doc_id, nulls last.
+
+    Of several texts with that doc_id the one with the least hash stays, and of rows with equal doc_id and text one.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th")]
+    own = cut(fingerprints(docs, shingle, key))
+    names = components_of(own.withColumn("doc_id", F.nullif("_id", F.lit(MISSING))), budget, blocks)
+    best = F.min(F.struct((F.col("_id") == MISSING).alias("no_id"), "_id", "_th")).alias("best")
+    keep = cut(own.join(names, "fp").groupBy("label").agg(best).select("best._id", "best._th"))
+    columns = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *key)
+    return rows.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")
 
 
 def fingerprint_hex(fp: str = "fp"):
