@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapal.llm import decontaminate, lines, quality, simhash, tokens
+from tapal.llm import chat, decontaminate, extract, lines, quality, simhash, tokens, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -15,13 +15,16 @@ def queries() -> dict:
     return {
         "pipeline": _pipeline,
         "op1_sentencepiece": tokens.op1_sentencepiece,
+        "op2_warc": warc.op2_warc,
         "op3_quality": quality.op3_quality,
         "op5_lines": lines.op5_lines,
         "op6_simhash": simhash.op6_simhash,
+        "op7_html": extract.op7_html,
         "op8_token_counts": tokens.op8_token_counts,
+        "op9_chat": chat.op9_chat,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat": chat.OP9_SQL}
