@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapal.llm import chat, decontaminate, extract, lines, quality, simhash, tokens, warc
+from tapal.llm import chat, decontaminate, extract, lines, quality, simhash, substrings, tokens, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op1_sentencepiece": tokens.op1_sentencepiece,
         "op2_warc": warc.op2_warc,
         "op3_quality": quality.op3_quality,
+        "op4_suffix": substrings.op4_suffix,
         "op5_lines": lines.op5_lines,
         "op6_simhash": simhash.op6_simhash,
         "op7_html": extract.op7_html,
