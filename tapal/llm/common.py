@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that a Python task turns into numpy arrays at once, in bytes; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: ASCII lower-casing, and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

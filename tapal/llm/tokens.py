@@ -91,11 +91,11 @@ def decode(df: DataFrame, model: unigram.Model, column: str = "ids") -> DataFram
     def value(model: unigram.Model):
         def make(part: pa.RecordBatch) -> pa.Array:
             ids = part.column(1)
-            flat, ends, lost = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist(), ids.is_null().to_pylist()
+            flat, ends, lost = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist(), ids.is_null().to_pylist()
             get = model.output.__getitem__
             out = []
             for a, b, none in zip(ends, ends[1:], lost):
-                text = b"".join(map(get, flat[a:b]))
+                text = b"".join(map(get, flat[a:b].tolist()))
                 out.append(None if none else (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
             return pa.array(out, pa.string())
 
