@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapal.llm import unigram
-from tapal.llm.common import binary, slices
+from tapal.llm.common import binary, slices, small_batches
 
 #: The vocabulary that the registered queries use; every operator takes a path.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct pre-tokens that a task remembers; beyond that it forgets all and goes on.
 REMEMBERED = 300_000
+#: Sorted pre-tokens that share one trie, which bounds its memory.
+TRIE_WORDS = 16_384
 
 
 def load(path: str = PIECES, zipf: bool = True) -> unigram.Model:
@@ -26,7 +28,7 @@ def load(path: str = PIECES, zipf: bool = True) -> unigram.Model:
 
 
 class Memory:
-    """What is known of pre-tokens in a task: each new distinct one is computed once, all new ones of a slice in one trie."""
+    """What is known of pre-tokens in a task: each new distinct one is computed once, new ones of a slice in tries of neighbours in order."""
 
     def __init__(self, compute: Callable[[list[bytes]], list]):
         self.compute, self.known = compute, {}
@@ -37,9 +39,9 @@ class Memory:
             self.known = {}
             new = set().union(*words)
         # A long pre-token has a trie of its own levels, so that short ones need few.
-        for part in ([w for w in new if len(w) <= 64], [w for w in new if len(w) > 64]):
-            if part:
-                self.known.update(zip(part, self.compute(part)))
+        short, long = sorted(w for w in new if len(w) <= 64), [w for w in new if len(w) > 64]
+        for part in [*(short[at : at + TRIE_WORDS] for at in range(0, len(short), TRIE_WORDS)), *([long] if long else [])]:
+            self.known.update(zip(part, self.compute(part)))
         return self.known
 
 
@@ -48,12 +50,15 @@ def _passed(df: DataFrame, column: str, added: str, value: Callable[[unigram.Mod
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
     name, kind = added.split(" ", 1)
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{column}`").alias("_in"))
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    at = names.index(column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = value(shared.value)
         for batch in batches:
-            for part in slices(batch, "_in") if pa.types.is_string(batch.column(1).type) or pa.types.is_large_string(batch.column(1).type) else [batch]:
+            rows = batch.column(0)
+            both = pa.RecordBatch.from_arrays([rows, rows.flatten()[at]], names=["_row", "_in"])
+            for part in slices(both, "_in") if not pa.types.is_nested(both.column(1).type) else [both]:
                 yield pa.RecordBatch.from_arrays([part.column(0), make(part)], names=["_row", name])
 
     out = held.mapInArrow(each, f"_row {held.schema['_row'].dataType.simpleString()}, {name} {kind}")
@@ -127,6 +132,7 @@ def count(df: DataFrame, model: unigram.Model, column: str = "text") -> DataFram
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = load()
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     both = decode(encode(docs, model), model)
     return both.select(
@@ -139,5 +145,6 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return count(docs, load()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens")
