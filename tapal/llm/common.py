@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,9 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows: rows are whole texts, and a batch is in a worker's memory at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def binary(column: pa.Array) -> pa.Array:
@@ -105,7 +102,11 @@ def components(edges: DataFrame) -> DataFrame:
     Label minima go along the edges and then along the labels, so that the rounds grow with the logarithm of a
     component's diameter. Each round only groups with partial sums and joins on keys that Spark can split.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u != v").distinct())
+    once = edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # Each edge (u, v) becomes (m, v) with m the least neighbour of u, and (u, m): many edges of a dense group become one.
+    least = once.union(once.select(F.col("v"), F.col("u"))).groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    fewer = once.join(least, "u").select(F.col("m").alias("u"), "v").union(least.select(F.col("m"), F.col("u"))).where("u != v").distinct()
+    both = cut(fewer.union(fewer.select(F.col("v"), F.col("u"))).distinct())
     labels = cut(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))

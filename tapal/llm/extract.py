@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import binary
+from tapal.llm.common import binary, small_batches
 
 #: Elements without text of their own.
 SILENT = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "select", "textarea", "button", "option", "datalist", "canvas", "audio", "video"}
@@ -260,4 +260,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

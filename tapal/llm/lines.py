@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import binary, cut, slices, text_key
+from tapal.llm.common import binary, cut, slices, small_batches, text_key
 
 #: A chunk ends after a line whose rolling hash over WINDOW lines is 0 modulo DIVISOR, but has MIN_LINES at least and MAX_LINES at most.
 WINDOW, DIVISOR, MIN_LINES, MAX_LINES = 2, 4, 2, 32
@@ -154,5 +154,6 @@ def digest(text: str) -> str:
 
 
 def op5_lines(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = without_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lines_gone").alias("n_lines_removed"), F.col("_chunks_gone").alias("n_chunks_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import LOWER, binary, components, cut, sorted_groups
+from tapal.llm.common import LOWER, binary, components, cut, small_batches, sorted_groups
 
 #: Rows of the trie join that one step of a task takes, unless a group is larger.
 STEP_ROWS = 100_000
@@ -184,5 +184,6 @@ def fingerprint_hex(fp: str = "fp"):
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import binary, cut, slices, sorted_groups, text_key
+from tapal.llm.common import binary, cut, slices, small_batches, sorted_groups, text_key
 
 LENGTH = 200
 #: Bytes of the strings whose least hash is a window's anchor, a multiple of 8.
@@ -351,5 +351,6 @@ def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int
 
 
 def op4_suffix(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import SLICE_BYTES, shared_dir
+from tapal.llm.common import SLICE_BYTES, shared_dir, small_batches
 
 #: Bytes of a record's block that one segment takes; longer blocks go on in continuation records.
 SEGMENT_BYTES = 1 << 16
@@ -221,6 +221,7 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
 
     A null html is an empty payload, a null page_id is written as -1 and comes back null; repeated rows give a record each.
     """
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tapal-warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     found = reassembled(scan(spark, path))
