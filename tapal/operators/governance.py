@@ -74,16 +74,29 @@ def compare(d: DataFrame, o: DataFrame, k: DataFrame) -> DataFrame:
     return out.select("village_code", "d", "o", "k", status.alias("status"), relation("d").alias("d_relation"), relation("o").alias("o_relation"), local.alias("local_relation"))
 
 
+def postal_decision(d: Column, o: Column, k: Column) -> Column:
+    """(candidate, decision, review) of three cleaned codes; blank is missing."""
+
+    def result(candidate, decision, review="yes"):
+        return F.struct(candidate.alias("candidate"), F.lit(decision).alias("decision"), F.lit(review).alias("review"))
+
+    e, both, differ = F.lit(""), (d != "") & (o != ""), (d != "") & (o != "") & (d != o)
+    alone = F.size(F.array_distinct(F.filter(F.array(d, o, k), lambda x: x != ""))) == 1
+    return (
+        F.when((d == "") & (o == "") & (k == ""), result(e, "unresolved"))
+        .when(alone & both, result(d, "agree", "no")).when(alone & (d == "") & (o == ""), result(k, "kodepos_only")).when(alone & (d != ""), result(d, "diskominfo_only")).when(alone, result(o, "odj_only"))
+        .when(differ & (k == d), result(d, "conflict_api_supports_diskominfo")).when(differ & (k == o), result(o, "conflict_api_supports_odj"))
+        .when(differ & (k != ""), result(e, "conflict_api_third_value")).when(differ, result(e, "conflict"))
+        .when((d != "") & (k != d), result(e, "conflict_api_vs_diskominfo")).otherwise(result(e, "conflict_api_vs_odj"))
+    )
+
+
 def merge(primary: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
-    """Two left joins driven by the primary source: (village_code, p, s, t, n_values, candidates, decision, review)."""
-    out = primary.select("village_code", S.clean_postal("postal_code").alias("p"))
-    for c, df in (("s", second), ("t", third)):
+    """Two left joins driven by the first source: (village_code, d, o, k, candidates, candidate, decision, review)."""
+    out = primary.select("village_code", S.clean_postal("postal_code").alias("d"))
+    for c, df in (("o", second), ("k", third)):
         out = out.join(df.select("village_code", S.clean_postal("postal_code").alias(c)), "village_code", "left").withColumn(c, F.coalesce(c, F.lit("")))
-    given = F.filter(F.array("p", "s", "t"), lambda x: x != "")
-    out = out.withColumn("_g", given).withColumn("candidates", S.joined_values(F.array("p", "s", "t")))
-    n, kinds = F.size("_g"), F.size(F.array_distinct("_g"))
-    decision = F.when(n == 0, "missing").when(n == 1, "single_source").when((n == 3) & (kinds == 1), "all_agree").when((n == 2) & (kinds == 1), "agree").when((n == 3) & (kinds == 2), "two_of_three").otherwise("conflict")
-    return out.select("village_code", "p", "s", "t", n.alias("n_values"), "candidates", decision.alias("decision"), F.when(decision.isin("all_agree", "agree"), "no").otherwise("yes").alias("review"))
+    return out.select("village_code", "d", "o", "k", S.joined_values(F.array("d", "o", "k")).alias("candidates"), postal_decision(F.col("d"), F.col("o"), F.col("k")).alias("_p")).select("village_code", "d", "o", "k", "candidates", "_p.*")
 
 
 def unresolved_pattern(d: Column, o: Column, k: Column) -> Column:
