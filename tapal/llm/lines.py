@@ -90,8 +90,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     return gone.groupBy("_id", "_th").agg(F.collect_set("at").alias("gone"))
 
 
-def without_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated multi-line chunks taken out of text, and _lines, _lines_gone, _chunks_gone.
+def rewritten(docs: DataFrame) -> DataFrame:
+    """(_row, _text, _lines, _lines_gone, _chunks_gone): each row of docs, its text without repeated multi-line chunks, and counts.
 
     A chunk goes if the same lines come earlier, in order of doc_id (null first), then of a hash of the text, then of
     place; that first one stays. Null and empty texts and texts of one line are left as they are. A text whose chunks
@@ -99,8 +99,7 @@ def without_lines(docs: DataFrame) -> DataFrame:
     are kept.
     """
     gone = repeated(docs)
-    columns = [f for f in docs.schema.fields if f.name not in ("_id", "_th")]
-    keyed = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in columns]).alias("_row"), F.col("text").cast("string").alias("text"), *text_key())
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"), *text_key())
     joined = keyed.join(gone, ["_id", "_th"], "left").select("_row", "text", "gone")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +120,15 @@ def without_lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in counts]], names=["_row", "_text", "_lines", "_lines_gone", "_chunks_gone"])
 
     row = joined.schema["_row"].dataType.simpleString()
-    out = joined.mapInArrow(each, f"_row {row}, _text string, _lines long, _lines_gone long, _chunks_gone long")
-    return out.select(*[F.col("_text").alias("text") if f.name == "text" else F.col(f"_row.`{f.name}`") for f in columns], "_lines", "_lines_gone", "_chunks_gone")
+    return joined.mapInArrow(each, f"_row {row}, _text string, _lines long, _lines_gone long, _chunks_gone long")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with its own columns; n_chars, if there is one, is that of the text that is left."""
-    out = without_lines(docs).drop("_lines", "_lines_gone", "_chunks_gone")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    own = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return rewritten(docs).select(*[v.alias(c) for c, v in own.items()])
 
 
 def brute_force(texts: dict[int, str]) -> dict[int, str]:
@@ -155,5 +155,5 @@ def digest(text: str) -> str:
 
 def op5_lines(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    found = without_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lines_gone").alias("n_lines_removed"), F.col("_chunks_gone").alias("n_chunks_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    found = rewritten(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("_row.doc_id", F.col("_lines").alias("n_lines"), F.col("_lines_gone").alias("n_lines_removed"), F.col("_chunks_gone").alias("n_chunks_removed"), F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
