@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import binary, cut, slices, small_batches, sorted_groups, text_key
+from tapal.llm.common import binary, cut, slices, small_batches, sorted_groups, stored, text_key
 
 LENGTH = 200
 #: Bytes of the strings whose least hash is a window's anchor, a multiple of 8.
@@ -288,14 +288,27 @@ def split_buckets(segs: DataFrame) -> DataFrame:
     return found.select("_id", "_th", (F.col("s") + F.col("r.p")).alias("b"), (F.col("s") + F.col("r.q") + LENGTH).alias("e"))
 
 
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_id, _th, e) of texts with exact copies, e their size, and (_id, _th) of those copies that need not be looked at.
+
+    Every window of such a text starts elsewhere too. One of each group stays in the search for the sake of other texts.
+    """
+    own = docs.select("_id", "_th", F.xxhash64(F.lit(1), "text").alias("h"), F.octet_length("text").cast("long").alias("e"))
+    groups = own.groupBy("_th", "h", "e").agg(F.count(F.lit(1)).alias("times"), F.min("_id").alias("first")).where("times > 1")
+    all_of = cut(own.join(groups.drop("times"), ["_th", "h", "e"]).select("_id", "_th", "e", "first").distinct())
+    return all_of.select("_id", "_th", "e"), all_of.where("_id <> first").select("_id", "_th")
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(_id, _th, spans): for each text with bytes to remove their maximal runs; docs has _id, _th and text."""
+    whole, spare = copies(docs)
     own = segments(docs)
     again = cut(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    places = cut(own.join(again, "bucket"))
+    places = stored(own.join(again, "bucket").join(spare, ["_id", "_th"], "left_anti"), "places")
     found = sorted_buckets(cut_out(docs, places.where(F.col("c") <= BUCKET_ROWS)))
     if not again.where(F.col("c") > BUCKET_ROWS).isEmpty():
         found = found.unionByName(split_buckets(cut_out(docs, places.where(F.col("c") > BUCKET_ROWS))))
+    found = found.unionByName(whole.select("_id", "_th", F.lit(0).cast("long").alias("b"), "e"))
     return found.groupBy("_id", "_th").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
 
 
