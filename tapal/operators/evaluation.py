@@ -14,15 +14,15 @@ def spans(df: DataFrame, key: str, labels: str) -> DataFrame:
     A span starts at each B- and goes on over I- of its type; it is told within the row's own array.
     """
     e = (
-        f"filter(transform({labels}, (l, i) -> if(l like 'B-%', named_struct('type', substring(l, 3), 'start', i, "
-        f"'end', i + 1 + coalesce(nullif(array_position(transform(slice({labels}, i + 2, size({labels})), x -> x <> concat('I-', substring(l, 3))), true), 0) - 1, size({labels}) - i - 1)), null)), s -> s is not null)"
+        f"filter(transform(`{labels}`, (tag, i) -> if(tag like 'B-%', named_struct('type', substring(tag, 3), 'start', i, "
+        f"'end', i + 1 + coalesce(nullif(array_position(transform(slice(`{labels}`, i + 2, size(`{labels}`)), x -> x <> concat('I-', substring(tag, 3))), true), 0) - 1, size(`{labels}`) - i - 1)), null)), s -> s is not null)"
     )
     return df.select(key, F.explode(F.expr(e)).alias("s")).select(key, "s.type", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
 def repaired(labels: str) -> Column:
     """BIO labels with each stray I- made a B-. A repair never changes the type, so the raw neighbour decides."""
-    return F.expr(f"transform({labels}, (l, i) -> if(l like 'I-%' and (i = 0 or substring({labels}[i - 1], 3) <> substring(l, 3) or {labels}[i - 1] = 'O'), concat('B-', substring(l, 3)), l))")
+    return F.expr(f"transform(`{labels}`, (tag, i) -> if(tag like 'I-%' and (i = 0 or substring(`{labels}`[i - 1], 3) <> substring(tag, 3) or `{labels}`[i - 1] = 'O'), concat('B-', substring(tag, 3)), tag))")
 
 
 def invalid_transitions(df: DataFrame, key: str, labels: str) -> DataFrame:
@@ -136,10 +136,75 @@ def rule_hits(files: DataFrame, rules: dict[str, str], allowed: DataFrame | None
 
 def first_subword(word_ids: str, labels: str) -> Column:
     """Label ids for sub-words: the word's at its first one, -100 elsewhere and for null word ids."""
-    return F.expr(f"transform({word_ids}, (w, i) -> if(w is null or (i > 0 and {word_ids}[i - 1] <=> w), -100, {labels}[w]))")
+    return F.expr(f"transform(`{word_ids}`, (word, i) -> if(word is null or (i > 0 and `{word_ids}`[i - 1] <=> word), '-100', cast(`{labels}`[word] as string)))")
 
 
 def candidate_gates(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
     """df with failed_gates and selected: every gate must hold."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in gates.items()]))
     return df.withColumn("failed_gates", F.array_join(failed, ";")).withColumn("selected", F.size(failed) == 0)
+
+
+def word_predictions(word_ids: str, labels: str) -> Column:
+    """One label for each word: that of its first sub-word, in order of the words."""
+    return F.expr(f"transform(filter(arrays_zip(transform({word_ids}, (word, i) -> if(word is not null and (i = 0 or not ({word_ids}[i - 1] <=> word)), i, -1)), {labels}), x -> x['0'] >= 0), x -> x['1'])")
+
+
+def error_categories(df: DataFrame, gold_text: str, source_text: str, tokens: str, gold_types: str) -> DataFrame:
+    """df with categories, from the words, gold types and source text of an example and never from predictions.
+
+    A source that nearly equals the text (a ratio of 0.65 to 0.95) has a typo, a source that hardly does a conflict.
+    """
+    from tapal.functions.text_udfs import matching_ratio
+
+    short = F.exists(tokens, lambda t: F.lower(t).rlike("^(jl|jln|gg|kp|kel|ds|kec|kab|prov|no)\\.?$"))
+    has = lambda t: F.array_contains(gold_types, t)
+    out = df.withColumn("_m", matching_ratio(F.lower(gold_text), F.lower(source_text)))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("_m").between(0.65, 0.95) & (F.col("_m") < 0.95), F.lit("typo")), F.when(short, F.lit("abbreviation")), F.when(has("RT") | has("RW"), F.lit("rt_rw")), F.when(has("DETAIL_LOKASI"), F.lit("landmark")),
+            F.when(~has("KELURAHAN") | ~has("KECAMATAN") | ~has("KOTA_KABUPATEN"), F.lit("missing_field")), F.when(F.col("_m") < 0.65, F.lit("conflict")), F.when(has("KELURAHAN") & ~has("KECAMATAN") & ~has("KOTA_KABUPATEN"), F.lit("ambiguous_region")),
+        )
+    )
+    return out.withColumn("categories", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other_surface_form")))).drop("_m")
+
+
+def recall(df: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """(positives, hits, recall) of a binary label."""
+    return df.agg(F.count_if(gold).alias("positives"), F.count_if(F.col(gold) & F.col(predicted)).alias("hits")).withColumn("recall", S.ratio(F.col("hits"), F.col("positives")))
+
+
+def false_correction_rate(df: DataFrame, correct: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("corrections"), F.count_if(~F.col(correct)).alias("false_corrections")).withColumn("rate", S.ratio(F.col("false_corrections"), F.col("corrections")))
+
+
+def flagged_first(df: DataFrame, flag: str, order: list[Column], target: int) -> DataFrame:
+    """All flagged rows, filled up to target with others in order; more flagged ones than that all stay."""
+    rank = F.row_number().over(Window.orderBy(F.desc(flag), *order))
+    return df.withColumn("_r", rank).where(F.col(flag) | (F.col("_r") <= target)).drop("_r")
+
+
+def one_per_category(df: DataFrame, key: str, categories: str, order: Column, target: int) -> DataFrame:
+    """The first row of each category in order, filled up to target with the next ones. The target is the operator's feature."""
+    first = df.select(key, order.alias("_o"), F.explode(categories).alias("_c")).groupBy("_c").agg(F.min(F.struct("_o", key)).alias("_f")).select(F.col(f"_f.{key}").alias(key)).distinct().withColumn("_must", F.lit(True))
+    return df.join(first, key, "left").orderBy(F.col("_must").isNull(), order, key).limit(target).drop("_must")
+
+
+def contiguous_runs(df: DataFrame, by: str, position: str) -> DataFrame:
+    """(by, start, end) of runs of neighbouring positions, end exclusive."""
+    island = F.col(position) - F.row_number().over(Window.partitionBy(by).orderBy(position))
+    return df.select(by, position).distinct().withColumn("_g", island).groupBy(by, "_g").agg(F.min(position).alias("start"), (F.max(position) + 1).alias("end")).drop("_g")
+
+
+def study_design(tasks: DataFrame, order: Column, participants: int, each: int) -> DataFrame:
+    """tasks with participant and condition: disjoint slices of the order, conditions in turn, the first one by participant."""
+    rank = F.row_number().over(Window.orderBy(order)) - 1
+    out = tasks.withColumn("_r", rank).where(F.col("_r") < participants * each)
+    who = F.floor(F.col("_r") / each)
+    return out.withColumn("participant", who + 1).withColumn("condition", F.when((F.col("_r") % each + who) % 2 == 0, "assisted").otherwise("manual")).drop("_r")
+
+
+def coverage_report(paths: DataFrame, covered: DataFrame) -> DataFrame:
+    """(path, modules, uncovered): each path's modules that no test covers; paths has path and modules, covered has module."""
+    each = paths.select("path", F.explode("modules").alias("module")).join(covered.select("module", F.lit(True).alias("_c")).distinct(), "module", "left")
+    return each.groupBy("path").agg(F.count(F.lit(1)).alias("modules"), F.array_sort(F.collect_set(F.when(F.col("_c").isNull(), F.col("module")))).alias("uncovered"))

@@ -461,3 +461,33 @@ def _(spark, sf_dir):
 @query("html_cells")
 def _(spark, sf_dir):
     return D.html_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", ("tr", "ul"), ("td", "th", "li"))
+
+
+# --- contract ------------------------------------------------------------------------------------------------------
+
+
+@query("provenance_invariants", f"SELECT address_id, 'forbidden_key' AS rule FROM {_raw} r WHERE address_id % 10 = 0 UNION ALL SELECT address_id, 'sequence' FROM {_raw} r WHERE address_id % 7 = 0 UNION ALL SELECT address_id, 'schema_version' FROM {_raw} r WHERE address_id % 9 = 0")
+def _(spark, sf_dir):
+    raw = I.spark_table(spark, sf_dir, I.RAW).select("address_id", "text")
+    docs = A.document(A.process(raw, A.lookup(hierarchy(spark, sf_dir))))
+    k = F.col("address_id")
+    broken = F.when(k % 10 == 0, F.concat(F.lit('{"confidence":1,'), F.substring("document", 2, 1 << 30))).otherwise(F.col("document"))
+    broken = F.when(k % 7 == 0, F.regexp_replace(broken, '"sequence":2,', '"sequence":9,')).otherwise(broken)
+    broken = F.when(k % 9 == 0, F.regexp_replace(broken, '"schema_version":"1.0.0"', '"schema_version":"2"')).otherwise(broken)
+    from tapal.operators import contract
+
+    return contract.violations(docs.withColumn("document", broken))
+
+
+@query("synthetic_labels")
+def _(spark, sf_dir):
+    from tapal.operators import synthetic
+
+    bases = synthetic.base_addresses(hierarchy(spark, sf_dir), 2000, 20260813)
+    return synthetic.with_splits(synthetic.variants(bases, 3, 20260813), 20260813, {"train": 0.75, "val": 0.125, "test": 0.125})
+
+
+@query("source_coverage", f"SELECT 'd' AS source, count(*) FILTER (d <> '') AS n_given, count(DISTINCT nullif(d, '')) AS n_distinct FROM {_s} x UNION ALL SELECT 'o', count(*) FILTER (o <> ''), count(DISTINCT nullif(o, '')) FROM {_s} x UNION ALL SELECT 'k', count(*) FILTER (k <> ''), count(DISTINCT nullif(k, '')) FROM {_s} x")
+def _(spark, sf_dir):
+    s = I.spark_table(spark, sf_dir, I.SOURCES).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, "dok")), F.array("d", "o", "k"))).alias("source", "v"))
+    return s.groupBy("source").agg(F.count_if(F.col("v") != "").alias("n_given"), F.countDistinct(F.nullif("v", F.lit(""))).alias("n_distinct"))

@@ -1,0 +1,126 @@
+import struct
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tapal.operators import evaluation as E
+from tapal.operators import governance as G
+from tapal.operators import sinks
+from tapal.sources import documents, osm_pbf
+from tapal.streaming import gate
+from tests.test_address import hierarchy  # noqa: F401
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def zig(n):
+    return (n << 1) ^ (n >> 63) if n >= 0 else ((-n) << 1) - 1
+
+
+def field(number, value):
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def packed(values):
+    return b"".join(map(varint, values))
+
+
+def blob(kind, data, compress=True):
+    body = field(3, zlib.compress(data)) if compress else field(1, data)
+    head = field(1, kind) + field(3, len(body))
+    return struct.pack(">I", len(head)) + head + body
+
+
+@pytest.fixture
+def pbf(tmp_path):
+    strings = [b"", b"amenity", b"school", b"name", b"A", b"highway", b"residential"]
+    dense = field(1, packed(map(zig, [10, 1, 5]))) + field(8, packed(map(zig, [-65000000, 1000000, -5000000]))) + field(9, packed(map(zig, [1075000000, 0, 100]))) + field(10, packed([1, 2, 3, 4, 0, 0, 0]))
+    way = field(1, 99) + field(2, packed([5])) + field(3, packed([6])) + field(8, packed(map(zig, [10, 1])))
+    node = field(1, zig(77)) + field(8, zig(5)) + field(9, zig(-7))
+    block = field(1, b"".join(field(1, s) for s in strings)) + field(2, field(2, dense)) + field(2, field(3, way)) + field(2, field(1, node))
+    path = tmp_path / "x.osm.pbf"
+    path.write_bytes(blob(b"OSMHeader", b"") + blob(b"OSMData", block) + blob(b"OSMData", block, False))
+    return str(path)
+
+
+def test_pbf(spark, pbf):
+    nodes = osm_pbf.read(spark, pbf, "nodes").orderBy("id").collect()
+    assert [n.id for n in nodes] == [10, 10, 11, 11, 16, 16, 77, 77]
+    assert nodes[0].lat == pytest.approx(-6.5) and nodes[0].lon == pytest.approx(107.5) and nodes[0].tags == {"amenity": "school", "name": "A"} and nodes[2].tags == {}
+    ways = osm_pbf.read(spark, pbf, "ways").collect()
+    assert [(w.id, w.node_ids, w.tags) for w in ways] == [(99, [10, 11], {"highway": "residential"})] * 2
+    assert osm_pbf.landmarks(osm_pbf.read(spark, pbf, "nodes"), -7, -6, 107, 108).count() == 2
+    points = E.way_points(osm_pbf.streets(osm_pbf.read(spark, pbf, "ways")).distinct(), osm_pbf.read(spark, pbf, "nodes").select(F.col("id").alias("node_id"), "lat", "lon").where("id <> 10").distinct())
+    assert points.head().lat == pytest.approx(-6.4)
+    flat = sinks.tag_columns(osm_pbf.read(spark, pbf, "ways"), ["highway", "addr:street"])
+    assert flat.head().tag_highway == "residential" and flat.head().tag_addr_street == ""
+
+
+def test_pbf_broken():
+    with pytest.raises(ValueError):
+        list(osm_pbf.fields(field(1, b"abc")[:-1]))
+
+
+def test_csv_and_documents(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿kode;nama\n 1 ; Braga \n2;\n", encoding="utf-8")
+    df = documents.read_csv(spark, str(tmp_path / "a.csv"), ["kode", "nama"])
+    assert [(r.kode, r.nama) for r in df.collect()] == [("1", "Braga"), ("2", "")]
+    with pytest.raises(ValueError):
+        documents.read_csv(spark, str(tmp_path / "a.csv"), ["other"])
+    (tmp_path / "b.json").write_text('{"rows": [{"a": "x", "b": 1}, {"a": "y"}]}')
+    assert [(r.a, r.b) for r in documents.read_document(spark, str(tmp_path / "b.json"), "rows", "a:string,b:int").collect()] == [("x", 1), ("y", None)]
+    sinks.write_csv(df, f"{tmp_path}/out", ["nama", "kode"])
+    assert sinks.manifest(spark, f"{tmp_path}/out").where("bytes > 0 and length(sha256) = 64").count() >= 1
+
+
+def test_json_flatten(spark):
+    df = spark.createDataFrame([(1, '{"a":{"b":[1,"x",null]},"c":true}'), (2, "broken"), (3, None)], "id int, j string")
+    got = {(r.path, r.type, r.value) for r in documents.flatten_json(df, "id", "j").collect()}
+    assert got == {("$.a.b[0]", "number", "1"), ("$.a.b[1]", "string", "x"), ("$.a.b[2]", "null", None), ("$.c", "boolean", "true")}
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, "<table><tr><th>A <td> b  c<tr><td>d</table>"), (2, None)], "id int, h string")
+    assert [(r.id, r.row, r.cells) for r in documents.html_rows(df, "id", "h").collect()] == [(1, 0, ["A", "b c"]), (1, 1, ["d"])]
+
+
+def test_stream_like_table(spark, hierarchy, tmp_path):  # noqa: F811
+    rows = [(1, "Jl. Asia Afrika No. 1, Kel. Braga, Kec. Sumur Bandung, Kota Bandung, Jawa Barat 40111"), (2, "Jl. X")]
+    spark.createDataFrame(rows, "address_id int, text string").write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("address_id int, text string").json(f"{tmp_path}/in")
+    query = gate.gate_batches(stream, hierarchy, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r.address_id: r.gate_status for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1: "SIAP_DIPROSES", 2: "PERLU_KONFIRMASI"}
+
+
+def test_governance_vectors(spark):
+    row = lambda *x: spark.createDataFrame([x], "d string, o string, k string").select(G.postal_consensus(F.col("d"), F.col("o"), F.col("k")).alias("p")).head().p
+    assert row("45659", "45151", "45150").verification_status == "review_required"
+    assert (row("40111", "40111", "40111").verification_status, row("40111", "40111", "40111").confidence) == ("verified_consensus", "high")
+    p = row("40114", "40113", "40113")
+    assert (p.verification_status, p.candidate, p.accepted, p.confidence) == ("corroborated_candidate", "40113", "", "medium")
+    assert {(r.key, r.reason) for r in G.violations(spark.createDataFrame([("a",), ("a",), ("",), (None,)], "k string"), "k").collect()} == {("a", "repeated"), ("", "blank")}
+
+
+def test_metric_vectors(spark):
+    df = spark.createDataFrame([(1, ["B-JALAN", "I-JALAN", "O", "B-KODEPOS"])], "id int, l array<string>")
+    assert {(r.type, r.start, r.end) for r in E.spans(df, "id", "l").collect()} == {("JALAN", 0, 2), ("KODEPOS", 3, 4)}
+    values = spark.createDataFrame([(float(i), "a") for i in range(1, 101)], "v double, g string")
+    r = E.nearest_rank(values, "v", ["g"]).head()
+    assert (r.p50, r.p95, r.p99) == (50, 95, 99)
+    bad = spark.createDataFrame([(1, ["I-RT", "O", "I-RW", "B-RW", "I-RW", "X"])], "id int, l array<string>")
+    assert [(r.position, r.label) for r in E.invalid_transitions(bad, "id", "l").orderBy("position").collect()] == [(0, "I-RT"), (2, "I-RW"), (5, "X")]
+    assert bad.select(E.repaired("l").alias("l")).head().l == ["B-RT", "O", "B-RW", "B-RW", "I-RW", "X"]
+    words = spark.createDataFrame([([None, 0, 0, 1, None], ["x", "y"])], "w array<int>, l array<string>")
+    assert words.select(E.first_subword("w", "l").alias("l")).head().l == ["-100", "x", "-100", "y", "-100"]
+    runs = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5)], "k string, p int")
+    assert {(r.start, r.end) for r in E.contiguous_runs(runs, "k", "p").collect()} == {(1, 3), (5, 6)}
