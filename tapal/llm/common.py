@@ -73,7 +73,10 @@ def text_key() -> list:
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int) -> Iterator[pa.Table]:
-    """Whole groups of a partition that is sorted by keys, at_least rows at once; memory is bounded by that or the largest group."""
+    """Whole groups of a partition that is sorted by keys, at_least rows at once; without keys any rows are a group.
+
+    Memory is bounded by that or the largest group.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -84,6 +87,10 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_least:
         if rows < at_least:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
+        if not keys:
+            yield whole
+            held, rows = [], 0
+            continue
         differs = np.zeros(whole.num_rows, dtype=bool)
         for key in keys:
             values = whole.column(key).to_numpy(zero_copy_only=False)

@@ -15,24 +15,34 @@ from tapal.llm.common import LOWER, binary, components, cut, small_batches, sort
 
 #: Rows of the trie join that one step of a task takes, unless a group is larger.
 STEP_ROWS = 100_000
+#: Near-duplicates by similarity: bins of a sketch of the shingles, of which BAND agree in a pair that is looked at;
+#: texts of a similarity of 0.8 share one of the 16 bands with 0.9998. The share of equal bins estimates the similarity.
+BINS, BAND = 64, 4
+SIMILARITY = 0.8
+#: Differing bits of 64 that a pair of that similarity may have: 9.7 on average, 15 or fewer with 0.97.
+SIMILAR_BITS = 15
+#: Rows of a group that the trie takes as they are; larger groups first go to leaders.
+TRIE_ROWS = 256
 #: Stands for a null doc_id in keys.
 MISSING = -(1 << 63)
 
 
-def fingerprint(data: bytes, shingle: int = 3) -> int:
-    """The fingerprint of UTF-8 text: a bit is 1 if it is set in over half the XXH64 hashes (seed 42) of the shingles."""
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 hashes (seed 42) of the word shingles of UTF-8 text, repeats included."""
     words = data.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        ends = np.cumsum(lengths)
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], 42) for s, e in zip((ends - lengths).tolist(), (ends[shingle - 1 :] - 1).tolist())]
-    h = np.array(hashes, dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    ends = np.cumsum(lengths)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], 42) for s, e in zip((ends - lengths).tolist(), (ends[shingle - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if it is set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)]
@@ -40,6 +50,10 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(data: bytes, shingle: int = 3) -> int:
+    return majority(shingle_hashes(data, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, key: list | None = None) -> DataFrame:
     """The key columns (doc_id, unless others are given, all long) and fp of each row of docs; a null text counts as empty and has fingerprint 0."""
     held = docs.select(*(key or [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").cast("string").alias("text"))
@@ -164,16 +178,145 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, blocks:
     return own.join(components_of(own, budget, blocks), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int, budget: int, blocks: int) -> DataFrame:
-    """One row of docs for each component, with its columns unchanged: the smallest doc_id, nulls last.
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The least hash of each of BINS bins, shortened to 32 bits; an empty bin takes that of the next one that is not."""
+    if not len(h):
+        return np.zeros(BINS, dtype=np.uint32)
+    mixed = h * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    order = np.argsort(mixed)
+    bins = (mixed[order] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(58)).astype(np.int64)
+    own, first = np.unique(bins, return_index=True)
+    value = (mixed[order[first]] >> np.uint64(16)).astype(np.uint32)
+    at = np.searchsorted(own, np.arange(BINS)) % len(own)
+    return value[at] + (own[at] != np.arange(BINS)) * np.uint32(7)
+
+
+def bands(sketches: np.ndarray) -> np.ndarray:
+    """The key of each band of each sketch."""
+    out = np.zeros((len(sketches), BINS // BAND), dtype=np.uint64)
+    for k in range(BAND):
+        out = (out ^ sketches[:, k::BAND].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def similar_links(fp: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one group that join its similar rows: fingerprints within SIMILAR_BITS and sketches within SIMILARITY.
+
+    In a large group rows gather round leaders first, much closer ones than SIMILARITY asks for, so that a group of
+    copies has one pair for each row, not all pairs; the leaders go through the trie.
+    """
+    left, right, leaders = [], [], []
+    pool = np.arange(len(fp))
+    while len(pool) > TRIE_ROWS:
+        lead, others = pool[0], pool[1:]
+        same = ((sketches[others] == sketches[lead]).mean(axis=1) >= (1 + SIMILARITY) / 2) & (np.bitwise_count(fp[others] ^ fp[lead]) <= SIMILAR_BITS)
+        left.append(others[same])
+        right.append(np.full(int(same.sum()), lead))
+        leaders.append(lead)
+        pool = others[~same]
+    pool = np.concatenate([np.array(leaders, dtype=np.int64), pool])
+    order = pool[np.argsort(fp[pool], kind="stable")]
+    a, b = trie_pairs(fp[order], 64, SIMILAR_BITS)
+    a, b = order[a], order[b]
+    near = (sketches[a] == sketches[b]).mean(axis=1) >= SIMILARITY
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left, a[near]]), np.concatenate([none, *right, b[near]])
+
+
+def sketched(docs: DataFrame, shingle: int, key: list) -> DataFrame:
+    """The key columns, fp and sketch of each row of docs."""
+    held = docs.select(*key, F.col("text").cast("string").alias("text"))
+    names = held.columns[:-1]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(x, shingle) for x in binary(batch.column(len(names))).to_pylist()]
+            found = np.array([majority(h) for h in hashes], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found.view(np.int64)), pa.array([sketch(h).tobytes() for h in hashes], pa.binary())], names=[*names, "fp", "sketch"])
+
+    return held.mapInArrow(each, ", ".join(f"{x} long" for x in [*names, "fp"]) + ", sketch binary")
+
+
+def _unpacked(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    fp = part.column("fp").to_numpy().view(np.uint64)
+    data = b"".join(part.column("sketch").to_pylist())
+    return fp, np.frombuffer(data, dtype=np.uint32).reshape(-1, BINS)
+
+
+def led(nodes: DataFrame) -> DataFrame:
+    """(fp, sketch, leader): within each task rows gather round leaders, the first rows of their bands.
+
+    This pre-aggregates large groups of copies before anything is sent: only leaders (fp = leader) go on.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, [], STEP_ROWS // 4):
+            fp, sketches = _unpacked(part)
+            leader = np.arange(len(fp))
+            keys = bands(sketches)
+            for k in range(0, BINS // BAND, 4):
+                free = np.flatnonzero(leader == np.arange(len(fp)))
+                _, first, back = np.unique(keys[free, k], return_index=True, return_inverse=True)
+                to = free[first][back]
+                same = ((sketches[free] == sketches[to]).mean(axis=1) >= (1 + SIMILARITY) / 2) & (np.bitwise_count(fp[free] ^ fp[to]) <= SIMILAR_BITS)
+                leader[free[same]] = to[same]
+            leader = leader[leader]
+            while (leader[leader] != leader).any():
+                leader = leader[leader]
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), part.column("sketch").combine_chunks(), pa.array(fp[leader].view(np.int64))], names=["fp", "sketch", "leader"])
+
+    return nodes.select("fp", "sketch").mapInArrow(each, "fp long, sketch binary, leader long")
+
+
+def similar_components(own: DataFrame) -> DataFrame:
+    """(fp, label) for the distinct fingerprints of own (fp, sketch): components of texts of a similarity of SIMILARITY or more."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, sketches = _unpacked(pa.Table.from_batches([batch]))
+                keys = bands(sketches).view(np.int64)
+                for k in range(keys.shape[1]):
+                    yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("sketch"), pa.array(keys[:, k])], names=["fp", "sketch", "band"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, ["band"], STEP_ROWS // 4):
+            fp, sketches = _unpacked(part)
+            band = part.column("band").to_numpy()
+            edge = np.r_[0, np.flatnonzero(band[1:] != band[:-1]) + 1, len(band)]
+            u, v = [], []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if b - a > 1:
+                    left, right = similar_links(fp[a:b], sketches[a:b])
+                    label = spanning(b - a, left, right)
+                    own = np.flatnonzero(label != np.arange(b - a))
+                    u.append(fp[a:b][own])
+                    v.append(fp[a:b][label[own]])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], names=["u", "v"])
+
+    nodes = led(own.groupBy("fp").agg(F.first("sketch").alias("sketch")))
+    nodes = cut(nodes)
+    dealt = nodes.where("fp = leader").select("fp", "sketch").mapInArrow(keyed, "fp long, sketch binary, band long")
+    found = dealt.repartition("band").sortWithinPartitions("band").mapInArrow(join, "u long, v long")
+    labels = components(found.distinct())
+    lead = nodes.select("fp", "leader").join(labels.withColumnRenamed("u", "leader"), "leader", "left")
+    return cut(lead.select("fp", F.coalesce("label", "leader").alias("label")))
+
+
+def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of docs for each component of similar texts, with its columns unchanged: the smallest doc_id, nulls last.
 
     Of several texts with that doc_id the one with the least hash stays, and of rows with equal doc_id and text one.
+    Texts without words, null ones too, are one component.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th")]
-    own = cut(fingerprints(docs, shingle, key))
-    names = components_of(own.withColumn("doc_id", F.nullif("_id", F.lit(MISSING))), budget, blocks)
+    own = cut(sketched(docs, shingle, key))
+    names = similar_components(own)
     best = F.min(F.struct((F.col("_id") == MISSING).alias("no_id"), "_id", "_th")).alias("best")
-    keep = cut(own.join(names, "fp").groupBy("label").agg(best).select("best._id", "best._th"))
+    keep = cut(own.select("_id", "_th", "fp").join(names, "fp").groupBy("label").agg(best).select("best._id", "best._th"))
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *key)
     return rows.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")

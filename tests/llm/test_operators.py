@@ -394,10 +394,30 @@ def test_representatives_by_hand(spark):
     some = lambda seed: " ".join(random.Random(seed).choices("abcdefghij klmnop qrst uvwxyz".split() + [f"w{i}" for i in range(500)], k=200))
     rows = [(k, some(k // 3) if k % 3 < 2 else some(100 + k)) for k in range(30)]
     df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
-    kept = sorted(r.doc_id for r in simhash.representatives(df, 5, 5, 8).collect())
+    kept = sorted(r.doc_id for r in simhash.representatives(df).collect())
     assert kept == [k for k in range(30) if k % 3 != 1]
 
 
+def test_similar_texts(spark):
+    """Copies with two words in a hundred changed are found, other texts are left alone, also in a large group."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, wanted = [], {}
+    for base in range(12):
+        own = rng.choices(vocabulary, k=200)
+        for copy in range(400 if base == 0 else 5):
+            w = list(own)
+            for _ in range(rng.randrange(0, 5) if copy else 0):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+            wanted.setdefault(base, len(rows) - 1)
+    rows += [(len(rows) + k, " ".join(rng.choices(vocabulary, k=150))) for k in range(100)]
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    copies = 400 + 11 * 5
+    assert set(wanted.values()) <= kept and set(range(copies, copies + 100)) <= kept
+    assert len(kept) <= 112 + 0.03 * copies
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
