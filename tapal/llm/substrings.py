@@ -30,6 +30,8 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 BUCKET_ROWS = 2000
 #: Rows of whole buckets that make a block.
 BLOCK_ROWS = 8000
+#: Places of a task that are packed by segment before they are sent.
+PACK_ROWS = 20_000
 #: Positions worked on at once; a longer text is cut, with LENGTH - 1 bytes of overlap.
 PIECE = 8 << 20
 PLACE_BITS = 24
@@ -256,10 +258,24 @@ def split_buckets(segs: DataFrame) -> DataFrame:
     """The same for larger buckets: equal segments are counted as one row, and the windows of distinct ones are grouped by their bytes' 128-bit hash."""
     half = lambda h, k: int.from_bytes(h[8 * k : 8 * k + 8], "big", signed=True)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packs(held: dict[bytes, list[tuple]]) -> pa.RecordBatch:
+        """The places of each segment as one row, so that its marks meet a pack and not each place."""
+        ends = np.cumsum([0, *map(len, held.values())]).astype(np.int32)
+        places = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*(p for own in held.values() for p in own))], names=["_id", "_th", "s"])
+        return pa.RecordBatch.from_arrays([*[pa.array([half(g, k) for g in held], pa.int64()) for k in (0, 1)], pa.ListArray.from_arrays(ends, places)], names=["g0", "g1", "places"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[tuple]] = {}
+        n = 0
         for batch in batches:
-            h = [xxhash.xxh3_128_digest(x) for x in batch.column("seg").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_id", "_th", "s")], pa.array([half(x, 0) for x in h], pa.int64()), pa.array([half(x, 1) for x in h], pa.int64())], names=["_id", "_th", "s", "g0", "g1"])
+            for seg, *place in zip(*(batch.column(c).to_pylist() for c in ("seg", "_id", "_th", "s"))):
+                held.setdefault(xxhash.xxh3_128_digest(seg), []).append(place)
+            n += batch.num_rows
+            if n >= PACK_ROWS:
+                yield packs(held)
+                held, n = {}, 0
+        if held:
+            yield packs(held)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g0", "g1", "o", "w0", "w1", "copies"]
@@ -283,9 +299,9 @@ def split_buckets(segs: DataFrame) -> DataFrame:
     runs = F.filter(F.transform("os", lambda o, i: F.when((i == 0) | (F.element_at("os", F.greatest(i, F.lit(1))) < o - 1), o)), lambda o: o.isNotNull())
     ends = F.filter(F.transform("os", lambda o, i: F.when((i == F.size("os") - 1) | (F.element_at("os", F.least(i + 2, F.size("os"))) > o + 1), o)), lambda o: o.isNotNull())
     marks = marks.select("g0", "g1", F.arrays_zip(runs.alias("p"), ends.alias("q")).alias("runs"))
-    places = segs.mapInArrow(hashed, "_id long, _th long, s long, g0 long, g1 long")
-    found = places.join(marks, ["g0", "g1"]).select("_id", "_th", "s", F.explode("runs").alias("r"))
-    return found.select("_id", "_th", (F.col("s") + F.col("r.p")).alias("b"), (F.col("s") + F.col("r.q") + LENGTH).alias("e"))
+    places = segs.mapInArrow(packed, "g0 long, g1 long, places array<struct<_id: long, _th: long, s: long>>")
+    found = places.join(marks, ["g0", "g1"]).select(F.explode("places").alias("at"), "runs").select("at", F.explode("runs").alias("r"))
+    return found.select("at._id", "at._th", (F.col("at.s") + F.col("r.p")).alias("b"), (F.col("at.s") + F.col("r.q") + LENGTH).alias("e"))
 
 
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
