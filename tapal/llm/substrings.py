@@ -30,7 +30,7 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 BUCKET_ROWS = 2000
 #: Rows of whole buckets that make a block.
 BLOCK_ROWS = 8000
-#: Places of a task that are packed by segment before they are sent.
+#: Places of a task that are looked at for equal segments before any are sent.
 PACK_ROWS = 20_000
 #: Positions worked on at once; a longer text is cut, with LENGTH - 1 bytes of overlap.
 PIECE = 8 << 20
@@ -255,27 +255,29 @@ def sorted_buckets(segs: DataFrame) -> DataFrame:
 
 
 def split_buckets(segs: DataFrame) -> DataFrame:
-    """The same for larger buckets: equal segments are counted as one row, and the windows of distinct ones are grouped by their bytes' 128-bit hash."""
-    half = lambda h, k: int.from_bytes(h[8 * k : 8 * k + 8], "big", signed=True)
+    """The same for larger buckets: equal segments are counted as one row, and the windows of distinct ones are grouped by their bytes' 128-bit hash.
 
-    def packs(held: dict[bytes, list[tuple]]) -> pa.RecordBatch:
-        """The places of each segment as one row, so that its marks meet a pack and not each place."""
-        ends = np.cumsum([0, *map(len, held.values())]).astype(np.int32)
-        places = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*(p for own in held.values() for p in own))], names=["_id", "_th", "s"])
-        return pa.RecordBatch.from_arrays([*[pa.array([half(g, k) for g in held], pa.int64()) for k in (0, 1)], pa.ListArray.from_arrays(ends, places)], names=["g0", "g1", "places"])
+    Segments that come again within a task are settled there; only the others wait for the marks of their windows.
+    """
+    half = lambda h, k: int.from_bytes(h[8 * k : 8 * k + 8], "big", signed=True)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of PACK_ROWS segments at a time; known: the same segment comes again among them, so all of its windows do."""
         held: dict[bytes, list[tuple]] = {}
         n = 0
         for batch in batches:
-            for seg, *place in zip(*(batch.column(c).to_pylist() for c in ("seg", "_id", "_th", "s"))):
-                held.setdefault(xxhash.xxh3_128_digest(seg), []).append(place)
+            for seg, i, th, s in zip(*(batch.column(c).to_pylist() for c in ("seg", "_id", "_th", "s"))):
+                held.setdefault(xxhash.xxh3_128_digest(seg), []).append((i, th, s, s + len(seg)))
             n += batch.num_rows
             if n >= PACK_ROWS:
-                yield packs(held)
+                yield packed(held)
                 held, n = {}, 0
         if held:
-            yield packs(held)
+            yield packed(held)
+
+    def packed(held: dict[bytes, list[tuple]]) -> pa.RecordBatch:
+        rows = [(*place, half(g, 0), half(g, 1), len(own) > 1) for g, own in held.items() for place in own]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["_id", "_th", "b", "e", "g0", "g1", "known"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g0", "g1", "o", "w0", "w1", "copies"]
@@ -299,9 +301,10 @@ def split_buckets(segs: DataFrame) -> DataFrame:
     runs = F.filter(F.transform("os", lambda o, i: F.when((i == 0) | (F.element_at("os", F.greatest(i, F.lit(1))) < o - 1), o)), lambda o: o.isNotNull())
     ends = F.filter(F.transform("os", lambda o, i: F.when((i == F.size("os") - 1) | (F.element_at("os", F.least(i + 2, F.size("os"))) > o + 1), o)), lambda o: o.isNotNull())
     marks = marks.select("g0", "g1", F.arrays_zip(runs.alias("p"), ends.alias("q")).alias("runs"))
-    places = segs.mapInArrow(packed, "g0 long, g1 long, places array<struct<_id: long, _th: long, s: long>>")
-    found = places.join(marks, ["g0", "g1"]).select(F.explode("places").alias("at"), "runs").select("at", F.explode("runs").alias("r"))
-    return found.select("at._id", "at._th", (F.col("at.s") + F.col("r.p")).alias("b"), (F.col("at.s") + F.col("r.q") + LENGTH).alias("e"))
+    places = cut(segs.mapInArrow(placed, "_id long, _th long, b long, e long, g0 long, g1 long, known boolean"))
+    found = places.where(~F.col("known")).join(marks, ["g0", "g1"]).select("_id", "_th", "b", F.explode("runs").alias("r"))
+    found = found.select("_id", "_th", (F.col("b") + F.col("r.p")).alias("b"), (F.col("b") + F.col("r.q") + LENGTH).alias("e"))
+    return places.where("known").select("_id", "_th", "b", "e").unionByName(found)
 
 
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -316,9 +319,13 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(_id, _th, spans): for each text with bytes to remove their maximal runs; docs has _id, _th and text."""
-    whole, spare = copies(docs)
-    own = segments(docs)
+    """(_id, _th, spans): for each text with bytes to remove their maximal runs; docs has doc_id, _id, _th and text.
+
+    The texts are sent by key once: cut_out and without_repeats join the same columns of all docs.
+    """
+    long = docs.select("_id", "_th", "text").where(F.octet_length("text") >= LENGTH)
+    whole, spare = copies(long)
+    own = segments(long)
     again = cut(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     places = stored(own.join(again, "bucket").join(spare, ["_id", "_th"], "left_anti"), "places")
     found = sorted_buckets(cut_out(docs, places.where(F.col("c") <= BUCKET_ROWS)))
@@ -346,8 +353,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     their own, so each covers the other. Other columns are not looked at.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("string").alias("text"))
-    spans = covered(keyed.select("_id", "_th", "text").where(F.octet_length("text") >= LENGTH))
-    both = keyed.join(spans, ["_id", "_th"], "left").select("doc_id", "text", "spans")
+    both = keyed.join(covered(keyed), ["_id", "_th"], "left").select("doc_id", "text", "spans")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
