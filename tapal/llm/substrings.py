@@ -297,10 +297,13 @@ def split_buckets(segs: DataFrame) -> DataFrame:
     distinct = segs.groupBy("bucket", "a", "seg").agg(F.count(F.lit(1)).alias("copies")).select("seg", "copies")
     every = distinct.mapInArrow(windows, "g0 long, g1 long, o long, w0 long, w1 long, copies long")
     again = every.groupBy("w0", "w1").agg(F.sum("copies").alias("times")).where("times > 1").select("w0", "w1")
-    marks = every.join(again, ["w0", "w1"]).groupBy("g0", "g1").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    # All windows of a segment with copies come again; only those of single segments have to be looked up.
+    whole = every.where("copies > 1").groupBy("g0", "g1").agg(F.max("o").alias("q"))
+    marks = every.where("copies = 1").join(again, ["w0", "w1"]).groupBy("g0", "g1").agg(F.array_sort(F.collect_set("o")).alias("os"))
     runs = F.filter(F.transform("os", lambda o, i: F.when((i == 0) | (F.element_at("os", F.greatest(i, F.lit(1))) < o - 1), o)), lambda o: o.isNotNull())
     ends = F.filter(F.transform("os", lambda o, i: F.when((i == F.size("os") - 1) | (F.element_at("os", F.least(i + 2, F.size("os"))) > o + 1), o)), lambda o: o.isNotNull())
     marks = marks.select("g0", "g1", F.arrays_zip(runs.alias("p"), ends.alias("q")).alias("runs"))
+    marks = marks.unionByName(whole.select("g0", "g1", F.array(F.struct(F.lit(0).cast("long").alias("p"), "q")).alias("runs")))
     places = cut(segs.mapInArrow(placed, "_id long, _th long, b long, e long, g0 long, g1 long, known boolean"))
     found = places.where(~F.col("known")).join(marks, ["g0", "g1"]).select("_id", "_th", "b", F.explode("runs").alias("r"))
     found = found.select("_id", "_th", (F.col("b") + F.col("r.p")).alias("b"), (F.col("b") + F.col("r.q") + LENGTH).alias("e"))
