@@ -1,10 +1,11 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup: of every run of lines that comes again, whatever its place, the first one stays."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -12,95 +13,123 @@ from pyspark.sql import functions as F
 
 from tapal.llm.common import binary, cut, slices, small_batches, text_key
 
-#: A chunk ends after a line whose rolling hash over WINDOW lines is 0 modulo DIVISOR, but has MIN_LINES at least and MAX_LINES at most.
-WINDOW, DIVISOR, MIN_LINES, MAX_LINES = 2, 4, 2, 32
-#: Multiplier of the rolling hash; a fixed odd value.
-BASE = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
-FADE = pow(BASE, WINDOW, 1 << 64)
+#: Lines that a run has at least.
+MIN_LINES = 2
 
 
-def chunk_ends(lines: list[bytes]) -> list[int]:
-    """The ends of the chunks, as counts of lines.
+def units_of(lines: list[bytes]) -> list[tuple[int, int]]:
+    """The least runs that may go, as (start, end): a line is in a run that comes again if and only if it is in such a unit.
 
-    The rolling hash at a line takes in that line and the one before it, so a boundary depends on content alone and
-    comes back after lines are put in or taken out above.
+    A run has MIN_LINES lines or more and is not of white space alone. Each pair of neighbours with words is a unit;
+    a blank line further away from the nearest lines with words is in the units from it to each of them.
     """
-    ends, rolling, first = [], 0, 0
-    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    for i, h in enumerate(hashes):
-        rolling = (rolling * BASE + h) & MASK
-        if i >= WINDOW:
-            rolling = (rolling - FADE * hashes[i - WINDOW]) & MASK
-        n = i + 1 - first
-        if n >= MIN_LINES and ((rolling >> 32) % DIVISOR == 0 or n >= MAX_LINES):
-            ends.append(i + 1)
-            first = i + 1
-    if first < len(lines):
-        ends.append(len(lines))
-    return ends
+    full = [bool(x.strip()) for x in lines]
+    out = [(i, i + 2) for i in range(len(lines) - 1) if full[i] or full[i + 1]]
+    if all(full[i] or full[i + 1] for i in range(len(lines) - 1)):
+        return out
+    before = after = None
+    for i, x in enumerate(full):
+        before = i if x else before
+        if before is not None and i - before > 1:
+            out.append((before, i + 1))
+    for i in range(len(lines) - 1, -1, -1):
+        after = i if full[i] else after
+        if after is not None and after - i > 1:
+            out.append((i, after + 1))
+    return out
 
 
 def chunks_of(text: bytes) -> list[list[bytes]]:
+    """The units of a text as lists of lines."""
     lines = text.split(b"\n")
-    ends = chunk_ends(lines)
-    return [lines[a:b] for a, b in zip([0, *ends], ends)]
-
+    return [lines[a:b] for a, b in units_of(lines)]
 
-def _countable(chunk: list[bytes]) -> bool:
-    """A chunk that may go: of several lines, and not of white space alone."""
-    return len(chunk) >= MIN_LINES and any(x.strip() for x in chunk)
 
-
-def chunk_table(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(_id, _th, at, h0, h1[, chunk]) for each multi-line chunk; h0 and h1 are halves of its 128-bit hash."""
-    names = ["_id", "_th", "at", "h0", "h1"] + ["chunk"] * with_text
+def unit_table(docs: DataFrame) -> DataFrame:
+    """(_id, _th, at, end, h0, h1) for each unit; h0 and h1 are halves of its 128-bit hash."""
+    names = ["_id", "_th", "at", "end", "h0", "h1"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[list] = [[] for _ in names]
+                rows: list[list] = [[] for _ in names[:4]]
+                hashes = []
                 for i, th, text in zip(part.column("_id").to_pylist(), part.column("_th").to_pylist(), binary(part.column("text")).to_pylist()):
                     if b"\n" not in text:
                         continue
-                    for at, chunk in enumerate(chunks_of(text)):
-                        if _countable(chunk):
-                            whole = b"\n".join(chunk)
-                            h = xxhash.xxh3_128_digest(whole)
-                            for to, x in zip(rows, (i, th, at, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), whole)):
-                                to.append(x)
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], names=names)
+                    lines = text.split(b"\n")
+                    units = units_of(lines)
+                    hashes += [xxhash.xxh3_128_digest(b"\n".join(lines[a:b])) for a, b in units]
+                    for to, x in zip(rows, ([i] * len(units), [th] * len(units), [a for a, _ in units], [b for _, b in units])):
+                        to += x
+                halves = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
+                columns = [pa.array(x, t) for x, t in zip(rows, types)] + [pa.array(halves[:, k]) for k in range(2)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(*text_key(), F.col("text").cast("string").alias("text")).mapInArrow(each, "_id long, _th long, at int, end int, h0 long, h1 long")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(_row, text, _id, _th): each row of docs, its other columns in _row."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("text").cast("string").alias("text"), *text_key())
+
+
+def unit_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(_id, _th, at, end, h0, h1, chunk) for each row of places (all but chunk), with the bytes of its unit.
 
-    return docs.select(*text_key(), F.col("text").cast("string").alias("text")).mapInArrow(each, "_id long, _th long, at int, h0 long, h1 long" + ", chunk binary" * with_text)
+    The join takes the same columns as that of rewritten, so that Spark sends the texts once for both.
+    """
+    found = places.groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "end", "h0", "h1")).alias("units"))
+    texts = keyed_texts(docs).join(found, ["_id", "_th"])
+    names = ["_id", "_th", "at", "end", "h0", "h1", "chunk"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for i, th, text, units in zip(part.column("_id").to_pylist(), part.column("_th").to_pylist(), binary(part.column("text")).to_pylist(), part.column("units").to_pylist()):
+                    lines = text.split(b"\n")
+                    rows = [(i, th, u["at"], u["end"], u["h0"], u["h1"], b"\n".join(lines[u["at"] : u["end"]])) for u in units]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+
+    return texts.mapInArrow(each, "_id long, _th long, at int, end int, h0 long, h1 long, chunk binary")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(_id, _th, gone): for each text with chunks to remove, the places of those chunks.
+    """(_id, _th, gone): for each text with units to remove, their places (at, end).
 
-    Only chunks whose hash comes more than once have their bytes sent; they are grouped by these bytes, which is the
+    Only units whose hash comes more than once have their bytes sent; they are grouped by these bytes, which is the
     byte comparison. The first place in order of (doc_id, text hash, place) stays.
     """
-    places = cut(chunk_table(docs, False))
-    twice = cut(places.groupBy("h0", "h1").count().where("count > 1").select("h0", "h1"))
+    places = cut(unit_table(docs))
+    twice = places.groupBy("h0", "h1").count().where("count > 1").select("h0", "h1")
+    again = cut(places.join(twice, ["h0", "h1"], "left_semi"))
     # Texts of one hash are compared once each: a hash that stands for two different texts is left alone.
-    texts = chunk_table(docs, True).join(twice, ["h0", "h1"], "left_semi").groupBy("h0", "h1", "chunk").agg(F.min(F.struct("_id", "_th", "at")).alias("keep"))
+    texts = unit_bytes(docs, again).groupBy("h0", "h1", "chunk").agg(F.min(F.struct("_id", "_th", "at")).alias("keep"))
     first = texts.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("texts"), F.first("keep").alias("keep")).where("texts = 1")
-    gone = places.join(first, ["h0", "h1"]).where(F.struct("_id", "_th", "at") != F.col("keep"))
-    return gone.groupBy("_id", "_th").agg(F.collect_set("at").alias("gone"))
+    gone = again.join(first, ["h0", "h1"]).where(F.struct("_id", "_th", "at") != F.col("keep"))
+    return gone.groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "end")).alias("gone"))
+
+
+def without(lines: list[bytes], units: list[tuple[int, int]]) -> tuple[list[bytes], int]:
+    """The lines outside the units, and the number of unbroken runs of lines that go."""
+    lost = bytearray(len(lines))
+    for a, b in units:
+        lost[a:b] = b"\1" * (b - a)
+    return [x for x, gone in zip(lines, lost) if not gone], len([x for x in bytes(lost).split(b"\0") if x])
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
-    """(_row, _text, _lines, _lines_gone, _chunks_gone): each row of docs, its text without repeated multi-line chunks, and counts.
+    """(_row, _text, _lines, _lines_gone, _chunks_gone): the other columns of each row of docs, its text without repeated runs of lines, and counts.
 
-    A chunk goes if the same lines come earlier, in order of doc_id (null first), then of a hash of the text, then of
-    place; that first one stays. Null and empty texts and texts of one line are left as they are. A text whose chunks
-    all go becomes empty. Rows with equal doc_id and text are the same document and are treated alike. Other columns
-    are kept.
+    A line goes if it is in a run of MIN_LINES lines or more, not of white space alone, that comes earlier, in order
+    of doc_id (null first), then of a hash of the text, then of place; so the first of equal lines always stays. Null
+    and empty texts and texts of one line are left as they are. A text whose lines all go becomes empty. Rows with
+    equal doc_id and text are the same document and are treated alike. Other columns are kept.
     """
     gone = repeated(docs)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"), *text_key())
-    joined = keyed.join(gone, ["_id", "_th"], "left").select("_row", "text", "gone")
+    joined = keyed_texts(docs).join(gone, ["_id", "_th"], "left").select("_row", "text", "gone")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,14 +137,12 @@ def rewritten(docs: DataFrame) -> DataFrame:
                 texts, counts = [], [[], [], []]
                 for text, out, lost in zip(binary(part.column("text")).to_pylist(), part.column("gone").to_pylist(), part.column("text").is_null().to_pylist()):
                     n = text.count(b"\n") + 1 if text else 0
-                    lines = 0
+                    lines = runs = 0
                     if out:
-                        out = set(out)
-                        kept = [c for at, c in enumerate(chunks_of(text)) if at not in out]
-                        left = sum(map(len, kept))
-                        text, lines = b"\n".join(b"\n".join(c) for c in kept), n - left
+                        kept, runs = without(text.split(b"\n"), [(u["at"], u["end"]) for u in out])
+                        text, lines = b"\n".join(kept), n - len(kept)
                     texts.append(None if lost else text.decode())
-                    for to, x in zip(counts, (n, lines, len(out or ()))):
+                    for to, x in zip(counts, (n, lines, runs)):
                         to.append(x)
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in counts]], names=["_row", "_text", "_lines", "_lines_gone", "_chunks_gone"])
 
@@ -125,27 +152,26 @@ def rewritten(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with its own columns; n_chars, if there is one, is that of the text that is left."""
-    own = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
+    own = {c: F.col("_text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns}
     if "n_chars" in own:
         own["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
     return rewritten(docs).select(*[v.alias(c) for c, v in own.items()])
 
 
 def brute_force(texts: dict[int, str]) -> dict[int, str]:
-    """The same for a few texts by id, in one process; for tests."""
-    order = sorted(texts)
-    seen: set[bytes] = set()
+    """The same for a few texts by id, in one process, over all runs of lines; for tests."""
+    seen: set[tuple[bytes, ...]] = set()
     out = {}
-    for i in order:
-        kept = []
-        for chunk in chunks_of(texts[i].encode()) if "\n" in texts[i] else [[texts[i].encode()]]:
-            whole = b"\n".join(chunk)
-            if _countable(chunk) and whole in seen:
-                continue
-            if _countable(chunk):
-                seen.add(whole)
-            kept.append(whole)
-        out[i] = b"\n".join(kept).decode()
+    for i in sorted(texts):
+        lines = texts[i].encode().split(b"\n")
+        lost: set[int] = set()
+        for a in range(len(lines)):
+            runs = {tuple(lines[a:b]): b for b in range(a + MIN_LINES, len(lines) + 1) if any(x.strip() for x in lines[a:b])}
+            for run, b in runs.items():
+                if run in seen:
+                    lost.update(range(a, b))
+            seen |= runs.keys()
+        out[i] = b"\n".join(x for k, x in enumerate(lines) if k not in lost).decode()
     return out
 
 

@@ -76,6 +76,20 @@ def test_lines_shift():
     assert len(moved & {b"\n".join(c) for c in lines.chunks_of(b"\n".join(own))}) > 0.8 * len(moved)
 
 
+def test_lines_short_passages(spark):
+    """Passages of two to five lines go wherever they stand, with all their lines, blank ones too; single lines stay."""
+    rng = random.Random(55)
+    passages = [[f"passage {p} line {i}" for i in range(n)] for p, n in enumerate([2, 2, 3, 4, 5])] + [["top", "", "", "", "", "end"]]
+    texts, own = {}, {}
+    for k in range(40):
+        own[k] = [f"own {k} line {i}" for i in range(6)]
+        at = rng.randrange(1, 6)
+        texts[k] = "\n".join([*own[k][:at], *passages[k % 6], *own[k][at:]]) + "\nsingle line"
+    got = dict(texts_of(lines.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))))
+    assert got == lines.brute_force(texts)
+    assert all(got[k] == "\n".join([*own[k], "single line"]) for k in range(6, 40)) and all(got[k] == texts[k] for k in range(6))
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 
