@@ -11,18 +11,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import LOWER, binary, components, cut, small_batches, sorted_groups
+from tapal.llm.common import LOWER, binary, components, cut, small_batches, sorted_groups, stored
 
 #: Rows of the trie join that one step of a task takes, unless a group is larger.
 STEP_ROWS = 100_000
 #: Near-duplicates by similarity: bins of a sketch of the shingles, of which BAND agree in a pair that is looked at;
-#: texts of a similarity of 0.8 share one of the 16 bands with 0.9998. The share of equal bins estimates the similarity.
+#: texts of a similarity of 0.8 share one of the 16 bands with 0.9998.
 BINS, BAND = 64, 4
-SIMILARITY = 0.8
-#: Differing bits of 64 that a pair of that similarity may have: 9.7 on average, 15 or fewer with 0.97.
-SIMILAR_BITS = 15
-#: Rows of a group that the trie takes as they are; larger groups first go to leaders.
-TRIE_ROWS = 256
+#: The least exact Jaccard similarity of the shingle sets, as a fraction, and the share of equal bins (its estimate,
+#: of a standard error of 0.05 there) from which a pair is compared exactly.
+SIMILARITY, CANDIDATE = (4, 5), 0.6
+#: Rows of a band's key beyond which its pairs have to share a second band as well (0.9995 of those of 0.8 do).
+HOT_ROWS = 512
 #: Stands for a null doc_id in keys.
 MISSING = -(1 << 63)
 
@@ -201,109 +201,103 @@ def bands(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_links(fp: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one group that join its similar rows: fingerprints within SIMILAR_BITS and sketches within SIMILARITY.
-
-    In a large group rows gather round leaders first, much closer ones than SIMILARITY asks for, so that a group of
-    copies has one pair for each row, not all pairs; the leaders go through the trie.
-    """
-    left, right, leaders = [], [], []
-    pool = np.arange(len(fp))
-    while len(pool) > TRIE_ROWS:
-        lead, others = pool[0], pool[1:]
-        same = ((sketches[others] == sketches[lead]).mean(axis=1) >= (1 + SIMILARITY) / 2) & (np.bitwise_count(fp[others] ^ fp[lead]) <= SIMILAR_BITS)
-        left.append(others[same])
-        right.append(np.full(int(same.sum()), lead))
-        leaders.append(lead)
-        pool = others[~same]
-    pool = np.concatenate([np.array(leaders, dtype=np.int64), pool])
-    order = pool[np.argsort(fp[pool], kind="stable")]
-    a, b = trie_pairs(fp[order], 64, SIMILAR_BITS)
-    a, b = order[a], order[b]
-    near = (sketches[a] == sketches[b]).mean(axis=1) >= SIMILARITY
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left, a[near]]), np.concatenate([none, *right, b[near]])
-
-
 def sketched(docs: DataFrame, shingle: int, key: list) -> DataFrame:
-    """The key columns, fp and sketch of each row of docs."""
+    """The key columns, node (a hash of the set of shingles) and sketch of each row of docs."""
     held = docs.select(*key, F.col("text").cast("string").alias("text"))
     names = held.columns[:-1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(x, shingle) for x in binary(batch.column(len(names))).to_pylist()]
-            found = np.array([majority(h) for h in hashes], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found.view(np.int64)), pa.array([sketch(h).tobytes() for h in hashes], pa.binary())], names=[*names, "fp", "sketch"])
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in binary(batch.column(len(names))).to_pylist()]
+            found = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found.view(np.int64)), pa.array([sketch(h).tobytes() for h in sets], pa.binary())], names=[*names, "node", "sketch"])
 
-    return held.mapInArrow(each, ", ".join(f"{x} long" for x in [*names, "fp"]) + ", sketch binary")
+    return held.mapInArrow(each, ", ".join(f"{x} long" for x in [*names, "node"]) + ", sketch binary")
 
 
-def _unpacked(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    fp = part.column("fp").to_numpy().view(np.uint64)
-    data = b"".join(part.column("sketch").to_pylist())
-    return fp, np.frombuffer(data, dtype=np.uint32).reshape(-1, BINS)
+def banded(nodes: DataFrame) -> DataFrame:
+    """(node, band) for each band of each node."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = bands(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, BINS)).view(np.int64)
+                own = np.repeat(batch.column("node").to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(keys.ravel())], names=["node", "band"])
 
-def led(nodes: DataFrame) -> DataFrame:
-    """(fp, sketch, leader): within each task rows gather round leaders, the first rows of their bands.
+    return nodes.select("node", "sketch").mapInArrow(each, "node long, band long").distinct()
 
-    This pre-aggregates large groups of copies before anything is sent: only leaders (fp = leader) go on.
-    """
+
+def _filtered(pairs: DataFrame, sides: DataFrame, keep) -> DataFrame:
+    """The pairs (u, v) whose two values, of the column x of sides (node, x), keep lets pass."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sorted_groups(batches, [], STEP_ROWS // 4):
-            fp, sketches = _unpacked(part)
-            leader = np.arange(len(fp))
-            keys = bands(sketches)
-            for k in range(0, BINS // BAND, 4):
-                free = np.flatnonzero(leader == np.arange(len(fp)))
-                _, first, back = np.unique(keys[free, k], return_index=True, return_inverse=True)
-                to = free[first][back]
-                same = ((sketches[free] == sketches[to]).mean(axis=1) >= (1 + SIMILARITY) / 2) & (np.bitwise_count(fp[free] ^ fp[to]) <= SIMILAR_BITS)
-                leader[free[same]] = to[same]
-            leader = leader[leader]
-            while (leader[leader] != leader).any():
-                leader = leader[leader]
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), part.column("sketch").combine_chunks(), pa.array(fp[leader].view(np.int64))], names=["fp", "sketch", "leader"])
-
-    return nodes.select("fp", "sketch").mapInArrow(each, "fp long, sketch binary, leader long")
-
-
-def similar_components(own: DataFrame) -> DataFrame:
-    """(fp, label) for the distinct fingerprints of own (fp, sketch): components of texts of a similarity of SIMILARITY or more."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                _, sketches = _unpacked(pa.Table.from_batches([batch]))
-                keys = bands(sketches).view(np.int64)
-                for k in range(keys.shape[1]):
-                    yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("sketch"), pa.array(keys[:, k])], names=["fp", "sketch", "band"])
+            same = [keep(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sorted_groups(batches, ["band"], STEP_ROWS // 4):
-            fp, sketches = _unpacked(part)
-            band = part.column("band").to_numpy()
-            edge = np.r_[0, np.flatnonzero(band[1:] != band[:-1]) + 1, len(band)]
-            u, v = [], []
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if b - a > 1:
-                    left, right = similar_links(fp[a:b], sketches[a:b])
-                    label = spanning(b - a, left, right)
-                    own = np.flatnonzero(label != np.arange(b - a))
-                    u.append(fp[a:b][own])
-                    v.append(fp[a:b][label[own]])
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], names=["u", "v"])
-
-    nodes = led(own.groupBy("fp").agg(F.first("sketch").alias("sketch")))
-    nodes = cut(nodes)
-    dealt = nodes.where("fp = leader").select("fp", "sketch").mapInArrow(keyed, "fp long, sketch binary, band long")
-    found = dealt.repartition("band").sortWithinPartitions("band").mapInArrow(join, "u long, v long")
-    labels = components(found.distinct())
-    lead = nodes.select("fp", "leader").join(labels.withColumnRenamed("u", "leader"), "leader", "left")
-    return cut(lead.select("fp", F.coalesce("label", "leader").alias("label")))
+    both = pairs.join(sides.select(F.col("node").alias("u"), "x"), "u").join(sides.select(F.col("node").alias("v"), F.col("x").alias("y")), "v")
+    return both.select("u", "v", "x", "y").mapInArrow(each, "u long, v long")
+
+
+def _agree(x: bytes, y: bytes) -> bool:
+    return (np.frombuffer(x, dtype=np.uint32) == np.frombuffer(y, dtype=np.uint32)).mean() >= CANDIDATE
+
+
+def _similar(x: bytes, y: bytes) -> bool:
+    a, b = len(x) // 8, len(y) // 8
+    if min(a, b) * SIMILARITY[1] < max(a, b) * SIMILARITY[0]:
+        return False
+    shared = len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True))
+    return shared * SIMILARITY[1] >= (a + b - shared) * SIMILARITY[0]
+
+
+def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
+    """The distinct pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of SIMILARITY or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in binary(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(held, pa.binary())], names=["node", "x"])
+
+    likely = cut(_filtered(pairs.distinct(), nodes.select("node", F.col("sketch").alias("x")), _agree))
+    used = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
+    where = nodes.join(used, "node").select("node", "one._id", "one._th")
+    texts = docs.select(*key, F.col("text").cast("string").alias("text")).join(where, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    return cut(_filtered(likely, stored(texts.select("node", "text").mapInArrow(sets, "node long, x binary"), "shingles"), _similar))
+
+
+def across(members: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs (u, v) of members (node, label and the columns on) that agree in on and have different labels.
+
+    The members of a group's largest label meet only those of other labels.
+    """
+    counts = members.groupBy(*on, "label").count()
+    groups = counts.groupBy(*on).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label")).getField("label").alias("major")).where("labels > 1").drop("labels")
+    held = members.join(groups, on)
+    left = held.where("label != major").select(*on, F.col("node").alias("u"), F.col("label").alias("_l"))
+    right = held.select(*on, F.col("node").alias("v"), "label", (F.col("label") == F.col("major")).alias("_m"))
+    return left.join(right, on).where("_l != label and (_m or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def similar_components(own: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
+    """(node, label) for the distinct nodes of own (_id, _th, node, sketch): components of texts of a similarity of SIMILARITY or more.
+
+    First each node of a band's key is compared with the least node there, so that a group of copies has one pair for
+    each node. Then all pairs of a key that are not in one component by then are compared: other pairs add no link.
+    """
+    nodes = cut(own.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("_id", "_th")).alias("one")))
+    dealt = cut(banded(nodes))
+    sizes = dealt.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(dealt.join(sizes, "band"))
+    first = exact_links(shared.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), nodes, docs, shingle, key)
+    labels = components(first).withColumnRenamed("u", "node")
+    labelled = cut(shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label")))
+    hot = labelled.where(F.col("n") > HOT_ROWS).select("node", "band", "label")
+    second = hot.join(shared.select("node", F.col("band").alias("other")), "node").where("band != other")
+    pairs = across(labelled.where(F.col("n") <= HOT_ROWS), ["band"]).union(across(second, ["band", "other"]))
+    found = components(first.union(exact_links(pairs, nodes, docs, shingle, key)))
+    return cut(nodes.select("node").join(found.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
 def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -314,9 +308,9 @@ def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th")]
     own = cut(sketched(docs, shingle, key))
-    names = similar_components(own)
+    names = similar_components(own, docs, shingle, key)
     best = F.min(F.struct((F.col("_id") == MISSING).alias("no_id"), "_id", "_th")).alias("best")
-    keep = cut(own.select("_id", "_th", "fp").join(names, "fp").groupBy("label").agg(best).select("best._id", "best._th"))
+    keep = cut(own.select("_id", "_th", "node").join(names, "node").groupBy("label").agg(best).select("best._id", "best._th"))
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *key)
     return rows.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")

@@ -432,6 +432,36 @@ def test_similar_texts(spark):
     assert len(kept) <= 112 + 0.03 * copies
 
 
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("hot_rows", [512, 8])
+def test_similarity_is_exact(spark, monkeypatch, hot_rows):
+    """Texts round a similarity of 0.8 to a base and to each other, chains of followers too, against all pairs."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot_rows)
+    rng = random.Random(77)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for base in range(12):
+        own = rng.choices(vocabulary, k=150)
+        for _ in range(12):
+            w = list(own if rng.random() < 0.6 else rows[-1][1].split() if rows else own)
+            for _ in range(rng.randrange(2, 6)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if k == b else k for k in label]
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == set(label) and 12 < len(kept) < 130
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
