@@ -89,12 +89,11 @@ def distance(p: str, q: str) -> Column:
 def judge(features_of: DataFrame, refs: DataFrame) -> DataFrame:
     """features_of with base_failed, class_distance, word_distance and kept.
 
-    refs has a row for each language and is broadcast: codes of languages are few, and only the 200 with the most
-    words are used; a document of any other language keeps the base rules' verdict, as does one of MIN_WORDS words or
-    fewer characters than words, or of a language whose reference has too few words.
+    refs has a row for each language, and all of them are used; Spark chooses the join. A document of less than
+    MIN_WORDS words, or of a language whose reference has too few words, keeps the base rules' verdict.
     """
-    used = refs.where(F.col("ref_words") >= MIN_REFERENCE_WORDS).orderBy(F.desc("ref_words"), "_lang").limit(200)
-    df = features_of.join(F.broadcast(used), "_lang", "left")
+    used = refs.where(F.col("ref_words") >= MIN_REFERENCE_WORDS)
+    df = features_of.join(used, "_lang", "left")
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     enough = (F.col("n_words") >= MIN_WORDS) & F.col("ref_words").isNotNull()
     df = df.withColumn("class_distance", F.when(enough, distance("_classes", "ref_classes"))).withColumn("word_distance", F.when(enough, distance("_common", "ref_common")))

@@ -58,6 +58,13 @@ def test_quality_rejects_symbols(spark):
     assert {r.doc_id for r in quality.rejected_removed(df).collect()} == set(range(40))
 
 
+def test_quality_many_languages(spark):
+    """Each of more than 200 codes has its reference."""
+    rows = [(k, prose(k % 7, 1100), f"x{k:03d}") for k in range(230)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 230 and all(r.class_distance is not None and r.word_distance is not None for r in got)
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 
 
