@@ -139,9 +139,9 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 
 def scan(spark, path: str) -> DataFrame:
-    """(record_id, kind, origin, row, segment, total, refers_to, digest, payload_bytes, block) for each record of the archives."""
-    names = ["record_id", "kind", "origin", "row", "segment", "total", "refers_to", "digest", "payload_bytes", "block"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    """(record_id, kind, origin, row, segment, total, refers_to, digest, payload_bytes, block, segmented) for each record of the archives; segmented if it has a segment number."""
+    names = ["record_id", "kind", "origin", "row", "segment", "total", "refers_to", "digest", "payload_bytes", "block", "segmented"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
     number = lambda x: int(x) if x is not None else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def scan(spark, path: str) -> DataFrame:
                 for f, block in read_records(gzip.open(io.BytesIO(content.as_py()))):
                     own = f["warc-record-id"]
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-                    held.append((own, f["warc-type"], f.get("warc-segment-origin-id", own), f.get("x-row"), int(f.get("warc-segment-number", 1)), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), digest, number(f.get("x-payload-length")), block))
+                    held.append((own, f["warc-type"], f.get("warc-segment-origin-id", own), f.get("x-row"), int(f.get("warc-segment-number", 1)), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), digest, number(f.get("x-payload-length")), block, "warc-segment-number" in f))
                     size += len(block)
                     if size > SLICE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
@@ -160,7 +160,7 @@ def scan(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(each, "record_id string, kind string, origin string, row string, segment int, total long, refers_to string, digest string, payload_bytes long, block binary")
+    return files.mapInArrow(each, "record_id string, kind string, origin string, row string, segment int, total long, refers_to string, digest string, payload_bytes long, block binary, segmented boolean")
 
 
 def payload_of(parts: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -192,7 +192,7 @@ def reassembled(records: DataFrame) -> DataFrame:
 
     schema = "record_id string, kind string, refers_to string, digest string, payload_bytes long, payload binary, complete boolean"
     alone = (F.col("kind") != "continuation") & ~F.col("segmented")
-    own = records.withColumn("segmented", (F.col("kind") == "continuation") | (F.octet_length("block") >= SEGMENT_BYTES))
+    own = records.withColumn("segmented", (F.col("kind") == "continuation") | F.col("segmented"))
     head = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c)
     groups = own.where("segmented").groupBy("origin", "row").agg(
         head("record_id"), head("kind"), head("refers_to"), head("digest"), head("payload_bytes"), F.collect_list(F.struct("segment", "total", "block")).alias("parts")
