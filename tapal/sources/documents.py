@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,19 +34,35 @@ def read_document(spark: SparkSession, path: str, rows: str, schema: str) -> Dat
     return spark.read.schema(f"{rows} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def flatten_json(df: DataFrame, key: str, column: str, depth: int = 8) -> DataFrame:
-    """(key, path, type, value) for each leaf of a JSON column, objects and arrays to the given depth; broken JSON gives none."""
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint; without spark.checkpoint.dir a local session takes a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tapal-"))
+    return df.checkpoint()
+
+
+def flatten_json(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path, type, value) for each leaf of a JSON column at any depth, empty objects and arrays too; broken JSON gives none.
+
+    Levels are checkpointed, from the first one on that holds containers, until none holds any.
+    """
     out = None
     level = df.select(key, F.lit("$").alias("path"), F.expr(f"try_parse_json({column})").alias("v")).where("v is not null")
-    for _ in range(depth):
+    while True:
         kind = F.expr("schema_of_variant(v)")
         level = level.withColumn("kind", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number"))
-        leaf = level.where("kind not in ('object', 'array')").select(key, "path", F.col("kind").alias("type"), F.expr("cast(v as string)").alias("value"))
+        text = F.expr("case when kind in ('object', 'array') then to_json(v) else cast(v as string) end")
+        level = level.withColumn("empty", F.expr("kind in ('object', 'array') and to_json(v) in ('{}', '[]')"))
+        leaf = level.where("empty or kind not in ('object', 'array')").select(key, "path", F.col("kind").alias("type"), text.alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
-        inner = level.where("kind in ('object', 'array')").select(key, "path", "v")
+        inner = _checkpointed(level.where("not empty and kind in ('object', 'array')").select(key, "path", "v"))
+        if inner.isEmpty():
+            return out
         view = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key").alias("_k"), F.col("value").alias("_v")))
         level = view.select(key, F.concat("path", F.when(F.col("_k").isNotNull(), F.concat(F.lit("."), "_k")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))).alias("path"), F.col("_v").alias("v"))
-    return out
 
 
 class _Rows(HTMLParser):
