@@ -21,6 +21,9 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 #: Start tags that close an open element of the same group, up to the nearest of its bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 CLOSES |= {x: ({"option"}, {"select"}) for x in ("option",)}
+#: Elements that may stand in head; any other start tag ends it. Silent elements that hold no blocks: a block's start ends them.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title", "head"}
+NO_BLOCKS = {"button", "select", "option", "datalist"}
 
 #: The classifier's fixed weights: log odds of content. By element that the block is in, at any depth:
 ELEMENT = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "header": -4.0, "aside": -6.0, "form": -6.0, "menu": -5.0, "dialog": -5.0, "address": -1.0, "fieldset": -4.0}
@@ -67,7 +70,24 @@ class Page(HTMLParser):
             score += BAD_NAME
         return score
 
+    def _end_head(self) -> None:
+        """Ends an open head, unless the tag stands in a template or the like inside it."""
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] in ("template", "svg", "math"):
+                return
+            if self.stack[at][0] == "head":
+                while len(self.stack) > at:
+                    self._pop()
+                return
+
     def handle_starttag(self, tag, attrs):
+        if self.counts.get("head") and tag not in IN_HEAD:
+            self._end_head()
+        if self.silent and tag in BLOCK:
+            held = -1
+            while held != len(self.stack):
+                held = len(self.stack)
+                self._close(NO_BLOCKS, BLOCK | (SILENT - NO_BLOCKS))
         if tag in VOID:
             if self.open is not None and tag in ("br", "hr"):
                 self.open.parts.append(" ")
@@ -131,6 +151,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.silent and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if self.silent or not data:
             return
         if self.open is None:
