@@ -4,7 +4,8 @@ A suffix matters here by its first LENGTH bytes, its window. Windows go to bucke
 K-byte strings inside, so equal windows meet and no bucket needs the rest of the corpus. A bucket's suffixes are sorted
 in blocks: the ranks of a difference-cover sample of the block's positions are worked out first, by doubling, and a
 suffix is then placed by the few bytes up to its next sample position and that sample's rank. Neighbours in the sorted
-order are compared byte by byte. A bucket with too many suffixes for one task is split by whole windows.
+order are compared byte by byte. A bucket of too many suffixes for one task is split by more of the bytes about the
+anchor, in halves of the windows' distances to it, until its parts fit; they are sorted in the same way.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LENGTH = 200
 K = 64
 #: A difference cover: every residue modulo PERIOD is a difference of two of its members. Fixed values.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Segments of a bucket that are sorted in one task; larger buckets are split by window.
+#: Segments of a bucket that are sorted in one task; larger buckets are split by more bytes.
 BUCKET_ROWS = 2000
 #: Rows of whole buckets that make a block.
 BLOCK_ROWS = 8000
@@ -122,26 +123,92 @@ def segments(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "_id long, _th long, s long, n short, a short, bucket long")
 
 
-def cut_out(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The segments' bytes: (bucket, _id, _th, s, a, seg) for the places of each text."""
-    lists = places.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n", "a", "bucket")).alias("places"))
+def digests(pieces: list[tuple[int, bytes]]) -> np.ndarray:
+    """The 128-bit BLAKE2 hash of each (bytes before the anchor, bytes), a cryptographic one: two columns of int64."""
+    raw = b"".join([hashlib.blake2b(x, digest_size=16, salt=a.to_bytes(2, "big")).digest() for a, x in pieces])
+    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+
+
+def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """docs with the list of places of each text."""
+    lists = places.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n", "a", "bucket", "c")).alias("places"))
+    return docs.join(lists, ["_id", "_th"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.StructArray, list[tuple[int, bytes]]]]:
+    """(_id, _th, places, segments) of each text, PACK_ROWS places at most at once; a segment is (bytes before the anchor, bytes)."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for i, th, text, own in zip(part.column("_id").to_pylist(), part.column("_th").to_pylist(), binary(part.column("text")).to_pylist(), part.column("places")):
+                for at in range(0, len(own.values), PACK_ROWS):
+                    some = own.values.slice(at, PACK_ROWS)
+                    columns = (some.field(c).to_pylist() for c in ("s", "n", "a"))
+                    yield i, th, some, [(a, text[s : s + n + LENGTH - 1]) for s, n, a in zip(*columns)]
+
+
+def pieces_of(texts: DataFrame) -> DataFrame:
+    """(i0, i1, key, c, lo, hi, a, piece, times): the segments of texts, those that are equal among a task's neighbours as one row.
+
+    key is the bucket, c how many places it has, lo and hi bound the distance from a window's start to its anchor.
+    """
+    names = ["i0", "i1", "key", "c", "lo", "hi", "a", "piece", "times"]
+
+    def packed(held: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
+        ids = digests(list(held))
+        key, c, times = zip(*held.values())
+        n = len(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(key), pa.array(c), pa.array(np.zeros(n, np.int16)), pa.array(np.full(n, LENGTH - K, np.int16)), pa.array([a for a, _ in held], pa.int16()), pa.array([x for _, x in held], pa.binary()), pa.array(times)],
+            names=names,
+        )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for i, th, text, own in zip(part.column("_id").to_pylist(), part.column("_th").to_pylist(), binary(part.column("text")).to_pylist(), part.column("places")):
-                    own = own.values
-                    s, n = own.field("s").to_numpy(), own.field("n").to_numpy().astype(np.int64)
-                    for at in range(0, len(s), 20_000):
-                        to = slice(at, at + 20_000)
-                        segs = [text[x : x + k + LENGTH - 1] for x, k in zip(s[to].tolist(), n[to].tolist())]
-                        m = len(segs)
-                        yield pa.RecordBatch.from_arrays(
-                            [own.field("bucket").slice(at, m), pa.array(np.full(m, i)), pa.array(np.full(m, th)), own.field("s").slice(at, m), own.field("a").slice(at, m), pa.array(segs, pa.binary())],
-                            names=["bucket", "_id", "_th", "s", "a", "seg"],
-                        )
+        held: dict[tuple[int, bytes], list] = {}
+        for _, _, own, segs in _cut(batches):
+            for seg, bucket, c in zip(segs, own.field("bucket").to_pylist(), own.field("c").to_pylist()):
+                held.setdefault(seg, [bucket, c, 0])[2] += 1
+            if len(held) >= PACK_ROWS:
+                yield packed(held)
+                held = {}
+        if held:
+            yield packed(held)
 
-    return docs.join(lists, ["_id", "_th"]).mapInArrow(each, "bucket long, _id long, _th long, s long, a short, seg binary")
+    return texts.mapInArrow(each, "i0 long, i1 long, key long, c long, lo short, hi short, a short, piece binary, times long")
+
+
+def placed(texts: DataFrame) -> DataFrame:
+    """(_id, _th, known, rest) for each text: spans (b, e) of segments that come again among a task's neighbours, so that
+    all of their windows do, and (p, i0, i1) of the others, p the anchor's place and i0, i1 the segment."""
+    span = pa.struct([("b", pa.int64()), ("e", pa.int64())])
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        ids = np.concatenate([x[2] for x in held])
+        _, back, counts = np.unique(ids[:, 0] ^ (ids[:, 1] * 31), return_inverse=True, return_counts=True)
+        # The shortened hash only picks those that are looked at.
+        again = counts[back] > 1
+        seen: dict[tuple, int] = {}
+        for x in map(tuple, ids[again].tolist()):
+            seen[x] = seen.get(x, 0) + 1
+        again[again] = [seen[x] > 1 for x in map(tuple, ids[again].tolist())]
+        s, a, size = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
+        row = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+        ends = lambda mask: pa.array(np.r_[0, np.cumsum(np.bincount(row[mask], minlength=len(held)))].astype(np.int32))
+        known = pa.ListArray.from_arrays(ends(again), pa.StructArray.from_arrays([pa.array(s[again]), pa.array((s + size)[again])], fields=list(span)))
+        left = pa.StructArray.from_arrays([pa.array((s + a)[~again]), pa.array(ids[~again, 0]), pa.array(ids[~again, 1])], names=["p", "i0", "i1"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array([x[1] for x in held]), known, pa.ListArray.from_arrays(ends(~again), left)], names=["_id", "_th", "known", "rest"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for i, th, own, segs in _cut(batches):
+            held.append((i, th, digests(segs), own.field("s").to_numpy(), own.field("a").to_numpy().astype(np.int64), np.array([len(x) for _, x in segs])))
+            n += len(segs)
+            if n >= PACK_ROWS:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return texts.mapInArrow(each, "_id long, _th long, known array<struct<b:long,e:long>>, rest array<struct<p:long,i0:long,i1:long>>")
 
 
 def sample_ranks(data: np.ndarray, at: np.ndarray, residue: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,92 +289,84 @@ def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def sorted_buckets(segs: DataFrame) -> DataFrame:
-    """(_id, _th, b, e): bytes b to e are covered by windows that come again, for buckets of BUCKET_ROWS segments at most."""
+def sorted_blocks(pieces: DataFrame) -> DataFrame:
+    """(i0, i1, runs) for pieces with windows that come again: runs (d0, d1) of their distances to the anchor. Whole keys are sorted, block by block."""
+    run = pa.struct([("d0", pa.int64()), ("d1", pa.int64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sorted_groups(batches, ["bucket"], BLOCK_ROWS):
-            bucket, ids, hashes, s, a = (part.column(c).to_numpy() for c in ("bucket", "_id", "_th", "s", "a"))
-            texts = part.column("seg").to_pylist()
-            # Equal segments are one, and all of its windows come again.
-            number: dict[tuple, int] = {}
-            own = np.array([number.setdefault(x, len(number)) for x in zip(bucket.tolist(), a.tolist(), texts)])
-            copies = np.bincount(own)
-            keys = list(number)
-            b, anchor, distinct = np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), [k[2] for k in keys]
-            _, back, kinds = np.unique(b, return_inverse=True, return_counts=True)
-            marks = [np.full(len(x) - LENGTH + 1, c > 1) for x, c in zip(distinct, copies.tolist())]
+        for part in sorted_groups(batches, ["key"], BLOCK_ROWS):
+            columns = [part.column(c).to_pylist() for c in ("key", "a", "piece", "i0", "i1", "times")]
+            # Equal pieces are one, and all of its windows come again.
+            number: dict[tuple, list] = {}
+            for key, a, piece, i0, i1, times in zip(*columns):
+                number.setdefault((key, a, piece), [i0, i1, 0])[2] += times
+            keys, anchor, distinct = (list(x) for x in zip(*number))
+            keys, anchor = np.array(keys), np.array(anchor)
+            _, back, kinds = np.unique(keys, return_inverse=True, return_counts=True)
+            own = list(number.values())
+            marks = [np.full(len(x) - LENGTH + 1, times > 1) for x, (_, _, times) in zip(distinct, own)]
             mixed = np.flatnonzero(kinds[back] > 1)
             if len(mixed):
-                for i, found in zip(mixed.tolist(), equal_windows(b[mixed], anchor[mixed], [distinct[i] for i in mixed])):
+                for i, found in zip(mixed.tolist(), equal_windows(keys[mixed], anchor[mixed], [distinct[i] for i in mixed])):
                     marks[i] |= found
-            rows, first, last = [], [], []
-            runs = [_runs(x) for x in marks]
-            for r, k in enumerate(own.tolist()):
-                for p, q in zip(*runs[k]):
-                    rows.append(r)
-                    first.append(p)
-                    last.append(q)
-            rows, first, last = np.array(rows, np.int64), np.array(first, np.int64), np.array(last, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(hashes[rows]), pa.array(s[rows] + first), pa.array(s[rows] + last + LENGTH - 1)], names=["_id", "_th", "b", "e"])
+            rows, runs = [], []
+            for (i0, i1, _), a, marked in zip(own, anchor.tolist(), marks):
+                first, last = _runs(marked)
+                if len(first):
+                    rows.append((i0, i1))
+                    runs.append([{"d0": a - int(q) + 1, "d1": a - int(p)} for p, q in zip(first, last)])
+            ids = np.array(rows, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(runs, pa.list_(run))], names=["i0", "i1", "runs"])
 
-    return segs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "_id long, _th long, b long, e long")
+    sent = pieces.select("key", "a", "piece", "i0", "i1", "times").repartition("key").sortWithinPartitions("key")
+    return sent.mapInArrow(each, "i0 long, i1 long, runs array<struct<d0:long,d1:long>>")
 
 
-def split_buckets(segs: DataFrame) -> DataFrame:
-    """The same for larger buckets: equal segments are counted as one row, and the windows of distinct ones are grouped by their bytes' 128-bit hash.
+def halved(pieces: DataFrame) -> DataFrame:
+    """Each piece in two, by the distance of its windows from the anchor: (i0, i1) and its half's (j0, j1), key, lo, hi, a, piece, times.
 
-    Segments that come again within a task are settled there; only the others wait for the marks of their windows.
+    All windows of a half hold the same bytes about the anchor, more of them than those of the whole piece do; a hash
+    of these bytes is the half's key. Where lo is hi they are the whole window, so that a key has one piece.
     """
-    half = lambda h, k: int.from_bytes(h[8 * k : 8 * k + 8], "big", signed=True)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The places of PACK_ROWS segments at a time; known: the same segment comes again among them, so all of its windows do."""
-        held: dict[bytes, list[tuple]] = {}
-        n = 0
-        for batch in batches:
-            for seg, i, th, s in zip(*(batch.column(c).to_pylist() for c in ("seg", "_id", "_th", "s"))):
-                held.setdefault(xxhash.xxh3_128_digest(seg), []).append((i, th, s, s + len(seg)))
-            n += batch.num_rows
-            if n >= PACK_ROWS:
-                yield packed(held)
-                held, n = {}, 0
-        if held:
-            yield packed(held)
-
-    def packed(held: dict[bytes, list[tuple]]) -> pa.RecordBatch:
-        rows = [(*place, half(g, 0), half(g, 1), len(own) > 1) for g, own in held.items() for place in own]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["_id", "_th", "b", "e", "g0", "g1", "known"])
+    names = ["i0", "i1", "j0", "j1", "key", "lo", "hi", "a", "piece", "times"]
+    types = [pa.int64(), pa.int16(), pa.int16(), pa.int16(), pa.binary(), pa.int64()]
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g0", "g1", "o", "w0", "w1", "copies"]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for seg, copies in zip(batch.column("seg").to_pylist(), batch.column("copies").to_pylist()):
-                g = xxhash.xxh3_128_digest(seg)
-                for o in range(len(seg) - LENGTH + 1):
-                    w = xxhash.xxh3_128_digest(seg[o : o + LENGTH])
-                    rows.append((half(g, 0), half(g, 1), o, half(w, 0), half(w, 1), copies))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
-
-    distinct = segs.groupBy("bucket", "a", "seg").agg(F.count(F.lit(1)).alias("copies")).select("seg", "copies")
-    every = distinct.mapInArrow(windows, "g0 long, g1 long, o long, w0 long, w1 long, copies long")
-    again = every.groupBy("w0", "w1").agg(F.sum("copies").alias("times")).where("times > 1").select("w0", "w1")
-    # All windows of a segment with copies come again; only those of single segments have to be looked up.
-    whole = every.where("copies > 1").groupBy("g0", "g1").agg(F.max("o").alias("q"))
-    marks = every.where("copies = 1").join(again, ["w0", "w1"]).groupBy("g0", "g1").agg(F.array_sort(F.collect_set("o")).alias("os"))
-    runs = F.filter(F.transform("os", lambda o, i: F.when((i == 0) | (F.element_at("os", F.greatest(i, F.lit(1))) < o - 1), o)), lambda o: o.isNotNull())
-    ends = F.filter(F.transform("os", lambda o, i: F.when((i == F.size("os") - 1) | (F.element_at("os", F.least(i + 2, F.size("os"))) > o + 1), o)), lambda o: o.isNotNull())
-    marks = marks.select("g0", "g1", F.arrays_zip(runs.alias("p"), ends.alias("q")).alias("runs"))
-    marks = marks.unionByName(whole.select("g0", "g1", F.array(F.struct(F.lit(0).cast("long").alias("p"), "q")).alias("runs")))
-    places = cut(segs.mapInArrow(placed, "_id long, _th long, b long, e long, g0 long, g1 long, known boolean"))
-    found = places.where(~F.col("known")).join(marks, ["g0", "g1"]).select("_id", "_th", "b", F.explode("runs").alias("r"))
-    found = found.select("_id", "_th", (F.col("b") + F.col("r.p")).alias("b"), (F.col("b") + F.col("r.q") + LENGTH).alias("e"))
-    return places.where("known").select("_id", "_th", "b", "e").unionByName(found)
+            for at in range(0, batch.num_rows, PACK_ROWS):
+                part = batch.slice(at, PACK_ROWS)
+                rows, of = [], []
+                for r, (lo, hi, a, piece, times) in enumerate(zip(*(part.column(c).to_pylist() for c in ("lo", "hi", "a", "piece", "times")))):
+                    middle = (lo + hi) // 2
+                    for x, y in ((lo, middle), (middle + 1, hi)):
+                        before = min(a, y)
+                        half = piece[a - before : a + LENGTH - x]
+                        if len(half) >= LENGTH and before >= x:
+                            core = half[before - x : before + LENGTH - y]
+                            rows.append((xxhash.xxh3_64_intdigest(core, x << 8 | y) - (1 << 63), x, y, before, half, times))
+                            of.append(r)
+                ids = digests([(x[3], x[4]) for x in rows])
+                own = [pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 6, types)]
+                yield pa.RecordBatch.from_arrays([part.column("i0").take(pa.array(of, pa.int64())), part.column("i1").take(pa.array(of, pa.int64())), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *own], names=names)
+
+    return pieces.mapInArrow(each, "i0 long, i1 long, j0 long, j1 long, key long, lo short, hi short, a short, piece binary, times long")
+
+
+def marks_of(pieces: DataFrame, crowded: bool) -> DataFrame:
+    """(i0, i1, runs): see sorted_blocks. Keys of more than BUCKET_ROWS pieces (crowded: there are some) are first split by more bytes about the anchor, as often as it takes."""
+    fits = (F.col("c") <= BUCKET_ROWS) | (F.col("lo") == F.col("hi"))
+    own = sorted_blocks(pieces.where(fits))
+    if not crowded:
+        return own
+    halves = stored(halved(pieces.where(~fits)), "halves")
+    distinct = halves.groupBy("j0", "j1", "key", "lo", "hi", "a", "piece").agg(F.sum("times").alias("times"))
+    distinct = distinct.select(F.col("j0").alias("i0"), F.col("j1").alias("i1"), "key", "lo", "hi", "a", "piece", "times")
+    sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("times").alias("all")).where("all > 1").drop("all")
+    below = stored(distinct.join(sizes, "key"), "pieces")
+    found = marks_of(below, not below.where(~fits).isEmpty())
+    links = halves.select("i0", "i1", "j0", "j1").distinct()
+    up = found.select(F.col("i0").alias("j0"), F.col("i1").alias("j1"), "runs").join(links, ["j0", "j1"]).select("i0", "i1", "runs")
+    return own.unionByName(up)
 
 
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -315,27 +374,30 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every window of such a text starts elsewhere too. One of each group stays in the search for the sake of other texts.
     """
-    own = docs.select("_id", "_th", F.xxhash64(F.lit(1), "text").alias("h"), F.octet_length("text").cast("long").alias("e"))
+    own = docs.select("_id", "_th", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("e"))
     groups = own.groupBy("_th", "h", "e").agg(F.count(F.lit(1)).alias("times"), F.min("_id").alias("first")).where("times > 1")
     all_of = cut(own.join(groups.drop("times"), ["_th", "h", "e"]).select("_id", "_th", "e", "first").distinct())
     return all_of.select("_id", "_th", "e"), all_of.where("_id <> first").select("_id", "_th")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(_id, _th, spans): for each text with bytes to remove their maximal runs; docs has doc_id, _id, _th and text.
+    """(_id, _th, spans): for each text with bytes to remove the runs that cover them; docs has doc_id, _id, _th and text.
 
-    The texts are sent by key once: cut_out and without_repeats join the same columns of all docs.
+    The texts are sent by key once: with_places and without_repeats join the same columns of all docs.
     """
     long = docs.select("_id", "_th", "text").where(F.octet_length("text") >= LENGTH)
     whole, spare = copies(long)
     own = segments(long)
     again = cut(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     places = stored(own.join(again, "bucket").join(spare, ["_id", "_th"], "left_anti"), "places")
-    found = sorted_buckets(cut_out(docs, places.where(F.col("c") <= BUCKET_ROWS)))
-    if not again.where(F.col("c") > BUCKET_ROWS).isEmpty():
-        found = found.unionByName(split_buckets(cut_out(docs, places.where(F.col("c") > BUCKET_ROWS))))
-    found = found.unionByName(whole.select("_id", "_th", F.lit(0).cast("long").alias("b"), "e"))
-    return found.groupBy("_id", "_th").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    texts = with_places(docs, places)
+    marks = cut(marks_of(pieces_of(texts), not again.where(F.col("c") > BUCKET_ROWS).isEmpty()))
+    at = cut(placed(texts))
+    open_ = at.select("_id", "_th", F.explode("rest").alias("r")).select("_id", "_th", "r.*")
+    found = open_.join(marks, ["i0", "i1"]).select("_id", "_th", F.transform("runs", lambda r: F.struct((F.col("p") - r.d1).alias("b"), (F.col("p") - r.d0 + LENGTH).alias("e"))).alias("spans"))
+    known = at.where(F.size("known") > 0).select("_id", "_th", F.col("known").alias("spans"))
+    every = found.unionByName(known).unionByName(whole.select("_id", "_th", F.array(F.struct(F.lit(0).cast("long").alias("b"), "e")).alias("spans")))
+    return every.groupBy("_id", "_th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
