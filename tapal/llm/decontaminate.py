@@ -9,24 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import binary, slices, small_batches
+from tapal.llm.common import binary, slices, small_batches, stored
 
 #: Lower-cases A-Z and makes ASCII punctuation a space.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
-#: Items with fewer words have no windows: such texts come up by chance.
-MIN_ITEM_WORDS = 5
-#: Word edits allowed: a fifth of an item's words, none in items of under ten words.
+#: Word edits allowed: a fifth of an item's words, rounded down.
 EDIT_SHARE = 5
 #: Embeddings of each window, LSH tables for each embedding and places that a table samples.
 #: A window at the allowed distance keeps half of its embedding or more, so a table finds it with 1/4 at least and all 24 with 0.999.
 EMBEDDINGS, TABLES, PLACES = 4, 6, 2
 SEED = 20240229
+#: Items whose lengths are within this factor share tables; their windows have the length of the shortest.
+LENGTH_STEP = 1.25
 #: Benchmark text that goes to the tasks at once; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Words of windows that are embedded at once.
+WINDOW_WORDS = 1 << 20
 
 
 def edits_allowed(n: int) -> int:
-    return n // EDIT_SHARE if n >= 10 else 0
+    return n // EDIT_SHARE
+
+
+def run_length(n: int) -> int:
+    """The longest word run, of three at most, of which an item of n words keeps one after all edits that are allowed."""
+    return next(q for q in (3, 2, 1) if n - q + 1 - q * edits_allowed(n) >= 1)
 
 
 def fitting_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -42,12 +49,80 @@ def fitting_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[at]), at
 
 
+def walk_bits(k: int, step: int, symbols: np.ndarray) -> np.ndarray:
+    """The random bit of embedding k for each symbol at a step; a hash, so that it needs no table."""
+    x = (symbols.astype(np.uint64) + np.uint64((step * EMBEDDINGS + k + 1) * 0xD1B54A32D192ED03 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+
+
+def embed(windows: np.ndarray, k: int, steps: int, after: int) -> np.ndarray:
+    """CGK: at each step the current word is put out, and a random bit of (step, word) says whether to move on; after stands behind a window's end."""
+    n = windows.shape[1]
+    padded = np.concatenate([windows, np.full((len(windows), 1), after)], axis=1)
+    at, rows = np.zeros(len(windows), dtype=np.int64), np.arange(len(windows))
+    out = np.empty((len(windows), steps), dtype=np.int64)
+    for step in range(steps):
+        out[:, step] = padded[rows, at]
+        at = np.minimum(at + walk_bits(k, step, out[:, step]), n)
+    return out
+
+
+class Tables:
+    """The LSH tables of items of about one length, whose first n words stand for them."""
+
+    def __init__(self, items: list[np.ndarray], numbers: list[int], n: int, size: int):
+        self.n, self.steps, self.size = n, max(1, n * 3 // 2), size  # in that many steps few walks reach the end
+        self.sampled = (np.random.default_rng(SEED).random((EMBEDDINGS, TABLES, PLACES)) * self.steps).astype(np.int64)
+        self.sorted = []
+        own = np.stack([items[i][:n] for i in numbers])
+        for k in range(EMBEDDINGS):
+            for keys in self.keys(own, k):
+                order = np.argsort(keys, kind="stable")
+                self.sorted.append((keys[order], np.array(numbers, dtype=np.int64)[order]))
+
+    def keys(self, windows: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each table of embedding k the key of each window: the words at the sampled places."""
+        out = embed(windows, k, self.steps, self.size + 1).astype(np.uint64)
+        found = []
+        for places in self.sampled[k]:
+            key = np.zeros(len(windows), dtype=np.uint64)
+            for place in places:
+                key = (key + out[:, place]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(31)
+            found.append(key)
+        return found
+
+    def candidates(self, windows: np.ndarray) -> np.ndarray:
+        """Distinct (window, item) of windows and items that share a bucket of some table."""
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for k in range(EMBEDDINGS):
+            for keys, (own, items) in zip(self.keys(windows, k), self.sorted[k * TABLES :]):
+                lo, hi = np.searchsorted(own, keys), np.searchsorted(own, keys, "right")
+                which, at = _ranges(lo, hi)
+                found.append(np.stack([which, items[at]], axis=1))
+            found = [np.unique(np.concatenate(found), axis=0)]
+        return found[0]
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) for all places of the ranges lo to hi."""
+    many = hi - lo
+    which = np.repeat(np.arange(len(lo)), many)
+    return which, lo[which] + np.arange(int(many.sum())) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many) if len(lo) else which
+
+
 class Index:
-    """What a task needs to search for a block of items; its size is bounded by BLOCK_BYTES of text."""
+    """What a task needs to search for a block of items; its size is a small multiple of BLOCK_BYTES.
+
+    Windows are embedded and looked up in the tables where a run of words of some item stands in the text: an item that
+    is there within its edits has run_length words in a row unchanged, so this loses nothing. The tables then say which
+    items a window is compared with.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]]):
         split = [(i, text.translate(PLAIN).split()) for i, text in items]
-        split = [(i, words) for i, words in split if len(words) >= MIN_ITEM_WORDS]
+        split = [(i, words) for i, words in split if words]
         self.words: dict[bytes, int] = {}
         for _, words in split:
             for w in words:
@@ -55,56 +130,48 @@ class Index:
         self.size = len(self.words)
         self.ids = [i for i, _ in split]
         self.items = [np.array([self.words[w] for w in words], dtype=np.int64) for _, words in split]
-        codes, owners, places = [], [], []
+        runs: dict[int, list] = {}
+        classes: dict[int, list[int]] = {}
         for k, x in enumerate(self.items):
-            codes.append(self.codes(x))
-            owners.append(np.full(len(x) - 2, k))
-            places.append(np.arange(len(x) - 2))
-        none = np.zeros(0, dtype=np.int64)
-        codes, owners, places = (np.concatenate([none, *x]) for x in (codes, owners, places))
-        order = np.argsort(codes, kind="stable")
-        self.seeds, self.owners, self.places = codes[order], owners[order], places[order]
-        self.least = np.array([max(1, len(x) - 2 - 3 * edits_allowed(len(x))) for x in self.items], dtype=np.int64)
-        rng = np.random.default_rng(SEED)
-        longest = max([0, *map(len, self.items)])
-        self.steps = [rng.integers(0, 2, (3 * longest, self.size + 1), dtype=np.int8) for _ in range(EMBEDDINGS)] if self.size * longest <= 1 << 26 else None
-        self.rng_seed = SEED
-        self.sampled = rng.random((EMBEDDINGS, TABLES, PLACES))
-
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """A number for each three words in a row; -1 if one of them is in no item. Sizes stay under 2 ** 62 by BLOCK_BYTES."""
-        a, b, c = words[:-2], words[1:-1], words[2:]
-        return np.where((a >= 0) & (b >= 0) & (c >= 0), (a * self.size + b) * self.size + c, -1)
-
-    def bits(self, k: int, at: int, symbols: np.ndarray) -> np.ndarray:
-        if self.steps is not None:
-            return self.steps[k][at, symbols]
-        mixed = (symbols.astype(np.uint64) + np.uint64(at * 1315423911 + k * 2654435761 + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed >> np.uint64(41)) & np.uint64(1)).astype(np.int8)
-
-    def embed(self, windows: np.ndarray, k: int) -> np.ndarray:
-        """CGK: at each of 3n steps the current word is put out, and a random bit of (step, word) says whether to move on."""
-        n = windows.shape[1]
-        padded = np.concatenate([np.where(windows < 0, self.size, windows), np.full((len(windows), 1), self.size)], axis=1)
-        at, rows = np.zeros(len(windows), dtype=np.int64), np.arange(len(windows))
-        out = np.empty((len(windows), 3 * n), dtype=np.int64)
-        for step in range(3 * n):
-            symbols = padded[rows, at]
-            out[:, step] = np.where(at < n, symbols, -1)
-            at = np.minimum(at + self.bits(k, step, symbols), n)
-        return out
-
-    def like(self, windows: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which windows agree with the item in all places of some table."""
-        found = np.zeros(len(windows), dtype=bool)
-        for k in range(EMBEDDINGS):
-            left = np.flatnonzero(~found)
-            if not len(left):
-                break
-            own, its = self.embed(windows[left], k), self.embed(item[None, :], k)[0]
-            for places in (self.sampled[k] * 2 * len(item)).astype(np.int64):  # the walk is over after about 2n steps
-                found[left] |= (own[:, places] == its[places]).all(axis=1)
-        return found
+            q = run_length(len(x))
+            runs.setdefault(q, []).append((self.codes(x, q), np.full(len(x) - q + 1, k), np.arange(len(x) - q + 1)))
+            classes.setdefault(int(np.log(len(x)) / np.log(LENGTH_STEP)), []).append(k)
+        self.runs = {}
+        for q, parts in runs.items():
+            codes, owners, places = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(codes, kind="stable")
+            self.runs[q] = codes[order], owners[order], places[order]
+        #: Runs that an item's allowed edits leave at least.
+        self.least = np.array([len(x) - run_length(len(x)) + 1 - run_length(len(x)) * edits_allowed(len(x)) for x in self.items], dtype=np.int64)
+        self.tables = [Tables(self.items, own, min(len(self.items[k]) for k in own), self.size) for own in classes.values()]
+        self.table_of = np.zeros(len(self.items), dtype=np.int64)
+        for t, own in enumerate(classes.values()):
+            self.table_of[own] = t
+
+    def codes(self, words: np.ndarray, q: int) -> np.ndarray:
+        """A number for each q words in a row; -1 if one of them is in no item. Sizes stay under 2 ** 63 by BLOCK_BYTES."""
+        n = len(words) - q + 1
+        out, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        for k in range(q):
+            out = out * self.size + words[k : k + n]
+            known &= words[k : k + n] >= 0
+        return np.where(known, out, -1)
+
+    def seeds(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item, start) of windows at which a run of an item stands, and the pairs row * items + item that have enough runs, sorted."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for q, (codes, owners, places) in self.runs.items():
+            if len(words) < q:
+                continue
+            code = self.codes(words, q)
+            hits = np.flatnonzero(code >= 0)
+            which, at = _ranges(np.searchsorted(codes, code[hits]), np.searchsorted(codes, code[hits], "right"))
+            at_word = hits[which]
+            found.append(np.stack([np.searchsorted(ends, at_word, "right"), owners[at], at_word - places[at]], axis=1))
+        every = np.concatenate(found)
+        pairs, back, counts = np.unique(every[:, 0] * len(self.items) + every[:, 1], return_inverse=True, return_counts=True)
+        enough = counts[back] >= self.least[every[:, 1]]
+        return every[enough], pairs[counts >= self.least[pairs % len(self.items)]]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, first word) of the best match of each item in each text."""
@@ -116,36 +183,25 @@ class Index:
         for x, end in zip(split, ends.tolist()):
             if x:
                 words[end - 1 - len(x) : end - 1] = [get(w, missing) for w in x]
-        if len(words) < 3 or not len(self.seeds):
-            return []
-        code = self.codes(words)
-        hits = np.flatnonzero(code >= 0)
-        lo, hi = np.searchsorted(self.seeds, code[hits]), np.searchsorted(self.seeds, code[hits], "right")
-        many = hi - lo
-        if not many.sum():
+        if not self.items or not len(words):
             return []
-        at = np.repeat(hits, many)
-        which = np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        item, start = self.owners[which], at - self.places[which]
-        row = np.searchsorted(ends, at, "right")
-        pair = row * len(self.items) + item
-        kinds, back, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = counts[back] >= self.least[item]  # fewer three-word runs in common than that many edits leave
+        seeds, likely = self.seeds(words, ends)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        windows = np.unique(np.stack([item[enough], row[enough], start[enough]], axis=1), axis=0)
-        edge = np.r_[0, np.flatnonzero(windows[1:, 0] != windows[:-1, 0]) + 1, len(windows)] if len(windows) else [0]
-        for a, b in zip(edge[:-1], edge[1:]):
-            k = int(windows[a, 0])
-            x, spare = self.items[k], edits_allowed(len(self.items[k]))
-            for c in range(a, b, 20_000):
-                part = windows[c : min(b, c + 20_000)]
-                first, after = ends[part[:, 1]] - 1 - lengths[part[:, 1]], ends[part[:, 1]] - 1
-                places = part[:, 2][:, None] + np.arange(len(x))
+        for t, tables in enumerate(self.tables):
+            starts = np.unique(seeds[self.table_of[seeds[:, 1]] == t][:, [0, 2]], axis=0)
+            step = max(1, WINDOW_WORDS // tables.n)
+            for c in range(0, len(starts), step):
+                row, start = starts[c : c + step].T
+                first, after = ends[row] - 1 - lengths[row], ends[row] - 1
+                places = start[:, None] + np.arange(tables.n)
                 inside = (places >= first[:, None]) & (places < after[:, None])
                 taken = np.where(inside, words[np.clip(places, 0, len(words) - 1)], -1)
-                for q in np.flatnonzero(self.like(taken, x)):
-                    r = int(part[q, 1])
-                    lower, upper = max(int(first[q]), int(part[q, 2]) - spare), min(int(after[q]), int(part[q, 2]) + len(x) + spare)
+                for q, k in tables.candidates(np.where(taken < 0, self.size, taken)).tolist():
+                    r, x, spare = int(row[q]), self.items[k], edits_allowed(len(self.items[k]))
+                    at = np.searchsorted(likely, r * len(self.items) + k)
+                    if at == len(likely) or likely[at] != r * len(self.items) + k or best.get((r, k), (1,))[0] == 0:
+                        continue
+                    lower, upper = max(int(first[q]), int(start[q]) - spare), min(int(after[q]), int(start[q]) + len(x) + spare)
                     d, end = fitting_distance(x, words[lower:upper])
                     if d <= spare:
                         got = (d, max(0, lower + end - len(x) - int(first[q])))
@@ -196,6 +252,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item of the benchmark, with their own columns."""
     columns = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
+    searched = False
     for index in blocks_of(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -205,7 +262,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     bad = {r for r, *_ in shared.value.search(binary(part.column("_text")).to_pylist())}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)]))
 
-        held = held.mapInArrow(each, held.schema)
+        # A block's tasks are over before the next one's, so that one index is in memory.
+        held = (stored(held, "docs") if searched else held).mapInArrow(each, held.schema)
+        searched = True
     return held.select("_row.*")
 
 

@@ -209,7 +209,7 @@ def slow_fitting(item, text):
 
 def test_decontaminate_recall_and_exactness(spark):
     rng = random.Random(10)
-    items = [(k, prose(100 + k, rng.randrange(12, 60))) for k in range(20)] + [(20, None), (21, "too short"), (22, "")]
+    items = [(k, prose(100 + k, rng.randrange(12, 60))) for k in range(20)] + [(20, None), (21, "Never there"), (22, ""), (23, "one-two three four five"), (24, "single")]
     rows = []
     for d in range(150):
         own = prose(500 + d, 150).split()
@@ -221,13 +221,17 @@ def test_decontaminate_recall_and_exactness(spark):
             at = rng.randrange(len(own))
             own[at:at] = w
         rows.append((d, ", ".join(own)))
+    rows += [(150, "a single word"), (151, "zero one two other four five six"), (152, "zero one two other for five six"), (153, "single"), (154, ""), (155, "single"), (155, "single")]
+    items += [(25, items[0][1]), (25, items[0][1])]
     df = spark.createDataFrame([*rows, (None, None), (900, "")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(df, bench).collect()}
+    every = [(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(df, bench).collect()]
+    got = {(d, k): x for d, k, x in every}
+    assert collections.Counter(every)[155, 24, 0] == 2 and all(every.count((d, 25, x)) == 2 for d, k, x in every if k == 25)
     plain = lambda t: t.encode().translate(decontaminate.PLAIN).split()
     expected = {}
     for d, t in rows:
-        for k, x in items[:20]:
+        for k, x in [x for x in items if x[1]]:
             distance = slow_fitting(plain(x), plain(t))
             if distance <= decontaminate.edits_allowed(len(plain(x))):
                 expected[d, k] = distance
@@ -239,9 +243,29 @@ def test_decontaminate_recall_and_exactness(spark):
     assert left == ({d for d, _ in rows} | {None, 900}) - {d for d, _ in got}
 
 
+def test_decontaminate_blocks(spark, monkeypatch):
+    """A benchmark in many blocks has the same matches as one in a single block."""
+    items = [(k, prose(100 + k, 12 + k)) for k in range(20)]
+    docs = spark.createDataFrame([(d, prose(500 + d, 40) + " " + items[d % 20][1] + " " + prose(900 + d, 40)) for d in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    assert len(one) >= 30 and sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == one
+    assert decontaminate.decontaminated(docs, bench).count() == 0
+
+
+def test_walk_keeps_close_texts_close():
+    """The embedding of a text with few edits keeps most places, that of another text few."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 5000, 100)
+    near, far = np.delete(x, 50)[None, :99], rng.integers(0, 5000, (1, 99))
+    own = decontaminate.embed(x[None, :99], 0, 148, 5001)
+    assert (own == decontaminate.embed(near, 0, 148, 5001)).mean() > 0.6 > 0.1 > (own == decontaminate.embed(far, 0, 148, 5001)).mean()
+
+
 def test_decontaminate_empty(spark, odd_docs):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.matches(odd_docs, none).count() == 0
+    assert decontaminate.matches(odd_docs, none).count() == 0 and decontaminate.matches(odd_docs.limit(0), spark.createDataFrame([(1, "some words here")], "item_id long, text string")).count() == 0
     assert decontaminate.decontaminated(odd_docs, none).count() == odd_docs.count()
 
 
