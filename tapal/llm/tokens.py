@@ -30,19 +30,20 @@ def load(path: str = PIECES, zipf: bool = True) -> unigram.Model:
 class Memory:
     """What is known of pre-tokens in a task: each new distinct one is computed once, new ones of a slice in tries of neighbours in order."""
 
-    def __init__(self, compute: Callable[[list[bytes]], list]):
-        self.compute, self.known = compute, {}
+    def __init__(self, compute: Callable[[list[bytes]], list], alone: Callable[[bytes], object]):
+        self.compute, self.alone, self.known = compute, alone, {}
 
     def of(self, words: list[list[bytes]]) -> dict:
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = set().union(*words)
-        # A long pre-token has a trie of its own levels, so that short ones need few.
-        short, long = sorted(w for w in new if len(w) <= 64), [w for w in new if len(w) > 64]
-        for part in [*(short[at : at + TRIE_WORDS] for at in range(0, len(short), TRIE_WORDS)), *([long] if long else [])]:
+        short = sorted(w for w in new if len(w) <= unigram.LONG)
+        for part in (short[at : at + TRIE_WORDS] for at in range(0, len(short), TRIE_WORDS)):
             self.known.update(zip(part, self.compute(part)))
-        return self.known
+        # Long ones are not remembered beyond the slice: there is no bound to their size.
+        long = {w: self.alone(w) for w in new if len(w) > unigram.LONG}
+        return {**self.known, **long} if long else self.known
 
 
 def _passed(df: DataFrame, column: str, added: str, value: Callable[[unigram.Model], Callable[[pa.RecordBatch], pa.Array]], model: unigram.Model) -> DataFrame:
@@ -73,11 +74,11 @@ def encode(df: DataFrame, model: unigram.Model, column: str = "text") -> DataFra
     """
 
     def value(model: unigram.Model):
-        memory = Memory(lambda words: [np.array(x, dtype=np.int32).tobytes() for x in unigram.encode_words(model, words)])
+        memory = Memory(lambda words: [np.array(x, dtype=np.int32).tobytes() for x in unigram.encode_words(model, words)], lambda word: unigram.long_ids(model, word).tobytes())
 
         def make(part: pa.RecordBatch) -> pa.Array:
             lost = part.column(1).is_null().to_numpy(zero_copy_only=False)
-            words = [unigram.pretokens(x) for x in binary(part.column(1)).to_pylist()]
+            words = [unigram.pretokens(x, splits=model.splits) for x in binary(part.column(1)).to_pylist()]
             known = memory.of(words)
             joined = [b"".join([known[w] for w in x]) for x in words]
             ends = np.cumsum([0] + [len(x) // 4 for x in joined]).astype(np.int32)
@@ -113,14 +114,15 @@ def count(df: DataFrame, model: unigram.Model, column: str = "text") -> DataFram
     """df with n_tokens, the number of pieces of each whole text; a null text has null.
 
     Distinct pre-tokens go into one trie, whose nodes have their forward score computed once and whose terminals hold
-    their counts; a text's count is the sum over its pre-tokens.
+    their counts; a text's count is the sum over its pre-tokens. A pre-token of over LONG bytes shares no more than its
+    first bytes with others and is walked by itself.
     """
 
     def value(model: unigram.Model):
-        memory = Memory(lambda words: unigram.count_words(model, words).tolist())
+        memory = Memory(lambda words: unigram.count_words(model, words).tolist(), lambda word: unigram.walk_long(model, word)[1])
 
         def make(part: pa.RecordBatch) -> pa.Array:
-            words = [unigram.pretokens(x) for x in binary(part.column(1)).to_pylist()]
+            words = [unigram.pretokens(x, splits=model.splits) for x in binary(part.column(1)).to_pylist()]
             known = memory.of(words)
             counts = np.array([sum([known[w] for w in x]) for x in words], dtype=np.int64)
             return pa.array(counts, mask=part.column(1).is_null().to_numpy(zero_copy_only=False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,10 @@ import numpy as np
 MARK = "▁".encode()
 #: Added to the least piece score for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
+#: A pre-token of more bytes is walked alone: in a shared trie its branch would have one word, a level for each byte.
+LONG = 64
+#: Bytes of a long pre-token that are looked up in the piece trie at once.
+WALK_BYTES = 1 << 15
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -135,8 +140,13 @@ class Model:
         self.base, self.check, self.value = base, check, value
 
 
-def pretokens(text: bytes, prefix: bool = True) -> list[bytes]:
-    """The text with spaces as marks, cut before each run of marks: every part is its marks and what follows them."""
+def pretokens(text: bytes, prefix: bool = True, splits: bool = True) -> list[bytes]:
+    """The text with spaces as marks, cut before each run of marks: every part is its marks and what follows them.
+
+    splits is the model's: false if pieces go across the cuts, so that the text stays whole.
+    """
+    if not splits:
+        return [(b" " + text if prefix else text).replace(b" ", MARK)] if text else []
     marked = (b" " if prefix and text else b"") + text
     if b"  " not in marked and marked[:1] == b" " and marked[-1:] != b" ":
         return [MARK + x for x in marked[1:].split(b" ")]
@@ -277,6 +287,79 @@ class Forward:
         return out
 
 
+def walk_long(model: Model, word: bytes) -> tuple[array, int]:
+    """The best path of one pre-token of any length: (the piece that ends at each byte, -1 for a character without a piece, and the number of its tokens).
+
+    The same sums and choices as Forward, in time and memory that are linear in the bytes: the piece trie is walked from
+    all characters of a part at once, then the best scores are pushed on from character to character. Only the pieces
+    are kept for the whole pre-token, four bytes for each of its bytes.
+    """
+    n, reach = len(word), max(model.longest, 4)
+    flat = np.frombuffer(word + bytes(reach + 1), dtype=np.uint8)
+    pieces = array("i", [-2]) * (n + 1)
+    low, limit, score = model.unknown_score, len(model.check), model.score
+    best, count = [0.0] + [-math.inf] * reach, [0] * (reach + 1)
+    for at in range(0, n, WALK_BYTES):
+        size = min(WALK_BYTES, n - at)
+        starts = np.flatnonzero((flat[at : at + size] & 0xC0) != 0x80)
+        width = np.array([1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 3, 4])[flat[at + starts] >> 4]
+        state, live = np.zeros(len(starts), np.int64), np.arange(len(starts))
+        owners, lengths, found = [], [], []
+        for k in range(model.longest):
+            byte = flat[at + starts[live] + k]
+            inside = at + starts[live] + k < n
+            to = model.base[state[live]] + byte
+            ok = inside & (to < limit) & (to > 0)
+            ok[ok] = model.check[to[ok]] == state[live][ok]
+            live = live[ok]
+            if not len(live):
+                break
+            state[live] = to[ok]
+            piece = model.value[state[live]]
+            whole = (piece >= 0) & ((flat[at + starts[live] + k + 1] & 0xC0) != 0x80)
+            owners.append(live[whole])
+            lengths.append(np.full(int(whole.sum()), k + 1))
+            found.append(piece[whole])
+        none = np.zeros(0, np.int64)
+        owners, lengths, found = (np.concatenate([none, *x]) for x in (owners, lengths, found))
+        alone = np.ones(len(starts), bool)  # characters that no piece covers by itself
+        alone[owners[lengths == width[owners]]] = False
+        lost = np.flatnonzero(alone)
+        owners, lengths, found = np.r_[owners, lost], np.r_[lengths, width[lost]], np.r_[found, np.full(len(lost), -1)]
+        order = np.argsort(owners, kind="stable")
+        gain = np.where(found >= 0, score[np.maximum(found, 0)], low)[order].tolist()
+        tokens = np.where(found >= 0, 1, lengths if model.fallback else 1)[order].tolist()
+        best += [-math.inf] * size
+        count += [0] * size
+        for a, b, piece, g, t in zip(starts[owners[order]].tolist(), (starts[owners] + lengths)[order].tolist(), found[order].tolist(), gain, tokens):
+            s = best[a] + g
+            if s > best[b]:  # starts come in order: of equal sums the longest piece stays
+                best[b], count[b], pieces[at + b] = s, count[a] + t, piece
+        best, count = best[size:], count[size:]
+    return pieces, count[0]
+
+
+def long_ids(model: Model, word: bytes) -> array:
+    """The ids of one long pre-token."""
+    pieces, n = walk_long(model, word)
+    out, end = array("i", [0]) * n, len(word)
+    while end:
+        piece = pieces[end]
+        if piece >= 0:
+            n -= 1
+            out[n] = piece
+            end -= len(model.pieces[piece])
+            continue
+        start = end - 1
+        while word[start] & 0xC0 == 0x80:
+            start -= 1
+        ids = [int(model.byte_id[x]) for x in word[start:end]] if model.fallback else [model.unknown]
+        n -= len(ids)
+        out[n : n + len(ids)] = array("i", ids)
+        end = start
+    return out
+
+
 def encode_words(model: Model, words: list[bytes]) -> list[list[int]]:
     """The ids of each distinct pre-token; a character without a piece gives its bytes, or the unknown id."""
     found = Forward(model, words, True)

@@ -331,6 +331,48 @@ def test_forward_scores(model):
     assert unigram.count_words(model, words).tolist() == [len(x) for x in unigram.encode_words(model, words)]
 
 
+def test_counts_against_slow_viterbi(model):
+    words = sorted({w for k in range(2) for w in unigram.pretokens(prose(k, 30).encode())}) + ["▁日本😀😀é".encode(), "▁".encode(), "▁aaaa".encode(), "▁thethethe".encode()]
+    score = lambda ids: sum(model.score[i] for i in ids)
+    for w, n, ids in zip(words, unigram.count_words(model, words).tolist(), unigram.encode_words(model, words)):
+        best, tokens = slow_viterbi(model, w)
+        # Where two best segmentations have as good as equal scores, their counts may differ.
+        if n != tokens:
+            assert min(ids) >= 3 and abs(score(ids) - best) < 1e-9
+    known = [w for w in words if unigram.count_words(model, [w])[0] == slow_viterbi(model, w)[1]]
+    assert len(known) >= 0.9 * len(words)
+
+
+@pytest.mark.parametrize("walk", [1 << 15, 7])
+def test_long_pretokens_like_short_ones(model, monkeypatch, walk):
+    monkeypatch.setattr(unigram, "WALK_BYTES", walk)
+    words = [prose(k, 40).replace(" ", "").encode()[:400] for k in range(6)] + ["▁日本語の文章がここにある😀ééé".encode() * 5, b"x" * 300, MARKS * 50, b"a" * 33 + "é𝄞".encode(), b"z"]
+    for w, ids in zip(words, unigram.encode_words(model, words)):
+        assert unigram.long_ids(model, w).tolist() == ids and unigram.walk_long(model, w)[1] == len(ids)
+
+
+MARKS = unigram.MARK
+
+
+def test_very_long_pretoken(model):
+    """A megabyte without a space takes seconds and a few bytes a byte."""
+    import resource
+    import time
+
+    peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss << 10
+    rng = random.Random(4)
+    word = "".join(rng.choice(["the", "ing", "data", "日本", "x9", "é"]) for _ in range(300_000)).encode()
+    began, before = time.time(), peak()
+    ids = unigram.long_ids(model, word)
+    assert time.time() - began < 30 and peak() - before < 60 * len(word) and unigram.decode(model, list(ids), False).encode() == word
+
+
+def test_model_without_splits():
+    """Pieces that go across spaces: the text is not cut."""
+    model = unigram.Model([("<unk>", 0.0, unigram.UNKNOWN), ("▁a", -1.0, 1), ("▁b", -1.0, 1), ("▁a▁b", -1.5, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("▁", -3.0, 1)])
+    assert not model.splits and unigram.encode_words(model, unigram.pretokens(b"a b a", splits=model.splits)) == [[3, 1]]
+
+
 def test_tokens_odd(odd_docs, model):
     got = tokens.decode(tokens.encode(odd_docs, model), model).collect()
     assert len(got) == odd_docs.count()
