@@ -36,6 +36,8 @@ PACK_ROWS = 20_000
 #: Positions worked on at once; a longer text is cut, with LENGTH - 1 bytes of overlap.
 PIECE = 8 << 20
 PLACE_BITS = 24
+#: Keys of texts that are broadcast at most, 16 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -387,12 +389,13 @@ def covered(docs: DataFrame) -> DataFrame:
     """
     long = docs.select("_id", "_th", "text").where(F.octet_length("text") >= LENGTH)
     whole, spare = copies(long)
-    own = segments(long)
+    spare = cut(spare)
+    own = segments(long).join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare, ["_id", "_th"], "left_anti")
     again = cut(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    places = stored(own.join(again, "bucket").join(spare, ["_id", "_th"], "left_anti"), "places")
+    places = stored(own.join(again, "bucket"), "places")
     texts = with_places(docs, places)
-    marks = cut(marks_of(pieces_of(texts), not again.where(F.col("c") > BUCKET_ROWS).isEmpty()))
-    at = cut(placed(texts))
+    marks = marks_of(pieces_of(texts), not again.where(F.col("c") > BUCKET_ROWS).isEmpty())
+    at = placed(texts)
     open_ = at.select("_id", "_th", F.explode("rest").alias("r")).select("_id", "_th", "r.*")
     found = open_.join(marks, ["i0", "i1"]).select("_id", "_th", F.transform("runs", lambda r: F.struct((F.col("p") - r.d1).alias("b"), (F.col("p") - r.d0 + LENGTH).alias("e"))).alias("spans"))
     known = at.where(F.size("known") > 0).select("_id", "_th", F.col("known").alias("spans"))
