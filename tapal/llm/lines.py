@@ -46,28 +46,35 @@ def chunks_of(text: bytes) -> list[list[bytes]]:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    """(_id, _th, at, end, h0, h1) for each unit; h0 and h1 are halves of its 128-bit hash."""
-    names = ["_id", "_th", "at", "end", "h0", "h1"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    """(_id, _th, at, end, known, h0, h1) for each unit; h0 and h1 are halves of its 128-bit hash.
+
+    known: the same bytes stand earlier among the texts that a task has at once, so the unit goes whatever else there
+    is. Only the first of them has to be compared with other tasks', so that no hash is in many rows.
+    """
+    names = ["_id", "_th", "at", "end", "known", "h0", "h1"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[list] = [[] for _ in names[:4]]
-                hashes = []
+                rows: list[tuple] = []
+                chunks: list[bytes] = []
+                first: dict[bytes, tuple] = {}
                 for i, th, text in zip(part.column("_id").to_pylist(), part.column("_th").to_pylist(), binary(part.column("text")).to_pylist()):
                     if b"\n" not in text:
                         continue
                     lines = text.split(b"\n")
-                    units = units_of(lines)
-                    hashes += [xxhash.xxh3_128_digest(b"\n".join(lines[a:b])) for a, b in units]
-                    for to, x in zip(rows, ([i] * len(units), [th] * len(units), [a for a, _ in units], [b for _, b in units])):
-                        to += x
-                halves = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
-                columns = [pa.array(x, t) for x, t in zip(rows, types)] + [pa.array(halves[:, k]) for k in range(2)]
+                    for a, b in units_of(lines):
+                        chunks.append(b"\n".join(lines[a:b]))
+                        rows.append((i, th, a, b))
+                        if (i, th, a) < first.get(chunks[-1], (i, th, a + 1)):
+                            first[chunks[-1]] = (i, th, a)
+                known = [row[:3] > first[x] for row, x in zip(rows, chunks)]
+                halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), dtype=np.int64).reshape(-1, 2)
+                columns = [pa.array(x, t) for x, t in zip([*(list(zip(*rows)) or [()] * 4), known], types)] + [pa.array(halves[:, k]) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*text_key(), F.col("text").cast("string").alias("text")).mapInArrow(each, "_id long, _th long, at int, end int, h0 long, h1 long")
+    return docs.select(*text_key(), F.col("text").cast("string").alias("text")).mapInArrow(each, "_id long, _th long, at int, end int, known boolean, h0 long, h1 long")
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -103,12 +110,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     byte comparison. The first place in order of (doc_id, text hash, place) stays.
     """
     places = cut(unit_table(docs))
-    twice = places.groupBy("h0", "h1").count().where("count > 1").select("h0", "h1")
-    again = cut(places.join(twice, ["h0", "h1"], "left_semi"))
-    # Texts of one hash are compared once each: a hash that stands for two different texts is left alone.
+    own = places.where(~F.col("known")).drop("known")
+    twice = own.groupBy("h0", "h1").count().where("count > 1").select("h0", "h1")
+    again = cut(own.join(twice, ["h0", "h1"], "left_semi"))
+    # A hash that stands for two different runs has two rows here, each with its own first place.
     texts = unit_bytes(docs, again).groupBy("h0", "h1", "chunk").agg(F.min(F.struct("_id", "_th", "at")).alias("keep"))
     first = texts.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("texts"), F.first("keep").alias("keep")).where("texts = 1")
-    gone = again.join(first, ["h0", "h1"]).where(F.struct("_id", "_th", "at") != F.col("keep"))
+    gone = again.join(first, ["h0", "h1"]).where(F.struct("_id", "_th", "at") != F.col("keep")).select("_id", "_th", "at", "end")
+    gone = gone.unionByName(places.where("known").select("_id", "_th", "at", "end"))
     return gone.groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "end")).alias("gone"))
 
 
