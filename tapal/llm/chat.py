@@ -9,6 +9,10 @@ from tapal.llm.common import cut
 
 #: Turns whose running hash one task adds up; a longer conversation is several blocks.
 BLOCK_TURNS = 1024
+#: Turn numbers that a piece of a rendered conversation spans.
+PART_TURNS = 256
+#: What opens a mark of the chat format, and what stands for it in texts and roles, so that no text forges a turn.
+MARK, PLAIN = "<|", "< |"
 #: Two independent 64-bit sums stand for a prefix.
 SEEDS = (0x51ED270B, 0x2545F491)
 
@@ -49,28 +53,39 @@ def collapse(conversations: DataFrame) -> DataFrame:
     last = prefixes.join(ends, "conv_id")
     whole = cut(last.where("turn = last_turn").select("conv_id", "last_turn", "n", "p0", "p1"))
     inner = last.where("turn < last_turn").select("p0", "p1").distinct()
-    first = whole.groupBy("p0", "p1").agg(F.min("conv_id").alias("first"))
-    maximal = whole.join(inner, ["p0", "p1"], "left_anti").join(first, ["p0", "p1"]).where("conv_id = first").select("conv_id", F.lit(True).alias("kept"))
+    # Equal conversations become one before they meet the prefixes, so that no key is in many rows.
+    maximal = whole.groupBy("p0", "p1").agg(F.min("conv_id").alias("conv_id")).join(inner, ["p0", "p1"], "left_anti").select("conv_id", F.lit(True).alias("kept"))
     return whole.join(maximal, "conv_id", "left").select("conv_id", F.col("n").alias("n_turns"), "last_turn", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def rendered(conversations: DataFrame, kept: DataFrame) -> DataFrame:
-    """(conv_id, turn, rendered) for the turns of the kept conversations, one piece of chat markup a turn.
+    """(conv_id, turn, role, text, rendered) for the turns of the kept conversations, one piece of chat markup a turn.
 
-    The pieces of a conversation, in order of turn, role and text, are its training text; they stay apart, so that
-    none has to fit in one row. A null role is user, a null text empty.
+    A null role is user, a null text empty; MARK in either becomes PLAIN. Repeated rows of a turn count once.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("turn is not null").distinct()
     own = turns.join(kept.where("kept").select("conv_id"), "conv_id", "left_semi")
-    piece = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
-    return own.select("conv_id", "turn", piece.alias("rendered"))
+    safe = lambda c, other: F.replace(F.coalesce(c, F.lit(other)), F.lit(MARK), F.lit(PLAIN))
+    piece = F.concat(F.lit("<|im_start|>"), safe("role", "user"), F.lit("\n"), safe("text", ""), F.lit("<|im_end|>\n"))
+    return own.select("conv_id", "turn", "role", "text", piece.alias("rendered"))
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """(conv_id, part, rendered): whole conversations, in pieces of PART_TURNS turn numbers that follow each other.
+
+    Turns are in order of turn, then of role and text. A conversation of fewer turns is one row; a longer one is its
+    rows in order of part, so that none has to fit in one row.
+    """
+    part = F.floor(F.col("turn") / PART_TURNS).alias("part")
+    own = pieces.groupBy("conv_id", part).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("turns"))
+    return own.select("conv_id", "part", F.array_join(F.transform("turns", lambda t: t["rendered"]), "").alias("rendered"))
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
-    """Every turn of every maximal conversation, rendered."""
+    """Every maximal conversation, rendered."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     kept = collapse(conversations)
-    return rendered(conversations, kept).join(kept.select("conv_id", "n_turns"), "conv_id").select("conv_id", "turn", "n_turns", "rendered")
+    return joined(rendered(conversations, kept)).join(kept.select("conv_id", "n_turns"), "conv_id").select("conv_id", "part", "n_turns", "rendered")
 
 
 OP9_SQL = """
@@ -81,6 +96,6 @@ e AS (SELECT conv_id, max(turn) AS last_turn, count(*) AS n_turns FROM t GROUP B
 w AS (SELECT DISTINCT p.conv_id, e.n_turns, p.pre FROM p JOIN e ON p.conv_id = e.conv_id AND p.turn = e.last_turn),
 i AS (SELECT DISTINCT p.pre FROM p JOIN e ON p.conv_id = e.conv_id AND p.turn < e.last_turn),
 k AS (SELECT min(conv_id) AS conv_id, n_turns FROM w WHERE pre NOT IN (SELECT pre FROM i) GROUP BY pre, n_turns)
-SELECT t.conv_id, t.turn, k.n_turns, '<|im_start|>' || coalesce(t.role, 'user') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10) AS rendered
-FROM t JOIN k ON t.conv_id = k.conv_id
+SELECT t.conv_id, CAST(floor(t.turn / 256) AS BIGINT) AS part, k.n_turns, string_agg('<|im_start|>' || replace(coalesce(t.role, 'user'), '<|', '< |') || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY t.turn, t.role NULLS FIRST, t.text NULLS FIRST) AS rendered
+FROM t JOIN k ON t.conv_id = k.conv_id GROUP BY ALL
 """
