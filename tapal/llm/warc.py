@@ -41,6 +41,8 @@ def unchunked(framed: bytes) -> bytes:
     while True:
         end = framed.index(b"\r\n", at)
         n = int(framed[at:end].split(b";")[0], 16)
+        if n < 0:
+            raise ValueError("a chunk has no size")
         at = end + 2
         if n == 0:
             return b"".join(out)
@@ -55,23 +57,25 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records_of(page_id: int, url: str, payload: bytes, kind: str, refers_to: int | None, digest: str, row: int = 0) -> list[bytes]:
-    """The records of one page: a revisit without payload, or a response in as many segments as it needs.
+def record_id(page_id: int | None, row: int) -> str:
+    """A record's id: the page's and a number of its row, as page ids may be null or come again."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{row}>"
 
-    row tells the segments of repeated rows apart, whose record ids are equal.
-    """
-    own = f"<urn:page:{page_id}>"
+
+def records_of(page_id: int | None, row: int, url: str, payload: bytes, kind: str, refers_to: tuple | None, digest: str) -> list[bytes]:
+    """The records of one page: a revisit without payload, or a response in as many segments as it needs."""
+    own = record_id(page_id, row)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if kind == "revisit":
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), profile, *common], HEAD)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id(*refers_to)), profile, *common], HEAD)]
     block = HEAD + chunked(payload)
     parts = [block[a : a + SEGMENT_BYTES] for a in range(0, len(block), SEGMENT_BYTES)]
     out = []
     for k, part in enumerate(parts, 1):
-        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", own if k == 1 else f"<urn:page:{page_id}:{k}>")]
+        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", own if k == 1 else f"{own[:-1]}:{k}>")]
         if len(parts) > 1:
-            fields += [("WARC-Segment-Number", str(k)), ("X-Row", str(row))]
+            fields.append(("WARC-Segment-Number", str(k)))
         if k > 1:
             fields.append(("WARC-Segment-Origin-ID", own))
         if 1 < k == len(parts):
@@ -102,16 +106,18 @@ def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], by
 
 
 def with_kinds(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, sha1, record_type, refers_to) for each row of pages.
+    """(page_id, row, url, payload, sha1, record_type, first_id, first_row) for each row of pages, row a number of its own.
 
     Of rows with equal payloads of least_bytes or more the smallest page_id is the response, the others revisit it.
+    Payloads are equal if their SHA-1, their SHA-256 and their size are.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("sha1", F.sha1("payload"))
-    first = own.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")).groupBy("sha1", "n").agg(F.min("page_id").alias("first"))
-    both = own.join(first.drop("n"), "sha1")
-    again = (F.octet_length("payload") >= least_bytes) & (F.col("page_id") > F.col("first"))
-    return both.select("page_id", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    same = [F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha2"), F.octet_length("payload").alias("n")]
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first")
+    first = own.select("page_id", "row", *same).groupBy("sha1", "sha2", "n").agg(least)
+    both = own.select("*", *same).join(first, ["sha1", "sha2", "n"])
+    again = (F.col("n") >= least_bytes) & (F.col("page_id") > F.col("first.page_id"))
+    return both.select("page_id", "row", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("first_id"), F.when(again, F.col("first.row")).alias("first_row"))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -119,13 +125,13 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Spark's text writer takes each record as a line: a record ends with a line feed anyway, which the writer adds.
     """
+    needed = ("page_id", "row", "url", "payload", "record_type", "first_id", "first_row")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "record_type", "refers_to", "row")]
             held, size = [], 0
-            for page_id, url, payload, kind, refers_to, row in zip(*columns):
-                for x in records_of(-1 if page_id is None else page_id, url, payload, kind, refers_to, sha1_base32(payload), row):
+            for page_id, row, url, payload, kind, first_id, first_row in zip(*(batch.column(c).to_pylist() for c in needed)):
+                for x in records_of(page_id, row, url, payload, kind, (first_id, first_row), sha1_base32(payload)):
                     held.append(x[:-1])
                     size += len(x)
                 if size > SLICE_BYTES:
@@ -133,25 +139,30 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
 
-    records = with_kinds(pages, least_bytes).withColumn("row", F.monotonically_increasing_id()).mapInArrow(each, "record binary")
+    records = with_kinds(pages, least_bytes).mapInArrow(each, "record binary")
     lines = records.select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def scan(spark, path: str) -> DataFrame:
-    """(record_id, kind, origin, row, segment, total, refers_to, digest, payload_bytes, block, segmented) for each record of the archives; segmented if it has a segment number."""
-    names = ["record_id", "kind", "origin", "row", "segment", "total", "refers_to", "digest", "payload_bytes", "block", "segmented"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
+    """(record_id, kind, origin, segment, total, refers_to, digest, payload_bytes, block, segmented) for each record of the archives; segmented if it has a segment number.
+
+    Files are gzipped or plain and are read whole, one at a time in a task.
+    """
+    names = ["record_id", "kind", "origin", "segment", "total", "refers_to", "digest", "payload_bytes", "block", "segmented"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
     number = lambda x: int(x) if x is not None else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 held, size = [], 0
-                for f, block in read_records(gzip.open(io.BytesIO(content.as_py()))):
+                raw = io.BytesIO(content.as_py())
+                zipped = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
+                for f, block in read_records(gzip.open(raw) if zipped else raw):
                     own = f["warc-record-id"]
-                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-                    held.append((own, f["warc-type"], f.get("warc-segment-origin-id", own), f.get("x-row"), int(f.get("warc-segment-number", 1)), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), digest, number(f.get("x-payload-length")), block, "warc-segment-number" in f))
+                    held.append((own, f["warc-type"], f.get("warc-segment-origin-id", own), int(f.get("warc-segment-number", 1)), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), f.get("warc-payload-digest", ""), number(f.get("x-payload-length")), block, "warc-segment-number" in f))
                     size += len(block)
                     if size > SLICE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
@@ -159,72 +170,76 @@ def scan(spark, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(each, "record_id string, kind string, origin string, row string, segment int, total long, refers_to string, digest string, payload_bytes long, block binary, segmented boolean")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
+    return files.mapInArrow(each, "record_id string, kind string, origin string, segment int, total long, refers_to string, digest string, payload_bytes long, block binary, segmented boolean")
 
 
-def payload_of(parts: list[tuple[int, int | None, bytes]]) -> bytes:
+def payload_of(parts: list[tuple[int, int | None, bytes]], segmented: bool = False) -> bytes:
     """The payload of a record from its segments (number, total, block); ValueError if one is missing or the total length is not met."""
     parts = sorted(parts, key=lambda x: x[0])
     if [k for k, *_ in parts] != list(range(1, len(parts) + 1)):
         raise ValueError("segments are missing or repeated")
     block = b"".join(x for *_, x in parts)
-    if len(parts) > 1 and parts[-1][1] != len(block):
+    if (segmented or len(parts) > 1) and parts[-1][1] != len(block):
         raise ValueError("segments do not add up to the total length")
+    if not block.startswith(b"HTTP/"):
+        return block
     head, _, body = block.partition(b"\r\n\r\n")
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """(record_id, kind, refers_to, digest, payload_bytes, payload, complete) for each record that is no continuation.
+    """(record_id, kind, refers_to, digest, payload_bytes, payload, complete) for each record that is no continuation, and for continuations without one.
 
-    Segments meet by their origin's id. A record without continuations is decoded where it is read, so that only
-    segmented ones are sent. complete is false, and payload null, if segments are missing or lengths do not agree.
+    Segments meet by their origin's id. A record without a segment number is decoded where it is read, so that only
+    segmented ones are sent. complete is false, and payload null, if segments are missing or come twice, if the total
+    length, the declared length of the payload or its SHA-1 do not agree, or if the framing is broken. Continuations
+    whose first segment is nowhere give one row with their origin's id, of kind continuation.
     """
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _decoded(batch, [[(1, None, b)] for b in batch.column("block").to_pylist()])
+            yield _decoded(batch, [[(1, None, b)] for b in batch.column("block").to_pylist()], False)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _decoded(batch, [[(p["segment"], p["total"], p["block"]) for p in x] for x in batch.column("parts").to_pylist()])
+            yield _decoded(batch, [[(p["segment"], p["total"], p["block"]) for p in x] for x in batch.column("parts").to_pylist()], True)
 
     schema = "record_id string, kind string, refers_to string, digest string, payload_bytes long, payload binary, complete boolean"
-    alone = (F.col("kind") != "continuation") & ~F.col("segmented")
     own = records.withColumn("segmented", (F.col("kind") == "continuation") | F.col("segmented"))
     head = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c)
-    groups = own.where("segmented").groupBy("origin", "row").agg(
-        head("record_id"), head("kind"), head("refers_to"), head("digest"), head("payload_bytes"), F.collect_list(F.struct("segment", "total", "block")).alias("parts")
-    ).where("record_id is not null").drop("origin", "row")
-    plain = own.where(alone).select("record_id", "kind", "refers_to", "digest", "payload_bytes", "block")
-    return plain.mapInArrow(single, schema).unionByName(groups.select("record_id", "kind", "refers_to", "digest", "payload_bytes", "parts").mapInArrow(joined, schema))
+    groups = own.where("segmented").groupBy("origin").agg(
+        head("kind"), head("refers_to"), head("digest"), head("payload_bytes"), F.collect_list(F.struct("segment", "total", "block")).alias("parts")
+    )
+    groups = groups.select(F.col("origin").alias("record_id"), F.coalesce("kind", F.lit("continuation")).alias("kind"), "refers_to", "digest", "payload_bytes", "parts")
+    plain = own.where("not segmented").select("record_id", "kind", "refers_to", "digest", "payload_bytes", "block")
+    return plain.mapInArrow(single, schema).unionByName(groups.mapInArrow(joined, schema))
 
 
-def _decoded(batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
+def _decoded(batch: pa.RecordBatch, parts: list, segmented: bool) -> pa.RecordBatch:
+    names = ["record_id", "kind", "refers_to", "digest", "payload_bytes"]
     payloads: list[bytes | None] = []
-    kinds, digests = batch.column("kind").to_pylist(), batch.column("digest").to_pylist()
-    for kind, digest, x in zip(kinds, digests, parts):
+    for kind, digest, size, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "digest", "payload_bytes")), parts):
         try:
-            payload = b"" if kind == "revisit" else payload_of(x)
-            if kind == "response" and digest and sha1_base32(payload) != digest:
+            payload = b"" if kind == "revisit" else payload_of(x, segmented)
+            declared = digest.removeprefix("sha1:") if digest and digest.startswith("sha1:") else None
+            if kind == "response" and (declared and sha1_base32(payload) != declared.upper() or size is not None and size != len(payload)):
                 payload = None
         except ValueError:
             payload = None
         payloads.append(payload)
-    names = ["record_id", "kind", "refers_to", "digest", "payload_bytes"]
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(payloads, pa.binary()), pa.array([p is not None for p in payloads])], names=[*names, "payload", "complete"])
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """Archives of all pages, written to the shared folder, read back: one row for each page.
 
-    A null html is an empty payload, a null page_id is written as -1 and comes back null; repeated rows give a record each.
+    A null html is an empty payload, a null page_id comes back null; repeated rows give a record each.
     """
     small_batches(spark)
     path = f"{shared_dir(spark)}/tapal-warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     found = reassembled(scan(spark, path))
-    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?\\d+)>$", 1).cast("long")
+    number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(-?[0-9]+):[0-9]+>$', 1), '') as bigint)")
     size = F.when(F.col("kind") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return found.select(F.nullif(number("record_id"), F.lit(-1)).alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"), "complete")
+    return found.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"), "complete")

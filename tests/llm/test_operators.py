@@ -395,13 +395,15 @@ def test_warc_round_trip(spark, monkeypatch):
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as row", "2 as sha1"), path)
     got = warc.reassembled(warc.scan(spark, path)).collect()
     assert len(got) == len(rows) and all(r.complete for r in got)
-    kinds = sorted(((r.record_id, r.kind, r.refers_to, r.payload_bytes) for r in got), key=str)
+    short = lambda x: x and re.sub(":[0-9]+>$", ">", x)
+    kinds = sorted(((short(r.record_id), r.kind, short(r.refers_to), r.payload_bytes) for r in got), key=str)
+    assert len({r.record_id for r in got}) == len(rows) and {r.refers_to for r in got} - {None} <= {r.record_id for r in got}
     size = len(big.encode())
-    own = lambda i: f"<urn:page:{i}>"
-    assert kinds == sorted([(own(1), "response", None, 8), (own(2), "revisit", own(1), 8), (own(3), "response", None, 0), (own(4), "revisit", own(3), 0), (own(5), "response", None, size), (own(5), "response", None, size + 1), (own(5), "response", None, size + 1), (own(6), "revisit", own(5), size), (own(7), "response", None, 17), (own(-1), "response", None, 1)], key=str)
+    own = lambda i: f"<urn:page:{'null' if i is None else i}>"
+    assert kinds == sorted([(own(1), "response", None, 8), (own(2), "revisit", own(1), 8), (own(3), "response", None, 0), (own(4), "revisit", own(3), 0), (own(5), "response", None, size), (own(5), "response", None, size + 1), (own(5), "response", None, size + 1), (own(6), "revisit", own(5), size), (own(7), "response", None, 17), (own(None), "response", None, 1)], key=str)
     payloads = collections.Counter(bytes(r.payload) for r in got if r.kind == "response")
     assert payloads == collections.Counter([b"<p>a</p>", b"", big.encode(), (big + "x").encode(), (big + "x").encode(), b"WARC/1.1\r\n\r\n0\r\n\r\n", b"q"])
-    assert {(r.record_id, r.refers_to) for r in got if r.kind == "revisit"} == {(own(2), own(1)), (own(4), own(3)), (own(6), own(5))}
+    assert {(short(r.record_id), short(r.refers_to)) for r in got if r.kind == "revisit"} == {(own(2), own(1)), (own(4), own(3)), (own(6), own(5))}
 
 
 def test_warc_missing_segment():

@@ -1,24 +1,61 @@
+"""Archives that the writer here would not make: small segments, lost and repeated ones, other kinds of records."""
+
+import gzip
+import os
 import tempfile
 
+import pytest
+
 from tapal.llm import warc
 
 
-def test_small_segments(spark, monkeypatch):
-    """Records in segments far below 64 KB are put together, as the segment number says."""
-    path = f"{tempfile.mkdtemp()}/archive"
-    pages = spark.createDataFrame([(1, "u", "abc" * 100), (2, "v", "short")], "page_id long, url string, html string").selectExpr("*")
-    kinds = warc.with_kinds(pages).collect()
-    records = []
-    with monkeypatch.context() as m:
-        m.setattr(warc, "SEGMENT_BYTES", 128)
-        for k, r in enumerate(kinds):
-            records += list(warc.records_of(r.page_id, r.url, bytes(r.payload), r.record_type, r.refers_to, warc.sha1_base32(bytes(r.payload)), k))
-    assert len(records) > 3
-    import gzip
-    import os
-
-    os.makedirs(path)
-    with gzip.open(f"{path}/a.warc.gz", "wb") as f:
+def archive(records: list[bytes], zipped: bool = True) -> str:
+    path = tempfile.mkdtemp()
+    with (gzip.open if zipped else open)(f"{path}/a.warc{'.gz' if zipped else ''}", "wb") as f:
         f.write(b"".join(records))
-    got = {r.record_id: (r.complete, bytes(r.payload)) for r in warc.reassembled(warc.scan(spark, path)).collect()}
-    assert got == {"<urn:page:1>": (True, b"abc" * 100), "<urn:page:2>": (True, b"short")}
+    return path
+
+
+def read(spark, records, zipped=True):
+    return {r.record_id: (r.kind, r.complete, None if r.payload is None else bytes(r.payload)) for r in warc.reassembled(warc.scan(spark, archive(records, zipped))).collect()}
+
+
+def segments(page_id, payload, size, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(warc, "SEGMENT_BYTES", size)
+        return warc.records_of(page_id, 0, "u", payload, "response", None, warc.sha1_base32(payload))
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_small_segments(spark, monkeypatch, zipped):
+    """Records in segments far below 64 KB are put together, as the segment number says, in any order."""
+    one, two = segments(1, b"abc" * 100, 128, monkeypatch), segments(2, b"short", 128, monkeypatch)
+    assert len(one) > 3
+    got = read(spark, [*one[::-1], *two], zipped)
+    assert got == {"<urn:page:1:0>": ("response", True, b"abc" * 100), "<urn:page:2:0>": ("response", True, b"short")}
+
+
+def test_lost_segments(spark, monkeypatch):
+    """Each lost or repeated segment makes its record incomplete; none vanishes."""
+    parts = [segments(k, bytes([65 + k]) * 300, 128, monkeypatch) for k in range(5)]
+    got = read(spark, [*parts[0][1:], *parts[1][:1], *parts[2][:-1], *parts[3], parts[3][1], *parts[4]])
+    own = lambda k: f"<urn:page:{k}:0>"
+    assert got == {own(0): ("continuation", False, None), own(1): ("response", False, None), own(2): ("response", False, None), own(3): ("response", False, None), own(4): ("response", True, b"E" * 300)}
+
+
+def test_declared_lengths_and_kinds(spark):
+    """A wrong total or digest is told; blocks that are not HTTP are payloads themselves; other digests are not checked."""
+    make = lambda kind, name, block, *more: warc.record([("WARC-Type", kind), ("WARC-Record-ID", name), *more], block)
+    cut = [make("response", "<a>", b"HTTP/1.1 200 OK\r\n\r\nhel", ("WARC-Segment-Number", "1")), make("continuation", "<a2>", b"lo", ("WARC-Segment-Number", "2"), ("WARC-Segment-Origin-ID", "<a>"), ("WARC-Segment-Total-Length", "99"))]
+    whole = [make("response", "<b>", b"HTTP/1.1 200 OK\r\n\r\nhel", ("WARC-Segment-Number", "1")), make("continuation", "<b2>", b"lo", ("WARC-Segment-Number", "2"), ("WARC-Segment-Origin-ID", "<b>"), ("WARC-Segment-Total-Length", "24"))]
+    others = [make("warcinfo", "<c>", b"a: b\r\n\r\nc"), make("response", "<d>", b"HTTP/1.1 200 OK\r\n\r\nx", ("WARC-Payload-Digest", "sha256:abc")), make("response", "<e>", b"HTTP/1.1 200 OK\r\n\r\nx", ("WARC-Payload-Digest", "sha1:WRONG"))]
+    others.append(make("response", "<f>", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n-1\r\n\r\n"))
+    got = read(spark, [*cut, *whole, *others])
+    assert got == {"<a>": ("response", False, None), "<b>": ("response", True, b"hello"), "<c>": ("warcinfo", True, b"a: b\r\n\r\nc"), "<d>": ("response", True, b"x"), "<e>": ("response", False, None), "<f>": ("response", False, None)}
+
+
+def test_empty_table(spark):
+    path = f"{tempfile.mkdtemp()}/none"
+    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    os.makedirs(path, exist_ok=True)
+    assert warc.reassembled(warc.scan(spark, path)).count() == 0
