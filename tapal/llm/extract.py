@@ -1,4 +1,9 @@
-"""HTML main-text extraction by minimum cut: block costs are terminal capacities, neighbours are joined by smoothness edges."""
+"""HTML main-text extraction by minimum cut: block costs are terminal capacities, neighbours are joined by smoothness edges.
+
+A block's cost is the log odds of two parts: where it stands (elements and names around it, fixed weights) and what its
+text is like (length, links, sentence ends). The weights of the second part are fitted by logistic regression on blocks
+of a bounded sample of pages whose elements leave no doubt.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +13,12 @@ from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapal.llm.common import binary, small_batches
+from tapal.llm.common import binary, slices, small_batches
 
 #: Elements without text of their own.
 SILENT = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "select", "textarea", "button", "option", "datalist", "canvas", "audio", "video"}
@@ -25,29 +31,57 @@ CLOSES |= {x: ({"option"}, {"select"}) for x in ("option",)}
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title", "head"}
 NO_BLOCKS = {"button", "select", "option", "datalist"}
 
-#: The classifier's fixed weights: log odds of content. By element that the block is in, at any depth:
+#: The fixed weights of where a block stands, as log odds of content. By element that the block is in, at any depth:
 ELEMENT = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "header": -4.0, "aside": -6.0, "form": -6.0, "menu": -5.0, "dialog": -5.0, "address": -1.0, "fieldset": -4.0}
 #: By element of the block itself:
 OWN = {"p": 1.0, "h1": 1.0, "h2": 1.0, "h3": 1.0, "h4": 0.8, "blockquote": 0.8, "pre": 0.8, "li": -0.2, "td": 0.0, "dd": 0.2, "figcaption": 0.5}
 #: By names in class, id or role of the block or an element around it:
 BAD = re.compile(r"(?<![a-z])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|comments?|comment-?list|replies|reply|disqus|respond|related|recommended|more-?stories|pagination|pager|tags|search|copyright|legal|disclaimer|contentinfo|complementary|skip)(?![a-z])")
 GOOD = re.compile(r"(?<![a-z])(?:article|post|entry|content|main|story|body|text)(?![a-z])")
-BAD_NAME, GOOD_NAME = -6.0, 1.5
-#: Links: weight of the share of a block's characters inside links, and bias, length and stop weights.
-LINKS, BIAS, LENGTH, STOP = -3.5, -1.0, 0.35, 0.6
-#: Smoothness: between neighbours in page order, and between blocks of one parent.
-ADJACENT, SIBLING = 0.4, 0.8
-SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+BAD_NAME, GOOD_NAME = -7.0, 1.5
+#: An element of this weight or less is not helped by the elements around it: an advert in an article is an advert.
+ALONE = -3.5
+#: What a block's text is like: bias, log of its words, share of characters inside links, end of a sentence. These
+#: weights hold where a sample has too few blocks of either kind; fitted ones stay near them (RIDGE), and their odds
+#: within TEXT_ODDS, so that clear elements and names decide.
+TEXT_WEIGHTS = (-1.0, 0.35, -3.5, 0.6)
+RIDGE, TEXT_ODDS = 20.0, 3.0
+#: The sample that the weights are fitted on: pages, those with the least hashes, and blocks of each at most.
+SAMPLE_PAGES, SAMPLE_BLOCKS, LEAST_BLOCKS = 2000, 64, 200
+#: Elements that leave no doubt about the blocks inside them.
+CLEAR_CONTENT, CLEAR_OTHER = {"article", "main"}, {"nav", "footer", "aside", "form", "menu"}
+#: Smoothness: between neighbours in page order, and by proximity in the tree, halved with every two steps between them.
+ADJACENT, PROXIMITY = 0.4, 1.6
+
+
+class Node:
+    """An element's place in the tree."""
+
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Node | None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+
+
+def tree_distance(a: Node, b: Node) -> int:
+    """The number of steps between two elements."""
+    steps = 0
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        a = a.parent
+        steps += 1
+    return steps
 
 
 class Block:
-    __slots__ = ("parts", "linked", "size", "path", "score", "parent")
+    __slots__ = ("parts", "linked", "size", "score", "node", "label")
 
-    def __init__(self, path: tuple, score: float, parent: int):
-        self.parts, self.linked, self.size, self.path, self.score, self.parent = [], 0, 0, path, score, parent
+    def __init__(self, score: float, node: Node, label: int | None):
+        self.parts, self.linked, self.size, self.score, self.node, self.label = [], 0, 0, score, node, label
 
     def text(self) -> str:
-        return SPACE.sub(" ", "".join(self.parts)).strip()
+        return " ".join("".join(self.parts).split())
 
 
 class Page(HTMLParser):
@@ -55,9 +89,9 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, float]] = []  # element, its number, score of all elements from the top
+        self.stack: list[tuple[str, Node, float]] = []  # element, its place, score of all elements from the top
         self.counts: dict[str, int] = {}
-        self.number, self.silent, self.links = 0, 0, 0
+        self.root, self.silent, self.links = Node(None), 0, 0
         self.blocks: list[Block] = []
         self.open: Block | None = None
 
@@ -100,9 +134,9 @@ class Page(HTMLParser):
                 self._close({"p"}, {"table", "td", "th", "article", "section", "aside", "nav", "div", "body"})
             if tag in CLOSES:
                 self._close(*CLOSES[tag])
-        self.number += 1
-        above = self.stack[-1][2] if self.stack else 0.0
-        self.stack.append((tag, self.number, above + self.weight(tag, attrs)))
+        _, node, above = self.stack[-1] if self.stack else ("", self.root, 0.0)
+        own = self.weight(tag, attrs)
+        self.stack.append((tag, Node(node), (min(above, 0.0) if own <= ALONE else above) + own))
         self.counts[tag] = self.counts.get(tag, 0) + 1
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -158,10 +192,10 @@ class Page(HTMLParser):
         if self.open is None:
             if not data.strip():
                 return
-            own = next((x for x in reversed(self.stack) if x[0] in BLOCK), ("", 0, 0.0))
-            at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in BLOCK), -1)
-            parent = self.stack[at - 1][1] if at > 0 else 0
-            self.open = Block((own[0],), (self.stack[-1][2] if self.stack else 0.0) + OWN.get(own[0], 0.0), parent)
+            tag, node, _ = next((x for x in reversed(self.stack) if x[0] in BLOCK), ("", self.root, 0.0))
+            inside = lambda tags: any(self.counts.get(x) for x in tags)
+            label = 0 if inside(CLEAR_OTHER) else 1 if inside(CLEAR_CONTENT) else None
+            self.open = Block((self.stack[-1][2] if self.stack else 0.0) + OWN.get(tag, 0.0), node, label)
             self.blocks.append(self.open)
         self.open.parts.append(data)
         n = len(data.strip())
@@ -169,11 +203,15 @@ class Page(HTMLParser):
         self.open.linked += n if self.links else 0
 
 
-def odds(block: Block, text: str) -> float:
+def likeness(block: Block, text: str) -> tuple[float, ...]:
+    """What the text is like, in the order of TEXT_WEIGHTS."""
+    return 1.0, math.log1p(text.count(" ") + 1), block.linked / max(1, block.size), float(text[-1:] in ".!?…\"”»。！？")
+
+
+def odds(block: Block, text: str, weights: tuple[float, ...]) -> float:
     """The classifier's log odds that the block is content."""
-    words = text.count(" ") + 1
-    share = block.linked / max(1, block.size)
-    return BIAS + block.score + LINKS * share + LENGTH * math.log1p(words) + (STOP if text[-1:] in ".!?…\"”»" else 0.0)
+    like = sum(w * x for w, x in zip(weights, likeness(block, text)))
+    return block.score + max(-TEXT_ODDS, min(TEXT_ODDS, like))
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -244,40 +282,88 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 at[v] += 1
 
 
-def main_text(html: str) -> str:
-    """The main text of a page: its content blocks in page order, one line each."""
+def parsed(html: str) -> list[tuple[Block, str]]:
+    """The blocks of a page that have text, with it."""
     page = Page()
     page.feed(html)
     page.close()
-    blocks = [(b, text) for b in page.blocks if (text := b.text())]
-    if not blocks:
-        return ""
-    costs = [odds(b, text) for b, text in blocks]
-    edges = [(i, i + 1, ADJACENT) for i in range(len(blocks) - 1)]
-    seen: dict[int, int] = {}
+    return [(b, text) for b in page.blocks if (text := b.text())]
+
+
+def main_text(html: str, weights: tuple[float, ...] = TEXT_WEIGHTS) -> str:
+    """The main text of a page: its content blocks in page order, one line each."""
+    blocks = parsed(html)
+    costs = [odds(b, text, weights) for b, text in blocks]
+    edges: list[tuple[int, int, float]] = []
+    last: dict[Node | None, int] = {}
     for i, (b, _) in enumerate(blocks):
-        if b.parent in seen:
-            edges.append((seen[b.parent], i, SIBLING))
-        seen[b.parent] = i
+        near = i - 1 if i else None
+        sibling = last.get(b.node.parent)
+        if near is not None:
+            edges.append((near, i, ADJACENT + PROXIMITY * 0.5 ** (tree_distance(blocks[near][0].node, b.node) / 2)))
+        if sibling is not None and sibling != near:
+            edges.append((sibling, i, PROXIMITY / 2))
+        last[b.node.parent] = i
     content = minimum_cut([max(c, 0.0) for c in costs], [max(-c, 0.0) for c in costs], edges)
     return "\n".join(text for (_, text), good in zip(blocks, content) if good)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of pages.
+def fitted(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = TEXT_WEIGHTS) -> tuple[float, ...]:
+    """Weights of a logistic regression by Newton's method, both kinds counting alike, drawn to the prior by RIDGE; the prior itself if either kind has under LEAST_BLOCKS blocks."""
+    counts = np.bincount(y, minlength=2)
+    if counts.min() < LEAST_BLOCKS:
+        return tuple(prior)
+    own, start = np.array(prior), np.array(prior)
+    each = (LEAST_BLOCKS / counts)[y]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ own, -30, 30)))
+        slope = x.T @ (each * (y - p)) - RIDGE * (own - start)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(own)), slope)
+        own = own + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(w) for w in own)
+
 
-    A null or empty html gives an empty text. Pages are independent, so repeated rows give equal rows; other columns
-    are not looked at. Broken markup is read as far as it goes.
+def fit(pages: DataFrame) -> tuple[float, ...]:
+    """The text weights, fitted on SAMPLE_BLOCKS blocks each of the SAMPLE_PAGES pages with the least hashes of url and page_id.
+
+    Only features of that sample come to the driver.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [main_text(x.decode()) for x in binary(part.column(2)).to_pylist()]
+            rows = []
+            for html in binary(batch.column(0)).to_pylist():
+                own = [(*likeness(b, text), b.label) for b, text in parsed(html.decode()) if b.label is not None]
+                rows += own[:: -(-len(own) // SAMPLE_BLOCKS) or 1]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns[:4]] + [pa.array(columns[4], pa.int64())], names=["a", "b", "c", "d", "label"])
+
+    own = pages.select(F.xxhash64("url", "page_id").alias("h"), F.col("html").cast("string").alias("html"))
+    least = own.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).head()[0]
+    if least is None:
+        return TEXT_WEIGHTS
+    sample = own.where(F.col("h") <= least).limit(2 * SAMPLE_PAGES).select("html")
+    rows = sample.mapInArrow(each, "a double, b double, c double, d double, label long").orderBy("a", "b", "c", "d", "label").toPandas()
+    return fitted(rows[["a", "b", "c", "d"]].to_numpy(), rows["label"].to_numpy(dtype=np.int64))
+
+
+def extract(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) for each row of pages; weights are fitted on them if none are given.
+
+    A null or empty html gives an empty text. Pages are independent but for the weights, so repeated rows give equal
+    rows; other columns are not looked at. Broken markup is read as far as it goes.
+    """
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    weights = fit(own) if weights is None else weights
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                texts = [main_text(x.decode(), weights) for x in binary(part.column(2)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInArrow(each, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
