@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from tapal.llm import chat, decontaminate, extract, lines, quality, simhash, substrings, tokens, warc
-
-
-def _pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+from tapal.llm import chat, decontaminate, extract, lines, pipeline, quality, simhash, substrings, tokens, warc
 
 
 def queries() -> dict:
     return {
-        "pipeline": _pipeline,
+        "pipeline": pipeline.run,
         "op1_sentencepiece": tokens.op1_sentencepiece,
         "op2_warc": warc.op2_warc,
         "op3_quality": quality.op3_quality,

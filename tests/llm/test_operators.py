@@ -7,8 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-import corpus_pipeline
-from tapal.llm import chat, decontaminate, extract, lines, quality, simhash, substrings, tokens, unigram, warc
+from tapal.llm import chat, decontaminate, extract, lines, pipeline, quality, simhash, substrings, tokens, unigram, warc
 from tests.llm.conftest import prose
 
 
@@ -475,7 +474,7 @@ def test_chat_marks_in_texts(spark):
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
 def test_stages_take_odd_and_empty_tables(spark, odd_docs, tmp_path, name, stage):
     spark.createDataFrame([(1, prose(4, 30)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (odd_docs, odd_docs.limit(0)):
