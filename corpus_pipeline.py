@@ -1,59 +1,5 @@
-"""A corpus pipeline of five stages over documents; part of the subpackage tapal.llm."""
+"""The corpus pipeline, whose stages are in tapal.llm.pipeline."""
 
-from __future__ import annotations
+from tapal.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tapal.llm import decontaminate, lines, quality, simhash, tokens
-from tapal.llm.common import small_batches, stored
-
-#: The near-duplicate stage looks at five words at a time.
-SHINGLE = 5
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.rejected_removed(docs)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return lines.deduplicated(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest doc_id stays; rows with a null doc_id and other text are never dropped."""
-    small_batches(spark)
-    return simhash.representatives(docs, SHINGLE)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    model = tokens.load()
-    both = tokens.decode(tokens.encode(docs.select("doc_id", "text"), model), model)
-    return both.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("sentencepiece", sentencepiece),
-]
-#: The stages hash, walk and segment texts in ways that SQL cannot state.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs, name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
