@@ -21,8 +21,8 @@ BINS, BAND = 64, 4
 #: The least exact Jaccard similarity of the shingle sets, as a fraction, and the share of equal bins (its estimate,
 #: of a standard error of 0.05 there) from which a pair is compared exactly.
 SIMILARITY, CANDIDATE = (4, 5), 0.6
-#: Rows of a band's key beyond which its pairs have to share a second band as well (0.9995 of those of 0.8 do).
-HOT_ROWS = 512
+#: Texts of a band's key that one task compares at once, with their shingles; a larger group is compared block by block.
+HOT_ROWS = 1024
 #: Stands for a null doc_id in keys.
 MISSING = -(1 << 63)
 
@@ -252,39 +252,83 @@ def _similar(x: bytes, y: bytes) -> bool:
     return shared * SIMILARITY[1] >= (a + b - shared) * SIMILARITY[0]
 
 
-def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
-    """The distinct pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of SIMILARITY or more."""
+def shingle_sets(used: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
+    """(node, x) for the nodes of used: the bytes of their sets of shingles, made of one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in binary(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(held, pa.binary())], names=["node", "x"])
 
-    likely = cut(_filtered(pairs.distinct(), nodes.select("node", F.col("sketch").alias("x")), _agree))
-    used = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
     where = nodes.join(used, "node").select("node", "one._id", "one._th")
     texts = docs.select(*key, F.col("text").cast("string").alias("text")).join(where, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    return cut(_filtered(likely, stored(texts.select("node", "text").mapInArrow(sets, "node long, x binary"), "shingles"), _similar))
+    return stored(texts.select("node", "text").mapInArrow(sets, "node long, x binary"), "shingles")
+
+
+def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
+    """The distinct pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of SIMILARITY or more."""
+    likely = cut(_filtered(pairs.distinct(), nodes.select("node", F.col("sketch").alias("x")), _agree))
+    used = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
+    return cut(_filtered(likely, shingle_sets(used, nodes, docs, shingle, key), _similar))
 
 
-def across(members: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs (u, v) of members (node, label and the columns on) that agree in on and have different labels.
+def joining(labels: list[int], sketches: np.ndarray, sets: list[bytes], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components of what has the labels, by all pairs whose sets are similar.
 
-    The members of a group's largest label meet only those of other labels.
+    Two that are in one component by then need not be compared. With side only pairs of different sides are looked at.
     """
-    counts = members.groupBy(*on, "label").count()
-    groups = counts.groupBy(*on).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label")).getField("label").alias("major")).where("labels > 1").drop("labels")
-    held = members.join(groups, on)
-    left = held.where("label != major").select(*on, F.col("node").alias("u"), F.col("label").alias("_l"))
-    right = held.select(*on, F.col("node").alias("v"), "label", (F.col("label") == F.col("major")).alias("_m"))
-    return left.join(right, on).where("_l != label and (_m or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    names, root = np.unique(np.array(labels), return_inverse=True)
+    out = []
+    for i in range(len(labels) - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if side is not None:
+            rest = rest[side[rest] != side[i]]
+        for j in rest[(sketches[rest] == sketches[i]).mean(axis=1) >= CANDIDATE].tolist() if len(rest) else ():
+            if root[i] != root[j] and _similar(sets[i], sets[j]):
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def links_in_bands(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
+    """Links (u, v) that join the labels of each band's key, all pairs of different labels told exactly.
+
+    members: node, band, n (texts of the key) and label. A key goes to one task with its sketches and shingles; one of
+    more than HOT_ROWS texts is cut into blocks by a hash, and each two of these go to a task, so that memory is bounded
+    and no pair is left out.
+    """
+    several = members.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
+    own = cut(members.join(several, "band"))
+    sets = shingle_sets(own.select("node").distinct(), nodes, docs, shingle, key)
+    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    block = F.pmod(F.xxhash64(F.lit(7), "node"), parts.cast("long")).cast("int")
+    rows = own.select("node", "band", "label", parts.alias("parts"), block.alias("block"))
+    # Block b meets each other block o in the task (least, most); one of a single block is alone.
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("node", "band", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    rows = rows.withColumn("task", F.xxhash64("band", "p", "q")).join(sets, "node").join(nodes.select("node", "sketch"), "node")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, ["task"], 1):
+            task = part.column("task").to_numpy()
+            edges = np.r_[0, np.flatnonzero(task[1:] != task[:-1]) + 1, len(task)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = part.slice(a, b - a)
+                node, block = own.column("node").to_pylist(), own.column("block").to_numpy()
+                sketches = np.frombuffer(b"".join(own.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, BINS)
+                crossing = own.column("p")[0].as_py() != own.column("q")[0].as_py()
+                found = joining(own.column("label").to_pylist(), sketches, own.column("x").to_pylist(), block if crossing else None)
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=["u", "v"])
+
+    dealt = rows.select("task", "node", "label", "block", "p", "q", "sketch", "x").repartition("task").sortWithinPartitions("task")
+    return cut(dealt.mapInArrow(each, "u long, v long").distinct())
 
 
 def similar_components(own: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
     """(node, label) for the distinct nodes of own (_id, _th, node, sketch): components of texts of a similarity of SIMILARITY or more.
 
     First each node of a band's key is compared with the least node there, so that a group of copies has one pair for
-    each node. Then all pairs of a key that are not in one component by then are compared: other pairs add no link.
+    each node. Then all pairs of a key that are not in one component by then are compared, within tasks: other pairs add
+    no link.
     """
     nodes = cut(own.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("_id", "_th")).alias("one")))
     dealt = cut(banded(nodes))
@@ -292,11 +336,8 @@ def similar_components(own: DataFrame, docs: DataFrame, shingle: int, key: list)
     shared = cut(dealt.join(sizes, "band"))
     first = exact_links(shared.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), nodes, docs, shingle, key)
     labels = components(first).withColumnRenamed("u", "node")
-    labelled = cut(shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label")))
-    hot = labelled.where(F.col("n") > HOT_ROWS).select("node", "band", "label")
-    second = hot.join(shared.select("node", F.col("band").alias("other")), "node").where("band != other")
-    pairs = across(labelled.where(F.col("n") <= HOT_ROWS), ["band"]).union(across(second, ["band", "other"]))
-    found = components(first.union(exact_links(pairs, nodes, docs, shingle, key)))
+    labelled = shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label"))
+    found = components(first.union(links_in_bands(labelled, nodes, docs, shingle, key)))
     return cut(nodes.select("node").join(found.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
