@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +31,31 @@ DESIGNATORS = [
     ("PROVINSI", "provinsi|prov", "Provinsi "),
 ]
 TITLE_FIELDS = ["JALAN", "KELURAHAN", "KECAMATAN", "KOTA_KABUPATEN", "PROVINSI", "DETAIL_LOKASI"]
-#: Latin letters with marks and their plain forms, for names outside the UDF path.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _decompositions() -> tuple[str, str, str, dict[str, str]]:
+    """What compatibility decomposition without marks makes of single characters, from Unicode's own data.
+
+    Characters that become one letter or digit of ASCII, what they become, marks that go, and characters that become
+    several characters with a letter or digit of ASCII among them.
+    """
+    one, plain, marks, many = [], [], [], {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare.isascii() and bare.isalnum():
+            one.append(c)
+            plain.append(bare)
+        elif len(bare) > 1 and any(x.isascii() and x.isalnum() for x in bare):
+            many[c] = bare
+    return "".join(one), "".join(plain), "".join(marks), many
+
+
+_ONE, _PLAIN, _MARKS, _MANY = _decompositions()
+_MANY_JSON = json.dumps(_MANY, ensure_ascii=False)
 
 
 def col(x: Column | str) -> Column:
@@ -46,9 +71,24 @@ def is_ascii(x: Column | str) -> Column:
     return col(x).rlike("^[\\x00-\\x7f]*$")
 
 
+def once(x: Column | str, body) -> Column:
+    """body(x) with x computed once and standing once in the plan, however often body names it."""
+    return F.element_at(F.transform(F.array(col(x)), body), 1)
+
+
+def _folded(v: Column) -> Column:
+    several = F.from_json(F.lit(_MANY_JSON), "map<string,string>")
+    whole = F.when(v.rlike(f"[{''.join(_MANY)}]"), F.array_join(F.transform(F.split(v, ""), lambda c: F.coalesce(several[c], c)), "")).otherwise(v)
+    return F.when(is_ascii(v), v).otherwise(F.translate(whole, _ONE + _MARKS, _PLAIN))
+
+
+def _hierarchy_form(v: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(_folded(v), "[^0-9A-Za-z]+", " ")))
+
+
 def normalize_hierarchy(x: Column | str) -> Column:
-    """Names of the hierarchy: Latin marks dropped, other characters than letters and digits one space, lower case."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(col(x), ACCENTED, PLAIN)), "[^0-9a-z]+", " "))
+    """Names of the hierarchy: in compatibility decomposition without marks, other characters than letters and digits of ASCII one space, lower case."""
+    return once(x, _hierarchy_form)
 
 
 def normalize_workbook(x: Column | str) -> Column:
@@ -114,8 +154,7 @@ def name_kind(x: Column | str) -> Column:
 
 def name_base(x: Column | str) -> Column:
     """A normalized name without one leading designator."""
-    n = normalize_hierarchy(x)
-    return F.when(_first_word(n).isin(list(KINDS)), F.trim(F.regexp_replace(n, "^[0-9a-z]+", ""))).otherwise(n)
+    return once(normalize_hierarchy(x), lambda n: F.when(_first_word(n).isin(list(KINDS)), F.trim(F.regexp_replace(n, "^[0-9a-z]+", ""))).otherwise(n))
 
 
 def clean_values(x: Column | str) -> Column:

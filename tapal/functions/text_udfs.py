@@ -22,8 +22,8 @@ MOST = {"JALAN": 5, "KELURAHAN": 4, "KECAMATAN": 4, "KOTA_KABUPATEN": 4, "PROVIN
 PROVINCE_WORDS = {"jawabarat", "jabar", "dkijakarta"}
 PROVINCE_PAIRS = {("jawa", "barat"), ("jawa", "brat"), ("dki", "jakarta")}
 BREAKS = {",", ";", "-"}
-#: (field, marker with number, marker alone): the numbered fields of the first pass.
-NUMBERED = [(f, re.compile(rf"{m}\.{{0,2}}0*\d+[a-z]?"), re.compile(rf"{m}\.{{0,2}}")) for f, m in (("RT", "rt"), ("RW", "rw"), ("NOMOR", "(?:nomor|nomer|no)"))]
+#: (field, marker with number, marker alone): the numbered fields of the first pass. RT and RW take two full stops, NOMOR one.
+NUMBERED = [(f, re.compile(rf"{m}\.{{0,{dots}}}0*\d+[a-z]?"), re.compile(rf"{m}\.{{0,{dots}}}")) for f, m, dots in (("RT", "rt", 2), ("RW", "rw", 2), ("NOMOR", "(?:no|nomor|nomer)", 1))]
 NUMBER = re.compile(r"\.{0,2}\d+[a-z]?")
 
 
@@ -44,6 +44,12 @@ def compose(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def compose_fields(x: pd.Series) -> pd.Series:
+    """The same for each value of an array; a null array, for rows that need none, stays null."""
+    return x.map(lambda row: None if row is None else [None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()) for v in row])
+
+
 @F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters in matching blocks over all characters."""

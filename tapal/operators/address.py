@@ -6,63 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
-from tapal.functions.text_udfs import tag_tokens
-
-# --- personal data -------------------------------------------------------------------------------------------------
-
-_PHONE_LABEL = r"\b(?:no\.?\s*hp|telepon|telp|tel|phone|whatsapp|wa|hp)\b\s*[:.=\-]?\s*"
-_MOBILE = r"(?:\+?62[\s().\-]*8|08)[\s().\-]*[1-9](?:[\s().\-]*[0-9]){7,10}(?!\w)"
-_VETO = r"(?<!\b(?:nik|npsn|resi|order|pesanan|invoice|rekening|kode)\s{0,12}[:#.=\-]?\s{0,12})"
-_LANDLINE = r"\(?0[2-79](?:[0-9]\)?(?:[\s.\-]*[0-9]){6,9}|[0-9]{2}\)?(?:[\s.\-]*[0-9]){5,9}|[0-9]{3}\)?(?:[\s.\-]*[0-9]){5,8})(?!\w)"
-_LINE_LABEL = r"\b(?:telepon|telp|tel|phone)\b\s*[:.=\-]?\s*"
-_NAME_LABEL = r"(?<!\w)(?:nama\s+penerima|penerima|atas\s+nama|a\.?\s*n\.?)\s*[:=\-]\s*"
-_NAME_WORD = r"\p{L}+(?:[-']\p{L}+)*"
-_STREET = r"(?:jl\.?|jalan|jln\.?|gg\.?|gang|kp\.?|kampung|dusun|rt\b|rw\b|blok\b|no\.?\s*[0-9]|desa\b|kel\.?|kec\.?|kab\.?|kota\b)"
-_NAME = rf"(?:(?:bapak|bpk|ibu|bu|sdri|sdr|pak)\.?\s+)?{_NAME_WORD}(?:\s+{_NAME_WORD}){{0,4}}?(?=\s*(?:[,;\n\r]|\[PHONE_REDACTED\]|$)|\s+{_STREET})"
-_FLAGS = "(?iU)"
-PHONE, NAME = "[PHONE_REDACTED]", "[NAME_REDACTED]"
-
-
-def redact(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with redacted_text, address_text and pii_codes.
-
-    redacted_text has placeholders for mobile numbers, labelled landlines and names after a recipient marker;
-    address_text has them taken out with their labels. A null text counts as empty.
-    """
-    text = F.coalesce(F.col(column), F.lit(""))
-    labelled = rf"{_FLAGS}({_PHONE_LABEL})(?<![\w+]){_MOBILE}"
-    bare = rf"{_FLAGS}(?<![\w+]){_VETO}{_MOBILE}"
-    line = rf"{_FLAGS}({_LINE_LABEL}){_LANDLINE}"
-    name = rf"{_FLAGS}({_NAME_LABEL}){_NAME}"
-    red = F.regexp_replace(text, labelled, "$1" + PHONE.replace("[", "\\[").replace("]", "\\]"))
-    red = F.regexp_replace(F.regexp_replace(red, bare, "\\[PHONE_REDACTED\\]"), line, "$1\\[PHONE_REDACTED\\]")
-    red = F.regexp_replace(red, name, "$1\\[NAME_REDACTED\\]")
-    out = df.withColumn("redacted_text", red)
-    gone = F.regexp_replace("redacted_text", rf"{_FLAGS}(?:{_PHONE_LABEL})?\[PHONE_REDACTED\]|{_NAME_LABEL}\[NAME_REDACTED\]", " ")
-    gone = F.regexp_replace(F.regexp_replace(gone, "(?U)\\s+", " "), "\\s*,(?:\\s*,)+", ",")
-    gone = F.regexp_replace(gone, "^[\\s,;:\\-]+|[\\s,;:\\-]+$", "")
-    found = F.col("redacted_text") != text
-    return out.withColumn("address_text", F.when(found, gone).otherwise(F.trim(F.regexp_replace(text, "(?U)\\s+", " ")))).withColumn("pii_codes", F.when(found, F.array(F.lit("PII_DETECTED"))).otherwise(F.array().cast("array<string>")))
-
+from tapal.functions.text_udfs import compose_fields, tag_tokens
+from tapal.operators.pii import redact
 
 # --- tagging -------------------------------------------------------------------------------------------------------
 
 
 def tag(df: DataFrame, column: str = "address_text") -> DataFrame:
     """df with tokens and their BIO labels."""
-    return df.withColumn("tokens", S.tokens(column)).withColumn("labels", tag_tokens("tokens"))
+    # Called nondeterministic it is a step of its own, which the optimizer does not copy to where its result is used.
+    return df.withColumn("tokens", S.tokens(column)).withColumn("labels", tag_tokens.asNondeterministic()("tokens"))
 
 
 def decode(df: DataFrame) -> DataFrame:
     """df with a column for each field: the first span of its type, null if there is none; stray I- labels are dropped."""
-    out = df
-    for f in S.FIELDS:
-        first = F.array_position("labels", f"B-{f}")
-        rest = F.expr(f"slice(labels, int(array_position(labels, 'B-{f}')) + 1, size(labels))")
-        other = F.array_position(F.expr(f"transform(slice(labels, int(array_position(labels, 'B-{f}')) + 1, size(labels)), x -> x <> 'I-{f}')"), True)
-        size = F.when(other > 0, other).otherwise(F.size(rest) + 1)
-        out = out.withColumn(f, F.when(first > 0, F.array_join(F.slice("tokens", first.cast("int"), size.cast("int")), " ")))
-    return out
+    after = F.filter(F.transform("labels", lambda l, i: F.when(l.startswith("B-"), F.struct(F.substring(l, 3, 99).alias("type"), i.alias("at")))), lambda x: x.isNotNull())
+    # A span goes on over the I- labels of its type: up to the first label behind it that is none.
+    end = F.expr("transform(_starts, s -> named_struct('type', s.type, 'at', s.at, 'n', coalesce(nullif(array_position(transform(slice(labels, s.at + 2, size(labels)), x -> x <> concat('I-', s.type)), true), 0), size(labels) - s.at)))")
+    out = df.withColumn("_starts", after).withColumn("_spans", end)
+    first = lambda f: F.get(F.filter("_spans", lambda s: s["type"] == f), F.lit(0))
+    out = out.withColumns({f: F.when(first(f).isNotNull(), F.array_join(F.slice("tokens", (first(f)["at"] + 1).cast("int"), first(f)["n"].cast("int")), " ")) for f in S.FIELDS})
+    return out.drop("_starts", "_spans")
 
 
 # --- normalization -------------------------------------------------------------------------------------------------
@@ -81,23 +45,32 @@ def normalize(df: DataFrame, fields: list[str] | None = None, source: str = "rul
 
     An entry's before has the provenance that the value had, its after that of the rule. Null fields stay null.
     """
-    out, every = df, []
-    for f in fields or S.FIELDS:
-        out = out.withColumn(f"_{f}0", F.col(f)).withColumn(f"_{f}1", F.when(F.col(f).isNotNull(), S.collapse(f)))
-        v = F.col(f"_{f}1")
-        out = out.withColumn(f"_{f}2", S.designator(f, v))
-        out = out.withColumn(f"_{f}3", S.rt_rw(f, F.col(f"_{f}2")) if f in ("RT", "RW") else F.col(f"_{f}2"))
-        out = out.withColumn(f"_{f}4", S.postcode(F.col(f"_{f}3")) if f == "KODEPOS" else F.col(f"_{f}3"))
-        out = out.withColumn(f"_{f}5", S.smart_title(f"_{f}4") if f in S.TITLE_FIELDS else F.col(f"_{f}4"))
+    names, every = fields or S.FIELDS, []
+    # Only rows with characters beyond ASCII need the compatibility form, which no built-in function has; see tag().
+    beyond = ~S.is_ascii(F.concat_ws("", *names))
+    out = df.withColumn("_nfkc", compose_fields.asNondeterministic()(F.when(beyond, F.array(*names))))
+    composed_ = {f: F.when(F.col(f).isNull(), None).when(F.col("_nfkc").isNull(), S.collapse(f)).otherwise(F.get("_nfkc", F.lit(i))) for i, f in enumerate(names)}
+    steps = [
+        lambda f: composed_[f],
+        lambda f: S.designator(f, F.col(f"_{f}1")),
+        lambda f: S.rt_rw(f, F.col(f"_{f}2")) if f in ("RT", "RW") else F.col(f"_{f}2"),
+        lambda f: S.postcode(F.col(f"_{f}3")) if f == "KODEPOS" else F.col(f"_{f}3"),
+        lambda f: S.smart_title(f"_{f}4") if f in S.TITLE_FIELDS else F.col(f"_{f}4"),
+    ]
+    # All fields take a rule at once: a plan of few steps is analysed much faster than one of a step for each.
+    for k, step in enumerate(steps, 1):
+        out = out.withColumns({f"_{f}{k}": step(f) for f in names})
+    sources = {}
+    for f in names:
         held: Column = F.lit(source)
         for k, (rule, kind) in enumerate(RULES):
-            before, after = F.col(f"_{f}{k}"), F.col(f"_{f}{k + 1}")
+            before, after = F.col(f) if k == 0 else F.col(f"_{f}{k}"), F.col(f"_{f}{k + 1}")
             entry = F.struct(F.lit(f).alias("field"), before.alias("before"), held.alias("before_source"), after.alias("after"), F.lit(kind).alias("after_source"), F.lit(rule).alias("rule_id"), F.lit("deterministic").alias("decision"), F.lit(True).alias("applied"))
             every.append(F.when(before != after, entry))
             held = F.when(before != after, F.lit(kind)).otherwise(held)
-        out = out.withColumn(f, F.col(f"_{f}5")).withColumn(f"{f}_source", F.when(F.col(f).isNotNull(), held))
-    out = out.withColumn("changes", F.filter(F.array(*every), lambda x: x.isNotNull()))
-    return out.drop(*[f"_{f}{k}" for f in fields or S.FIELDS for k in range(6)])
+        sources[f"{f}_source"] = F.when(F.col(f).isNotNull(), held)
+    out = out.withColumns({**sources, "changes": F.array_compact(F.array(*every))})
+    return out.withColumns({f: F.col(f"_{f}5") for f in names}).drop("_nfkc", *[f"_{f}{k}" for f in names for k in range(1, 6)])
 
 
 def composed() -> Column:
@@ -114,64 +87,66 @@ def parts(x: Column | str) -> Column:
     return F.struct(S.name_base(x).alias("base"), S.name_kind(x).alias("kind"))
 
 
-def _same_name(own: str):
-    return lambda x: (x["base"] != "") & (x["base"] == F.col(f"{own}.base")) & F.coalesce(x["kind"] == F.col(f"{own}.kind"), F.lit(True))
+def _same_name(field: str):
+    own = F.col(f"p_{field}")
+    return lambda x: (x["base"] != "") & (x["base"] == own["base"]) & F.coalesce(x["kind"] == own["kind"], F.lit(True))
+
+
+_CANDIDATE = ["village_code", "village_name", "district_name", "city_name", "province_name"]
 
 
 def lookup(hierarchy: DataFrame) -> DataFrame:
-    """The hierarchy prepared once for validation: a row for each village and each distinct form of its names.
+    """The hierarchy prepared once for validation: (v_base, villages), all villages with a name of that base form.
 
-    hierarchy has, for each level, <level>_code, <level>_name and <level>_aliases, and postal_codes.
+    hierarchy has, for each level, <level>_code, <level>_name and <level>_aliases, and postal_codes. A list has the
+    villages of one name, which the reference bounds and the addresses do not.
     """
     names = lambda level: F.array_distinct(F.transform(F.concat(F.array(f"{level}_name"), F.coalesce(f"{level}_aliases", F.array().cast("array<string>"))), parts))
-    out = hierarchy.select("village_code", "village_name", "district_name", "city_name", "province_name", "postal_codes", names("district").alias("_KECAMATAN"), names("city").alias("_KOTA_KABUPATEN"), names("province").alias("_PROVINSI"), F.explode(names("village")).alias("_v"))
-    return out.withColumn("v_base", F.col("_v.base")).withColumn("v_kind", F.col("_v.kind")).drop("_v").where("v_base <> ''")
+    out = hierarchy.select(*_CANDIDATE, "postal_codes", *[names(x).alias(f"n_{f}") for f, x in _LEVEL.items() if f != "KELURAHAN"], F.explode(names("village")).alias("_v"))
+    row = F.struct(F.col("_v.kind").alias("v_kind"), *_CANDIDATE, "postal_codes", *[f"n_{f}" for f in _LEVEL if f != "KELURAHAN"])
+    return out.where("_v.base <> ''").groupBy(F.col("_v.base").alias("v_base")).agg(F.collect_list(row).alias("villages"))
 
 
 def validate(addresses: DataFrame, prepared: DataFrame, key: str = "address_id") -> DataFrame:
     """addresses with status, reason_code, affected_fields, missing_fields and candidates.
 
-    The join is on the village's base name; kinds must not contradict. Everything else about a candidate is a flag, so
-    one grouping gives candidates and conflicts. key tells the rows of addresses apart; it must not repeat.
+    One left join with the prepared hierarchy on the village's base name; everything else is told within the row, from
+    flags of its list of villages, so that addresses are neither grouped nor read twice. Kinds must not contradict.
     """
-    own = addresses.select(F.col(key), *[S.surface(f).alias(f) for f in S.ADMIN_FIELDS])
-    own = own.withColumn("a_base", S.name_base("KELURAHAN")).withColumn("a_kind", S.name_kind("KELURAHAN"))
-    for f in ("KECAMATAN", "KOTA_KABUPATEN", "PROVINSI"):
-        own = own.withColumn(f"p_{f}", parts(f))
-    near = (F.col("a_base") == F.col("v_base")) & F.coalesce(F.col("a_kind") == F.col("v_kind"), F.lit(True))
-    rows = own.where("a_base <> ''").join(prepared, near)
+    own = addresses.withColumn("_base", S.name_base(S.surface("KELURAHAN"))).withColumn("_kind", S.name_kind(S.surface("KELURAHAN")))
     others = S.ADMIN_FIELDS[1:]
     for f in others[:-1]:
-        rows = rows.withColumn(f"m_{f}", (F.col(f) == "") | F.exists(F.col(f"_{f}"), _same_name(f"p_{f}")))
-    rows = rows.withColumn("m_KODEPOS", (F.col("KODEPOS") == "") | F.array_contains("postal_codes", F.col("KODEPOS")))
-    every = [F.col(f"m_{f}") for f in others]
-    ok = every[0] & every[1] & every[2] & every[3]
-    candidate = F.struct("village_code", "village_name", "district_name", "city_name", "province_name")
-    aggs = [F.collect_set(candidate).alias("b_rows"), F.collect_set(F.when(ok, candidate)).alias("c_rows")]
-    for f in others:
-        rest = F.lit(True)
-        for g in others:
-            if g != f:
-                rest = rest & F.col(f"m_{g}")
-        aggs += [F.max(F.col(f"m_{f}")).alias(f"any_{f}"), F.max(rest).alias(f"rest_{f}")]
-    found = rows.groupBy(key).agg(*aggs)
-    out = addresses.join(found, key, "left")
+        own = own.withColumn(f"p_{f}", parts(S.surface(f)))
+    out = own.join(prepared, F.col("_base") == F.col("v_base"), "left")
+    near = F.filter("villages", lambda v: F.coalesce(F.col("_kind") == v["v_kind"], F.lit(True)))
+
+    def flags(v: Column) -> Column:
+        met = []
+        for f in others[:-1]:
+            met.append(((S.surface(f) == "") | F.exists(v[f"n_{f}"], _same_name(f))).alias(f))
+        met.append(((S.surface("KODEPOS") == "") | F.array_contains(v["postal_codes"], S.surface("KODEPOS"))).alias("KODEPOS"))
+        return F.struct(F.struct(*[v[c].alias(c) for c in _CANDIDATE]).alias("row"), *met)
+
+    out = out.withColumn("_m", F.coalesce(F.transform(near, flags), F.array().cast("array<struct<row:struct<village_code:string,village_name:string,district_name:string,city_name:string,province_name:string>,KECAMATAN:boolean,KOTA_KABUPATEN:boolean,PROVINSI:boolean,KODEPOS:boolean>>")))
+    every = lambda fields: lambda m: F.forall(F.array(*[m[f] for f in fields]), lambda x: x)
+    rows = lambda x: F.array_sort(F.array_distinct(F.transform(x, lambda m: m["row"])))
+    out = out.withColumn("_b", rows(F.col("_m"))).withColumn("_c", rows(F.filter("_m", every(others))))
     blank = {f: S.surface(f) == "" for f in S.ADMIN_FIELDS}
     missing = F.array_compact(F.array(*[F.when(blank[f], F.lit(f)) for f in S.ADMIN_FIELDS]))
-    hit = F.array_compact(F.array(*[F.when(~blank[f] & (~F.col(f"any_{f}") | F.col(f"rest_{f}")), F.lit(f)) for f in others]))
+    at_fault = lambda f: ~F.exists("_m", lambda m: m[f]) | F.exists("_m", every([g for g in others if g != f]))
+    hit = F.array_compact(F.array(*[F.when(~blank[f] & at_fault(f), F.lit(f)) for f in others]))
     given = F.array_compact(F.array(*[F.when(~blank[f], F.lit(f)) for f in others]))
     none = F.array().cast("array<string>")
-    b, c = F.coalesce(F.size("b_rows"), F.lit(0)), F.coalesce(F.size("c_rows"), F.lit(0))
-    case = F.when(blank["KELURAHAN"], "village").when(b <= 0, "gap").when(c <= 0, "conflict").when(c > 1, "ambiguous").when(F.size(missing) > 0, "missing").otherwise("valid")
-    out = out.withColumn("_case", case)
+    out = out.withColumn("missing_fields", missing)
+    case = F.when(blank["KELURAHAN"], "village").when(F.size("_b") == 0, "gap").when(F.size("_c") == 0, "conflict").when(F.size("_c") > 1, "ambiguous").when(F.size("missing_fields") > 0, "missing").otherwise("valid")
+    out = out.withColumn("_case", case).withColumn("_hit", F.when(F.col("_case") == "conflict", hit).otherwise(none))
     pick = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("_case")]
     status = {"village": "incomplete", "gap": "not_found", "conflict": "invalid", "ambiguous": "ambiguous", "missing": "incomplete", "valid": "valid"}
     reason = {"village": "MISSING_ADMINISTRATIVE_FIELDS", "gap": "REFERENCE_COVERAGE_GAP", "conflict": "ADMINISTRATIVE_CONFLICT", "ambiguous": "AMBIGUOUS_ADMINISTRATIVE_CANDIDATES", "missing": "MISSING_ADMINISTRATIVE_FIELDS", "valid": "VALID_ADMINISTRATIVE_CHAIN"}
     out = out.withColumn("status", pick(status)).withColumn("reason_code", pick(reason))
-    out = out.withColumn("affected_fields", F.when(F.col("_case") == "conflict", F.when(F.size(hit) > 0, hit).otherwise(given)).otherwise(none)).withColumn("missing_fields", missing)
-    rows_of = F.when(F.col("_case") == "conflict", F.col("b_rows")).when(F.col("_case").isin("ambiguous", "missing", "valid"), F.col("c_rows"))
-    out = out.withColumn("candidates", F.coalesce(F.array_sort(rows_of), F.array().cast("array<struct<village_code:string,village_name:string,district_name:string,city_name:string,province_name:string>>")))
-    return out.drop("_case", "b_rows", "c_rows", *[f"{p}_{f}" for p in ("any", "rest") for f in others])
+    out = out.withColumn("affected_fields", F.when(F.col("_case") == "conflict", F.when(F.size("_hit") > 0, F.col("_hit")).otherwise(given)).otherwise(none))
+    out = out.withColumn("candidates", F.when(F.col("_case") == "conflict", F.col("_b")).when(F.col("_case").isin("ambiguous", "missing", "valid"), F.col("_c")).otherwise(F.slice("_c", 1, 0)))
+    return out.drop("_base", "_kind", "v_base", "villages", "_m", "_b", "_c", "_case", "_hit", *[f"p_{f}" for f in others[:-1]])
 
 
 def exact_lookup(wanted: DataFrame, hierarchy: DataFrame, key: str = "address_id") -> DataFrame:
@@ -236,8 +211,8 @@ def confirm(df: DataFrame, field: str, accepted: Column) -> DataFrame:
 def geocode(df: DataFrame, results: DataFrame, key: str = "address_id", consent: str = "consent") -> DataFrame:
     """df with geocode_status and geocode_reasons, from a table of one provider result for each key.
 
-    results has key, failure (null, not_found, timeout, rate_limited or unavailable), precision, lat, lon and the
-    provider's fields as geo_<field>. Without consent nothing is looked at; a key without a row is not found.
+    results has key, failure (null, not_found, timeout, rate_limited or unavailable), provider, precision, lat, lon and
+    the provider's fields as geo_<field>. Without consent nothing is looked at; a key without a row is not found.
     """
     out = df.join(results, key, "left")
     failed = F.when(F.col("precision").isNull() & F.col("failure").isNull(), "not_found").otherwise(F.col("failure"))
@@ -248,38 +223,103 @@ def geocode(df: DataFrame, results: DataFrame, key: str = "address_id", consent:
     none = F.array().cast("array<string>")
     out = out.withColumn("geocode_reasons", F.when(~asked, none).when(failed.isNotNull(), F.array(F.coalesce(code, F.lit("GEOCODE_UNAVAILABLE")))).otherwise(findings))
     out = out.withColumn("geocode_status", F.when(~asked, "NOT_REQUESTED").when(failed.isNotNull(), "EXTERNAL_FAILURE").when(F.size("geocode_reasons") > 0, "AMBIGUOUS").otherwise("SUCCESS"))
-    return out.drop("failure", *[f"geo_{f}" for f in ("KOTA_KABUPATEN", "PROVINSI", "KODEPOS") if f"geo_{f}" in results.columns])
+    return out.drop("failure")
+
+
+#: Versions, and the gate's statuses in order of precedence.
+VERSIONS = {"contract": "1.0.0", "model": "regex-baseline-v1", "normalizer": "normalizer-v1", "validator": "jabar-reference-v1", "reference_data": "jabar-reference-v1", "quality_gate": "quality-gate-v1"}
+PRECEDENCE = [("TIDAK_VALID", "at least one high-severity issue exists"), ("PERLU_KONFIRMASI", "at least one medium-severity issue exists"), ("SIAP_DIPROSES", "no quality issue exists")]
+
+_AUDIT_VALUE = "struct<field:string,value:string,source:string,confirmed:boolean>"
+
+
+def null_of(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def basic(value: Column, source: Column | str) -> Column:
+    """A contract value; it is confirmed exactly if the user is its source."""
+    source = F.lit(source) if isinstance(source, str) else source
+    return F.struct(value.alias("value"), source.alias("source"), (source == "confirmed_by_user").alias("confirmed"))
+
+
+def result_value(value: Column, source: Column) -> Column:
+    return F.struct(value.alias("value"), source.alias("source"), (source == "confirmed_by_user").alias("confirmed"), null_of("double").alias("model_score"), null_of("string").alias("previous_value"))
+
+
+def components(value: str = "{}", source: str | Column = "{}_source") -> Column:
+    """The contract's components: fields that are not blank, in canonical order, from the columns that the forms name."""
+    given = lambda f: F.col(value.format(f))
+    origin = lambda f: source if isinstance(source, Column) else F.col(source.format(f))
+    each = [F.when(given(f).isNotNull() & (F.trim(given(f)) != ""), F.struct(F.lit(f).alias("field"), result_value(given(f), origin(f)).alias("result"))) for f in S.FIELDS]
+    return F.array_compact(F.array(*each))
+
+
+def geocoding_block() -> Column:
+    """The contract's geocoding: what geocode() found, or an empty block where nothing was asked for or geocode() was not called."""
+    coordinate = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("value"), F.lit("returned_by_geocoder").alias("source")))
+    asked = F.col("geocode_status") != "NOT_REQUESTED"
+    good = F.col("geocode_status").isin("SUCCESS", "AMBIGUOUS")
+    return F.struct(
+        F.col("geocode_status").alias("status"), asked.alias("consent"), F.when(asked, F.col("provider")).alias("provider"), F.when(good, F.col("precision")).alias("precision"),
+        F.when(good, coordinate("lat")).alias("latitude"), F.when(good, coordinate("lon")).alias("longitude"),
+        F.when(good, components("geo_{}", F.lit("returned_by_geocoder"))).otherwise(F.slice(components("geo_{}", F.lit("returned_by_geocoder")), 1, 0)).alias("components"),
+        F.when(F.col("geocode_status") == "EXTERNAL_FAILURE", F.get("geocode_reasons", F.lit(0))).alias("error_code"),
+    )
 
 
 def audit_trail() -> Column:
     """Numbered events: pii, model, one for each change, validator, gate. The personal-data event carries no values."""
-    event = lambda stage, detail: F.struct(F.lit(stage).alias("stage"), detail.alias("detail"))
-    changes = F.transform("changes", lambda c: F.struct(F.lit("normalizer").alias("stage"), F.concat(c["decision"], F.lit(":"), F.when(c["applied"], "applied").otherwise("open")).alias("detail")))
+    none = F.array().cast(f"array<{_AUDIT_VALUE}>")
+
+    def event(stage: str, action: Column, rule: Column, before: Column = none, after: Column = none) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), action.alias("action"), F.lit("system").alias("actor"), rule.alias("rule_id"), before.alias("previous_values"), after.alias("resulting_values"))
+
+    def audit_value(field: Column, value: Column, source: Column) -> Column:
+        return F.struct(field.alias("field"), value.alias("value"), source.alias("source"), (source == "confirmed_by_user").alias("confirmed"))
+
+    extracted = F.array_compact(F.array(*[F.when(F.col(f"x_{f}").isNotNull(), audit_value(F.lit(f), F.col(f"x_{f}"), F.lit("rule_extracted"))) for f in S.FIELDS]))
+    changes = F.transform("changes", lambda c: event("normalizer", F.concat(c["decision"], F.lit(":"), F.when(c["applied"], "applied").otherwise("proposed")), c["rule_id"], F.array(audit_value(c["field"], c["before"], c["before_source"])), F.array(audit_value(c["field"], c["after"], c["after_source"]))))
+    listed = lambda x, other: F.when(F.size(x) > 0, F.array_join(x, ",")).otherwise(F.lit(other))
     codes = F.transform("issues", lambda x: x["reason_code"])
     events = F.concat(
-        F.array(event("pii", F.when(F.size("pii_codes") > 0, F.array_join("pii_codes", ",")).otherwise(F.lit("none"))), event("model", F.lit("regex-baseline-v1"))),
-        changes,
-        F.array(event("validator", F.concat_ws(":", "status", "reason_code")), event("quality_gate", F.concat_ws(":", "gate_status", F.when(F.size(codes) > 0, F.array_join(codes, ",")).otherwise(F.lit("no_issue"))))),
-    )
-    return F.transform(events, lambda e, i: F.struct((i + 1).alias("sequence"), e["stage"].alias("stage"), e["detail"].alias("detail")))
+        F.array(event("pii", listed("pii_codes", "no_pii_detected"), null_of("string")), event("model", F.lit("extract_components"), F.lit(VERSIONS["model"]), none, extracted)), changes,
+        F.array(event("validator", F.concat_ws(":", "status", "reason_code"), F.lit(VERSIONS["validator"])), event("quality_gate", F.concat_ws(":", "gate_status", listed(codes, "no_issue")), F.lit(VERSIONS["quality_gate"]))),
+    )
+    keys = ["stage", "action", "actor", "rule_id", "previous_values", "resulting_values"]
+    return F.transform(events, lambda e, i: F.struct((i + 1).alias("sequence"), *[e[k].alias(k) for k in keys]))
 
 
-def document(df: DataFrame, key: str = "address_id") -> DataFrame:
-    """(key, document): the contract document of each processed address as JSON, null keys kept."""
-    component = lambda f: F.when(S.surface(f) != "", F.struct(F.lit(f).alias("field"), F.struct(F.col(f).alias("value"), F.col(f"{f}_source").alias("source"), (F.col(f"{f}_source") == "confirmed_by_user").alias("confirmed"), F.lit(None).cast("double").alias("model_score"), F.lit(None).cast("string").alias("previous_value")).alias("result")))
-    corrections = F.filter(F.transform("changes", lambda c, i: F.struct(F.concat(F.lit("corr_"), F.lower(c["field"]), F.lit("_"), F.lpad((i + 1).cast("string"), 3, "0")).alias("correction_id"), c["field"].alias("field"), c["before"].alias("before"), c["after"].alias("after"), c["decision"].alias("decision"), c["applied"].alias("applied"))), lambda c: c["decision"] == "requires_confirmation")
+def corrections() -> Column:
+    """Semantic proposals, numbered over all changes; deterministic rewrites are no decisions."""
+    each = F.transform("changes", lambda c, i: F.struct(
+        F.concat(F.lit("corr_"), F.lower(c["field"]), F.lit("_"), F.lpad((i + 1).cast("string"), 3, "0")).alias("correction_id"), c["field"].alias("field"),
+        basic(c["before"], c["before_source"]).alias("previous_value"), basic(c["after"], c["after_source"]).alias("proposed_value"), c["rule_id"].alias("rule_id"), c["decision"].alias("decision"), c["applied"].alias("applied"), null_of("string").alias("user_confirmation"),
+    ))
+    return F.filter(each, lambda c: c["decision"] != "deterministic")
+
+
+def document_body(df: DataFrame, key: str = "address_id") -> DataFrame:
+    """(key, body): the contract's response document of each processed address as a struct."""
+    df = df if "geocode_status" in df.columns else df.withColumns({"geocode_status": F.lit("NOT_REQUESTED"), "geocode_reasons": F.array().cast("array<string>"), **{c: null_of("string") for c in ("provider", "precision")}, **{c: null_of("double") for c in ("lat", "lon")}})
+    df = df.withColumns({f"geo_{f}": null_of("string") for f in S.FIELDS if f"geo_{f}" not in df.columns})
     body = F.struct(
-        F.lit("address_response").alias("document_type"), F.lit("1.0.0").alias("schema_version"), F.concat(F.lit("req_"), F.lpad(F.col(key).cast("string"), 8, "0")).alias("request_id"),
-        F.struct(F.lit("regex-baseline-v1").alias("model"), F.lit("normalizer-v1").alias("normalizer"), F.lit("quality-gate-v1").alias("rules"), F.lit("jabar-reference-v1").alias("reference")).alias("versions"),
-        F.struct("address_text", "redacted_text", F.col("pii_codes").alias("reason_codes")).alias("pii"),
-        F.filter(F.array(*[component(f) for f in S.FIELDS]), lambda x: x.isNotNull()).alias("components"),
-        F.struct(composed().alias("value"), F.lit("normalized_by_dictionary").alias("source")).alias("normalized_address"),
-        F.struct(F.col("gate_status").alias("status"), F.col("issues")).alias("quality_gate"),
-        corrections.alias("corrections"), audit_trail().alias("audit_trail"),
+        F.lit("address_parse_response").alias("document_type"), F.lit(VERSIONS["contract"]).alias("schema_version"), F.concat(F.lit("req_"), F.lpad(F.col(key).cast("string"), 8, "0")).alias("request_id"),
+        F.struct(*[F.lit(v).alias(k) for k, v in VERSIONS.items()]).alias("versions"),
+        F.struct(basic(F.col("address_text"), "rule_extracted").alias("address_text"), basic(F.col("redacted_text"), "rule_extracted").alias("redacted_text"), F.col("pii_entities").alias("entities"), F.col("pii_codes").alias("reason_codes"), F.col("pii_warnings").alias("warnings")).alias("pii"),
+        components().alias("components"), result_value(composed(), F.lit("normalized_by_dictionary")).alias("normalized_address"),
+        F.struct(F.col("gate_status").alias("status"), F.col("issues"), F.struct(F.lit(VERSIONS["quality_gate"]).alias("version"), F.array(*[F.struct(F.lit(a).alias("status"), F.lit(b).alias("when")) for a, b in PRECEDENCE]).alias("precedence")).alias("rules")).alias("quality_gate"),
+        corrections().alias("corrections"), geocoding_block().alias("geocoding"), audit_trail().alias("audit_trail"),
     )
-    return df.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+    return df.select(key, body.alias("body"))
+
+
+def document(df: DataFrame, key: str = "address_id") -> DataFrame:
+    """(key, document): the contract's response document of each processed address as JSON, null keys kept."""
+    return document_body(df, key).select(key, F.to_json("body", {"ignoreNullFields": "false"}).alias("document"))
 
 
 def process(raw: DataFrame, prepared: DataFrame, column: str = "text", key: str = "address_id") -> DataFrame:
     """Raw address texts through all steps up to the gate; stateless but for the prepared hierarchy."""
-    return gate(validate(normalize(decode(tag(redact(raw, column)))), prepared, key))
+    extracted = decode(tag(redact(raw, column))).withColumns({f"x_{f}": F.col(f) for f in S.FIELDS})
+    return gate(validate(normalize(extracted), prepared, key))
