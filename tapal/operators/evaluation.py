@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
+from tapal.operators.ranking import ranked
 
 
 def spans(df: DataFrame, key: str, labels: str) -> DataFrame:
@@ -20,6 +21,19 @@ def spans(df: DataFrame, key: str, labels: str) -> DataFrame:
     return df.select(key, F.explode(F.expr(e)).alias("s")).select(key, "s.type", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
+def span_structs(labels: str, types: list[str]) -> Column:
+    """The spans of a row's BIO labels of some types, as an array of (type, start, end)."""
+    start = F.filter(F.transform(labels, lambda l, i: F.when(l.startswith("B-") & F.substring(l, 3, 99).isin(types), F.struct(F.substring(l, 3, 99).alias("type"), i.alias("start")))), lambda s: s.isNotNull())
+    rest = lambda s: F.array_position(F.transform(F.slice(labels, s["start"] + 2, F.size(labels)), lambda l: l != F.concat(F.lit("I-"), s["type"])), True)
+    return F.transform(start, lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), F.when(rest(s) > 0, s["start"] + rest(s)).otherwise(F.size(labels)).cast("int").alias("end")))
+
+
+def is_bio(labels: Column) -> Column:
+    """Whether all labels are known and no I- stands without its type before it."""
+    known = F.forall(labels, lambda l: l.isin(S.LABELS))
+    return known & F.forall(F.transform(labels, lambda l, i: ~l.startswith("I-") | F.coalesce(F.substring(F.get(labels, i - 1), 3, 99) == F.substring(l, 3, 99), F.lit(False))), lambda x: x)
+
+
 def repaired(labels: str) -> Column:
     """BIO labels with each stray I- made a B-. A repair never changes the type, so the raw neighbour decides."""
     return F.expr(f"transform(`{labels}`, (tag, i) -> if(tag like 'I-%' and (i = 0 or substring(`{labels}`[i - 1], 3) <> substring(tag, 3) or `{labels}`[i - 1] = 'O'), concat('B-', substring(tag, 3)), tag))")
@@ -89,6 +103,11 @@ def error_matrix(cases: DataFrame, key: str, categories: list[str] | None = None
     return out.withColumn("rate", S.ratio(F.col("cases"), F.col("exposure"))).withColumn("severity", severity)
 
 
+def cases_by_category(cases: DataFrame, key: str) -> DataFrame:
+    """(category, key) of the failed cases behind the matrix, a row for each, so that no list has to fit in one row."""
+    return cases.where("failed").select(F.explode("categories").alias("category"), key).distinct()
+
+
 def round_robin(df: DataFrame, strata: list[str], order: list[Column], target: int) -> DataFrame:
     """target rows, one of each stratum in turn, strata in order of their keys. The limit is the operator's feature."""
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
@@ -97,10 +116,8 @@ def round_robin(df: DataFrame, strata: list[str], order: list[Column], target: i
 
 def proportional_split(df: DataFrame, strata: list[str], order: list[Column], share: int, total: int) -> DataFrame:
     """df with split: of each stratum half-even(n * share / total) rows are sealed, the others dev."""
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    out = df.withColumn("_r", rank).join(sizes, strata)
-    return out.withColumn("split", F.when(F.col("_r") <= F.bround(F.col("_n") * share / total), "sealed").otherwise("dev")).drop("_r", "_n")
+    out = ranked(df, strata, order, "_r")
+    return out.withColumn("split", F.when(F.col("_r") <= F.bround(F.col("_size") * share / total), "sealed").otherwise("dev")).drop("_r", "_size")
 
 
 def leakage(df: DataFrame, base: Column, split: str) -> DataFrame:
@@ -147,26 +164,8 @@ def candidate_gates(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
 
 def word_predictions(word_ids: str, labels: str) -> Column:
     """One label for each word: that of its first sub-word, in order of the words."""
-    return F.expr(f"transform(filter(arrays_zip(transform({word_ids}, (word, i) -> if(word is not null and (i = 0 or not ({word_ids}[i - 1] <=> word)), i, -1)), {labels}), x -> x['0'] >= 0), x -> x['1'])")
-
-
-def error_categories(df: DataFrame, gold_text: str, source_text: str, tokens: str, gold_types: str) -> DataFrame:
-    """df with categories, from the words, gold types and source text of an example and never from predictions.
-
-    A source that nearly equals the text (a ratio of 0.65 to 0.95) has a typo, a source that hardly does a conflict.
-    """
-    from tapal.functions.text_udfs import matching_ratio
-
-    short = F.exists(tokens, lambda t: F.lower(t).rlike("^(jl|jln|gg|kp|kel|ds|kec|kab|prov|no)\\.?$"))
-    has = lambda t: F.array_contains(gold_types, t)
-    out = df.withColumn("_m", matching_ratio(F.lower(gold_text), F.lower(source_text)))
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("_m").between(0.65, 0.95) & (F.col("_m") < 0.95), F.lit("typo")), F.when(short, F.lit("abbreviation")), F.when(has("RT") | has("RW"), F.lit("rt_rw")), F.when(has("DETAIL_LOKASI"), F.lit("landmark")),
-            F.when(~has("KELURAHAN") | ~has("KECAMATAN") | ~has("KOTA_KABUPATEN"), F.lit("missing_field")), F.when(F.col("_m") < 0.65, F.lit("conflict")), F.when(has("KELURAHAN") & ~has("KECAMATAN") & ~has("KOTA_KABUPATEN"), F.lit("ambiguous_region")),
-        )
-    )
-    return out.withColumn("categories", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other_surface_form")))).drop("_m")
+    first = F.expr(f"transform(`{word_ids}`, (word, i) -> word is not null and (i = 0 or not (`{word_ids}`[i - 1] <=> word)))")
+    return F.filter(F.zip_with(first, labels, lambda f, l: F.when(f, l)), lambda l: l.isNotNull())
 
 
 def recall(df: DataFrame, gold: str, predicted: str) -> DataFrame:
@@ -178,32 +177,25 @@ def false_correction_rate(df: DataFrame, correct: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("corrections"), F.count_if(~F.col(correct)).alias("false_corrections")).withColumn("rate", S.ratio(F.col("false_corrections"), F.col("corrections")))
 
 
-def flagged_first(df: DataFrame, flag: str, order: list[Column], target: int) -> DataFrame:
-    """All flagged rows, filled up to target with others in order; more flagged ones than that all stay."""
-    rank = F.row_number().over(Window.orderBy(F.desc(flag), *order))
-    return df.withColumn("_r", rank).where(F.col(flag) | (F.col("_r") <= target)).drop("_r")
-
-
 def one_per_category(df: DataFrame, key: str, categories: str, order: Column, target: int) -> DataFrame:
     """The first row of each category in order, filled up to target with the next ones. The target is the operator's feature."""
     first = df.select(key, order.alias("_o"), F.explode(categories).alias("_c")).groupBy("_c").agg(F.min(F.struct("_o", key)).alias("_f")).select(F.col(f"_f.{key}").alias(key)).distinct().withColumn("_must", F.lit(True))
     return df.join(first, key, "left").orderBy(F.col("_must").isNull(), order, key).limit(target).drop("_must")
 
 
+def failure_signatures(df: DataFrame, signature: list[str], damage: str, key: str, most: int) -> DataFrame:
+    """The worst row of each signature, the worst of them first, most at most. The limit is the operator's feature."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    worst = df.groupBy(*signature).agg(F.min_by(row, F.struct(-F.col(damage), F.col(key))).alias("_r")).select("_r.*")
+    return worst.orderBy(F.desc(damage), key).limit(most)
+
+
 def contiguous_runs(df: DataFrame, by: str, position: str) -> DataFrame:
     """(by, start, end) of runs of neighbouring positions, end exclusive."""
     island = F.col(position) - F.row_number().over(Window.partitionBy(by).orderBy(position))
     return df.select(by, position).distinct().withColumn("_g", island).groupBy(by, "_g").agg(F.min(position).alias("start"), (F.max(position) + 1).alias("end")).drop("_g")
 
 
-def study_design(tasks: DataFrame, order: Column, participants: int, each: int) -> DataFrame:
-    """tasks with participant and condition: disjoint slices of the order, conditions in turn, the first one by participant."""
-    rank = F.row_number().over(Window.orderBy(order)) - 1
-    out = tasks.withColumn("_r", rank).where(F.col("_r") < participants * each)
-    who = F.floor(F.col("_r") / each)
-    return out.withColumn("participant", who + 1).withColumn("condition", F.when((F.col("_r") % each + who) % 2 == 0, "assisted").otherwise("manual")).drop("_r")
-
-
 def coverage_report(paths: DataFrame, covered: DataFrame) -> DataFrame:
     """(path, modules, uncovered): each path's modules that no test covers; paths has path and modules, covered has module."""
     each = paths.select("path", F.explode("modules").alias("module")).join(covered.select("module", F.lit(True).alias("_c")).distinct(), "module", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
+from tapal.operators.ranking import numbered
 
 
 def violations(df: DataFrame, key: str) -> DataFrame:
@@ -110,6 +111,11 @@ def unresolved_pattern(d: Column, o: Column, k: Column) -> Column:
     )
 
 
+def unclassified(rows: DataFrame) -> DataFrame:
+    """(village_code, d, o, k) of rows to review whose triplet fits no class; group_unresolved leaves them out, so there should be none."""
+    return rows.where((F.col("verification_status") == "review_required") & unresolved_pattern(F.col("d"), F.col("o"), F.col("k")).isNull()).select("village_code", "d", "o", "k")
+
+
 TRIPLET = ["city_code", "district_code", "unresolved_pattern", "d", "o", "k"]
 
 
@@ -134,19 +140,15 @@ def clusters(detail: DataFrame) -> DataFrame:
     sums = detail.groupBy(*key).agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("triplet_cluster_id").alias("triplet_count"), values("d").alias("d_values"), values("o").alias("o_values"), values("k").alias("k_values"))
     first = detail.withColumn("_r", F.row_number().over(Window.partitionBy("district_cluster_id").orderBy("village_code"))).where("_r <= 5")
     first = first.groupBy("district_cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("village_code", "village_name"))), lambda x: x["village_code"]), ";").alias("sample_codes"))
-    out = sums.join(first, "district_cluster_id")
-    rank = F.row_number().over(Window.orderBy(F.desc("row_count"), "city_code", "district_code", "unresolved_pattern"))
-    return out.withColumn("cluster_rank", rank)
+    return numbered(sums.join(first, "district_cluster_id"), [F.desc("row_count"), F.col("city_code"), F.col("district_code"), F.col("unresolved_pattern")], "cluster_rank")
 
 
 def spotcheck_queue(detail: DataFrame, observations: DataFrame | None = None) -> DataFrame:
     """One representative for each triplet, ranked; with observations (village_code, observed) their status and matches."""
-    first = F.row_number().over(Window.partitionBy("triplet_cluster_id").orderBy("village_code"))
-    rep = detail.withColumn("_r", first).where("_r = 1").drop("_r")
+    rep = detail.groupBy("triplet_cluster_id").agg(F.min_by(F.struct(*[F.col(c) for c in detail.columns]), "village_code").alias("_r")).select("_r.*")
     impact = F.col("triplet_cluster_size")
     rep = rep.withColumn("priority", F.when(F.col("unresolved_pattern").contains("missing"), "P0_missing_source").when(impact >= 10, "P1_high_impact").when(impact >= 5, "P2_medium_impact").otherwise("P3_targeted"))
-    order = Window.orderBy("priority", F.desc("triplet_cluster_size"), F.desc("district_cluster_size"), "city_code", "district_code", "triplet_cluster_id", "village_code")
-    rep = rep.withColumn("queue_rank", F.row_number().over(order))
+    rep = numbered(rep, [F.col("priority"), F.desc("triplet_cluster_size"), F.desc("district_cluster_size"), F.col("city_code"), F.col("district_code"), F.col("triplet_cluster_id"), F.col("village_code")], "queue_rank")
     if observations is None:
         return rep
     out = rep.join(observations.select("village_code", S.clean_postal("observed").alias("observed")), "village_code", "left").withColumn("observed", F.coalesce("observed", F.lit("")))

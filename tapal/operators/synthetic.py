@@ -5,10 +5,11 @@ All choices hang on a hash of (seed, id, purpose), so a row comes out the same o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
+from tapal.operators.ranking import numbered
 
 STREETS = ["Mawar", "Melati", "Merdeka", "Asia Afrika", "Veteran", "Pahlawan", "Cendana", "Kenanga"]
 
@@ -25,10 +26,10 @@ def pick(values: list[str], u: Column) -> Column:
 def base_addresses(chains: DataFrame, n: int, seed: int) -> DataFrame:
     """n addresses over the chains (village_name, district_name, city_name, province_name, postal_code) in turn; base_id tells them apart."""
     spark = chains.sparkSession
-    numbered = chains.select("*", F.xxhash64(F.lit(seed), "village_code").alias("_h"))
-    ranked = numbered.select("*", F.row_number().over(Window.orderBy("_h", "village_code")).alias("_i")).drop("_h")
+    hashed = chains.select("*", F.xxhash64(F.lit(seed), "village_code").alias("_h"))
+    ranked = numbered(hashed, [F.col("_h"), F.col("village_code")], "_i").drop("_h")
     total = chains.count()
-    ids = spark.range(n).select(F.col("id").alias("base_id"), (F.pmod("id", F.lit(total)) + 1).cast("int").alias("_i"))
+    ids = spark.range(n).select(F.col("id").alias("base_id"), (F.pmod("id", F.lit(total)) + 1).alias("_i"))
     out = ids.join(ranked, "_i").drop("_i")
     u = lambda purpose: uniform(seed, purpose, "base_id")
     out = out.withColumn("street", pick(STREETS, u("street"))).withColumn("number", (F.floor(u("number") * 200) + 1).cast("string"))

@@ -64,6 +64,13 @@ def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("{array}", "array"), **used)
 
 
+def addresses(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The same for tables of addresses, which much is computed for row by row: where the orders come in fewer parts than there are cores, the rows are dealt out."""
+    df, cores = spark_table(spark, sf_dir, sql), spark.sparkContext.defaultParallelism
+    parts = spark.read.parquet(f"{sf_dir}/orders.parquet").rdd.getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
+
+
 def oracle_table(sql: str) -> str:
     """The same as a subquery for the oracle."""
     for t in TABLES:
