@@ -25,7 +25,9 @@ MIN_WORDS = 50
 #: Jensen-Shannon distances (base 2, the square root of the divergence) beyond which a document is rejected.
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.26
-#: Documents that a language needs before its reference is used.
+#: Languages whose references are broadcast at most, some 200 bytes each; more of them are joined by key.
+BROADCAST_LANGUAGES = 50_000
+#: Words that a language needs before its reference is used.
 MIN_REFERENCE_WORDS = 1000
 
 
@@ -89,11 +91,11 @@ def distance(p: str, q: str) -> Column:
 def judge(features_of: DataFrame, refs: DataFrame) -> DataFrame:
     """features_of with base_failed, class_distance, word_distance and kept.
 
-    refs has a row for each language, and all of them are used; Spark chooses the join. A document of less than
-    MIN_WORDS words, or of a language whose reference has too few words, keeps the base rules' verdict.
+    refs has a row for each language, and all of them are used. They are broadcast if they are few, as a language may
+    hold most of the documents; refs is counted for that and should be a stored table. A document of less than MIN_WORDS words, or of a language whose reference has too few words, keeps the base rules' verdict.
     """
     used = refs.where(F.col("ref_words") >= MIN_REFERENCE_WORDS)
-    df = features_of.join(used, "_lang", "left")
+    df = features_of.join(F.broadcast(used) if used.count() <= BROADCAST_LANGUAGES else used, "_lang", "left")
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     enough = (F.col("n_words") >= MIN_WORDS) & F.col("ref_words").isNotNull()
     df = df.withColumn("class_distance", F.when(enough, distance("_classes", "ref_classes"))).withColumn("word_distance", F.when(enough, distance("_common", "ref_common")))
@@ -108,7 +110,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Repeated rows each get a row; an empty table gives an empty result.
     """
     found = cut(features(docs.select("doc_id", "text", "lang")).drop("text"))
-    return judge(found, references(found))
+    return judge(found, cut(references(found)))
 
 
 def rejected_removed(docs: DataFrame) -> DataFrame:
