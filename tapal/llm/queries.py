@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapal.llm import chat, decontaminate, extract, lines, merkle, pipeline, quality, simhash, substrings, tokens, warc
+from tapal.llm import chat, decontaminate, extract, lexical, lines, merkle, pipeline, quality, simhash, substrings, tokens, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_token_counts": tokens.op8_token_counts,
         "op9_chat": chat.op9_chat,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_wavelet": lexical.op11_wavelet,
         "op12_merkle": merkle.op12_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.OP9_SQL, "op12_merkle": merkle.OP12_SQL}
+    return {"op9_chat": chat.OP9_SQL, "op11_wavelet": lexical.OP11_SQL, "op12_merkle": merkle.OP12_SQL}
