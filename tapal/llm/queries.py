@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapal.llm import chat, decontaminate, extract, lexical, lines, merkle, pipeline, quality, simhash, substrings, tokens, warc
+from tapal.llm import chat, decontaminate, extract, lexical, lines, merkle, pipeline, quality, simhash, substrings, tokens, voting, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_wavelet": lexical.op11_wavelet,
         "op12_merkle": merkle.op12_merkle,
+        "op13_voting": voting.op13_voting,
     }
 
 
