@@ -1,14 +1,13 @@
-"""Arrow functions for what built-in expressions cannot say: compatibility forms, fuzzy ratios and the sequential tagger."""
+"""Arrow functions for what built-in expressions cannot say: compatibility forms and the sequential tagger."""
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Words that open a span, by field in order of precedence, and the most tokens that a span takes.
 OPENERS = {
@@ -50,12 +49,6 @@ def compose_fields(x: pd.Series) -> pd.Series:
     return x.map(lambda row: None if row is None else [None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()) for v in row])
 
 
-@F.pandas_udf(DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the characters in matching blocks over all characters."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def opener(token: str) -> str | None:
     word = re.sub(r"[^a-z0-9]", "", token.lower())
     return next((f for f, markers in OPENERS.items() if any(word.startswith(m) for m in markers)), None)

@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
-from tapal.functions.text_udfs import matching_ratio
+from tapal.functions.matching import matching_ratio, matching_ratios
 from tapal.operators import evaluation as E
 
-#: Words that an administrative value may begin with, by field.
-PREFIXES = {"KECAMATAN": ["kec", "kecamatan"], "KOTA_KABUPATEN": ["kab", "kabupaten", "kota"], "KELURAHAN": ["kel", "kelurahan", "desa", "ds"], "PROVINSI": ["prov", "provinsi"]}
-ABBREVIATIONS = ["jl", "jln", "gg", "kp", "kec", "kel", "kab", "prov", "no"]
-LANDMARKS = ["depan", "dekat", "samping", "belakang", "seberang", "sebelah", "patokan"]
+#: Words that an administrative value may hold beside its name, by field.
+PREFIXES = {"KECAMATAN": ["kec", "kecamatan", "kecmtn", "kcmtn"], "KOTA_KABUPATEN": ["kab", "kabupaten", "kb", "kota"]}
+#: Tokens that make an error case one of abbreviations, or of landmarks.
+ABBREVIATIONS = ["jl", "jln", "kp", "kpg", "gg", "no", "ds", "kel", "kec", "kecmtn", "kcmtn", "kab", "kb", "kota", "rt", "rw"]
+LANDMARKS = ["dekat", "sebelah", "depan", "belakang", "samping", "masjid", "gereja", "pasar", "sekolah", "kantor", "jembatan", "gang", "gg"]
+#: What a segment's district, city and province begin with or are, and from which ratio on it is a known name.
+DISTRICT_OPENERS = ["kecamatan", "kecmatan", "kmctn", "kcmtn", "kecamatn", "kecamtan", "kec", "kc"]
+CITY_OPENERS = ["kabupaten", "kabupatn", "kbupatn", "kabpatn", "kabupatan", "kab", "kb", "kota", "kta", "kt"]
+PROVINCE = "jawabarat"
+PROVINCE_SHORT = "jabar"
+MATCH = 0.62
+#: A numbered field's token with its number, its marker alone, and a number that may follow one.
+NUMBERED = {"RT": ("^rt\\.{0,2}[0-9]+[a-z]?$", "^rt\\.{0,2}$"), "RW": ("^rw\\.{0,2}[0-9]+[a-z]?$", "^rw\\.{0,2}$"), "NOMOR": ("^(?:no|nomor|nomer)\\.?[0-9]+[a-z]?$", "^(?:no|nomor|nomer)\\.?$")}
+NUMBER, POSTAL = "^\\.{0,2}[0-9]+[a-z]?$", "^[0-9]{5}$"
+#: Letters of a segment without a known name from which it has to be looked at.
+LONG_SEGMENT = 25
 
 
 def indexed_tokens(tokens: str) -> Column:
@@ -172,3 +184,72 @@ def worksheet_problems(df: DataFrame, key: str, original: str, noised: str) -> D
     checks = {"blank": S.surface(noised) == "", "identical": (S.surface(noised) != "") & (form(original) == form(noised)), "long_digit_run": F.col(noised).rlike("[0-9]{7}")}
     found = df.select(key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]))).alias("problem"))
     return found.unionByName(df.groupBy(key).count().where("count > 1").select(key, F.lit("repeated").alias("problem")))
+
+
+def _opened(x: Column, words: list[str]) -> Column:
+    """What follows the longest of the words that x begins with, null if none or nothing does."""
+    return F.when(x.rlike("^(?:" + "|".join(words) + ")."), strip_prefix(x, words))
+
+
+def _quoted(x: Column) -> Column:
+    """A text in quotes: single ones, or double ones if it has single ones only."""
+    plain = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    single = F.when(x.contains("'") & ~x.contains('"'), F.concat(F.lit('"'), plain, F.lit('"')))
+    return F.coalesce(single, F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _token_label(token: Column, before: Column, behind: Column) -> Column:
+    """The label of a token of a numbered field or a postal code, given its neighbours in the segment; else empty."""
+    low, last, following = (F.lower(F.coalesce(x, F.lit(""))) for x in (token, before, behind))
+    out = F
+    for field, (whole, _) in NUMBERED.items():
+        out = out.when(low.rlike(whole), f"B-{field}")
+    for field, (_, marker) in NUMBERED.items():
+        out = out.when(low.rlike(marker) & following.rlike(NUMBER), f"B-{field}").when(last.rlike(marker) & low.rlike(NUMBER), f"I-{field}")
+    return out.when(low.rlike(POSTAL), "B-KODEPOS").otherwise("")
+
+
+def annotated(df: DataFrame, tokens: str, district: str, city: str) -> DataFrame:
+    """df with labels and flags: BIO labels told from the tokens and the district and city that the address is known to be in.
+
+    Segments between break tokens lose their numbered fields and postal code first. What is left of one is the
+    province, the district or the city if it is a known name, spelled exactly or alike (a ratio of MATCH or more) and
+    with or without an opening word; the first of the others is the street, later ones are details. Spans begin anew
+    behind every gap. flags says what stays open, as kind:'text': a number with letters behind it, an opening word
+    with an unknown name, and a long segment without a known name. Null or empty tokens have no labels.
+    All is done within the row, and only pairs whose letters can reach MATCH are compared.
+    """
+    names = set(df.columns)
+    known_city = F.coalesce(_opened(S.clean_token(F.coalesce(F.col(city), F.lit(""))), ["kabupaten", "kota"]), S.clean_token(F.coalesce(F.col(city), F.lit(""))))
+    out = df.withColumn("_t", F.coalesce(F.col(tokens), F.array().cast("array<string>")))
+    cuts = F.filter(F.transform("_t", lambda t, i: F.when(t.isin(",", ";", "-"), i)), lambda i: i.isNotNull())
+    out = out.withColumn("_edges", F.concat(F.array(F.lit(-1)), cuts, F.array(F.size("_t"))))
+    runs = F.transform(F.slice("_edges", F.lit(1), F.size("_edges") - 1), lambda a, k: F.slice("_t", a + 2, F.get("_edges", k + 1) - a - 1))
+    out = out.withColumn("_runs", runs)
+    kinds = F.transform("_runs", lambda run: F.transform(run, lambda t, i: _token_label(t, F.get(run, i - 1), F.get(run, i + 1))))
+    out = out.withColumn("_kinds", kinds)
+    # What is left of each segment: its tokens as they are, and their letters and digits.
+    left = F.zip_with("_runs", "_kinds", lambda run, kind: F.filter(F.zip_with(run, kind, lambda t, k: F.when(k == "", t)), lambda t: t.isNotNull()))
+    out = out.withColumn("_left", F.transform(left, lambda x: F.struct(F.size(x).alias("n"), F.array_join(x, "").alias("text"), S.clean_token(F.array_join(x, "")).alias("letters"))))
+    own = F.transform("_left", lambda s: F.struct(s["n"].alias("n"), s["text"].alias("text"), s["letters"].alias("letters"), _opened(s["letters"], DISTRICT_OPENERS).alias("d"), _opened(s["letters"], CITY_OPENERS).alias("c")))
+    out = out.withColumn("_left", own)
+    said = F.flatten(F.transform("_left", lambda s: F.array(F.coalesce(s["d"], s["letters"]), F.coalesce(s["c"], s["letters"]))))
+    known = F.flatten(F.transform("_left", lambda s: F.array(S.clean_token(F.coalesce(F.col(district), F.lit(""))), known_city)))
+    out = out.withColumn("_ratios", matching_ratios(MATCH)(said, known))
+
+    def told(s: Column, k: Column) -> Column:
+        as_district, as_city = F.get("_ratios", 2 * k), F.get("_ratios", 2 * k + 1)
+        first = F.when(s["n"] == 0, "").when((s["letters"] == PROVINCE_SHORT) | s["letters"].contains(PROVINCE), "PROVINSI")
+        return first.when((as_district >= MATCH) & (as_district >= as_city), "KECAMATAN").when(as_city >= MATCH, "KOTA_KABUPATEN").when(s["d"].isNotNull(), "?KECAMATAN").when(s["c"].isNotNull(), "?KOTA_KABUPATEN").otherwise("PLACE")
+
+    out = out.withColumn("_told", F.transform("_left", told)).withColumn("_street", F.array_position("_told", "PLACE"))
+    field = F.transform("_told", lambda x, k: F.when(x == "PLACE", F.when(k + 1 == F.col("_street"), "JALAN").otherwise("DETAIL_LOKASI")).otherwise(F.replace(x, F.lit("?"), F.lit(""))))
+    out = out.withColumn("_field", field)
+    spans = lambda kind, name: F.transform(kind, lambda x, i: F.when(x != "", x).otherwise(F.concat(F.when((i == 0) | (F.get(kind, i - 1) != ""), "B-").otherwise("I-"), name)))
+    labels = F.flatten(F.transform("_kinds", lambda kind, k: F.concat(F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("O"))), spans(kind, F.get("_field", k)))))
+    noisy = lambda run, kind: F.filter(F.zip_with(run, kind, lambda t, k: F.when(k.isin("B-RT", "B-RW") & F.lower(t).rlike("[0-9][a-z]$"), F.concat(F.lower(F.substring(k, 3, 2)), F.lit("_token_has_trailing_noise:"), _quoted(t)))), lambda x: x.isNotNull())
+    opens = lambda x, s: F.when(x == "?KECAMATAN", F.lit("unmatched_kecamatan_designator:")).when(x == "?KOTA_KABUPATEN", F.lit("unmatched_kabupaten_designator:")).when((x == "PLACE") & (F.length(s["letters"]) > LONG_SEGMENT), F.lit("long_unmatched_segment_needs_review:"))
+    segment = lambda k: F.array_compact(F.array(F.concat(opens(F.get("_told", k), F.get("_left", k)), _quoted(F.get("_left", k)["text"]))))
+    flags = F.flatten(F.transform("_runs", lambda run, k: F.concat(noisy(run, F.get("_kinds", k)), segment(k))))
+    out = out.withColumn("labels", F.when(F.size("_t") > 0, labels).otherwise(F.array().cast("array<string>"))).withColumn("flags", flags)
+    return out.drop(*{"_t", "_edges", "_runs", "_kinds", "_left", "_ratios", "_told", "_street", "_field"} - names)

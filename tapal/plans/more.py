@@ -434,7 +434,8 @@ def _(spark, sf_dir):
 
 @query("unicode_forms", "SELECT p_partkey, 'Jalan ' || cast(p_partkey AS string) AS composed, 1.0 AS same FROM part")
 def _(spark, sf_dir):
-    from tapal.functions.text_udfs import compose, matching_ratio
+    from tapal.functions.matching import matching_ratio
+    from tapal.functions.text_udfs import compose
 
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("Ｊａｌａｎ　　"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "０１２３４５６７８９")).alias("x"), "p_name")
     return part.select("p_partkey", compose("x").alias("composed"), matching_ratio("p_name", "p_name").alias("same"))

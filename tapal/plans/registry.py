@@ -480,4 +480,4 @@ def _(spark, sf_dir):
     return s.groupBy("source").agg(F.count_if(F.col("v") != "").alias("n_given"), F.countDistinct(F.nullif("v", F.lit(""))).alias("n_distinct"))
 
 
-from tapal.plans import more  # noqa: E402, F401  the other half of the queries
+from tapal.plans import annotator, more, places  # noqa: E402, F401  the other queries

@@ -34,13 +34,22 @@ def read_document(spark: SparkSession, path: str, rows: str, schema: str) -> Dat
     return spark.read.schema(f"{rows} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; without spark.checkpoint.dir a local session takes a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; without it a local session takes a temporary one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tapal-"))
+        found = "file://" + tempfile.mkdtemp(prefix="tapal-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -1,7 +1,8 @@
-"""OpenStreetMap PBF files as nodes and ways.
+"""OpenStreetMap PBF files as nodes and ways, and back.
 
-A file's blobs are found by one pass over its framing on each executor; blocks are decoded one at a time, so memory is
-bounded by a block. Dense ids and coordinates are running sums of the stored differences.
+The name of a data blob's type ends one blob's header bytes and begins the next, so that Spark's text reader can split a
+file there: ranges of one file are read by many tasks, from any store that Spark reads, and memory is bounded by a blob.
+Dense ids and coordinates are running sums of the stored differences.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ from pyspark.sql import functions as F
 
 NODES = "id long, lat double, lon double, tags map<string,string>"
 WAYS = "id long, node_ids array<long>, tags map<string,string>"
+#: The types of blobs.
+HEADER_TYPE, DATA_TYPE = b"OSMHeader", b"OSMData"
+#: Where files are split: the first field of a data blob's header.
+SPLIT = b"\n" + bytes([len(DATA_TYPE)]) + DATA_TYPE
+#: Nodes or ways of a block that is written.
+BLOCK_ROWS = 8000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -71,6 +78,10 @@ def signed(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
 
 
+def unzigzag(n: int) -> int:
+    return (n >> 1) ^ -(n & 1)
+
+
 def one(message: dict[int, list], number: int, default):
     return message[number][-1] if number in message else default
 
@@ -82,25 +93,70 @@ def message(data: bytes) -> dict[int, list]:
     return out
 
 
+def unpacked(body: bytes) -> bytes:
+    """What a blob holds."""
+    blob = message(body)
+    if 1 in blob:
+        return blob[1][-1]
+    if 3 in blob:
+        return zlib.decompress(blob[3][-1])
+    raise ValueError("a blob is compressed by LZMA" if 4 in blob else "a blob is neither raw nor zlib")
+
+
 def blocks(stream: io.BufferedIOBase) -> Iterator[bytes]:
-    """The decoded data blocks of a file; header blocks are checked and left out."""
+    """The decoded data blocks of a file that is one stream; header blocks are left out, other types are an error."""
     while head := stream.read(4):
         if len(head) < 4:
             raise ValueError("a blob's length is cut short")
-        header = message(stream.read(struct.unpack(">I", head)[0]))
-        size = one(header, 3, 0)
-        body = stream.read(size)
-        if len(body) != size:
+        size = struct.unpack(">I", head)[0]
+        held = stream.read(size)
+        if len(held) != size:
+            raise ValueError("a blob's header is cut short")
+        header = message(held)
+        if 1 not in header or 3 not in header:
+            raise ValueError("a blob's header has no type or no size")
+        body = stream.read(header[3][-1])
+        if len(body) != header[3][-1]:
             raise ValueError("a blob is cut short")
-        blob = message(body)
-        if 1 in blob:
-            data = blob[1][0]
-        elif 3 in blob:
-            data = zlib.decompress(blob[3][0])
-        else:
-            raise ValueError("a blob is neither raw nor zlib")
-        if one(header, 1, b"") == b"OSMData":
-            yield data
+        kind = header[1][-1]
+        if kind == DATA_TYPE:
+            yield unpacked(body)
+        elif kind != HEADER_TYPE:
+            raise ValueError(f"a blob of the type {kind!r}")
+
+
+def _ends_with_length(piece: bytes) -> bool:
+    """Whether whole blobs and then four bytes make up the piece."""
+    at = 0
+    while len(piece) - at > 4:
+        size = struct.unpack(">I", piece[at : at + 4])[0]
+        at += 4 + size + one(message(piece[at + 4 : at + 4 + size]), 3, 0)
+    return len(piece) - at == 4
+
+
+def block_of(piece: bytes) -> bytes | None:
+    """The decoded block of what stands between two SPLITs of a file; None for what stands before the first.
+
+    That is the rest of a blob's header, the blob, and the length of the next header. Anything else is an error, so
+    that a piece that is cut inside a blob cannot pass; read such a file with whole=True. Only a file that is cut right
+    behind a header's length reads as if it ended there.
+    """
+    if piece[:1] == b"\0":  # no field begins like this, but a header's length does
+        if list(blocks(io.BytesIO(piece[: len(piece) - 4] if _ends_with_length(piece) else piece))):
+            raise ValueError("a data blob before the first split")
+        return None
+    at = 0
+    while at < len(piece):
+        key, at = _varint(piece, at)
+        n, at = _varint(piece, at)
+        if key >> 3 == 3:
+            break
+        at += n if key & 7 == 2 else 0
+    else:
+        raise ValueError("a blob's header has no size")
+    if len(piece) - at - n not in (0, 4):
+        raise ValueError("a blob of another type or size than its header says, or its type's name inside it")
+    return unpacked(piece[at : at + n])
 
 
 def _tags(keys: np.ndarray, values: np.ndarray, strings: list[str]) -> list[tuple[str, str]]:
@@ -110,13 +166,15 @@ def _tags(keys: np.ndarray, values: np.ndarray, strings: list[str]) -> list[tupl
 def decode_block(data: bytes) -> tuple[list[tuple], list[tuple]]:
     """(nodes, ways) of a block as (id, lat, lon, tags) and (id, node ids, tags)."""
     block = message(data)
-    strings = [s.decode("utf-8", "replace") for s in message(one(block, 1, b"")).get(1, [])]
-    grain, lat0, lon0 = one(block, 17, 100), one(block, 19, 0), one(block, 20, 0)
+    strings = [s.decode("utf-8", "replace") for s in message(block[1][-1]).get(1, [])] if 1 in block else [""]
+    grain, lat0, lon0 = one(block, 17, 100), unzigzag(one(block, 19, 0)), unzigzag(one(block, 20, 0))
     place = lambda base, v: 1e-9 * (base + grain * v)
     nodes, ways = [], []
     for group in map(message, block.get(2, [])):
         for node in map(message, group.get(1, [])):
-            i, lat, lon = (int(signed(np.array([one(node, n, 0)], np.uint64))[0]) for n in (1, 8, 9))
+            if not {1, 8, 9} <= node.keys():
+                raise ValueError("a node without id or place")
+            i, lat, lon = (unzigzag(node[n][-1]) for n in (1, 8, 9))
             nodes.append((i, place(lat0, lat), place(lon0, lon), _tags(packed(one(node, 2, b"")), packed(one(node, 3, b"")), strings)))
         for dense in map(message, group.get(2, [])):
             ids, lats, lons = (np.cumsum(signed(packed(one(dense, n, b"")))) for n in (1, 8, 9))
@@ -130,12 +188,18 @@ def decode_block(data: bytes) -> tuple[list[tuple], list[tuple]]:
                 at += 1
                 nodes.append((i, place(lat0, lat), place(lon0, lon), list(tags.items())))
         for way in map(message, group.get(3, [])):
+            if 1 not in way:
+                raise ValueError("a way without id")
             ways.append((one(way, 1, 0), np.cumsum(signed(packed(one(way, 8, b"")))).tolist(), _tags(packed(one(way, 2, b"")), packed(one(way, 3, b"")), strings)))
     return nodes, ways
 
 
-def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The nodes or the ways of PBF files; files in a folder are read in parallel."""
+def read(spark: SparkSession, path: str, kind: str, whole: bool = False) -> DataFrame:
+    """The nodes or the ways of PBF files, in ranges of spark.sql.files.maxPartitionBytes.
+
+    With whole a file is one row of one task, 2 GB at most: for files whose data blobs hold the bytes of SPLIT or whose
+    headers have their fields in another order, which are an error otherwise.
+    """
     tags = pa.map_(pa.string(), pa.string())
     if kind == "nodes":
         schema, types, names = NODES, [pa.int64(), pa.float64(), pa.float64(), tags], ["id", "lat", "lon", "tags"]
@@ -145,12 +209,76 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for data in blocks(io.BytesIO(content.as_py())):
+                held = content.as_py()
+                for data in blocks(io.BytesIO(held)) if whole else filter(None, [block_of(held)]):
                     rows = decode_block(data)[0 if kind == "nodes" else 1]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, schema)
+    if whole:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, schema)
+    return spark.read.option("lineSep", SPLIT.decode()).text(path).select(F.col("value").cast("binary")).mapInArrow(each, schema)
+
+
+def varint_of(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def field_of(number: int, value: int | bytes) -> bytes:
+    if isinstance(value, int):
+        return varint_of(number << 3) + varint_of(value)
+    return varint_of(number << 3 | 2) + varint_of(len(value)) + value
+
+
+def differences(values: list[int]) -> bytes:
+    """Packed zigzag differences of values."""
+    steps = np.diff(np.array(values, dtype=np.int64), prepend=0)
+    return b"".join(map(varint_of, ((steps << 1) ^ (steps >> 63)).view(np.uint64).tolist()))
+
+
+def framed(kind: bytes, block: bytes) -> bytes:
+    """A blob with its header, without its last byte, which is a line feed: an extra field that readers pass over ends it."""
+    body = field_of(2, len(block)) + field_of(3, zlib.compress(block)) + field_of(15, 10)
+    header = field_of(1, kind) + field_of(3, len(body))
+    return (struct.pack(">I", len(header)) + header + body)[:-1]
+
+
+def encode_block(rows: list[dict], kind: str) -> bytes:
+    """A block of nodes (dense) or ways; null tags are none, coordinates are in 1e-7 degrees."""
+    strings: dict[str, int] = {"": 0}
+    place = lambda s: strings.setdefault(s or "", len(strings))
+    tagged = [[(place(k), place(v)) for k, v in row["tags"] or []] for row in rows]
+    if kind == "nodes":
+        mixed = b"".join(varint_of(x) for tags in tagged for x in (*(y for pair in tags for y in pair), 0))
+        group = field_of(2, b"".join(field_of(n, differences(v)) for n, v in ((1, [r["id"] for r in rows]), (8, [round(r["lat"] * 1e7) for r in rows]), (9, [round(r["lon"] * 1e7) for r in rows]))) + field_of(10, mixed))
+    else:
+        packs = lambda ids: b"".join(map(varint_of, ids))
+        group = b"".join(field_of(3, field_of(1, r["id"]) + field_of(2, packs(k for k, _ in tags)) + field_of(3, packs(v for _, v in tags)) + field_of(8, differences(r["node_ids"]))) for r, tags in zip(rows, tagged))
+    return field_of(1, b"".join(field_of(1, s.encode()) for s in strings)) + field_of(2, group)
+
+
+def write(df: DataFrame, path: str, kind: str) -> None:
+    """Nodes or ways (columns of NODES or WAYS) added to a folder as PBF files, one of each partition.
+
+    Spark's text writer ends each blob with the line feed that is its last byte. A key of tags is not empty.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = field_of(4, b"OsmSchema-V0.6") + field_of(4, b"DenseNodes")
+        out = [framed(HEADER_TYPE, features)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                out.append(framed(DATA_TYPE, encode_block(batch.slice(at, BLOCK_ROWS).to_pylist(), kind)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["blob"])
+            out = []
+
+    columns = ["id", "lat", "lon", "tags"] if kind == "nodes" else ["id", "node_ids", "tags"]
+    df.select(*columns).mapInArrow(each, "blob binary").select(F.col("blob").cast("string")).write.mode("append").option("lineSep", "\n").text(path)
 
 
 def landmarks(nodes: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
