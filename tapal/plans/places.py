@@ -46,7 +46,7 @@ def _(spark, sf_dir):
     return found.select("id", F.round(F.col("lat") * 1e6).cast("int").alias("lat_e6"), F.round(F.col("lon") * 1e6).cast("int").alias("lon_e6"), "name", "category", F.col("address")["addr:street"].alias("street"))
 
 
-@query("osm_street_places", f"""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey AS node FROM lineitem), f AS (SELECT id, arg_min(node, line) AS first_node, count(*) AS n_nodes FROM l GROUP BY id)
+@query("osm_street_places", f"""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey AS node FROM lineitem), f AS (SELECT id, min(line * 100000000 + node) % 100000000 AS first_node, count(*) AS n_nodes FROM l GROUP BY id)
  SELECT w.id AS way_id, CASE WHEN w.name <> '' THEN w.name END AS name, w.highway, f.n_nodes, n.lat AS lat_e6, n.lon AS lon_e6 FROM {_w} w JOIN f ON f.id = w.id JOIN {_n} n ON n.id = f.first_node WHERE w.highway <> ''""")
 def _(spark, sf_dir):
     path = _files(spark, sf_dir)
