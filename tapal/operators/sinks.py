@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,13 @@ def tag_columns(df: DataFrame, keys: list[str], column: str = "tags") -> DataFra
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of all files under a folder."""
+    """(path, bytes, sha256) of all files under a folder, empty ones too, which Spark lists but does not scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    found = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    out = listed.select(plain("path").alias("path")).join(found.withColumn("path", plain("path")), "path", "left")
+    return out.select("path", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
 
 
 def quality_summary(tables: dict[str, DataFrame], key: str = "village_code") -> DataFrame:
