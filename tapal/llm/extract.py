@@ -35,9 +35,15 @@ NO_BLOCKS = {"button", "select", "option", "datalist"}
 ELEMENT = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "header": -4.0, "aside": -6.0, "form": -6.0, "menu": -5.0, "dialog": -5.0, "address": -1.0, "fieldset": -4.0}
 #: By element of the block itself:
 OWN = {"p": 1.0, "h1": 1.0, "h2": 1.0, "h3": 1.0, "h4": 0.8, "blockquote": 0.8, "pre": 0.8, "li": -0.2, "td": 0.0, "dd": 0.2, "figcaption": 0.5}
-#: By names in class, id or role of the block or an element around it:
+#: By names in class, id or role of the block or an element around it, each told by itself; what only says how a page is
+#: laid out (has-sidebar, comments-open, no-banner) is no name. A name with words of both kinds is a bad one, and names of
+#: both kinds at one element leave it to the text.
 BAD = re.compile(r"(?<![a-z])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|comments?|comment-?list|replies|reply|disqus|respond|related|recommended|more-?stories|pagination|pager|tags|search|copyright|legal|disclaimer|contentinfo|complementary|skip)(?![a-z])")
 GOOD = re.compile(r"(?<![a-z])(?:article|post|entry|content|main|story|body|text)(?![a-z])")
+LAYOUT = re.compile(r"(?<![a-z])(?:has|have|with|without|no|not|is|hide|show|js|allows?|supports?)-[a-z0-9-]*|[a-z0-9]+(?:-[a-z0-9]+)*-(?:open|opened|closed|enabled|disabled|visible|hidden|active|inactive|on|off|allowed|free|below|above|left-?out)(?![a-z-])")
+#: Short texts that say whose a page is, wherever they stand, and their odds.
+OWNERSHIP = re.compile(r"©|\(c\) ?[12]\d{3}|\bcopyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", re.IGNORECASE)
+OWNED_WORDS, OWNED = 20, -6.0
 BAD_NAME, GOOD_NAME = -7.0, 1.5
 #: An element of this weight or less is not helped by the elements around it: an advert in an article is an advert.
 ALONE = -3.5
@@ -54,6 +60,12 @@ CLEAR_CONTENT, CLEAR_OTHER = {"article", "main"}, {"nav", "footer", "aside", "fo
 ADJACENT, PROXIMITY = 0.4, 1.6
 
 
+#: A document type with a subset in brackets, and the opening of a marked section.
+SUBSET = re.compile(r"<!doctype[^>\[]*\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]\s*>", re.IGNORECASE)
+EMPTY_COMMENT = re.compile(r"<!---?>")
+MARKED = re.compile(r"<!\[[^\[\]<>]*\[")
+
+
 class Node:
     """An element's place in the tree."""
 
@@ -97,13 +109,35 @@ class Page(HTMLParser):
 
     def weight(self, tag: str, attrs) -> float:
         score = ELEMENT.get(tag, 0.0)
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower().replace("_", "-")
+        if tag == "header" and self.counts.get("article"):
+            score = 0.0  # an article's own header has its title
+        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower().replace("_", "-").split()
         if names and tag not in ("body", "html"):
-            score += BAD_NAME if BAD.search(names) else GOOD_NAME if GOOD.search(names) else 0.0
+            told = [LAYOUT.sub("", x) for x in names]
+            bad = any(BAD.search(x) for x in told)
+            good = any(GOOD.search(x) and not BAD.search(x) for x in told)
+            score += 0.0 if bad and good else BAD_NAME if bad else GOOD_NAME if good else 0.0
         if any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs):
             score += BAD_NAME
         return score
 
+    def parse_html_declaration(self, i):
+        """A document type with an internal subset ends behind the subset."""
+        if self.rawdata[i : i + 9].lower() == "<!doctype" and (found := SUBSET.match(self.rawdata, i)):
+            return found.end()
+        return super().parse_html_declaration(i)
+
+    def parse_comment(self, i, report=1):
+        """<!--> and <!---> are comments without text."""
+        found = EMPTY_COMMENT.match(self.rawdata, i)
+        return found.end() if found else super().parse_comment(i, report)
+
+    def parse_marked_section(self, i, report=1):
+        """A marked section of any name is a comment: up to ]]> if it opens a bracket, else or without one up to >, or all of the rest."""
+        ends = [x for x in ("]]>", ">") if x == ">" or MARKED.match(self.rawdata, i)]
+        found = next(((at, x) for x in ends if (at := self.rawdata.find(x, i + 3)) >= 0), None)
+        return found[0] + len(found[1]) if found else len(self.rawdata)
+
     def _end_head(self) -> None:
         """Ends an open head, unless the tag stands in a template or the like inside it."""
         for at in range(len(self.stack) - 1, -1, -1):
@@ -211,7 +245,8 @@ def likeness(block: Block, text: str) -> tuple[float, ...]:
 def odds(block: Block, text: str, weights: tuple[float, ...]) -> float:
     """The classifier's log odds that the block is content."""
     like = sum(w * x for w, x in zip(weights, likeness(block, text)))
-    return block.score + max(-TEXT_ODDS, min(TEXT_ODDS, like))
+    owned = OWNED if text.count(" ") < OWNED_WORDS and OWNERSHIP.search(text) else 0.0
+    return block.score + max(-TEXT_ODDS, min(TEXT_ODDS, like)) + owned
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -335,7 +370,7 @@ def fit(pages: DataFrame) -> tuple[float, ...]:
         for batch in batches:
             rows = []
             for html in binary(batch.column(0)).to_pylist():
-                own = [(*likeness(b, text), b.label) for b, text in parsed(html.decode()) if b.label is not None]
+                own = [(*likeness(b, text), b.label) for b, text in parsed(html.decode(errors="replace")) if b.label is not None]
                 rows += own[:: -(-len(own) // SAMPLE_BLOCKS) or 1]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns[:4]] + [pa.array(columns[4], pa.int64())], names=["a", "b", "c", "d", "label"])
@@ -361,7 +396,7 @@ def extract(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataF
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [main_text(x.decode(), weights) for x in binary(part.column(2)).to_pylist()]
+                texts = [main_text(x.decode(errors="replace"), weights) for x in binary(part.column(2)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return own.mapInArrow(each, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,25 +85,32 @@ def records_of(page_id: int | None, row: int, url: str, payload: bytes, kind: st
     return out
 
 
-def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an archive."""
-    while True:
+def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(fields, block, broken) of each record of an archive.
+
+    A record that is cut short, or whose length is missing or no number, is broken; reading goes on at the next line
+    that begins a record, as it does behind anything that is none. Header bytes that are no UTF-8 are replaced. Where
+    the compression itself breaks off, one broken record without fields is the last.
+    """
+    try:
         line = stream.readline()
-        if not line:
-            return
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("no WARC record begins here")
-        fields = {}
-        while (line := stream.readline()).strip():
-            k, _, v = line.decode().partition(":")
-            fields[k.strip().lower()] = v.strip()
-        n = int(fields["content-length"])
-        block = stream.read(n)
-        if len(block) != n:
-            raise ValueError("a record is cut short")
-        yield fields, block
+        while line:
+            if not line.startswith(b"WARC/"):
+                line = stream.readline()
+                continue
+            fields: dict[str, str] = {}
+            while (line := stream.readline()).strip() and not line.startswith(b"WARC/"):
+                k, _, v = line.decode(errors="replace").partition(":")
+                fields.setdefault(k.strip().lower(), v.strip())
+            length = fields.get("content-length", "")
+            if line.startswith(b"WARC/") or not (length.isascii() and length.isdigit()):
+                yield fields, b"", True
+                continue
+            block = stream.read(int(length))
+            yield fields, block, len(block) != int(length)
+            line = stream.readline()
+    except (EOFError, OSError, zlib.error):
+        yield {}, b"", True
 
 
 def with_kinds(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -145,13 +153,13 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 
 def scan(spark, path: str) -> DataFrame:
-    """(record_id, kind, origin, segment, total, refers_to, digest, payload_bytes, block, segmented) for each record of the archives; segmented if it has a segment number.
+    """(record_id, kind, origin, segment, total, refers_to, digest, payload_bytes, block, segmented, broken) for each record of the archives; segmented if it has a segment number.
 
-    Files are gzipped or plain and are read whole, one at a time in a task.
+    Files are gzipped or plain and are read whole, one at a time in a task. Whatever a file holds, no record stops the
+    job: broken ones come with broken true, of kind unknown and with a null id if their header does not say.
     """
-    names = ["record_id", "kind", "origin", "segment", "total", "refers_to", "digest", "payload_bytes", "block", "segmented"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
-    number = lambda x: int(x) if x is not None else None
+    names = ["record_id", "kind", "origin", "segment", "total", "refers_to", "digest", "payload_bytes", "block", "segmented", "broken"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +168,12 @@ def scan(spark, path: str) -> DataFrame:
                 raw = io.BytesIO(content.as_py())
                 zipped = raw.read(2) == b"\x1f\x8b"
                 raw.seek(0)
-                for f, block in read_records(gzip.open(raw) if zipped else raw):
-                    own = f["warc-record-id"]
-                    held.append((own, f["warc-type"], f.get("warc-segment-origin-id", own), int(f.get("warc-segment-number", 1)), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), f.get("warc-payload-digest", ""), number(f.get("x-payload-length")), block, "warc-segment-number" in f))
+                for f, block, broken in read_records(gzip.open(raw) if zipped else raw):
+                    own = f.get("warc-record-id")
+                    numbers = [_number(f.get(k), most) for k, most in (("warc-segment-number", 31), ("warc-segment-total-length", 63), ("x-payload-length", 63))]
+                    broken = broken or own is None or "warc-type" not in f or any(n is None for n in numbers)
+                    segment, total, length = (None if n is None or n < 0 else n for n in numbers)
+                    held.append((own, f.get("warc-type", "unknown"), f.get("warc-segment-origin-id", own), 1 if segment is None else segment, total, f.get("warc-refers-to"), f.get("warc-payload-digest", ""), length, block, "warc-segment-number" in f, broken))
                     size += len(block)
                     if size > SLICE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
@@ -171,7 +182,33 @@ def scan(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
-    return files.mapInArrow(each, "record_id string, kind string, origin string, segment int, total long, refers_to string, digest string, payload_bytes long, block binary, segmented boolean")
+    return files.mapInArrow(each, "record_id string, kind string, origin string, segment int, total long, refers_to string, digest string, payload_bytes long, block binary, segmented boolean, broken boolean")
+
+
+def _number(text: str | None, bits: int) -> int | None:
+    """A header's number; -1 if there is none, None if it is no number of that many bits."""
+    if text is None:
+        return -1
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 20 and int(text) < 1 << bits else None
+
+
+def transfer_codings(head: bytes) -> list[bytes]:
+    """The transfer codings of an HTTP header, in the order in which they were applied."""
+    fields = [line.partition(b":") for line in head.split(b"\n")[1:]]
+    named = [v for k, _, v in fields if k.strip().lower() == b"transfer-encoding"]
+    return [x for v in named for x in (y.split(b";")[0].strip().lower() for y in v.split(b",")) if x and x != b"identity"]
+
+
+def uncoded(body: bytes, coding: bytes) -> bytes:
+    """A body without one transfer coding; ValueError if it is broken or unknown."""
+    if coding == b"chunked":
+        return unchunked(body)
+    if coding in (b"gzip", b"x-gzip", b"deflate"):
+        try:
+            return zlib.decompress(body, 47)
+        except zlib.error as error:
+            raise ValueError("a compressed body is broken") from error
+    raise ValueError("a transfer coding is unknown")
 
 
 def payload_of(parts: list[tuple[int, int | None, bytes]], segmented: bool = False) -> bytes:
@@ -185,7 +222,9 @@ def payload_of(parts: list[tuple[int, int | None, bytes]], segmented: bool = Fal
     if not block.startswith(b"HTTP/"):
         return block
     head, _, body = block.partition(b"\r\n\r\n")
-    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    for coding in reversed(transfer_codings(head)):
+        body = uncoded(body, coding)
+    return body
 
 
 def reassembled(records: DataFrame) -> DataFrame:
@@ -193,26 +232,26 @@ def reassembled(records: DataFrame) -> DataFrame:
 
     Segments meet by their origin's id. A record without a segment number is decoded where it is read, so that only
     segmented ones are sent. complete is false, and payload null, if segments are missing or come twice, if the total
-    length, the declared length of the payload or its SHA-1 do not agree, or if the framing is broken. Continuations
+    length, the declared length of the payload or its SHA-1 do not agree, or if the record or the framing is broken. Continuations
     whose first segment is nowhere give one row with their origin's id, of kind continuation.
     """
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _decoded(batch, [[(1, None, b)] for b in batch.column("block").to_pylist()], False)
+            yield _decoded(batch, [None if broken else [(1, None, b)] for b, broken in zip(batch.column("block").to_pylist(), batch.column("broken").to_pylist())], False)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _decoded(batch, [[(p["segment"], p["total"], p["block"]) for p in x] for x in batch.column("parts").to_pylist()], True)
+            yield _decoded(batch, [None if any(p["broken"] for p in x) else [(p["segment"], p["total"], p["block"]) for p in x] for x in batch.column("parts").to_pylist()], True)
 
     schema = "record_id string, kind string, refers_to string, digest string, payload_bytes long, payload binary, complete boolean"
-    own = records.withColumn("segmented", (F.col("kind") == "continuation") | F.col("segmented"))
+    own = records.withColumn("segmented", ((F.col("kind") == "continuation") | F.col("segmented")) & F.col("origin").isNotNull())
     head = lambda c: F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c)
     groups = own.where("segmented").groupBy("origin").agg(
-        head("kind"), head("refers_to"), head("digest"), head("payload_bytes"), F.collect_list(F.struct("segment", "total", "block")).alias("parts")
+        head("kind"), head("refers_to"), head("digest"), head("payload_bytes"), F.collect_list(F.struct("segment", "total", "block", "broken")).alias("parts")
     )
     groups = groups.select(F.col("origin").alias("record_id"), F.coalesce("kind", F.lit("continuation")).alias("kind"), "refers_to", "digest", "payload_bytes", "parts")
-    plain = own.where("not segmented").select("record_id", "kind", "refers_to", "digest", "payload_bytes", "block")
+    plain = own.where("not segmented").select("record_id", "kind", "refers_to", "digest", "payload_bytes", "block", "broken")
     return plain.mapInArrow(single, schema).unionByName(groups.mapInArrow(joined, schema))
 
 
@@ -220,6 +259,9 @@ def _decoded(batch: pa.RecordBatch, parts: list, segmented: bool) -> pa.RecordBa
     names = ["record_id", "kind", "refers_to", "digest", "payload_bytes"]
     payloads: list[bytes | None] = []
     for kind, digest, size, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "digest", "payload_bytes")), parts):
+        if x is None:
+            payloads.append(None)
+            continue
         try:
             payload = b"" if kind == "revisit" else payload_of(x, segmented)
             declared = digest.removeprefix("sha1:") if digest and digest.startswith("sha1:") else None

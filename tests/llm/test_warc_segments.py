@@ -59,3 +59,44 @@ def test_empty_table(spark):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
     os.makedirs(path, exist_ok=True)
     assert warc.reassembled(warc.scan(spark, path)).count() == 0
+
+
+def made(kind, name, block, *more):
+    return warc.record([("WARC-Type", kind), ("WARC-Record-ID", name), *more], block)
+
+
+GOOD = made("response", "<good>", b"HTTP/1.1 200 OK\r\n\r\nfine")
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+@pytest.mark.parametrize(
+    "bad,expected",
+    [
+        (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <bad>\r\nX: \xff\xfe\r\nContent-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc\r\n\r\n", {"<bad>": ("response", True, b"abc")}),
+        (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <bad>\r\n\r\nno length\r\n\r\n", {"<bad>": ("response", False, None)}),
+        (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <bad>\r\nContent-Length: many\r\n\r\nx\r\n\r\n", {"<bad>": ("response", False, None)}),
+        (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <bad>\r\nContent-Length: -5\r\n\r\nx\r\n\r\n", {"<bad>": ("response", False, None)}),
+        (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <bad>\r\n", {"<bad>": ("response", False, None)}),
+        (b"noise before\r\nmore noise\r\n", {}),
+        (b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n", {None: ("unknown", False, None)}),
+        (made("response", "<bad>", b"HTTP/1.1 200 OK\r\n\r\nx", ("WARC-Segment-Number", "one")), {"<bad>": ("response", False, None)}),
+        (made("response", "<bad>", b"HTTP/1.1 200 OK\r\nTransfer-Encoding:chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"), {"<bad>": ("response", True, b"abc")}),
+        (made("response", "<bad>", b"HTTP/1.1 200 OK\r\ntransfer-encoding:  gzip , Chunked\r\n\r\n" + warc.chunked(gzip.compress(b"packed"))), {"<bad>": ("response", True, b"packed")}),
+        (made("response", "<bad>", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: br, chunked\r\n\r\n0\r\n\r\n"), {"<bad>": ("response", False, None)}),
+        (made("response", "<bad>", b"HTTP/1.1 200 OK\r\nX-Note: transfer-encoding: chunked\r\n\r\nplain"), {"<bad>": ("response", True, b"plain")}),
+    ],
+)
+def test_no_record_stops_the_job(spark, bad, expected, zipped):
+    """Broken and foreign records are rows, and the records around them are read."""
+    assert read(spark, [GOOD, bad, GOOD.replace(b"<good>", b"<next>")], zipped) == {"<good>": ("response", True, b"fine"), "<next>": ("response", True, b"fine"), **expected}
+
+
+def test_cut_archives(spark):
+    """A record or a compressed stream that breaks off gives a broken row behind the whole ones."""
+    cut = GOOD.replace(b"<good>", b"<cut>")[:-9]
+    assert read(spark, [GOOD, cut], False) == {"<good>": ("response", True, b"fine"), "<cut>": ("response", False, None)}
+    path = archive([])
+    with open(f"{path}/a.warc.gz", "wb") as f:
+        f.write(gzip.compress(GOOD) + gzip.compress(made("response", "<lost>", os.urandom(5000)))[:-900])
+    got = [(r.record_id, r.complete) for r in warc.reassembled(warc.scan(spark, path)).collect()]
+    assert ("<good>", True) in got and all(not c for i, c in got if i != "<good>") and len(got) >= 2
