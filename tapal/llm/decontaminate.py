@@ -15,8 +15,9 @@ from tapal.llm.common import binary, slices, small_batches, stored
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 #: Word edits allowed: a fifth of an item's words, rounded down.
 EDIT_SHARE = 5
-#: Embeddings of each window, LSH tables for each embedding and places that a table samples.
-#: A window at the allowed distance keeps half of its embedding or more, so a table finds it with 1/4 at least and all 24 with 0.999.
+#: Embeddings of each window from either end, LSH tables for each embedding and places that a table samples.
+#: Edits that stand together leave the walk from one end at least unchanged for two fifths of the words or more, so that
+#: half of its steps agree; a table finds such a window with 1/4, and the 24 tables from that end with 0.999.
 EMBEDDINGS, TABLES, PLACES = 4, 6, 2
 SEED = 20240229
 #: Items whose lengths are within this factor share tables; their windows have the length of the shortest.
@@ -69,18 +70,22 @@ def embed(windows: np.ndarray, k: int, steps: int, after: int) -> np.ndarray:
 
 
 class Tables:
-    """The LSH tables of items of about one length, whose first n words stand for them."""
+    """The LSH tables of items of about one length, whose first n words stand for them, or their last n words from the end on."""
 
-    def __init__(self, items: list[np.ndarray], numbers: list[int], n: int, size: int):
-        self.n, self.steps, self.size = n, max(1, n * 3 // 2), size  # in that many steps few walks reach the end
+    def __init__(self, items: list[np.ndarray], numbers: list[int], n: int, size: int, backward: bool):
+        self.n, self.steps, self.size, self.backward = n, max(1, n * 3 // 2), size, backward  # in that many steps few walks reach the end
         self.sampled = (np.random.default_rng(SEED).random((EMBEDDINGS, TABLES, PLACES)) * self.steps).astype(np.int64)
         self.sorted = []
-        own = np.stack([items[i][:n] for i in numbers])
+        own = np.stack([items[i][::-1][:n] if backward else items[i][:n] for i in numbers])
         for k in range(EMBEDDINGS):
             for keys in self.keys(own, k):
                 order = np.argsort(keys, kind="stable")
                 self.sorted.append((keys[order], np.array(numbers, dtype=np.int64)[order]))
 
+    def places(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places of each window's words in the order of the walk, for windows by where the item would begin and end."""
+        return ends[:, None] - 1 - np.arange(self.n) if self.backward else starts[:, None] + np.arange(self.n)
+
     def keys(self, windows: np.ndarray, k: int) -> list[np.ndarray]:
         """For each table of embedding k the key of each window: the words at the sampled places."""
         out = embed(windows, k, self.steps, self.size + 1).astype(np.uint64)
@@ -130,6 +135,14 @@ class Index:
         self.size = len(self.words)
         self.ids = [i for i, _ in split]
         self.items = [np.array([self.words[w] for w in words], dtype=np.int64) for _, words in split]
+        #: For each q the sorted numbers of what q words in a row the items have; a run of q is that of q - 1 and a word.
+        self.known: dict[int, np.ndarray] = {}
+        most = max((run_length(len(x)) for x in self.items), default=0)
+        so_far = self.items
+        for q in range(2, most + 1):
+            pairs = [run[:-1] * self.size + x[q - 1 :] if len(x) >= q else np.zeros(0, dtype=np.int64) for run, x in zip(so_far, self.items)]
+            self.known[q] = np.unique(np.concatenate(pairs))
+            so_far = [np.searchsorted(self.known[q], x) for x in pairs]
         runs: dict[int, list] = {}
         classes: dict[int, list[int]] = {}
         for k, x in enumerate(self.items):
@@ -143,19 +156,21 @@ class Index:
             self.runs[q] = codes[order], owners[order], places[order]
         #: Runs that an item's allowed edits leave at least.
         self.least = np.array([len(x) - run_length(len(x)) + 1 - run_length(len(x)) * edits_allowed(len(x)) for x in self.items], dtype=np.int64)
-        self.tables = [Tables(self.items, own, min(len(self.items[k]) for k in own), self.size) for own in classes.values()]
+        self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.tables = [[Tables(self.items, own, min(len(self.items[k]) for k in own), self.size, backward) for backward in (False, True)] for own in classes.values()]
         self.table_of = np.zeros(len(self.items), dtype=np.int64)
         for t, own in enumerate(classes.values()):
             self.table_of[own] = t
 
     def codes(self, words: np.ndarray, q: int) -> np.ndarray:
-        """A number for each q words in a row; -1 if one of them is in no item. Sizes stay under 2 ** 63 by BLOCK_BYTES."""
-        n = len(words) - q + 1
-        out, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-        for k in range(q):
-            out = out * self.size + words[k : k + n]
-            known &= words[k : k + n] >= 0
-        return np.where(known, out, -1)
+        """A number for each q words in a row; -1 if no item has them. Numbers stay under the items' words times their distinct words, whatever q is."""
+        out = words
+        for k in range(2, q + 1):
+            last = words[k - 1 :]
+            pair = np.where((out[:-1] >= 0) & (last >= 0), out[:-1] * self.size + last, -1)
+            at = np.minimum(np.searchsorted(self.known[k], pair), len(self.known[k]) - 1)
+            out = np.where((pair >= 0) & (self.known[k][at] == pair), at, -1)
+        return out
 
     def seeds(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item, start) of windows at which a run of an item stands, and the pairs row * items + item that have enough runs, sorted."""
@@ -187,25 +202,35 @@ class Index:
             return []
         seeds, likely = self.seeds(words, ends)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, tables in enumerate(self.tables):
-            starts = np.unique(seeds[self.table_of[seeds[:, 1]] == t][:, [0, 2]], axis=0)
-            step = max(1, WINDOW_WORDS // tables.n)
-            for c in range(0, len(starts), step):
-                row, start = starts[c : c + step].T
-                first, after = ends[row] - 1 - lengths[row], ends[row] - 1
-                places = start[:, None] + np.arange(tables.n)
-                inside = (places >= first[:, None]) & (places < after[:, None])
-                taken = np.where(inside, words[np.clip(places, 0, len(words) - 1)], -1)
-                for q, k in tables.candidates(np.where(taken < 0, self.size, taken)).tolist():
-                    r, x, spare = int(row[q]), self.items[k], edits_allowed(len(self.items[k]))
-                    at = np.searchsorted(likely, r * len(self.items) + k)
-                    if at == len(likely) or likely[at] != r * len(self.items) + k or best.get((r, k), (1,))[0] == 0:
-                        continue
-                    lower, upper = max(int(first[q]), int(start[q]) - spare), min(int(after[q]), int(start[q]) + len(x) + spare)
-                    d, end = fitting_distance(x, words[lower:upper])
-                    if d <= spare:
-                        got = (d, max(0, lower + end - len(x) - int(first[q])))
-                        best[(r, k)] = min(best.get((r, k), got), got)
+        seen: set[tuple[int, int, int]] = set()
+        for t, both in enumerate(self.tables):
+            own = seeds[self.table_of[seeds[:, 1]] == t]
+            windows = np.stack([own[:, 0], own[:, 2], own[:, 2] + self.sizes[own[:, 1]]], axis=1)
+            for tables in both:
+                # Windows that begin, or end, at one place are one.
+                _, first_of = np.unique(windows[:, [0, 2 if tables.backward else 1]], axis=0, return_index=True)
+                step = max(1, WINDOW_WORDS // tables.n)
+                for c in range(0, len(first_of), step):
+                    row, start, end = windows[first_of[c : c + step]].T
+                    first, after = ends[row] - 1 - lengths[row], ends[row] - 1
+                    places = tables.places(start, end)
+                    inside = (places >= first[:, None]) & (places < after[:, None])
+                    taken = np.where(inside, words[np.clip(places, 0, len(words) - 1)], -1)
+                    for q, k in tables.candidates(np.where(taken < 0, self.size, taken)).tolist():
+                        r, x, spare = int(row[q]), self.items[k], edits_allowed(len(self.items[k]))
+                        at = np.searchsorted(likely, r * len(self.items) + k)
+                        if at == len(likely) or likely[at] != r * len(self.items) + k or best.get((r, k), (1,))[0] == 0:
+                            continue
+                        # A window that ends with the item begins where an item of this length would.
+                        begin = int(end[q]) - len(x) if tables.backward else int(start[q])
+                        if (r, k, begin) in seen:
+                            continue
+                        seen.add((r, k, begin))
+                        lower, upper = max(int(first[q]), begin - spare), min(int(after[q]), begin + len(x) + spare)
+                        d, stop = fitting_distance(x, words[lower:upper])
+                        if d <= spare:
+                            got = (d, max(0, lower + stop - len(x) - int(first[q])))
+                            best[(r, k)] = min(best.get((r, k), got), got)
         return [(r, k, d, s) for (r, k), (d, s) in sorted(best.items())]
 
 
