@@ -32,11 +32,6 @@ def fold(text: str) -> str:
     return re.sub(r"[^0-9A-Za-z]+", " ", plain).casefold().strip()
 
 
-@F.pandas_udf(StringType())
-def fold_name(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else fold(v))
-
-
 @F.pandas_udf(StringType())
 def compose(x: pd.Series) -> pd.Series:
     """Compatibility composition with white space collapsed."""

@@ -162,12 +162,45 @@ def strip_prefix(x: Column | str, words: list[str]) -> Column:
     return F.regexp_replace(S.col(x), f"^(?:{longest})(?=.)", "")
 
 
+def _first_span(forms: Column, wanted: Column) -> Column:
+    """(start, end) of the first run of token forms that joined are the wanted form; null if there is none or nothing is wanted.
+
+    The forms stand in one text behind marks, so that one search tells the run: words of the wanted form may be parted
+    by a space inside a token or by marks, and a run begins and ends at a mark. Time and memory grow with the row.
+    """
+    words = F.transform(F.split(wanted, " "), lambda w: F.regexp_replace(w, "([^\\p{L}\\p{N}])", "\\\\$1"))
+    pattern = F.concat(F.lit("\x01+"), F.array_join(words, "[ \x01]+"), F.lit("(?=\x01)"))
+    marks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\x01"), F.lit("")))
+
+    def told(text: Column) -> Column:
+        hit = S.once(F.regexp_substr(text, pattern), lambda run: F.struct(run.alias("run"), F.instr(text, F.concat(run, F.lit("\x01"))).alias("at")))
+        return S.once(hit, lambda h: F.when(h["run"].isNotNull(), S.once(marks(F.substring(text, F.lit(1), h["at"] - 1)), lambda start: F.struct(start.alias("start"), (start + marks(h["run"])).alias("end")))))
+
+    text = F.concat(F.lit("\x01"), F.array_join(forms, "\x01"), F.lit("\x01"))
+    return F.when(F.coalesce(wanted, F.lit("")) != "", S.once(text, told))
+
+
 def component_span(tokens: str, component: str) -> Column:
     """(start, end) of the first run of tokens whose alignment form is the component's; null if there is none."""
-    n = F.size(tokens)
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.transform(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: F.struct(i.alias("start"), j.alias("end"))))
-    fits = F.filter(F.flatten(starts), lambda s: alignment_form(F.array_join(F.slice(tokens, s["start"] + 1, s["end"] - s["start"]), " ")) == alignment_form(component))
-    return F.when((n > 0) & (alignment_form(component) != ""), F.get(fits, F.lit(0)))
+    return _first_span(F.transform(tokens, alignment_form), alignment_form(component))
+
+
+def component_spans(tokens: str, components: str) -> Column:
+    """(label, start, end) of each of a row's components (label, value) in their order: the first run of tokens that none
+    before it took. A component that is nowhere, or only where tokens are taken, has none."""
+    held = "array<struct<label:string,start:int,end:int>>"
+    free = F.transform(tokens, alignment_form)
+
+    def place(state: Column, c: Column) -> Column:
+        def put(span: Column) -> Column:
+            taken = F.transform(state["forms"], lambda f, i: F.when((i >= span["start"]) & (i < span["end"]), F.lit("\x02")).otherwise(f))
+            found = F.array(F.struct(c["label"].alias("label"), span["start"].cast("int").alias("start"), span["end"].cast("int").alias("end")))
+            return F.when(span.isNull(), state).otherwise(F.struct(taken.alias("forms"), F.concat(state["found"], found).alias("found")))
+
+        return S.once(_first_span(state["forms"], alignment_form(c["value"])), put)
+
+    start = F.struct(free.alias("forms"), F.array().cast(held).alias("found"))
+    return F.aggregate(components, start, place, lambda s: s["found"])
 
 
 def segments(df: DataFrame, key: str, tokens: str) -> DataFrame:

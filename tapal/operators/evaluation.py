@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
-from tapal.operators.ranking import ranked
+from tapal.operators.ranking import cumulated, ranked
 
 
 def spans(df: DataFrame, key: str, labels: str) -> DataFrame:
@@ -80,14 +80,15 @@ def critical_exact_match(examples: DataFrame, gold: DataFrame, predicted: DataFr
 def nearest_rank(df: DataFrame, value: str, by: list[str], percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """count, mean and nearest-rank percentiles of a value by group.
 
-    A rank is ceil(p / 100 * n). Values are counted first, so a group's window has its distinct values only.
+    A rank is ceil(p / 100 * n). Values are counted first, and the counts are summed up by ranges of the whole order, so
+    that a group of any number of distinct values is no single task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = counts.withColumn("_up", F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"))
-    ranked = upto.join(totals, by)
-    at = [F.min(F.when(F.col("_up") >= F.ceil(F.lit(p) * F.col("n") / 100), F.col(value))).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(*by, "n", "mean").agg(*at)
+    upto = cumulated(counts, [*map(F.col, by), F.col(value)], "_n", "_up")
+    totals = upto.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"), F.min(F.col("_up") - F.col("_n")).alias("_before"))
+    found = upto.join(totals, by) if by else upto.crossJoin(totals)  # one row
+    at = [F.min(F.when(F.col("_up") - F.col("_before") >= F.ceil(F.lit(p) * F.col("n") / 100), F.col(value))).alias(f"p{p}") for p in percents]
+    return found.groupBy(*by, "n", "mean").agg(*at)
 
 
 ERROR_CATEGORIES = ["typo", "abbreviation", "rt_rw", "landmark", "missing_field", "conflict", "ambiguous_region", "other_surface_form"]
@@ -200,3 +201,32 @@ def coverage_report(paths: DataFrame, covered: DataFrame) -> DataFrame:
     """(path, modules, uncovered): each path's modules that no test covers; paths has path and modules, covered has module."""
     each = paths.select("path", F.explode("modules").alias("module")).join(covered.select("module", F.lit(True).alias("_c")).distinct(), "module", "left")
     return each.groupBy("path").agg(F.count(F.lit(1)).alias("modules"), F.array_sort(F.collect_set(F.when(F.col("_c").isNull(), F.col("module")))).alias("uncovered"))
+
+
+def sorted_spans(found: Column | str) -> Column:
+    """An array of spans (type, start, end) in order of start, then end, then type."""
+    col = S.col(found)
+    keyed = F.transform(col, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))
+    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+#: What an action register asks for: id, priority, the component that owns it, and which cases are its evidence.
+ACTIONS = [("A01", "P0", "validator"), ("A02", "P0", "generator"), ("A03", "P1", "model"), ("A04", "P1", "annotation")]
+
+
+def action_cases(cases: DataFrame, key: str) -> DataFrame:
+    """(action_id, key): the cases behind each action, a row for each, so that no list has to fit in one row.
+
+    cases has n_repairs, components, categories and provenance: repairs are the validator's, generator cases the
+    generator's, landmarks the model's, and automated labels that were accepted are to be looked at again.
+    """
+    tests = [F.col("n_repairs") > 0, F.array_contains("components", "generator"), F.array_contains("categories", "landmark"), F.col("provenance") == "automated_accepted"]
+    hit = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(a)) for (a, _, _), t in zip(ACTIONS, tests)]))
+    return cases.select(F.explode(hit).alias("action_id"), key)
+
+
+def action_register(cases: DataFrame, key: str) -> DataFrame:
+    """(action_id, priority, owner, evidence_cases): all actions, also those without a case."""
+    counts = action_cases(cases, key).groupBy("action_id").agg(F.countDistinct(key).alias("evidence_cases"))
+    every = cases.sparkSession.createDataFrame(ACTIONS, "action_id string, priority string, owner string")
+    return every.join(counts, "action_id", "left").na.fill(0, ["evidence_cases"])

@@ -31,6 +31,16 @@ def remap(source: DataFrame, resolutions: DataFrame) -> DataFrame:
     return out.withColumn("remap_conflict", known & ~agree).withColumn("village_code", F.when(known & agree, F.col("current_village_code")).otherwise(F.col("village_code"))).drop(*resolutions.columns)
 
 
+def remap_problems(resolutions: DataFrame) -> DataFrame:
+    """(code, problem) of a table of resolutions: codes that are none, a former code or a current one that comes twice, and a code that becomes itself."""
+    pair = {"former": "former_village_code", "current": "current_village_code"}
+    bad = F.array_compact(F.array(*[F.when(S.village_code(c) != S.surface(c), F.lit(f"{k}_is_no_code")) for k, c in pair.items()], *[F.when(S.surface(c) == "", F.lit(f"{k}_is_blank")) for k, c in pair.items()], F.when(S.surface(pair["former"]) == S.surface(pair["current"]), F.lit("unchanged"))))
+    out = resolutions.select(F.col(pair["former"]).alias("code"), F.explode(bad).alias("problem"))
+    for k, c in pair.items():
+        out = out.unionByName(resolutions.where(S.surface(c) != "").groupBy(c).count().where("count > 1").select(F.col(c).alias("code"), F.lit(f"{k}_repeated").alias("problem")))
+    return out
+
+
 def postal_consensus(d: Column, o: Column, k: Column) -> Column:
     """(accepted, candidate, status, confidence, source_ids, reason) of three cleaned codes; two agreeing local sources are no majority."""
 
@@ -243,3 +253,25 @@ def primary_fold(rows: DataFrame) -> DataFrame:
     names = own.groupBy("village_code").agg(F.min_by("village_name", "ordinal").alias("village_name"), F.array_sort(F.collect_set(F.nullif("p", F.lit("")))).alias("postal_codes"), S.clean_values(F.collect_set("village_name")).alias("_names"))
     alias = F.filter("_names", lambda v: S.normalize_hierarchy(v) != S.normalize_hierarchy("village_name"))
     return names.join(conflicts, "village_code", "left").select("village_code", "village_name", "postal_codes", alias.alias("aliases"), F.coalesce("postal_conflicts", F.lit(0)).alias("postal_conflicts"))
+
+
+#: The orders in which tables are handed out.
+ORDERS = {"hierarchy": ["village_code"], "candidate_review": ["village_code"], "unresolved_review": ["review_case", "district_cluster_id", "triplet_cluster_id", "village_code"], "conflicts": ["village_code", "field", "issue"]}
+
+
+def in_order(df: DataFrame, kind: str, name: str = "place") -> DataFrame:
+    """df with its rows' places in the order of that kind of table; the places are those of the whole table and come from ranges."""
+    return numbered(df, [F.col(c) for c in ORDERS[kind]], name)
+
+
+def queue_sums(queue: DataFrame, status: str = "observation_status", pending: str = "not_observed") -> DataFrame:
+    """(kind, name, rows, represented): rows of a review queue and the rows that they stand for, over all, by priority, by status,
+    and for those that are still pending or done; one pass over the queue by grouping sets."""
+    done = F.when(F.col(status) == pending, "pending").otherwise("observed")
+    own = queue.select(F.col("priority").alias("_p"), F.col(status).alias("_s"), done.alias("_d"), F.col("triplet_cluster_size").cast("long").alias("_n"))
+    cols = {"priority": F.col("_p"), "status": F.col("_s"), "progress": F.col("_d")}
+    kind = F.lit("all")
+    for k, c in zip(cols, ("_p", "_s", "_d")):
+        kind = F.when(F.grouping(c) == 0, k).otherwise(kind)
+    out = own.groupingSets([[], *[[c] for c in cols.values()]], *cols.values()).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("represented"), kind.alias("kind"))
+    return out.select("kind", F.coalesce("_p", "_s", "_d", F.lit("all")).alias("name"), "rows", "represented")

@@ -25,6 +25,17 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFr
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << _IN_PART) - 1)) + 1).drop("_part", "_before", "_at")
 
 
+def cumulated(df: DataFrame, order: list[Column], weight: str, name: str = "upto") -> DataFrame:
+    """df with the sum of weight over the whole order up to each row, itself included; parts as in numbered."""
+    part = F.shiftrightunsigned("_at", _IN_PART)
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", part)
+    sums = placed.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(weight).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before", "_at")
+
+
 def ranked(df: DataFrame, strata: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """df with the place of each row in its stratum, from 1 on, and _size, the stratum's; a stratum may hold most rows."""
     out = numbered(df, [*map(F.col, strata), *order], "_number")

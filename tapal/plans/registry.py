@@ -480,4 +480,4 @@ def _(spark, sf_dir):
     return s.groupBy("source").agg(F.count_if(F.col("v") != "").alias("n_given"), F.countDistinct(F.nullif("v", F.lit(""))).alias("n_distinct"))
 
 
-from tapal.plans import annotator, augmentation, more, places, sealed  # noqa: E402, F401  the other queries
+from tapal.plans import annotator, augmentation, listings, more, places, sealed  # noqa: E402, F401  the other queries

@@ -2,36 +2,88 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapal.functions.scalar import LABELS
 
-def read_csv(spark: SparkSession, path: str, required: list[str], separator: str | None = None) -> DataFrame:
-    """A CSV table of trimmed strings, missing cells empty; ValueError if required columns are missing.
 
-    Without a separator the one of , ; and tab that comes most in the header line is taken.
+#: Lines that tell a table's separator.
+SEPARATOR_LINES = 50
+
+
+def separator_of(lines: list[str]) -> str:
+    """The one of , ; and tab that parts most of the lines into as many cells as the header, of equals the one with most cells; a comma without any."""
+    outside = [re.sub(r'"(?:[^"]|"")*"', "", x) for x in lines if x.strip()]
+
+    def score(s: str) -> tuple[int, int]:
+        counts = [x.count(s) for x in outside]
+        return (sum(c == counts[0] for c in counts), counts[0]) if counts and counts[0] else (0, 0)
+
+    return max(",;\t", key=score)
+
+
+def read_csv(spark: SparkSession, path: str, required: list[str], separator: str | None = None, filled: list[str] | None = None) -> DataFrame:
+    """A CSV table of trimmed strings, missing cells empty.
+
+    ValueError if required columns are missing, if there is no row, or if a cell of a filled column is blank. Without a
+    separator it is told from the first SEPARATOR_LINES lines of each file; files with different ones are read each with its own.
     """
     if separator is None:
-        head = spark.read.text(path).limit(1).head()
-        line = head[0] if head else ""
-        separator = max(",;\t", key=line.count)
+        text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("i"))
+        heads = text.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("i"))).where(F.col("n") <= SEPARATOR_LINES)
+        found: dict[str, list[str]] = {}
+        for r in heads.orderBy("file", "n").collect():  # so many lines a file
+            found.setdefault(r["file"], []).append(r["value"])
+        by: dict[str, list[str]] = {}
+        for file, lines in found.items():
+            by.setdefault(separator_of(lines), []).append(file)
+        if len(by) > 1:
+            parts = [read_csv(spark, files, required, s, filled) for s, files in sorted(by.items())]
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        separator = next(iter(by), ",")
     df = spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    names = {c: c.replace("﻿", "").strip() for c in df.columns}
+    names = {c: c.replace("\ufeff", "").strip() for c in df.columns}
     df = df.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(n) for c, n in names.items() if n and not n.startswith("_c")])
     missing = sorted(set(required) - set(df.columns))
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
+    if df.isEmpty():
+        raise ValueError("the table has no rows")
+    for c in filled or []:
+        if not df.where(F.col(c) == "").isEmpty():
+            raise ValueError(f"column {c} has blank cells")
     return df
 
 
-def read_document(spark: SparkSession, path: str, rows: str, schema: str) -> DataFrame:
-    """The rows of JSON documents {rows: [...]}, with the given schema of a row."""
-    return spark.read.schema(f"{rows} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.explode(rows).alias("r")).select("r.*")
+def read_document(spark: SparkSession, path: str, rows: str | None, schema: str, version: str | None = None) -> DataFrame:
+    """The rows of JSON documents {rows: [...]}, or of bare arrays if rows is None, with the given schema of a row.
+
+    ValueError if a version is given and a document has another schema_version.
+    """
+    if rows is None:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(f"schema_version string, {rows} array<struct<{schema}>>").option("multiLine", True).json(path)
+    if version is not None:
+        other = df.where(~F.col("schema_version").eqNullSafe(F.lit(version))).select("schema_version").head()
+        if other is not None:
+            raise ValueError(f"a document of version {other[0]}, not {version}")
+    return df.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def read_labels(spark: SparkSession, path: str, field: str = "labels") -> list[str]:
+    """The labels of a schema document {labels: [...]}; ValueError unless they are the known ones in their order, which numbers hang on."""
+    found = spark.read.schema(f"{field} array<string>").option("multiLine", True).json(path).head()
+    if found is None or found[0] != LABELS:
+        raise ValueError("the labels are not the known ones in their order")
+    return found[0]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -184,3 +236,14 @@ def related_rows(df: DataFrame, key: str, column: str, relationship: Column) ->
     """(key, relationship, c0 to c4): table rows of five cells or more, with how their page relates to what was asked."""
     rows = html_rows(df, key, column).where(F.size("cells") >= 5).join(df.select(key, relationship.alias("relationship")), key)
     return rows.select(key, "relationship", *[F.col("cells")[i].alias(f"c{i}") for i in range(5)])
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
+    """The examples of several JSON files or folders in one table with their split; ValueError for a split without rows."""
+    out = None
+    for name, path in paths.items():
+        one = spark.read.schema(schema).json(path).withColumn("split", F.lit(name))
+        if one.isEmpty():
+            raise ValueError(f"split {name} has no rows")
+        out = one if out is None else out.unionByName(one)
+    return out
