@@ -286,3 +286,42 @@ def annotated(df: DataFrame, tokens: str, district: str, city: str) -> DataFrame
     flags = F.flatten(F.transform("_runs", lambda run, k: F.concat(noisy(run, F.get("_kinds", k)), segment(k))))
     out = out.withColumn("labels", F.when(F.size("_t") > 0, labels).otherwise(F.array().cast("array<string>"))).withColumn("flags", flags)
     return out.drop(*{"_t", "_edges", "_runs", "_kinds", "_left", "_ratios", "_told", "_street", "_field"} - names)
+
+
+#: The columns of a worksheet that an annotator fills in.
+EDITABLE = ["rewritten_address", "annotator_id", "notes"]
+
+
+def worksheet_template(candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """The candidates' columns and blank EDITABLE ones; ValueError without candidates."""
+    if candidates.isEmpty():
+        raise ValueError("there are no candidates")
+    return candidates.select(*[S.surface(c).alias(c) for c in columns], *[F.lit("").alias(c) for c in EDITABLE])
+
+
+def assembled_benchmark(worksheet: DataFrame, key: str, original: str, level: str) -> tuple[DataFrame, DataFrame]:
+    """(examples, counts) of a completed worksheet; ValueError with the first problem if it has any.
+
+    counts (kind, name, n) says how many examples there are in all, by annotator and by level, in one pass.
+    """
+    own = worksheet.select(*[S.surface(c).alias(c) for c in worksheet.columns])
+    problems = worksheet_problems(own, key, original, "rewritten_address").unionByName(own.where((F.col("annotator_id") == "") & (F.col("rewritten_address") != "")).select(key, F.lit("no_annotator").alias("problem")))
+    first = problems.orderBy(key, "problem").head()
+    if first is not None:
+        raise ValueError(f"{first[0]}: {first[1]}")
+    examples = own.withColumnRenamed("rewritten_address", "text").drop(original)
+    a, b = F.col("annotator_id"), F.col(level)
+    kind = F.when(F.grouping("annotator_id") == 0, "annotator").when(F.grouping(level) == 0, "level").otherwise("all")
+    counts = own.groupingSets([[], [a], [b]], a, b).agg(F.count(F.lit(1)).alias("n"), kind.alias("kind"))
+    return examples, counts.select("kind", F.coalesce(a, b, F.lit("all")).alias("name"), "n")
+
+
+def case_records(df: DataFrame, key: str) -> DataFrame:
+    """error_cases with what a reader needs: case_id, provenance, tokens, all three label lists, both lists of spans
+    (type, start, end, text) in order, and each repair (index, before, after). df as in error_cases, with provenance."""
+    cases = error_cases(df, key)
+    out = df.select(key, "tokens", "gold", "predicted", "provenance").join(cases, key)
+    text = lambda s: F.array_join(F.slice("tokens", s["start"] + 1, s["end"] - s["start"]), " ")
+    spans = lambda labels: F.transform(E.sorted_spans(E.span_structs(labels, S.FIELDS)), lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), text(s).alias("text")))
+    repairs = F.filter(F.transform("predicted", lambda x, i: F.struct(i.alias("index"), x.alias("before"), F.get("repaired", i).alias("after"))), lambda r: r["before"] != r["after"])
+    return out.withColumns({"case_id": F.concat(F.lit("RD-"), F.col(key).cast("string")), "gold_spans": spans("gold"), "predicted_spans": spans("repaired"), "repairs": repairs, "generator_is_hypothesis": F.array_contains("components", "generator")})

@@ -140,19 +140,65 @@ def observation_problems(rows: DataFrame, source_id: str) -> DataFrame:
 # --- postal search and API observations -----------------------------------------------------------------------------------
 
 
+#: Where a region may be said beside the object itself: inside the regions below it, the nearest first.
+_ANCESTORS = {"district": [()], "city": [(), ("district",)], "province": [(), ("city",), ("district", "city"), ("district",)]}
+_CASES = {"camel": ("{}Code", "{}Name"), "snake": ("{}_code", "{}_name")}
+
+
+def _api_schema() -> str:
+    """The parts of an API object that are read: regions nested in each other, with their own and the upper regions' codes and names."""
+    flat = lambda names: [f"`{form.format(x)}`:string" for x in names for forms in _CASES.values() for form in forms]
+    own = ["code:string", "name:string"]
+    province = f"struct<{','.join(own)}>"
+    city = f"struct<{','.join([*own, *flat(['province']), f'province:{province}'])}>"
+    district = f"struct<{','.join([*own, *flat(['city', 'province']), f'city:{city}', f'province:{province}'])}>"
+    return f"struct<{','.join([*own, 'postalCode:string', 'postal_code:string', *flat(['village', 'district', 'city', 'province']), f'district:{district}', f'city:{city}', f'province:{province}'])}>"
+
+
+#: The columns of a cross-check table.
+CROSSCHECK_COLUMNS = ["source_id", "snapshot", "province_code", "province_name", "city_code", "city_name", "district_code", "district_name", "village_code", "village_name", "postal_code", "evidence_url", "note"]
+
+
 def crosscheck_row(column: str) -> Column:
     """The cross-check row of an API object in JSON: village code and name, postal code, and each region's code and name.
 
-    A region is the first of a nested object, camel-case and snake-case keys that has both a code and a name.
+    A region is the first of a nested object, camel-case and snake-case keys that has both a code and a name, in the
+    object itself or else in the regions below that one.
     """
-    get = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(column, f"$.{p}"), F.lit("")) for p in paths], F.lit(""))
 
-    def region(x: str) -> Column:
-        forms = [(f"{x}.code", f"{x}.name"), (f"{x}Code", f"{x}Name"), (f"{x}_code", f"{x}_name")]
-        pair = lambda c, n: F.when((get(c) != "") & (get(n) != ""), F.struct(get(c).alias("code"), get(n).alias("name")))
-        return F.coalesce(*[pair(*f) for f in forms], F.struct(F.lit("").alias("code"), F.lit("").alias("name")))
+    def told(o: Column) -> Column:
+        given = lambda *values: F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
-    return F.struct(get("code", "villageCode", "village_code").alias("village_code"), get("name", "villageName", "village_name").alias("village_name"), get("postalCode", "postal_code").alias("postal_code"), *[region(x).alias(x) for x in ("district", "city", "province")])
+        def region(x: str) -> Column:
+            found = []
+            for path in _ANCESTORS[x]:
+                at = o
+                for step in path:
+                    at = at[step]
+                found += [(at[x]["code"], at[x]["name"]), *[(at[c.format(x)], at[n.format(x)]) for c, n in _CASES.values()]]
+            pairs = [F.when((F.coalesce(c, F.lit("")) != "") & (F.coalesce(n, F.lit("")) != ""), F.struct(c.alias("code"), n.alias("name"))) for c, n in found]
+            return F.coalesce(*pairs, F.struct(F.lit("").alias("code"), F.lit("").alias("name")))
+
+        return F.struct(given(o["code"], o["villageCode"], o["village_code"]).alias("village_code"), given(o["name"], o["villageName"], o["village_name"]).alias("village_name"), given(o["postalCode"], o["postal_code"]).alias("postal_code"), *[region(x).alias(x) for x in ("district", "city", "province")])
+
+    return S.once(F.from_json(column, _api_schema()), told)
+
+
+def crosscheck_table(objects: DataFrame, column: str, source_id: str, snapshot: str, note: str, evidence_url: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, problems): API objects as rows of CROSSCHECK_COLUMNS, and (village_code, problem) of those that are none.
+
+    village_code (not of ten digits), no_village_name, postal_code (not of five digits), and no_district, no_city or
+    no_province where no form of the region is whole. A row with a problem is in no table of rows.
+    """
+    if not snapshot.strip():
+        raise ValueError("a snapshot is required")
+    r = objects.select(crosscheck_row(column).alias("r"), evidence_url.alias("_url")).withColumn("_code", S.village_code("r.village_code"))
+    checks = {"village_code": F.col("_code") != "", "no_village_name": S.surface("r.village_name") != "", "postal_code": F.trim("r.postal_code").rlike("^[0-9]{5}$"), **{f"no_{x}": F.col(f"r.{x}.code") != "" for x in ("district", "city", "province")}}
+    r = r.withColumn("_p", F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()])))
+    values = {"source_id": F.lit(source_id), "snapshot": F.lit(snapshot.strip()), "village_code": F.col("_code"), "village_name": F.trim("r.village_name"), "postal_code": F.trim("r.postal_code"), "evidence_url": F.col("_url"), "note": F.lit(note)}
+    values |= {f"{x}_{c}": F.trim(f"r.{x}.{c}") for x in ("province", "city", "district") for c in ("code", "name")}
+    rows = r.where(F.size("_p") == 0).select(*[values[c].alias(c) for c in CROSSCHECK_COLUMNS])
+    return rows, r.select(F.col("r.village_code").alias("village_code"), F.explode("_p").alias("problem"))
 
 
 def pos_observations(rows: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -226,13 +226,25 @@ def final_reference(consensus_rows: DataFrame, odj: DataFrame, parents: DataFram
     return out.select("village_code", "village_name", "district_code", F.col("canonical_name").alias("district_name"), "postal_code", "verification_status", operational_status(F.col("verification_status")).alias("operational_status"), F.array_join(alias, ";").alias("aliases"), match.alias("pos_match"))
 
 
+def _source_key(source: Column) -> Column:
+    return F.struct(source["source_id"].alias("source_id"), source["snapshot"].alias("snapshot"))
+
+
 def hierarchy_violations(h: DataFrame) -> DataFrame:
-    """(code, reason): broken row invariants and names or parents that a code has more than one of."""
+    """(code, reason): broken row invariants and names or parents that a code has more than one of.
+
+    Names, aliases and sources (source_id, snapshot) are looked at where there are such columns: names are not blank,
+    aliases and sources are distinct and sorted, and a row with sources has at least one.
+    """
     checks = {
         "village_code": F.col("village_code").rlike("^[0-9.]+$"),
         "district_parent": F.col("village_code").startswith(F.concat(F.col("district_code"), F.lit("."))),
         "city_parent": F.col("district_code").startswith(F.concat(F.col("city_code"), F.lit("."))),
         "province_parent": F.col("city_code").startswith(F.concat(F.col("province_code"), F.lit("."))),
+        **{f"{x}_name": S.surface(f"{x}_name") != "" for x in ("village", "district", "city", "province") if f"{x}_name" in h.columns},
+        **{f"{x}_aliases": F.array_sort(F.array_distinct(F.transform(f"{x}_aliases", F.trim))) == F.col(f"{x}_aliases") for x in ("village", "district", "city", "province") if f"{x}_aliases" in h.columns},
+        **{f"{x}_alias_blank": ~F.exists(f"{x}_aliases", lambda a: F.trim(a) == "") for x in ("village", "district", "city", "province") if f"{x}_aliases" in h.columns},
+        **({"no_source": F.size("sources") > 0, "sources": F.array_sort(F.array_distinct(F.transform("sources", _source_key))) == F.transform("sources", _source_key), "source_id": F.forall("sources", lambda x: (F.trim(x["source_id"]) != "") & (F.trim(x["snapshot"]) != ""))} if "sources" in h.columns else {}),
         "postal_codes": (F.size("postal_codes") > 0) & F.forall("postal_codes", lambda p: p.rlike("^[0-9]{5}$")) & (F.array_sort(F.array_distinct("postal_codes")) == F.col("postal_codes")),
     }
     out = h.select(F.col("village_code").alias("code"), F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]))).alias("reason"))
@@ -275,3 +287,13 @@ def queue_sums(queue: DataFrame, status: str = "observation_status", pending: st
         kind = F.when(F.grouping(c) == 0, k).otherwise(kind)
     out = own.groupingSets([[], *[[c] for c in cols.values()]], *cols.values()).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("represented"), kind.alias("kind"))
     return out.select("kind", F.coalesce("_p", "_s", "_d", F.lit("all")).alias("name"), "rows", "represented")
+
+
+#: The columns of the lookup table of an application.
+LOOKUP_COLUMNS = ["village_code", "province_code", "province_name", "city_code", "city_name", "district_code", "district_name", "village_name", "postal_code"]
+
+
+def app_lookup(staged: DataFrame, names: DataFrame) -> DataFrame:
+    """The staged sections as LOOKUP_COLUMNS: postal codes of staged (village_code, postal_code), the rest of names; in order of village_code when written by in_order."""
+    own = staged.select("village_code", S.clean_postal("postal_code").alias("postal_code"))
+    return own.join(names.select(*[c for c in LOOKUP_COLUMNS if c != "postal_code"]), "village_code").select(*LOOKUP_COLUMNS)

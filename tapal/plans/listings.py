@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapal.operators import annotation as N
 from tapal.operators import evaluation as E
+from tapal.operators import exceptions as X
 from tapal.operators import files as L
 from tapal.operators import governance as G
 from tapal.operators import synthetic as Y
@@ -128,3 +129,70 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     varied = QUERIES["varied_addresses"](spark, sf_dir)
     return Y.noise_distribution(varied.select(F.filter(F.split("categories", ";"), lambda x: x != "").alias("noise")))
+
+
+# --- tables that are handed out --------------------------------------------------------------------------------------------
+
+
+def _objects(spark, sf_dir: str) -> DataFrame:
+    """API objects whose regions stand at the object, in the district or in its city."""
+    t = I.spark_table(spark, sf_dir, I.HIERARCHY)
+    part = lambda x, code, name: F.concat(F.lit(f'"{x}":{{"code":"'), code, F.lit('","name":"'), name, F.lit('"'))
+    k, close = F.col("c_custkey") % 4, F.lit("}")
+    city, province = part("city", F.col("city_code"), F.col("city_name")), part("province", F.col("province_code"), F.col("province_name"))
+    flat = F.concat(F.lit('"cityCode":"'), "city_code", F.lit('","cityName":"'), "city_name", F.lit('"'))
+    district = F.concat(part("district", F.col("district_code"), F.col("district_name")), F.when(k == 0, F.concat(F.lit(","), city, F.lit(","), province, close, close)).when(k == 1, F.concat(F.lit(","), flat)).otherwise(F.lit("")), close)
+    rest = F.when(k == 1, F.concat(F.lit(","), province, close)).when(k == 2, F.concat(F.lit(","), city, F.lit(","), province, close, close)).when(k == 3, F.concat(F.lit(","), city, close)).otherwise(F.lit(""))
+    head = F.concat(F.lit('{"code":"'), F.regexp_replace("village_code", "[.]", ""), F.lit('","name":" '), F.when(F.col("c_custkey") % 50 == 7, "").otherwise(F.col("village_name")), F.lit('","postalCode":"'), F.when(F.col("c_custkey") % 60 == 9, "4011").otherwise(F.col("postal_code")), F.lit('",'))
+    return t.select("village_code", "c_custkey", F.concat(head, district, rest, close).alias("j"))
+
+
+_CODE = "substr(d, 1, 2) || '.' || substr(d, 3, 2) || '.' || substr(d, 5, 2) || '.' || substr(d, 7, 4)"
+#: Village codes of the tables have 13 digits, of which API objects here give ten.
+_TEN = f"(SELECT *, {_CODE} AS code FROM (SELECT *, replace(city_code, '.', '') || lpad(cast(c_custkey % 1000000 AS string), 6, '0') AS d FROM {_h} h) x)"
+
+
+def _ten(df: DataFrame) -> DataFrame:
+    return df.withColumn("j", F.concat(F.lit('{"code":"'), F.regexp_replace(F.substring("village_code", 1, 5), "[.]", ""), F.lpad((F.col("c_custkey") % 1000000).cast("string"), 6, "0"), F.regexp_replace("j", '^[{]"code":"[0-9]*', "")))
+
+
+@query("crosscheck_table", f"""SELECT 'api' AS source_id, 's1' AS snapshot, province_code, province_name, city_code, city_name, district_code, district_name, code AS village_code, village_name, postal_code, 'https://api/' || code AS evidence_url, 'checked' AS note
+ FROM {_TEN} t WHERE c_custkey % 4 < 3 AND c_custkey % 50 <> 7 AND c_custkey % 60 <> 9""")
+def _(spark, sf_dir):
+    df = _ten(_objects(spark, sf_dir))
+    code = F.get_json_object("j", "$.code")
+    url = F.concat(F.lit("https://api/"), F.concat_ws(".", F.substring(code, 1, 2), F.substring(code, 3, 2), F.substring(code, 5, 2), F.substring(code, 7, 4)))
+    return X.crosscheck_table(df, "j", "api", " s1 ", "checked", url)[0]
+
+
+@query("crosscheck_problems", f"""SELECT d AS village_code, 'no_province' AS problem FROM {_TEN} t WHERE c_custkey % 4 = 3 UNION ALL SELECT d, 'no_village_name' FROM {_TEN} t WHERE c_custkey % 50 = 7 UNION ALL SELECT d, 'postal_code' FROM {_TEN} t WHERE c_custkey % 60 = 9""")
+def _(spark, sf_dir):
+    return X.crosscheck_table(_ten(_objects(spark, sf_dir)), "j", "api", "s1", "", F.lit(""))[1]
+
+
+@query("app_lookup", f"SELECT village_code, province_code, province_name, city_code, city_name, district_code, district_name, village_name, postal_code FROM {_h} h WHERE c_custkey % 3 = 0")
+def _(spark, sf_dir):
+    t = I.spark_table(spark, sf_dir, I.HIERARCHY)
+    return G.app_lookup(t.where("c_custkey % 3 = 0").select("village_code", F.concat("postal_code", F.lit(".0")).alias("postal_code")), t)
+
+
+@query("benchmark_counts", """WITH w AS (SELECT p_brand AS a, cast(p_size % 3 AS string) AS l FROM part) SELECT 'all' AS kind, 'all' AS name, count(*) AS n FROM w UNION ALL SELECT 'annotator', a, count(*) FROM w GROUP BY a UNION ALL SELECT 'level', l, count(*) FROM w GROUP BY l""")
+def _(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("reference_address"), (F.col("p_size") % 3).cast("string").alias("level"), "p_brand")
+    blank = N.worksheet_template(part, ["id", "reference_address", "level", "p_brand"])
+    filled = blank.withColumn("rewritten_address", F.concat("reference_address", F.lit(" baru"))).withColumn("annotator_id", F.col("p_brand"))
+    return N.assembled_benchmark(filled, "id", "reference_address", "level")[1]
+
+
+@query("case_records", """WITH x AS (SELECT p_partkey AS id, p_partkey % 5 = 0 AS crit, p_partkey % 7 = 0 AS orphan FROM part) SELECT 'RD-' || id AS case_id, CASE WHEN id % 2 = 0 THEN 'agreed' END AS provenance, 'JALAN:0-2:Jl. Mawar RT:2-3:RT KECAMATAN:3-5:Kec. Cibeunying' AS gold_spans,
+ 'JALAN:0-' || CASE WHEN crit THEN '1:Jl.' ELSE '2:Jl. Mawar' END || ' RT:2-3:RT KECAMATAN:3-5:Kec. Cibeunying' || CASE WHEN orphan THEN ' RW:5-6:x' ELSE '' END AS predicted_spans, CASE WHEN orphan THEN '5:I-RW>B-RW' ELSE '' END AS repairs FROM x WHERE crit OR orphan""")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    array = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("id"), array("Jl.", "Mawar", "RT", "Kec.", "Cibeunying", "x").alias("tokens"), array("B-JALAN", "I-JALAN", "B-RT", "B-KECAMATAN", "I-KECAMATAN", "O").alias("gold"),
+        array("B-JALAN", F.when(k % 5 == 0, "O").otherwise("I-JALAN"), "B-RT", "B-KECAMATAN", "I-KECAMATAN", F.when(k % 7 == 0, "I-RW").otherwise("O")).alias("predicted"),
+        F.lit("").alias("street"), F.lit("").alias("district"), F.lit("").alias("city"), F.when(k % 2 == 0, "agreed").alias("provenance"),
+    )
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["type"], F.lit(":"), s["start"], F.lit("-"), s["end"], F.lit(":"), s["text"])), " ").alias(c)
+    return N.case_records(part, "id").select("case_id", "provenance", listed("gold_spans"), listed("predicted_spans"), F.array_join(F.transform("repairs", lambda r: F.concat(r["index"], F.lit(":"), r["before"], F.lit(">"), r["after"])), " ").alias("repairs"))

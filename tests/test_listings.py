@@ -183,3 +183,41 @@ def test_windowed_status_counts(spark):
     df = spark.createDataFrame(rows, "t string, gate_status string").withColumn("t", F.to_timestamp("t"))
     got = {(str(r.window.start), r.gate_status): r["count"] for r in gate.status_counts(df, "t").collect()}
     assert got == {("2024-01-01 00:00:00", "VALID"): 2, ("2024-01-01 00:10:00", "VALID"): 1, ("2024-01-01 00:00:00", "OTHER"): 1}
+
+
+def test_worksheet_and_benchmark(spark):
+    rows = [("b", "Jl. A", "SD", ""), ("a", " Jl. B ", "SMP", "")]
+    blank = N.worksheet_template(spark.createDataFrame(rows, "id string, reference_address string, level string, x string"), ["id", "reference_address", "level"])
+    assert blank.columns == ["id", "reference_address", "level", *N.EDITABLE] and {r.reference_address for r in blank.collect()} == {"Jl. A", "Jl. B"}
+    with pytest.raises(ValueError, match="candidates"):
+        N.worksheet_template(blank.limit(0), ["id"])
+    done = blank.withColumn("rewritten_address", F.concat(F.lit("jalan "), "id")).withColumn("annotator_id", F.lit("p1"))
+    examples, counts = N.assembled_benchmark(done, "id", "reference_address", "level")
+    assert {(r.id, r.text) for r in examples.collect()} == {("a", "jalan a"), ("b", "jalan b")}
+    assert {tuple(r) for r in counts.select("kind", "name", "n").collect()} == {("all", "all", 2), ("annotator", "p1", 2), ("level", "SD", 1), ("level", "SMP", 1)}
+    for wrong, why in ((done.withColumn("annotator_id", F.lit(" ")), "a: no_annotator"), (done.withColumn("rewritten_address", F.upper("reference_address")), "a: identical"), (done.union(done), "a: repeated"), (done.withColumn("rewritten_address", F.lit("0812345678")), "a: long_digit_run")):
+        with pytest.raises(ValueError, match=why):
+            N.assembled_benchmark(wrong, "id", "reference_address", "level")
+
+
+def test_crosscheck_ancestors(spark):
+    whole = {"code": "3201010001", "name": "Desa", "postalCode": "40111", "district": {"code": "d", "name": "D", "city": {"code": "c", "name": "C", "province": {"code": "p", "name": "P"}}}}
+    snake = {"code": "32.01.01.0002", "name": "Desa", "postalCode": "40112", "district": {"code": "d", "name": "D", "city_code": "c", "city_name": "C", "provinceCode": "p", "provinceName": "P"}}
+    half = {"code": "3201010003", "name": "Desa", "postalCode": "4011", "district": {"code": "d", "name": "D", "city": {"code": "c"}}}
+    df = spark.createDataFrame([(json.dumps(x),) for x in (whole, snake, half, {"code": "1"})] + [("broken",)], "j string")
+    rows, problems = X.crosscheck_table(df, "j", "api", "s", "n", F.lit("u"))
+    assert rows.columns == X.CROSSCHECK_COLUMNS and {(r.village_code, r.province_name, r.city_code) for r in rows.collect()} == {("32.01.01.0001", "P", "c"), ("32.01.01.0002", "P", "c")}
+    found = {}
+    for r in problems.collect():
+        found.setdefault(r.village_code, set()).add(r.problem)
+    every = {"village_code", "no_village_name", "postal_code", "no_district", "no_city", "no_province"}
+    assert found == {"3201010003": {"postal_code", "no_city", "no_province"}, "1": every, "": every}
+    with pytest.raises(ValueError, match="snapshot"):
+        X.crosscheck_table(df, "j", "api", " ", "n", F.lit("u"))
+
+
+def test_row_invariants_of_aliases_and_sources(spark):
+    good = ("32", "JABAR", "32.01", "KAB", "32.01.01", "KEC", "32.01.01.0001", "DESA", ["40111"], ["A", "B"], [("s1", "t")])
+    rows = [good, (*good[:6], "32.01.01.0002", " ", ["40111"], ["B", "A", ""], []), (*good[:6], "32.01.01.0003", "DESA", ["40111"], [], [("s2", "t"), ("s1", "t"), ("s1", " ")])]
+    df = spark.createDataFrame(rows, "province_code string, province_name string, city_code string, city_name string, district_code string, district_name string, village_code string, village_name string, postal_codes array<string>, village_aliases array<string>, sources array<struct<source_id:string,snapshot:string>>")
+    assert {tuple(r) for r in G.hierarchy_violations(df).collect()} == {("32.01.01.0002", "village_name"), ("32.01.01.0002", "village_aliases"), ("32.01.01.0002", "village_alias_blank"), ("32.01.01.0002", "no_source"), ("32.01.01.0003", "sources"), ("32.01.01.0003", "source_id")}
