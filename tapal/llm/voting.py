@@ -84,11 +84,11 @@ def rows_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.R
 
 def weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of unit length: roots of the counts' shares times idf, words and the rest each with their part."""
-    out, half = np.sqrt(found) * idf, BUCKETS // 2
+    out, half = np.sqrt(found, dtype=np.float32) * idf.astype(np.float32), BUCKETS // 2
     for block, part in ((slice(0, half), 1 - WORD_SHARE), (slice(half, BUCKETS), WORD_SHARE)):
         length = np.sqrt((out[:, block] ** 2).sum(axis=1, keepdims=True))
         out[:, block] *= math.sqrt(part) / np.where(length > 0, length, 1)
-    return out.astype(np.float32)
+    return out
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -129,7 +129,10 @@ def voters(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = held.mapInArrow(each, "doc_id long, _th long, label double, counts binary").dropDuplicates(["doc_id", "_th"]).orderBy("doc_id", "_th").collect()
     if not rows:
         return np.zeros((0, BUCKETS), dtype=np.int32), np.zeros(0)
-    return np.frombuffer(b"".join(r["counts"] for r in rows), dtype=np.int32).reshape(len(rows), BUCKETS), np.array([r["label"] for r in rows])
+    labels, found = np.array([r["label"] for r in rows]), np.empty((len(rows), BUCKETS), dtype=np.int32)
+    for i in range(len(rows)):
+        found[i], rows[i] = np.frombuffer(rows[i]["counts"], dtype=np.int32), None
+    return found, labels
 
 
 def latent(rows: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -163,7 +166,10 @@ class Model:
 
     def __init__(self, idf: np.ndarray, found: np.ndarray, labels: np.ndarray) -> None:
         self.idf, self.labels = idf, labels
-        rows = weighted(found, idf)
+        # Some rows at once, so that the driver holds the counts and the vectors, and nothing else of that size.
+        rows = np.empty(found.shape, dtype=np.float32)
+        for at in range(0, len(found), 256):
+            rows[at : at + 256] = weighted(found[at : at + 256], idf)
         self.basis = latent(rows) if len(rows) else None
         self.known = unit(rows @ self.basis) if len(rows) else None
 
