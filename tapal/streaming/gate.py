@@ -13,17 +13,15 @@ def redacted_stream(addresses: DataFrame, column: str = "text") -> DataFrame:
     return A.normalize(A.decode(A.tag(A.redact(addresses, column))))
 
 
-def gate_batches(addresses: DataFrame, prepared: DataFrame, path: str, checkpoint: str, key: str = "address_id"):
-    """A query that puts each micro-batch through the gate against the prepared hierarchy and appends it to Parquet at path.
-
-    Validation groups candidates by address, so it runs batch by batch; a batch that is tried again replaces its own folder.
-    """
+def gated(addresses: DataFrame, prepared: DataFrame, key: str = "address_id", column: str = "text") -> DataFrame:
+    """Each address through the gate against the prepared hierarchy; for a stream a stateless stream-static join, for a table a join."""
+    return A.gate(A.validate(redacted_stream(addresses, column), prepared, key))
 
-    def put(batch: DataFrame, number: int) -> None:
-        out = A.gate(A.validate(batch, prepared, key)).select(key, "address_text", "status", "reason_code", "gate_status", "issues")
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return redacted_stream(addresses).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+def gate_batches(addresses: DataFrame, prepared: DataFrame, path: str, checkpoint: str, key: str = "address_id"):
+    """A writer that appends the gated addresses of a stream to Parquet at path, each exactly once: the sink's own log says which files count."""
+    out = gated(addresses, prepared, key).select(key, "address_text", "status", "reason_code", "gate_status", "issues")
+    return out.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
 
 
 def status_counts(gated: DataFrame, time: str, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:

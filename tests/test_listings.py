@@ -17,6 +17,7 @@ from tapal.operators import ranking as R
 from tapal.operators import sinks, synthetic
 from tapal.sources import documents as D
 from tapal.streaming import gate
+from tests.test_address import hierarchy  # noqa: F401
 
 
 def test_only_scannable_files_are_opened(spark, tmp_path):
@@ -221,3 +222,18 @@ def test_row_invariants_of_aliases_and_sources(spark):
     rows = [good, (*good[:6], "32.01.01.0002", " ", ["40111"], ["B", "A", ""], []), (*good[:6], "32.01.01.0003", "DESA", ["40111"], [], [("s2", "t"), ("s1", "t"), ("s1", " ")])]
     df = spark.createDataFrame(rows, "province_code string, province_name string, city_code string, city_name string, district_code string, district_name string, village_code string, village_name string, postal_codes array<string>, village_aliases array<string>, sources array<struct<source_id:string,snapshot:string>>")
     assert {tuple(r) for r in G.hierarchy_violations(df).collect()} == {("32.01.01.0002", "village_name"), ("32.01.01.0002", "village_aliases"), ("32.01.01.0002", "village_alias_blank"), ("32.01.01.0002", "no_source"), ("32.01.01.0003", "sources"), ("32.01.01.0003", "source_id")}
+
+
+def test_gate_of_stream_and_table(spark, hierarchy, tmp_path):  # noqa: F811
+    """A stream in several batches, stopped and started again, gives the rows of the table, each once."""
+    rows = [(i, f"Jl. Mawar No. {i}, {'Kel. Braga' if i % 2 else 'Kel. Sukamaju'}, Kec. Sumur Bandung, Kota Bandung, Jawa Barat 40111") for i in range(12)]
+    df = spark.createDataFrame(rows, "address_id long, text string")
+    expected = sorted((r.address_id, r.gate_status, r.reason_code) for r in gate.gated(df, hierarchy).collect())
+    assert len({x[1] for x in expected}) >= 1 and len(expected) == 12
+    for part in (df.where("address_id < 5"), df.where("address_id between 5 and 8"), df.where("address_id > 8")):
+        part.coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = spark.readStream.schema("address_id long, text string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+        query = gate.gate_batches(stream, hierarchy, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start()
+        assert query.awaitTermination(120) and query.exception() is None
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.address_id, r.gate_status, r.reason_code) for r in got.collect()) == expected
