@@ -113,6 +113,51 @@ def targeted(chains: DataFrame, n: int, seed: int, first: int = 0) -> DataFrame:
     return df.select(F.format_string("TGT-%07d", F.col("id")).alias("id"), "village_code", "pattern", every.alias("categories"), cased.alias("tokens"), F.transform("_x", lambda x: x["l"]).alias("labels"))
 
 
+#: What stands near an address: directions, and kinds of places with their names; a kind without a word is in the name.
+DIRECTIONS = ["depan", "belakang", "dekat", "samping", "seberang"]
+LANDMARKS = [("Masjid", ["Al-Ikhlas", "An-Nur", "Baiturrahman"]), ("Gereja", ["Santo Yusuf", "Immanuel"]), ("", ["SDN 1", "Kantor Pos", "Puskesmas"]), ("Pasar", ["Baru", "Minggu"]), ("Taman", ["Kota", "Lansia"])]
+#: Texts of a place inside a building or an estate; {name}, {letter}, {floor} and {unit} are chosen.
+DETAILS = ["Blok {letter}{unit}", "Apartemen {name} Tower {letter} Lantai {floor} Unit {unit}", "Perumahan {name} Blok {letter}{unit}", "Komplek {name} Blok {letter} No. {unit}"]
+ESTATES = ["Griya Asri", "Bumi Indah", "Sentra Timur", "Puri Cipageran"]
+
+
+def landmark(seed: int, key: str) -> Column:
+    """A direction, a kind of place and one of its names."""
+    kind = chosen(seed, "landmark kind", len(LANDMARKS), key)
+    names = F
+    for i, (word, each) in enumerate(LANDMARKS):
+        names = names.when(kind == i, F.concat(F.lit(f"{word} " if word else ""), one_of(each, chosen(seed, "landmark name", len(each), key))))
+    return F.concat_ws(" ", one_of(DIRECTIONS, chosen(seed, "landmark direction", len(DIRECTIONS), key)), names)
+
+
+def detail(seed: int, key: str) -> Column:
+    """One of DETAILS with its places filled."""
+    out = one_of(DETAILS, chosen(seed, "detail", len(DETAILS), key))
+    values = {"name": one_of(ESTATES, chosen(seed, "detail name", len(ESTATES), key)), "letter": one_of(list("ABCDEFGH"), chosen(seed, "detail letter", 8, key)), "floor": (chosen(seed, "detail floor", 20, key) + 1).cast("string"), "unit": F.lpad((chosen(seed, "detail unit", 20, key) + 1).cast("string"), 2, "0")}
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), value)
+    return out
+
+
+def bases(chains: DataFrame, n: int, seed: int) -> DataFrame:
+    """n addresses before any noise, for varied(): the columns of a chain and base_id, street, number, rt, rw, place, detail, admin_conflict.
+
+    A part of them has no rt and rw (30 of 100), a landmark (25), a detail (20), a letter behind the number (20), or a
+    postal code of which the last two digits are wrong (8), which admin_conflict says.
+    """
+    df = with_chains(chains.sparkSession.range(n).withColumnRenamed("id", "base_id"), "base_id", chains, seed)
+    flip = lambda purpose, percent: chosen(seed, purpose, 100, "base_id") < percent
+    letter = F.when(flip("letter", 20), one_of(["A", "B", "C"], chosen(seed, "letter of number", 3, "base_id"))).otherwise("")
+    two = lambda purpose: F.when(~flip("no rt", 30), F.lpad((chosen(seed, purpose, 15, "base_id") + 1).cast("string"), 2, "0"))
+    conflict = flip("conflict", 8)
+    wrong = lambda at, purpose: ((F.substring("postal_code", at, 1).cast("int") + chosen(seed, purpose, 8, "base_id") + 1) % 10).cast("string")
+    code = F.when(conflict, F.concat(F.substring("postal_code", 1, 3), wrong(4, "fourth digit"), wrong(5, "fifth digit"))).otherwise(F.col("postal_code"))
+    return df.withColumns({
+        "street": one_of(STREETS, chosen(seed, "street", len(STREETS), "base_id")), "number": F.concat((chosen(seed, "number", 250, "base_id") + 1).cast("string"), letter), "rt": two("rt"), "rw": two("rw"),
+        "place": F.when(flip("has landmark", 25), landmark(seed, "base_id")), "detail": F.when(flip("has detail", 20), detail(seed, "base_id")), "admin_conflict": conflict, "postal_code": code,
+    })
+
+
 def varied(bases: DataFrame, variants: int, seed: int) -> DataFrame:
     """(base_id, variant, village_code, order_number, tokens, labels, categories): noisy forms of addresses.
 

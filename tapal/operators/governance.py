@@ -297,3 +297,13 @@ def app_lookup(staged: DataFrame, names: DataFrame) -> DataFrame:
     """The staged sections as LOOKUP_COLUMNS: postal codes of staged (village_code, postal_code), the rest of names; in order of village_code when written by in_order."""
     own = staged.select("village_code", S.clean_postal("postal_code").alias("postal_code"))
     return own.join(names.select(*[c for c in LOOKUP_COLUMNS if c != "postal_code"]), "village_code").select(*LOOKUP_COLUMNS)
+
+
+def adjudication_sums(adjudicated: DataFrame) -> DataFrame:
+    """(kind, name, n): adjudicated rows by decision, by status, by what they were before, and all, in one pass."""
+    cols = {"decision": F.col("decision"), "status": F.col("adjudication_status"), "before": F.col("verification_status")}
+    kind = F.lit("all")
+    for k, c in zip(cols, ("decision", "adjudication_status", "verification_status")):
+        kind = F.when(F.grouping(c) == 0, k).otherwise(kind)
+    out = adjudicated.groupingSets([[], *[[c] for c in cols.values()]], *cols.values()).agg(F.count(F.lit(1)).alias("n"), kind.alias("kind"))
+    return out.select("kind", F.coalesce(*cols.values(), F.lit("all")).alias("name"), "n")

@@ -50,3 +50,21 @@ def quality_summary(tables: dict[str, DataFrame], key: str = "village_code") ->
         one = df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("distinct_keys"), F.count_if(F.coalesce(F.trim(key), F.lit("")) == "").alias("blank_keys"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def quality_rows(tables: dict[str, DataFrame], key: str, filled: list[str]) -> DataFrame:
+    """(table, metric, value) of each table: rows, distinct, blank and repeated keys, and blank cells of the filled columns it has.
+
+    Each table is read once; its keys are counted by groups, so that no set of keys has to fit in one task.
+    """
+    out = None
+    for name, df in tables.items():
+        blank = [c for c in filled if c in df.columns]
+        own = df.select(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_k"), *[(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "").alias(c) for c in blank])
+        by = own.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(c) for c in blank])
+        real = F.col("_k") != ""
+        one = by.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if(real).alias("distinct_keys"), F.coalesce(F.sum(F.when(~real, F.col("_n"))), F.lit(0)).alias("blank_keys"), F.count_if(real & (F.col("_n") > 1)).alias("repeated_keys"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"blank_{c}") for c in blank])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in one.columns])).alias("m")
+        rows = one.select(F.lit(name).alias("table"), each).select("table", "m.metric", "m.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

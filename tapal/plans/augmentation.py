@@ -97,3 +97,20 @@ _VARIED = f"""WITH b AS (SELECT *, cast(base_id AS string) || '-' || variant AS
 def _(spark, sf_dir):
     found = G.varied(I.spark_table(spark, sf_dir, _BASES), 2, _SEED)
     return found.select("base_id", "variant", "village_code", "order_number", F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"), joined("categories").alias("categories"))
+
+
+_b = lambda purpose, n: _pick(purpose, n, "base_id")
+_NAMES = "CASE " + _b("landmark kind", len(G.LANDMARKS)) + " " + " ".join(f"WHEN {i} THEN '{word} ' || {_one(each, _b('landmark name', len(each)))}" if word else f"WHEN {i} THEN {_one(each, _b('landmark name', len(each)))}" for i, (word, each) in enumerate(G.LANDMARKS)) + " END"
+_FILLED = _one(G.DETAILS, _b("detail", len(G.DETAILS)))
+for _name, _value in (("name", _one(G.ESTATES, _b("detail name", len(G.ESTATES)))), ("letter", _one(list("ABCDEFGH"), _b("detail letter", 8))), ("floor", f"cast({_b('detail floor', 20)} + 1 AS string)"), ("unit", f"lpad(cast({_b('detail unit', 20)} + 1 AS string), 2, '0')")):
+    _FILLED = f"replace({_FILLED}, '{{{_name}}}', {_value})"
+_two = lambda purpose: f"CASE WHEN {_b('no rt', 100)} >= 30 THEN lpad(cast({_b(purpose, 15)} + 1 AS string), 2, '0') END"
+_wrong = lambda at, purpose: f"cast((cast(substr(postal_code, {at}, 1) AS INT) + {_b(purpose, 8)} + 1) % 10 AS string)"
+
+
+@query("synthetic_bases", f"""WITH h AS {_h}, ch AS (SELECT *, row_number() OVER (ORDER BY village_code) - 1 AS nth FROM h), i AS (SELECT range AS base_id FROM range({_COUNT})), x AS (SELECT * FROM i JOIN ch ON ch.nth = {_b('chain', '(SELECT count(*) FROM h)')})
+ SELECT base_id, village_code, {_one(G.STREETS, _b('street', len(G.STREETS)))} AS street, cast({_b('number', 250)} + 1 AS string) || CASE WHEN {_b('letter', 100)} < 20 THEN {_one(['A', 'B', 'C'], _b('letter of number', 3))} ELSE '' END AS number, {_two('rt')} AS rt, {_two('rw')} AS rw,
+ CASE WHEN {_b('has landmark', 100)} < 25 THEN {_one(G.DIRECTIONS, _b('landmark direction', len(G.DIRECTIONS)))} || ' ' || {_NAMES} END AS place, CASE WHEN {_b('has detail', 100)} < 20 THEN {_FILLED} END AS detail, {_b('conflict', 100)} < 8 AS admin_conflict,
+ CASE WHEN {_b('conflict', 100)} < 8 THEN substr(postal_code, 1, 3) || {_wrong(4, 'fourth digit')} || {_wrong(5, 'fifth digit')} ELSE postal_code END AS postal_code FROM x""")
+def _(spark, sf_dir):
+    return G.bases(_chains(spark, sf_dir), _COUNT, _SEED).select("base_id", "village_code", "street", "number", "rt", "rw", "place", "detail", "admin_conflict", "postal_code")

@@ -12,9 +12,10 @@ from tapal.operators import evaluation as E
 from tapal.operators import exceptions as X
 from tapal.operators import files as L
 from tapal.operators import governance as G
+from tapal.operators import sinks as K
 from tapal.operators import synthetic as Y
 from tapal.plans import inputs as I
-from tapal.plans.registry import ORACLES, QUERIES, query
+from tapal.plans.registry import _ADJ, ORACLES, QUERIES, _adjudicated, query
 from tapal.sources.documents import shared_folder
 
 _h = I.oracle_table(I.HIERARCHY)
@@ -196,3 +197,19 @@ def _(spark, sf_dir):
     )
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["type"], F.lit(":"), s["start"], F.lit("-"), s["end"], F.lit(":"), s["text"])), " ").alias(c)
     return N.case_records(part, "id").select("case_id", "provenance", listed("gold_spans"), listed("predicted_spans"), F.array_join(F.transform("repairs", lambda r: F.concat(r["index"], F.lit(":"), r["before"], F.lit(">"), r["after"])), " ").alias("repairs"))
+
+
+@query("quality_rows", """WITH s AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN ' ' ELSE cast(p_partkey // 2 AS string) END AS k, CASE WHEN p_size < 5 THEN '' ELSE p_brand END AS brand, 'parts' AS t FROM part UNION ALL SELECT cast(s_suppkey AS string), 'x', 'suppliers' FROM supplier),
+ g AS (SELECT t, trim(k) AS k, count(*) AS n, count(*) FILTER (brand = '') AS b FROM s GROUP BY t, trim(k)), a AS (SELECT t, sum(n) AS rows, count(*) FILTER (k <> '') AS distinct_keys, coalesce(sum(n) FILTER (k = ''), 0) AS blank_keys, count(*) FILTER (k <> '' AND n > 1) AS repeated_keys, sum(b) AS blank_brand FROM g GROUP BY t)
+ SELECT t AS "table", metric, CAST(value AS BIGINT) AS value FROM (SELECT t, 'rows' AS metric, rows AS value FROM a UNION ALL SELECT t, 'distinct_keys', distinct_keys FROM a UNION ALL SELECT t, 'blank_keys', blank_keys FROM a UNION ALL SELECT t, 'repeated_keys', repeated_keys FROM a UNION ALL SELECT t, 'blank_brand', blank_brand FROM a WHERE t = 'parts') x""")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(k % 10 == 0, " ").otherwise(F.floor(k / 2).cast("string")).alias("k"), F.when(F.col("p_size") < 5, "").otherwise(F.col("p_brand")).alias("brand"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    return K.quality_rows({"parts": parts, "suppliers": suppliers}, "k", ["brand"])
+
+
+@query("adjudication_sums", _ADJ + """, z AS (SELECT decision, CASE WHEN code <> '' THEN 'verified_adjudicated' WHEN decision = 'remain_unresolved' THEN 'blocked' ELSE 'error' END AS s, verification_status AS b FROM y)
+ SELECT 'all' AS kind, 'all' AS name, count(*) AS n FROM z UNION ALL SELECT 'decision', decision, count(*) FROM z GROUP BY decision UNION ALL SELECT 'status', s, count(*) FROM z GROUP BY s UNION ALL SELECT 'before', b, count(*) FROM z GROUP BY b""")
+def _(spark, sf_dir):
+    return G.adjudication_sums(_adjudicated(spark, sf_dir))

@@ -65,3 +65,16 @@ def test_joined_and_tasks(spark, chains):
         t = tasks[r.id]
         assert set(t.expected_defects) == set(r.categories) & set(G.SCORED_DEFECTS) and t.defect_count == len(t.expected_defects)
         assert t.components["JALAN"] == " ".join(x for x, l in zip(r.tokens, r.labels) if l.endswith("-JALAN")) and " ," not in t.address_text
+
+
+def test_bases_feed_variants(spark, chains):
+    """Addresses made from chains go through the variants; every kind of part occurs, and a wrong postal code differs in two digits at most."""
+    found = G.bases(chains, 600, 4).collect()
+    assert len({r.base_id for r in found}) == 600 and {r.village_code for r in found} == {r.village_code for r in chains.collect()}
+    assert any(r.rt is None for r in found) and all((r.rt is None) == (r.rw is None) for r in found) and any(r.place and "Masjid" in r.place for r in found) and any(r.detail and "Tower" in r.detail for r in found)
+    assert not any("{" in (r.detail or "") for r in found)
+    codes = {r.village_code: r.postal_code for r in chains.collect()}
+    for r in found:
+        assert r.admin_conflict == (r.postal_code != codes[r.village_code]) and r.postal_code[:3] == codes[r.village_code][:3] and len(r.postal_code) == 5
+    out = G.varied(G.bases(chains, 50, 4), 3, 4).withColumn("bio", E.is_bio(F.col("labels")))
+    assert out.count() == 150 and out.where("not bio").count() == 0
