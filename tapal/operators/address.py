@@ -323,3 +323,20 @@ def process(raw: DataFrame, prepared: DataFrame, column: str = "text", key: str
     """Raw address texts through all steps up to the gate; stateless but for the prepared hierarchy."""
     extracted = decode(tag(redact(raw, column))).withColumns({f"x_{f}": F.col(f) for f in S.FIELDS})
     return gate(validate(normalize(extracted), prepared, key))
+
+
+def stage_counts(extracted: DataFrame, prepared: DataFrame, key: str = "address_id") -> DataFrame:
+    """(stage, kind, name, n): what normalization and the gate add to the validation of extracted fields.
+
+    Stages extracted and normalized have the status and reason of each address, validated before and after normalization;
+    normalizer how many addresses it changed and how often each rule did; gate the final statuses. The addresses are
+    normalized and gated once, and both sides are summed up in one shuffle of as many rows as there are names.
+    """
+    fact = lambda stage, kind, name: F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), name.alias("name"))
+    told = lambda stage: [fact(stage, "status", F.col("status")), fact(stage, "reason", F.col("reason_code"))]
+    before = validate(extracted, prepared, key).select(F.explode(F.array(*told("extracted"))).alias("f"))
+    after = gate(validate(normalize(extracted, [f for f in S.FIELDS if f in extracted.columns]), prepared, key))
+    changed = F.when(F.size("changes") > 0, F.array(fact("normalizer", "addresses", F.lit("changed")))).otherwise(F.slice(F.array(fact("normalizer", "addresses", F.lit("changed"))), 1, 0))
+    rules = F.transform("changes", lambda c: fact("normalizer", "rule", c["rule_id"]))
+    facts = F.concat(F.array(*told("normalized"), fact("gate", "status", F.col("gate_status"))), changed, rules)
+    return before.unionByName(after.select(F.explode(facts).alias("f"))).groupBy("f.stage", "f.kind", "f.name").agg(F.count(F.lit(1)).alias("n"))

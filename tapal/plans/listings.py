@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapal.functions import scalar as S
+from tapal.operators import address as A
 from tapal.operators import annotation as N
 from tapal.operators import evaluation as E
 from tapal.operators import exceptions as X
@@ -15,7 +17,7 @@ from tapal.operators import governance as G
 from tapal.operators import sinks as K
 from tapal.operators import synthetic as Y
 from tapal.plans import inputs as I
-from tapal.plans.registry import _ADJ, ORACLES, QUERIES, _adjudicated, query
+from tapal.plans.registry import _ADJ, _VALID, ORACLES, QUERIES, _adjudicated, hierarchy, query
 from tapal.sources.documents import shared_folder
 
 _h = I.oracle_table(I.HIERARCHY)
@@ -213,3 +215,13 @@ def _(spark, sf_dir):
  SELECT 'all' AS kind, 'all' AS name, count(*) AS n FROM z UNION ALL SELECT 'decision', decision, count(*) FROM z GROUP BY decision UNION ALL SELECT 'status', s, count(*) FROM z GROUP BY s UNION ALL SELECT 'before', b, count(*) FROM z GROUP BY b""")
 def _(spark, sf_dir):
     return G.adjudication_sums(_adjudicated(spark, sf_dir))
+
+
+_REASON = "CASE status WHEN 'incomplete' THEN 'MISSING_ADMINISTRATIVE_FIELDS' WHEN 'not_found' THEN 'REFERENCE_COVERAGE_GAP' WHEN 'invalid' THEN 'ADMINISTRATIVE_CONFLICT' WHEN 'ambiguous' THEN 'AMBIGUOUS_ADMINISTRATIVE_CANDIDATES' ELSE 'VALID_ADMINISTRATIVE_CHAIN' END"
+
+
+@query("stage_counts", _VALID + f""", q AS MATERIALIZED (SELECT status, {_REASON} AS reason, gate_status FROM z), y AS (SELECT 'extracted' AS stage, * FROM q UNION ALL SELECT 'normalized', * FROM q)
+ SELECT stage, 'status' AS kind, status AS name, count(*) AS n FROM y GROUP BY ALL UNION ALL SELECT stage, 'reason', reason, count(*) FROM y GROUP BY ALL UNION ALL SELECT 'gate', 'status', gate_status, count(*) FROM q GROUP BY ALL""")
+def _(spark, sf_dir):
+    # What the normalizer itself changes is told by normalization_changes_by_rule.
+    return A.stage_counts(I.addresses(spark, sf_dir, I.ADDRESSES).select("address_id", *S.ADMIN_FIELDS), A.lookup(hierarchy(spark, sf_dir))).where("stage <> 'normalizer'")

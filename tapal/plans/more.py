@@ -14,6 +14,7 @@ from tapal.operators import exceptions as X
 from tapal.operators import governance as G
 from tapal.operators import pii as P
 from tapal.operators import ranking as R
+from tapal.operators import sealed
 from tapal.plans import inputs as I
 from tapal.plans.registry import _ADJ, _BOTH, _adjudicated, _consensus, _spans, hierarchy, joined, query
 from tapal.sources import documents as D
@@ -355,12 +356,8 @@ def _(spark, sf_dir):
 
 @query("grouped_metrics", _BOTH + """ SELECT "group", tp, fp, fn FROM (SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS "group", count(*) FILTER (ing AND inp) AS tp, count(*) FILTER (NOT ing) AS fp, count(*) FILTER (NOT inp) AS fn FROM b GROUP BY 1) y""")
 def _(spark, sf_dir):
-    _, g, p = _spans(spark, sf_dir)
-    group = F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("group")
-    on = ["id", "type", "start", "end"]
-    both = g.select(*on, F.lit(True).alias("g")).join(p.select(*on, F.lit(True).alias("p")), on, "full_outer")
-    hit = lambda c, o: F.col(c).isNotNull() & F.col(o).isNotNull()
-    return both.groupBy(group).agg(F.count_if(hit("g", "p")).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    t = I.spark_table(spark, sf_dir, I.LABELS).withColumn("group", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    return sealed.slice_metrics(t, "gold", "predicted", "group").where("slice = 'group'").select(F.col("name").alias("group"), "tp", "fp", "fn")
 
 
 # --- sampling and splits -----------------------------------------------------------------------------------------------------
@@ -409,8 +406,8 @@ def _(spark, sf_dir):
 
 @query("namespace_collisions", "SELECT 'a-' || cast(c_custkey AS string) AS id FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)")
 def _(spark, sf_dir):
-    own = lambda t, k: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.concat(F.lit("a-"), F.col(k).cast("string")).alias("id"))
-    return own("customer", "c_custkey").intersect(own("supplier", "s_suppkey"))
+    own = lambda t, k: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.concat(F.lit("a-"), F.col(k).cast("string")).alias("id"), F.lit(t).alias("split"))
+    return sealed.shared_bases(own("customer", "c_custkey").unionByName(own("supplier", "s_suppkey")), "id", "split", [("customer", "supplier")]).select("id")
 
 
 @query("subword_labels", "SELECT p_partkey, '-100;B-RT;-100;I-RT;-100' AS labels, 'x;z' AS words FROM part")

@@ -104,3 +104,15 @@ def test_names(spark):
     assert one(spark, ["3273051002", "32.73", None], S.village_code) == ["32.73.05.1002", "", ""]
     assert one(spark, ["o'brien rt.1 ii di"], S.smart_title) == ["O'Brien Rt.1 II DI"]
     assert fold("ß É") == "ss e" or fold("ß É") == "e"
+
+
+def test_stage_counts(spark, hierarchy):
+    """Each address is counted once before, once after normalization and once by the gate; changes are counted by rule."""
+    rows = [(1, "kel. braga", "kec. sumur bandung", "kota bandung", "jawa barat", "40 111"), (2, "Kelurahan Braga", "Kecamatan Sumur Bandung", "Kota Bandung", "Jawa Barat", "40111"), (3, "Entah", None, None, None, None)]
+    df = spark.createDataFrame(rows, "address_id long, KELURAHAN string, KECAMATAN string, KOTA_KABUPATEN string, PROVINSI string, KODEPOS string")
+    got = {(r.stage, r.kind, r.name): r.n for r in A.stage_counts(df, hierarchy).collect()}
+    assert got["extracted", "status", "valid"] == 1 and got["normalized", "status", "valid"] == 2 and got["normalizer", "addresses", "changed"] == 1
+    assert got["normalizer", "rule", "postcode_spacing_v1"] == 1 and got["normalizer", "rule", "designator_dictionary_v1"] >= 2
+    for stage in ("extracted", "normalized"):
+        assert sum(n for (s, k, _), n in got.items() if s == stage and k == "status") == 3
+    assert sum(n for (s, _, _), n in got.items() if s == "gate") == 3
