@@ -1,4 +1,9 @@
-"""Line dedup: of every run of lines that comes again, whatever its place, the first one stays."""
+"""Line dedup by content-defined chunks of lines: of every run of lines that comes again, whatever its place, the first one stays.
+
+Line hashes choose where chunks begin, so that boundaries move with the content and any run of MIN_LINES lines holds
+one that the run alone decides. Chunks whose first line comes again are extended to either side line by line, with a
+rolling hash over the line hashes; extensions that come again are compared by bytes, and together they cover the run.
+"""
 
 from __future__ import annotations
 
@@ -15,66 +20,102 @@ from tapal.llm.common import binary, cut, slices, small_batches, text_key
 
 #: Lines that a run has at least.
 MIN_LINES = 2
+#: Factor of the rolling hash, and what tells an extension to the left from one to the right.
+FACTOR, LEFT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+MASK = (1 << 64) - 1
 
 
-def units_of(lines: list[bytes]) -> list[tuple[int, int]]:
-    """The least runs that may go, as (start, end): a line is in a run that comes again if and only if it is in such a unit.
+def boundaries(lines: list[bytes]) -> tuple[list[int], list[bool], list[bool]]:
+    """Hashes of the lines, which of them have words, and which begin a chunk.
 
-    A run has MIN_LINES lines or more and is not of white space alone. Each pair of neighbours with words is a unit;
-    a blank line further away from the nearest lines with words is in the units from it to each of them.
+    A line with words begins a chunk if its hash is not above that of a neighbour; a line of white space is above all
+    others. Of two neighbours that have words between them at least one begins a chunk, and nothing else decides it,
+    so that a line put in or taken out moves no boundary but those next to it. About two lines of three begin one:
+    a run of two lines leaves no room for longer chunks that are whole within it.
     """
+    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
     full = [bool(x.strip()) for x in lines]
-    out = [(i, i + 2) for i in range(len(lines) - 1) if full[i] or full[i + 1]]
-    if all(full[i] or full[i + 1] for i in range(len(lines) - 1)):
-        return out
-    before = after = None
-    for i, x in enumerate(full):
-        before = i if x else before
-        if before is not None and i - before > 1:
-            out.append((before, i + 1))
-    for i in range(len(lines) - 1, -1, -1):
-        after = i if full[i] else after
-        if after is not None and after - i > 1:
-            out.append((i, after + 1))
-    return out
+    order = [h if f else MASK + 1 for h, f in zip(hashes, full)]
+    begins = [f and ((i > 0 and order[i - 1] >= order[i]) or (i + 1 < len(order) and order[i + 1] >= order[i])) for i, f in enumerate(full)]
+    return hashes, full, begins
 
 
 def chunks_of(text: bytes) -> list[list[bytes]]:
-    """The units of a text as lists of lines."""
+    """The chunks of a text, as lists of lines."""
     lines = text.split(b"\n")
-    return [lines[a:b] for a, b in units_of(lines)]
+    starts = [i for i, x in enumerate(boundaries(lines)[2]) if x and i]
+    return [lines[a:b] for a, b in zip([0, *starts], [*starts, len(lines)])]
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """(_id, _th, at, end, known, h0, h1) for each unit; h0 and h1 are halves of its 128-bit hash.
+def extensions(lines: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, side): the least runs about chunks' first lines that may go, in order of the two hashes' owners.
 
-    known: the same bytes stand earlier among the texts that a task has at once, so the unit goes whatever else there
-    is. Only the first of them has to be compared with other tasks', so that no hash is in many rows.
+    first is the hash of the line that begins a chunk, side the rolling hash of the lines by which the run goes on to
+    one side. A line is in a run that comes again, of MIN_LINES lines or more and not of white space alone, if and
+    only if it is in such an extension. Each pair of neighbours with words between them is one, of the line with the
+    lesser hash; a line of white space further away from the nearest lines with words is in those from either of them.
     """
-    names = ["_id", "_th", "at", "end", "known", "h0", "h1"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    hashes, full, begins = boundaries(lines)
+    out = []
+    for i in range(len(lines) - 1):
+        right = begins[i] and (not begins[i + 1] or hashes[i] <= hashes[i + 1])
+        if right:
+            out.append((i, i + 2, hashes[i], hashes[i + 1]))
+        elif begins[i + 1]:
+            out.append((i, i + 2, hashes[i + 1], hashes[i] ^ LEFT))
+    for step in (1, -1):
+        at, roll = None, 0
+        for i in range(len(lines)) if step > 0 else range(len(lines) - 1, -1, -1):
+            if full[i]:
+                at, roll = i, 0
+            elif at is not None:
+                roll = (roll * FACTOR + hashes[i]) & MASK
+                if abs(i - at) > 1:
+                    out.append((at, i + 1, hashes[at], roll) if step > 0 else (i, at + 1, hashes[at], roll ^ LEFT))
+    return out
+
+
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """(first, known, places): for each first line of chunks of the texts that a task has at once, its extensions.
+
+    A place is (_id, _th, at, end, side). known: the same bytes stand earlier among these texts, so the lines go
+    whatever else there is. Only the first of them has to be compared with other tasks', and a first line has one row
+    for all its places here, so that no hash is in many rows.
+    """
+    kinds = {"_id": pa.int64(), "_th": pa.int64(), "at": pa.int32(), "end": pa.int32(), "side": pa.int64()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
-                chunks: list[bytes] = []
-                first: dict[bytes, tuple] = {}
+                earliest: dict[tuple, tuple] = {}
+                texts = {}
                 for i, th, text in zip(part.column("_id").to_pylist(), part.column("_th").to_pylist(), binary(part.column("text")).to_pylist()):
                     if b"\n" not in text:
                         continue
-                    lines = text.split(b"\n")
-                    for a, b in units_of(lines):
-                        chunks.append(b"\n".join(lines[a:b]))
-                        rows.append((i, th, a, b))
-                        if (i, th, a) < first.get(chunks[-1], (i, th, a + 1)):
-                            first[chunks[-1]] = (i, th, a)
-                known = [row[:3] > first[x] for row, x in zip(rows, chunks)]
-                halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), dtype=np.int64).reshape(-1, 2)
-                columns = [pa.array(x, t) for x, t in zip([*(list(zip(*rows)) or [()] * 4), known], types)] + [pa.array(halves[:, k]) for k in range(2)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select(*text_key(), F.col("text").cast("string").alias("text")).mapInArrow(each, "_id long, _th long, at int, end int, known boolean, h0 long, h1 long")
+                    lines = texts[i, th] = text.split(b"\n")
+                    for a, b, first, side in extensions(lines):
+                        rows.append((first, side, i, th, a, b))
+                        old = earliest.get((first, side))
+                        if old is None or (i, th, a, b) < old:
+                            earliest[first, side] = (i, th, a, b)
+                if not rows:
+                    continue
+                known = []
+                for first, side, i, th, a, b in rows:
+                    k, kh, at, end = earliest[first, side]
+                    known.append((i, th, a) > (k, kh, at) and texts[i, th][a:b] == texts[k, kh][at:end])
+                hashes = np.array([r[:2] for r in rows], dtype=np.uint64).view(np.int64)
+                order = np.lexsort((hashes[:, 0], known))
+                key, told = hashes[order, 0], np.array(known)[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (told[1:] != told[:-1])]))
+                rest = np.array([r[2:] for r in rows], dtype=np.int64)[order]
+                values = [pa.array(x).cast(t) for x, t in zip([*rest.T, hashes[order, 1]], kinds.values())]
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(rows)).astype(np.int32)), pa.StructArray.from_arrays(values, names=list(kinds)))
+                for at in range(0, len(new), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[new[at : at + 10_000]]), pa.array(told[new[at : at + 10_000]]), places.slice(at, 10_000)], names=["first", "known", "places"])
+
+    return docs.select(*text_key(), F.col("text").cast("string").alias("text")).mapInArrow(each, "first long, known boolean, places array<struct<_id: long, _th: long, at: int, end: int, side: long>>")
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -83,7 +124,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def unit_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(_id, _th, at, end, h0, h1, chunk) for each row of places (all but chunk), with the bytes of its unit.
+    """(_id, _th, at, end, h0, h1, chunk) for each row of places (all but chunk), with the bytes of its lines.
 
     The join takes the same columns as that of rewritten, so that Spark sends the texts once for both.
     """
@@ -104,20 +145,24 @@ def unit_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(_id, _th, gone): for each text with units to remove, their places (at, end).
+    """(_id, _th, gone): for each text with lines to remove, their places (at, end).
 
-    Only units whose hash comes more than once have their bytes sent; they are grouped by these bytes, which is the
-    byte comparison. The first place in order of (doc_id, text hash, place) stays.
+    Only chunks whose first line comes more than once are extended, and only extensions whose hashes come more than
+    once have their bytes sent; they are grouped by these bytes, which is the byte comparison. The first place in
+    order of (doc_id, text hash, place) stays.
     """
-    places = cut(unit_table(docs))
-    own = places.where(~F.col("known")).drop("known")
-    twice = own.groupBy("h0", "h1").count().where("count > 1").select("h0", "h1")
-    again = cut(own.join(twice, ["h0", "h1"], "left_semi"))
+    chunks = cut(chunk_table(docs))
+    own = chunks.where(~F.col("known")).drop("known")
+    firsts = own.groupBy("first").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("first")
+    place = F.explode("places").alias("p")
+    near = cut(own.join(firsts, "first", "left_semi").select("first", place).select("p._id", "p._th", "p.at", "p.end", F.col("first").alias("h0"), F.col("p.side").alias("h1")))
+    twice = near.groupBy("h0", "h1").count().where("count > 1").select("h0", "h1")
+    again = cut(near.join(twice, ["h0", "h1"], "left_semi"))
     # A hash that stands for two different runs has two rows here, each with its own first place.
     texts = unit_bytes(docs, again).groupBy("h0", "h1", "chunk").agg(F.min(F.struct("_id", "_th", "at")).alias("keep"))
     first = texts.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("texts"), F.first("keep").alias("keep")).where("texts = 1")
     gone = again.join(first, ["h0", "h1"]).where(F.struct("_id", "_th", "at") != F.col("keep")).select("_id", "_th", "at", "end")
-    gone = gone.unionByName(places.where("known").select("_id", "_th", "at", "end"))
+    gone = gone.unionByName(chunks.where("known").select(place).select("p._id", "p._th", "p.at", "p.end"))
     return gone.groupBy("_id", "_th").agg(F.collect_set(F.struct("at", "end")).alias("gone"))
 
 

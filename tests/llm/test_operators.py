@@ -82,6 +82,26 @@ def test_lines_shift():
     assert len(moved & {b"\n".join(c) for c in lines.chunks_of(b"\n".join(own))}) > 0.8 * len(moved)
 
 
+def test_lines_of_few_kinds(spark):
+    """Lines of few kinds, blank ones among them, in short texts: runs overlap, touch and come again within a text."""
+    rng = random.Random(56)
+    kinds = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "", " ", "\t"]
+    texts = {k: "\n".join(rng.choice(kinds) if rng.random() < 0.7 else f"own {k} {j}" for j in range(rng.randrange(1, 13))) for k in range(120)}
+    got = dict(texts_of(lines.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5))))
+    assert got == lines.brute_force(texts) and got != texts
+
+
+def test_lines_boundaries_hang_on_the_run_alone():
+    """Every run of two lines with words holds a boundary, the same in all surroundings, and there are fewer than pairs."""
+    rng = random.Random(57)
+    own = [f"line {i}".encode() for i in range(3000)]
+    begins = lines.boundaries(own)[2]
+    assert all(a or b for a, b in zip(begins, begins[1:])) and sum(begins) < 0.7 * len(own)
+    for i in rng.sample(range(len(own) - 1), 200):
+        alone = {(x[2], x[3]) for x in lines.extensions(own[i : i + 2])}
+        assert alone and alone <= {(x[2], x[3]) for x in lines.extensions([b"before", *own[i : i + 2], b"after"])}
+
+
 def test_lines_short_passages(spark):
     """Passages of two to five lines go wherever they stand, with all their lines, blank ones too; single lines stay."""
     rng = random.Random(55)
