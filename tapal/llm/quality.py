@@ -1,32 +1,29 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histogram of character classes and its histogram of common words are compared with those of its
-language by Jensen-Shannon distance. The language references are sums over all documents of the language.
+language by Jensen-Shannon distance. A language's common words are those that most of its
+documents hold, and its references are sums over all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapal.llm.common import cut
 
-#: Eight very common words of each language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "den", "von", "ist", "das", "nicht"],
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for"],
-    "es": ["el", "los", "por", "con", "una", "para", "las", "del"],
-    "fr": ["le", "les", "des", "et", "un", "pour", "une", "dans"],
-}
-BINS = 8
+#: Common words of a language: so many of those that most of its documents hold, none of more characters than that.
+BINS, COMMON_CHARS = 8, 32
 WORD = "[\\x20\\x09-\\x0D]+"
 #: A document with fewer words is not compared: its histograms are too coarse.
 MIN_WORDS = 50
-#: Jensen-Shannon distances (base 2, the square root of the divergence) beyond which a document is rejected.
+#: Jensen-Shannon distances (base 2, the square root of the divergence) beyond which a document is rejected. A histogram
+#: of n words is off by chance with 1 / sqrt(n), so that common words are allowed WORD_SLACK / sqrt(n) more.
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.26
-#: Languages whose references are broadcast at most, some 200 bytes each; more of them are joined by key.
-BROADCAST_LANGUAGES = 50_000
+MAX_WORD_DISTANCE = 0.15
+WORD_SLACK = 1.0
+#: Languages whose references and common words are broadcast at most, 1.3 KB each at most; more of them are joined by key.
+BROADCAST_LANGUAGES = 20_000
 #: Words that a language needs before its reference is used.
 MIN_REFERENCE_WORDS = 1000
 
@@ -35,13 +32,35 @@ def _count(pattern: str) -> Column:
     return F.regexp_count(F.col("_text"), F.lit(pattern))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    """docs with _text, _lang (nulls are empty) and the text's _words."""
+    df = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    return df.withColumn("_words", F.filter(F.split("_text", WORD), lambda w: w != ""))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """(_lang, _list): the BINS words that most of all documents of a language hold, equal counts by the word.
+
+    Counts are summed before the shuffle, and each partition gives on only its first BINS words of a language.
+    """
+    counts = _texts(docs.select("text", "lang")).select("_lang", F.explode(F.array_distinct("_words")).alias("_word")).where(F.length("_word") <= COMMON_CHARS).groupBy("_lang", "_word").count()
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.col("count").desc(), "_word"))
+    top = counts.withColumn("_rank", rank).where(F.col("_rank") <= BINS)
+    return top.groupBy("_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_word"))), lambda x: x["_word"]).alias("_list"))
+
+
+def _by_language(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df with the columns of table, one row for each language, which is broadcast if it is few; it should be a stored table."""
+    return df.join(F.broadcast(table) if table.count() <= BROADCAST_LANGUAGES else table, "_lang", "left")
+
+
+def features(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """docs with columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, _lang, _classes and _common.
 
-    A null text counts as one without words. Any own columns of these names are replaced.
+    lists has the common words of each language. A null text counts as one without words. Any own columns of these
+    names are replaced.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    df = df.withColumn("_words", F.filter(F.split("_text", WORD), lambda w: w != ""))
+    df = _by_language(_texts(docs.drop("_list")), lists)
     df = df.withColumn("n_words", F.size("_words").cast("long")).withColumn("_bits", F.expr("cast(ceil(log2(n_words + 2)) as int)"))
     df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     df = df.withColumn("n_symbols", _count("[#*$%&|<>]").cast("long"))
@@ -62,21 +81,17 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_known", F.array(*[x.cast("double") for x in known]))
     rest = F.length("_text").cast("double") - F.aggregate("_known", F.lit(0.0), lambda a, x: a + x)
     df = df.withColumn("_classes", F.concat("_known", F.array(F.greatest(rest, F.lit(0.0)))))
-    every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    df = df.withColumn("_found", F.filter("_words", lambda w: w.isin(every)))
-    lists = F.create_map(*[x for k, words in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, words)))])
-    df = df.withColumn("_list", F.coalesce(lists[F.col("_lang")], F.array(*[F.lit("")] * BINS)))
-    df = df.withColumn("_own", F.expr("transform(_list, b -> cast(size(filter(_found, x -> x = b)) as double))"))
-    foreign = F.size("_found") - F.aggregate("_own", F.lit(0.0), lambda a, x: a + x)
-    df = df.withColumn("_common", F.concat("_own", F.array(foreign, F.col("n_words").cast("double") - F.size("_found"))))
+    df = df.withColumn("_found", F.filter("_words", lambda w: F.array_contains("_list", w)))
+    df = df.withColumn("_own", F.expr(f"transform(sequence(0, {BINS - 1}), i -> cast(coalesce(size(filter(_found, x -> x = get(_list, i))), 0) as double))"))
+    df = df.withColumn("_common", F.concat("_own", F.array(F.col("n_words").cast("double") - F.aggregate("_own", F.lit(0.0), lambda a, x: a + x))))
     return df.drop("_text", "_words", "_bits", "_lines", "_keys", "_mask", "_n", "_pairs", "_at", "_known", "_found", "_list", "_own")
 
 
 def references(features_of: DataFrame) -> DataFrame:
     """A row for each language: ref_classes and ref_common, sums over all its documents, and ref_words."""
-    sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(BINS + 2)]
+    sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(BINS + 1)]
     out = features_of.groupBy("_lang").agg(F.sum("n_words").alias("ref_words"), *sums)
-    return out.select("_lang", "ref_words", F.array(*[f"c{i}" for i in range(7)]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(BINS + 2)]).alias("ref_common"))
+    return out.select("_lang", "ref_words", F.array(*[f"c{i}" for i in range(7)]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(BINS + 1)]).alias("ref_common"))
 
 
 def distance(p: str, q: str) -> Column:
@@ -92,14 +107,13 @@ def judge(features_of: DataFrame, refs: DataFrame) -> DataFrame:
     """features_of with base_failed, class_distance, word_distance and kept.
 
     refs has a row for each language, and all of them are used. They are broadcast if they are few, as a language may
-    hold most of the documents; refs is counted for that and should be a stored table. A document of less than MIN_WORDS words, or of a language whose reference has too few words, keeps the base rules' verdict.
+    hold most of the documents. A document of less than MIN_WORDS words, or of a language whose reference has too few words, keeps the base rules' verdict.
     """
-    used = refs.where(F.col("ref_words") >= MIN_REFERENCE_WORDS)
-    df = features_of.join(F.broadcast(used) if used.count() <= BROADCAST_LANGUAGES else used, "_lang", "left")
+    df = _by_language(features_of, refs.where(F.col("ref_words") >= MIN_REFERENCE_WORDS))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     enough = (F.col("n_words") >= MIN_WORDS) & F.col("ref_words").isNotNull()
     df = df.withColumn("class_distance", F.when(enough, distance("_classes", "ref_classes"))).withColumn("word_distance", F.when(enough, distance("_common", "ref_common")))
-    near = F.coalesce(F.col("class_distance") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
+    near = F.coalesce(F.col("class_distance") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE + WORD_SLACK / F.sqrt("n_words"), F.lit(True))
     return df.withColumn("kept", ~F.col("base_failed") & near)
 
 
@@ -109,16 +123,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Null texts are texts without words and fail the base rules; a null or unknown lang is a language of its own.
     Repeated rows each get a row; an empty table gives an empty result.
     """
-    found = cut(features(docs.select("doc_id", "text", "lang")).drop("text"))
+    found = cut(features(docs.select("doc_id", "text", "lang"), cut(common_words(docs))).drop("text"))
     return judge(found, cut(references(found)))
 
 
 def rejected_removed(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns."""
-    refs = cut(references(features(docs.select("text", "lang"))))
+    lists = cut(common_words(docs))
+    refs = cut(references(features(docs.select("text", "lang"), lists)))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"), F.col("lang"))
     # The place keeps the filter above the features; pushed below, it would compute them once for each use.
-    found = features(own).withColumn("_place", F.monotonically_increasing_id())
+    found = features(own, lists).withColumn("_place", F.monotonically_increasing_id())
     return judge(found, refs).where(F.col("kept") & (F.col("_place") >= 0)).select("_row.*")
 
 

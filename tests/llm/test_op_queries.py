@@ -155,11 +155,8 @@ def plain_verdicts(docs):
         n = len(text)
         counts = [len(re.findall(p, text)) for p in ("[A-Z]", "[0-9]", "[.,;:!?'\"()\\-]", "[#*$%&|<>]")]
         counts += [n - sum(map(len, words)), len(text.encode()) - n]
-        every = {w for x in quality.COMMON_WORDS.values() for w in x}
-        own = quality.COMMON_WORDS.get(lang, [""] * 8)
-        found = [w for w in words if w in every]
-        common = [found.count(w) for w in own]
-        return [*counts, max(n - sum(counts), 0)], [*common, len(found) - sum(common), len(words) - len(found)], len(words)
+        common = [words.count(w) for w in lists[lang]]
+        return [*counts, max(n - sum(counts), 0)], [*common, len(words) - sum(common)], len(words)
 
     def distance(p, q):
         if not sum(p) or not sum(q):
@@ -168,6 +165,10 @@ def plain_verdicts(docs):
         part = lambda x, y: x * math.log2(2 * x / (x + y)) if x else 0
         return math.sqrt(max(0, sum(part(x, y) + part(y, x) for x, y in zip(p, q)) / 2))
 
+    often = collections.defaultdict(collections.Counter)
+    for _, t, lang in docs:
+        often[lang or ""].update(w for w in set(re.findall(r"[^\x20\x09-\x0D]+", t or "")) if len(w) <= quality.COMMON_CHARS)
+    lists = {lang: (sorted(c, key=lambda w: (-c[w], w)) + [None] * quality.BINS)[: quality.BINS] for lang, c in often.items()}
     told = [(i, t or "", lang or "", *histograms(t or "", lang or "")) for i, t, lang in docs]
     sums = {}
     for _, _, lang, c, w, n in told:
@@ -176,7 +177,7 @@ def plain_verdicts(docs):
     out = collections.Counter()
     for i, t, lang, c, w, n in told:
         b = base_rules(t)
-        far = n >= quality.MIN_WORDS and sums[lang][2] >= quality.MIN_REFERENCE_WORDS and (distance(c, sums[lang][0]) > quality.MAX_CLASS_DISTANCE or distance(w, sums[lang][1]) > quality.MAX_WORD_DISTANCE)
+        far = n >= quality.MIN_WORDS and sums[lang][2] >= quality.MIN_REFERENCE_WORDS and (distance(c, sums[lang][0]) > quality.MAX_CLASS_DISTANCE or distance(w, sums[lang][1]) > quality.MAX_WORD_DISTANCE + quality.WORD_SLACK / math.sqrt(n))
         out[i, not (b[0] < 50 or 100 * b[4] > 50 * b[0] or far)] += 1
     return out
 
