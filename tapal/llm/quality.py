@@ -83,7 +83,8 @@ def features(docs: DataFrame, lists: DataFrame) -> DataFrame:
     df = df.withColumn("_classes", F.concat("_known", F.array(F.greatest(rest, F.lit(0.0)))))
     df = df.withColumn("_found", F.filter("_words", lambda w: F.array_contains("_list", w)))
     df = df.withColumn("_own", F.expr(f"transform(sequence(0, {BINS - 1}), i -> cast(coalesce(size(filter(_found, x -> x = get(_list, i))), 0) as double))"))
-    df = df.withColumn("_common", F.concat("_own", F.array(F.col("n_words").cast("double") - F.aggregate("_own", F.lit(0.0), lambda a, x: a + x))))
+    # The second use of _found keeps it a column; with one only, it would be moved into the counts and made for each of them.
+    df = df.withColumn("_common", F.concat("_own", F.array(F.col("n_words").cast("double") - F.coalesce(F.size("_found"), F.lit(0)))))
     return df.drop("_text", "_words", "_bits", "_lines", "_keys", "_mask", "_n", "_pairs", "_at", "_known", "_found", "_list", "_own")
 
 
