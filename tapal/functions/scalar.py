@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The fields of an address in their canonical order.
@@ -76,6 +76,15 @@ def once(x: Column | str, body) -> Column:
     return F.element_at(F.transform(F.array(col(x)), body), 1)
 
 
+def each(df: DataFrame, column: str, name: str, *others: str) -> DataFrame:
+    """One row, with others, for each entry that is not null of an array column.
+
+    A plain explode adds a filter on the array, which the optimizer moves below all steps that make it, with their
+    expressions put one into the other; one on the entries stays where it is.
+    """
+    return df.select(*others, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 def _folded(v: Column) -> Column:
     several = F.from_json(F.lit(_MANY_JSON), "map<string,string>")
     whole = F.when(v.rlike(f"[{''.join(_MANY)}]"), F.array_join(F.transform(F.split(v, ""), lambda c: F.coalesce(several[c], c)), "")).otherwise(v)
@@ -146,15 +155,28 @@ def _first_word(x: Column) -> Column:
     return F.regexp_extract(x, "^([0-9a-z]+)", 1)
 
 
+def _kind(n: Column) -> Column:
+    kinds = F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair])
+    return kinds[_first_word(n)]
+
+
+def _base(n: Column) -> Column:
+    return F.when(_first_word(n).isin(list(KINDS)), F.trim(F.regexp_replace(n, "^[0-9a-z]+", ""))).otherwise(n)
+
+
 def name_kind(x: Column | str) -> Column:
     """The kind that a normalized name's first word tells, or null."""
-    kinds = F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair])
-    return kinds[_first_word(normalize_hierarchy(x))]
+    return _kind(normalize_hierarchy(x))
 
 
 def name_base(x: Column | str) -> Column:
     """A normalized name without one leading designator."""
-    return once(normalize_hierarchy(x), lambda n: F.when(_first_word(n).isin(list(KINDS)), F.trim(F.regexp_replace(n, "^[0-9a-z]+", ""))).otherwise(n))
+    return once(normalize_hierarchy(x), _base)
+
+
+def name_parts(x: Column | str) -> Column:
+    """A name's base and kind, with the name normalized once."""
+    return once(normalize_hierarchy(x), lambda n: F.struct(_base(n).alias("base"), _kind(n).alias("kind")))
 
 
 def clean_values(x: Column | str) -> Column:

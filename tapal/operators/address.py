@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ _LEVEL = {"KELURAHAN": "village", "KECAMATAN": "district", "KOTA_KABUPATEN": "ci
 
 
 def parts(x: Column | str) -> Column:
-    return F.struct(S.name_base(x).alias("base"), S.name_kind(x).alias("kind"))
+    return S.name_parts(x)
 
 
 def _same_name(field: str):
@@ -95,58 +97,83 @@ def _same_name(field: str):
 _CANDIDATE = ["village_code", "village_name", "district_name", "city_name", "province_name"]
 
 
-def lookup(hierarchy: DataFrame) -> DataFrame:
-    """The hierarchy prepared once for validation: (v_base, villages), all villages with a name of that base form.
+class Lookup(NamedTuple):
+    """The hierarchy prepared once for validation.
 
-    hierarchy has, for each level, <level>_code, <level>_name and <level>_aliases, and postal_codes. A list has the
-    villages of one name, which the reference bounds and the addresses do not.
+    postals has (v_base, v_postal, villages): the villages with a name of that base form and that postal code. names has
+    (n_base, chains, members): chains are the distinct upper levels of all villages with the name, each with its number of
+    villages, and members the villages themselves. A list of chains stops growing where the upper levels do.
     """
-    names = lambda level: F.array_distinct(F.transform(F.concat(F.array(f"{level}_name"), F.coalesce(f"{level}_aliases", F.array().cast("array<string>"))), parts))
-    out = hierarchy.select(*_CANDIDATE, "postal_codes", *[names(x).alias(f"n_{f}") for f, x in _LEVEL.items() if f != "KELURAHAN"], F.explode(names("village")).alias("_v"))
-    row = F.struct(F.col("_v.kind").alias("v_kind"), *_CANDIDATE, "postal_codes", *[f"n_{f}" for f in _LEVEL if f != "KELURAHAN"])
-    return out.where("_v.base <> ''").groupBy(F.col("_v.base").alias("v_base")).agg(F.collect_list(row).alias("villages"))
 
+    names: DataFrame
+    postals: DataFrame
 
-def validate(addresses: DataFrame, prepared: DataFrame, key: str = "address_id") -> DataFrame:
-    """addresses with status, reason_code, affected_fields, missing_fields and candidates.
 
-    One left join with the prepared hierarchy on the village's base name; everything else is told within the row, from
-    flags of its list of villages, so that addresses are neither grouped nor read twice. Kinds must not contradict.
+def lookup(hierarchy: DataFrame) -> Lookup:
+    """hierarchy has, for each level, <level>_code, <level>_name and <level>_aliases, and postal_codes."""
+    names = lambda level: F.array_distinct(F.transform(F.concat(F.array(f"{level}_name"), F.coalesce(f"{level}_aliases", F.array().cast("array<string>"))), parts))
+    out = hierarchy.select(F.struct(*_CANDIDATE).alias("row"), "postal_codes", *[names(x).alias(f"n_{f}") for f, x in _LEVEL.items() if f != "KELURAHAN"], F.explode(names("village")).alias("_v")).where("_v.base <> ''")
+    levels = [F.col("_v.kind").alias("v_kind"), *[f"n_{f}" for f in _LEVEL if f != "KELURAHAN"]]
+    # Where postal codes are missing, none can be told to be wrong.
+    open_ = F.coalesce(F.exists("postal_codes", lambda x: x.isNull()), F.lit(True)).alias("open")
+    each = out.groupBy(F.col("_v.base").alias("n_base"), "row").agg(F.sort_array(F.collect_set(F.struct(*levels, open_))).alias("profile"))
+    chains = each.groupBy("n_base", "profile").agg(F.count(F.lit(1)).alias("n"), F.collect_list("row").alias("rows"))
+    by_name = chains.groupBy("n_base").agg(F.collect_list(F.struct("profile", "n")).alias("chains"), F.collect_list(F.struct("profile", "rows")).alias("members"))
+    coded = out.select("row", *levels, F.col("_v.base").alias("v_base"), F.explode(F.array_distinct("postal_codes")).alias("v_postal")).where("v_postal <> ''")
+    return Lookup(by_name, coded.groupBy("v_base", "v_postal").agg(F.collect_list(F.struct("row", "v_kind", *levels[1:])).alias("villages")))
+
+
+def validate(addresses: DataFrame, prepared: Lookup, key: str = "address_id") -> DataFrame:
+    """addresses with status, reason_code, affected_fields, missing_fields, candidates and their number n_candidates.
+
+    Two left joins with the prepared hierarchy, and everything else within the row, so that addresses are neither grouped
+    nor read twice: villages of the name and the postal code tell a match; only where they tell none, or no code is given,
+    the chains of the name are asked what is at fault. Kinds must not contradict.
     """
-    own = addresses.withColumn("_base", S.name_base(S.surface("KELURAHAN"))).withColumn("_kind", S.name_kind(S.surface("KELURAHAN")))
     others = S.ADMIN_FIELDS[1:]
-    for f in others[:-1]:
-        own = own.withColumn(f"p_{f}", parts(S.surface(f)))
-    out = own.join(prepared, F.col("_base") == F.col("v_base"), "left")
-    near = F.filter("villages", lambda v: F.coalesce(F.col("_kind") == v["v_kind"], F.lit(True)))
-
-    def flags(v: Column) -> Column:
-        met = []
-        for f in others[:-1]:
-            met.append(((S.surface(f) == "") | F.exists(v[f"n_{f}"], _same_name(f))).alias(f))
-        met.append(((S.surface("KODEPOS") == "") | F.array_contains(v["postal_codes"], S.surface("KODEPOS"))).alias("KODEPOS"))
-        return F.struct(F.struct(*[v[c].alias(c) for c in _CANDIDATE]).alias("row"), *met)
-
-    out = out.withColumn("_m", F.coalesce(F.transform(near, flags), F.array().cast("array<struct<row:struct<village_code:string,village_name:string,district_name:string,city_name:string,province_name:string>,KECAMATAN:boolean,KOTA_KABUPATEN:boolean,PROVINSI:boolean,KODEPOS:boolean>>")))
-    every = lambda fields: lambda m: F.forall(F.array(*[m[f] for f in fields]), lambda x: x)
-    rows = lambda x: F.array_sort(F.array_distinct(F.transform(x, lambda m: m["row"])))
-    out = out.withColumn("_b", rows(F.col("_m"))).withColumn("_c", rows(F.filter("_m", every(others))))
+    levels = others[:-1]
+    own = addresses.withColumn("_own", parts(S.surface("KELURAHAN"))).withColumns({f"p_{f}": F.when(S.surface(f) != "", parts(S.surface(f))) for f in levels})
+    own = own.withColumns({"_base": F.col("_own.base"), "_kind": F.col("_own.kind"), "_postal": S.surface("KODEPOS")})
+    out = own.join(prepared.postals, (F.col("_base") == F.col("v_base")) & (F.col("_postal") == F.col("v_postal")), "left")
+    none = F.array().cast("array<string>")
+    rows = F.array().cast("array<struct<village_code:string,village_name:string,district_name:string,city_name:string,province_name:string>>")
+    near = lambda v: F.coalesce(F.col("_kind") == v["v_kind"], F.lit(True))
+    level = lambda v, f: F.col(f"p_{f}").isNull() | F.exists(v[f"n_{f}"], _same_name(f))
+    meets = lambda v: near(v) & level(v, levels[0]) & level(v, levels[1]) & level(v, levels[2])
+    out = out.withColumn("_coded", F.coalesce(F.array_distinct(F.transform(F.filter("villages", meets), lambda v: v["row"])), rows))
+    # Other rows get keys of their own that no name has, so that they do not meet in one task.
+    out = out.withColumn("_asked", F.when((F.col("_base") != "") & (F.size("_coded") == 0), F.col("_base")).otherwise(F.concat(F.lit("-"), F.xxhash64(key).cast("string"))))
+    out = out.join(prepared.names, F.col("_asked") == F.col("n_base"), "left")
+
+    counted = lambda which: F.coalesce(F.aggregate(F.filter("chains", lambda x: F.exists(x["profile"], which)), F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
+    listed = lambda which: F.coalesce(F.array_sort(F.flatten(F.transform(F.filter("members", lambda x: F.exists(x["profile"], which)), lambda x: x["rows"]))), rows)
+    out = out.withColumn("_b", counted(near)).withColumn("_c", F.when(F.col("_postal") != "", F.size("_coded").cast("long")).otherwise(counted(meets)))
     blank = {f: S.surface(f) == "" for f in S.ADMIN_FIELDS}
     missing = F.array_compact(F.array(*[F.when(blank[f], F.lit(f)) for f in S.ADMIN_FIELDS]))
+    out = out.withColumn("missing_fields", missing)
+    case = F.when(blank["KELURAHAN"], "village").when((F.col("_b") == 0) & (F.col("_c") == 0), "gap").when(F.col("_c") == 0, "conflict").when(F.col("_c") > 1, "ambiguous").when(F.size("missing_fields") > 0, "missing").otherwise("valid")
+    out = out.withColumn("_case", case)
+
+    flags = lambda postal: lambda v: F.struct(*[level(v, f).alias(f) for f in levels], postal(v).alias("KODEPOS"))
+    by_chain = F.transform(F.filter(F.flatten(F.transform("chains", lambda x: x["profile"])), near), flags(lambda v: (F.col("_postal") == "") | F.when(v["open"], F.lit(None).cast("boolean")).otherwise(False)))
+    by_code = F.transform(F.filter("villages", near), flags(lambda v: F.lit(True)))
+    empty = F.array().cast("array<struct<KECAMATAN:boolean,KOTA_KABUPATEN:boolean,PROVINSI:boolean,KODEPOS:boolean>>")
+    # A village with the given code is in both lists; what it meets is told by the second.
+    out = out.withColumn("_m", F.when(F.col("_case") == "conflict", F.array_distinct(F.concat(F.coalesce(by_chain, empty), F.coalesce(by_code, empty)))))
+    every = lambda fields: lambda m: F.forall(F.array(*[m[f] for f in fields]), lambda x: x)
     at_fault = lambda f: ~F.exists("_m", lambda m: m[f]) | F.exists("_m", every([g for g in others if g != f]))
     hit = F.array_compact(F.array(*[F.when(~blank[f] & at_fault(f), F.lit(f)) for f in others]))
     given = F.array_compact(F.array(*[F.when(~blank[f], F.lit(f)) for f in others]))
-    none = F.array().cast("array<string>")
-    out = out.withColumn("missing_fields", missing)
-    case = F.when(blank["KELURAHAN"], "village").when(F.size("_b") == 0, "gap").when(F.size("_c") == 0, "conflict").when(F.size("_c") > 1, "ambiguous").when(F.size("missing_fields") > 0, "missing").otherwise("valid")
-    out = out.withColumn("_case", case).withColumn("_hit", F.when(F.col("_case") == "conflict", hit).otherwise(none))
+    out = out.withColumn("_hit", F.when(F.col("_case") == "conflict", hit).otherwise(none))
     pick = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("_case")]
     status = {"village": "incomplete", "gap": "not_found", "conflict": "invalid", "ambiguous": "ambiguous", "missing": "incomplete", "valid": "valid"}
     reason = {"village": "MISSING_ADMINISTRATIVE_FIELDS", "gap": "REFERENCE_COVERAGE_GAP", "conflict": "ADMINISTRATIVE_CONFLICT", "ambiguous": "AMBIGUOUS_ADMINISTRATIVE_CANDIDATES", "missing": "MISSING_ADMINISTRATIVE_FIELDS", "valid": "VALID_ADMINISTRATIVE_CHAIN"}
     out = out.withColumn("status", pick(status)).withColumn("reason_code", pick(reason))
     out = out.withColumn("affected_fields", F.when(F.col("_case") == "conflict", F.when(F.size("_hit") > 0, F.col("_hit")).otherwise(given)).otherwise(none))
-    out = out.withColumn("candidates", F.when(F.col("_case") == "conflict", F.col("_b")).when(F.col("_case").isin("ambiguous", "missing", "valid"), F.col("_c")).otherwise(F.slice("_c", 1, 0)))
-    return out.drop("_base", "_kind", "v_base", "villages", "_m", "_b", "_c", "_case", "_hit", *[f"p_{f}" for f in others[:-1]])
+    found = F.col("_case").isin("ambiguous", "missing", "valid")
+    out = out.withColumn("n_candidates", F.when(F.col("_case") == "conflict", F.col("_b")).when(found, F.col("_c")).otherwise(0))
+    out = out.withColumn("candidates", F.when(F.col("_case") == "conflict", listed(near)).when(found & (F.col("_postal") != ""), F.array_sort("_coded")).when(found, listed(meets)).otherwise(rows))
+    return out.drop("_own", "_base", "_kind", "_postal", "v_base", "v_postal", "villages", "_coded", "_asked", "n_base", "chains", "members", "_m", "_b", "_c", "_case", "_hit", *[f"p_{f}" for f in levels])
 
 
 def exact_lookup(wanted: DataFrame, hierarchy: DataFrame, key: str = "address_id") -> DataFrame:
@@ -319,13 +346,13 @@ def document(df: DataFrame, key: str = "address_id") -> DataFrame:
     return document_body(df, key).select(key, F.to_json("body", {"ignoreNullFields": "false"}).alias("document"))
 
 
-def process(raw: DataFrame, prepared: DataFrame, column: str = "text", key: str = "address_id") -> DataFrame:
+def process(raw: DataFrame, prepared: Lookup, column: str = "text", key: str = "address_id") -> DataFrame:
     """Raw address texts through all steps up to the gate; stateless but for the prepared hierarchy."""
     extracted = decode(tag(redact(raw, column))).withColumns({f"x_{f}": F.col(f) for f in S.FIELDS})
     return gate(validate(normalize(extracted), prepared, key))
 
 
-def stage_counts(extracted: DataFrame, prepared: DataFrame, key: str = "address_id") -> DataFrame:
+def stage_counts(extracted: DataFrame, prepared: Lookup, key: str = "address_id") -> DataFrame:
     """(stage, kind, name, n): what normalization and the gate add to the validation of extracted fields.
 
     Stages extracted and normalized have the status and reason of each address, validated before and after normalization;
@@ -339,4 +366,4 @@ def stage_counts(extracted: DataFrame, prepared: DataFrame, key: str = "address_
     changed = F.when(F.size("changes") > 0, F.array(fact("normalizer", "addresses", F.lit("changed")))).otherwise(F.slice(F.array(fact("normalizer", "addresses", F.lit("changed"))), 1, 0))
     rules = F.transform("changes", lambda c: fact("normalizer", "rule", c["rule_id"]))
     facts = F.concat(F.array(*told("normalized"), fact("gate", "status", F.col("gate_status"))), changed, rules)
-    return before.unionByName(after.select(F.explode(facts).alias("f"))).groupBy("f.stage", "f.kind", "f.name").agg(F.count(F.lit(1)).alias("n"))
+    return before.unionByName(S.each(after.withColumn("_facts", facts), "_facts", "f")).groupBy("f.stage", "f.kind", "f.name").agg(F.count(F.lit(1)).alias("n"))

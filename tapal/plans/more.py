@@ -42,7 +42,7 @@ def _personal(spark, sf_dir: str) -> DataFrame:
  SELECT address_id, 'RECIPIENT_NAME' AS type, CAST(strpos(text, name) - 1 AS INT) AS start, CAST(strpos(text, name) - 1 + length(name) AS INT) AS "end", '[NAME_REDACTED]' AS redacted_value FROM t WHERE {_NAMED}
  UNION ALL SELECT address_id, 'PHONE', CAST(length(head || middle) + length(regexp_extract(mark, '^, [A-Za-z:]*( hp)? ?')) AS INT), CAST(length(text) AS INT), '[PHONE_REDACTED]' FROM t WHERE {_PHONED}""")
 def _(spark, sf_dir):
-    return _personal(spark, sf_dir).select("address_id", F.explode("pii_entities").alias("e")).select("address_id", "e.*")
+    return S.each(_personal(spark, sf_dir), "pii_entities", "e", "address_id").select("address_id", "e.*")
 
 
 @query("pii_views", f"""WITH t AS (SELECT *, CASE WHEN {_NAMED} THEN '' ELSE head END || middle AS kept FROM {_p} p)

@@ -91,7 +91,7 @@ def _(spark, sf_dir):
 @query("validate_components", _VALID + """SELECT address_id, status, CASE status WHEN 'incomplete' THEN 'MISSING_ADMINISTRATIVE_FIELDS' WHEN 'not_found' THEN 'REFERENCE_COVERAGE_GAP' WHEN 'invalid' THEN 'ADMINISTRATIVE_CONFLICT' WHEN 'ambiguous' THEN 'AMBIGUOUS_ADMINISTRATIVE_CANDIDATES' ELSE 'VALID_ADMINISTRATIVE_CHAIN' END AS reason_code,
  affected_fields, missing AS missing_fields, CASE WHEN KELURAHAN = '' THEN 0 WHEN status = 'invalid' THEN b ELSE c END AS n_candidates FROM z""")
 def _(spark, sf_dir):
-    return validated(spark, sf_dir).select("address_id", "status", "reason_code", joined("affected_fields").alias("affected_fields"), joined("missing_fields").alias("missing_fields"), F.size("candidates").cast("long").alias("n_candidates"))
+    return validated(spark, sf_dir).select("address_id", "status", "reason_code", joined("affected_fields").alias("affected_fields"), joined("missing_fields").alias("missing_fields"), "n_candidates")
 
 
 @query("gate_issues", _VALID + """, i AS (SELECT 'KODEPOS_TIDAK_COCOK' AS reason_code, 'high' AS severity FROM z WHERE status = 'invalid' AND contains(affected_fields, 'KODEPOS')
@@ -99,7 +99,7 @@ def _(spark, sf_dir):
  UNION ALL SELECT 'AMBIGUOUS_ADMINISTRATIVE_CANDIDATES', 'medium' FROM z WHERE status = 'ambiguous' UNION ALL SELECT 'KELURAHAN_TIDAK_DITEMUKAN', 'medium' FROM z WHERE status = 'not_found')
  SELECT reason_code, severity, count(*) AS n FROM i GROUP BY reason_code, severity""")
 def _(spark, sf_dir):
-    return validated(spark, sf_dir).select(F.explode("issues").alias("i")).groupBy("i.reason_code", "i.severity").agg(F.count(F.lit(1)).alias("n"))
+    return S.each(validated(spark, sf_dir), "issues", "i").groupBy("i.reason_code", "i.severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("hierarchy_lookup_status", f"""WITH r AS (SELECT *, village_name AS v FROM {_h} x UNION ALL SELECT *, village_alias FROM {_h} y WHERE village_alias <> ''),
@@ -163,7 +163,7 @@ def _(spark, sf_dir):
  UNION ALL SELECT 'NOMOR', 'designator_dictionary_v1' FROM a UNION ALL SELECT 'RT', 'rt_rw_three_digit_v1' FROM a UNION ALL SELECT 'KELURAHAN', 'designator_dictionary_v1' FROM a WHERE KELURAHAN LIKE 'kel.%' OR KELURAHAN = 'Kel.' UNION ALL SELECT 'KELURAHAN', 'component_capitalization_v1' FROM a WHERE KELURAHAN LIKE 'kel.%'
  UNION ALL SELECT 'KODEPOS', 'postcode_spacing_v1' FROM a WHERE KODEPOS <> '' UNION ALL SELECT 'KODEPOS', 'unicode_whitespace_v1' FROM a WHERE KODEPOS = '') GROUP BY field, rule_id""")
 def _(spark, sf_dir):
-    return _components(spark, sf_dir).select(F.explode("changes").alias("c")).groupBy("c.field", "c.rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return S.each(_components(spark, sf_dir), "changes", "c").groupBy("c.field", "c.rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- raw addresses -------------------------------------------------------------------------------------------------

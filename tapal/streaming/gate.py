@@ -13,12 +13,12 @@ def redacted_stream(addresses: DataFrame, column: str = "text") -> DataFrame:
     return A.normalize(A.decode(A.tag(A.redact(addresses, column))))
 
 
-def gated(addresses: DataFrame, prepared: DataFrame, key: str = "address_id", column: str = "text") -> DataFrame:
+def gated(addresses: DataFrame, prepared: A.Lookup, key: str = "address_id", column: str = "text") -> DataFrame:
     """Each address through the gate against the prepared hierarchy; for a stream a stateless stream-static join, for a table a join."""
     return A.gate(A.validate(redacted_stream(addresses, column), prepared, key))
 
 
-def gate_batches(addresses: DataFrame, prepared: DataFrame, path: str, checkpoint: str, key: str = "address_id"):
+def gate_batches(addresses: DataFrame, prepared: A.Lookup, path: str, checkpoint: str, key: str = "address_id"):
     """A writer that appends the gated addresses of a stream to Parquet at path, each exactly once: the sink's own log says which files count."""
     out = gated(addresses, prepared, key).select(key, "address_text", "status", "reason_code", "gate_status", "issues")
     return out.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
