@@ -177,15 +177,28 @@ def validate(addresses: DataFrame, prepared: Lookup, key: str = "address_id") ->
 
 
 def exact_lookup(wanted: DataFrame, hierarchy: DataFrame, key: str = "address_id") -> DataFrame:
-    """(key, lookup_status, n_rows): exact, ambiguous or not_found by whole normalized names; blank conjuncts are ignored."""
+    """(key, lookup_status, n_rows): exact, ambiguous or not_found by whole normalized names; blank conjuncts are ignored.
+
+    Villages are counted once for each name with its upper levels, given or left out, so that an address meets one row
+    however many villages have its name. Only rows that share a key and ask for different names meet the villages.
+    """
+    upper = ["district", "city", "province"]
     names = F.concat(F.array("village_name"), F.coalesce("village_aliases", F.array().cast("array<string>")))
-    index = hierarchy.select("village_code", F.explode(F.array_distinct(F.transform(names, S.normalize_hierarchy))).alias("_n"), *[S.normalize_hierarchy(f"{x}_name").alias(f"_{x}") for x in ("district", "city", "province")])
-    own = wanted.select(key, *[S.normalize_hierarchy(S.surface(f)).alias(f"w_{x}") for f, x in _LEVEL.items()])
-    met = F.col("w_village") == F.col("_n")
-    for x in ("district", "city", "province"):
-        met = met & ((F.col(f"w_{x}") == "") | (F.col(f"w_{x}") == F.col(f"_{x}")))
-    found = own.join(index, met, "left").groupBy(key).agg(F.countDistinct("village_code").alias("n_rows"))
-    return found.select(key, F.when(F.col("n_rows") == 0, "not_found").when(F.col("n_rows") == 1, "exact").otherwise("ambiguous").alias("lookup_status"), "n_rows")
+    index = hierarchy.select("village_code", F.explode(F.array_distinct(F.transform(names, S.normalize_hierarchy))).alias("_n"), *[S.normalize_hierarchy(f"{x}_name").alias(f"_{x}") for x in upper]).where("_n is not null")
+    counts = index
+    for x in upper:
+        counts = counts.withColumn(f"_{x}", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce(f"_{x}", F.lit(""))))))
+    counts = counts.groupBy("_n", *[f"_{x}" for x in upper]).agg(F.countDistinct("village_code").alias("_rows"))
+    own = wanted.select(key, F.struct(*[S.normalize_hierarchy(S.surface(f)).alias(x) for f, x in _LEVEL.items()]).alias("_w")).groupBy(key).agg(F.collect_set("_w").alias("_all"))
+    one = own.where(F.size("_all") == 1).select(key, F.col("_all")[0].alias("_w"))
+    met = F.col("_w.village") == F.col("_n")
+    single, several = met, met
+    for x in upper:
+        single = single & (F.col(f"_w.{x}") == F.col(f"_{x}"))
+        several = several & ((F.col(f"_w.{x}") == "") | (F.col(f"_w.{x}") == F.col(f"_{x}")))
+    found = one.join(counts, single, "left").select(key, F.coalesce("_rows", F.lit(0).cast("long")).alias("n_rows"))
+    rest = own.where(F.size("_all") > 1).select(key, F.explode("_all").alias("_w")).join(index, several, "left").groupBy(key).agg(F.countDistinct("village_code").alias("n_rows"))
+    return found.unionByName(rest).select(key, F.when(F.col("n_rows") == 0, "not_found").when(F.col("n_rows") == 1, "exact").otherwise("ambiguous").alias("lookup_status"), "n_rows")
 
 
 # --- quality gate --------------------------------------------------------------------------------------------------

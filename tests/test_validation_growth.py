@@ -65,3 +65,20 @@ def test_no_filter_on_issues_is_moved_below_what_makes_them(spark):
     for name in ("gate_issues", "stage_counts", "normalization_changes_by_rule", "pii_entities"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Filter" in line and "(size(" in line], name
+
+
+def test_exact_lookup_meets_one_row(spark):
+    """As the plain join, rows that share a key among them, and counts are joined instead of villages."""
+    villages = [(f"{i:04d}", ["Maju", "Jaya"][i % 2], ["Maju Lama"] if i % 3 == 0 else None, ["D 0", "", None][i % 3], f"C{i % 4}", "Jawa") for i in range(40)]
+    h = spark.createDataFrame(villages, "village_code string, village_name string, village_aliases array<string>, district_name string, city_name string, province_name string")
+    asked = [(i, v, d, c, "") for i, (v, d, c) in enumerate(itertools.product(["maju", "MAJU lama", "nowhere", None], ["d 0", "", "d 9"], ["C1", None, "x"]))]
+    asked += [(100, "maju", "", "C0", ""), (100, "maju lama", "", "", ""), (None, "jaya", "d 0", "c1", "JAWA")]
+    got = A.exact_lookup(spark.createDataFrame(asked, "address_id int, KELURAHAN string, KECAMATAN string, KOTA_KABUPATEN string, PROVINSI string"), h)
+    low = lambda x: (x or "").lower()
+    want = {}
+    for k, v, *upper in asked:
+        hits = {c for c, n, al, *own in villages if low(v) in {low(n), *map(low, al or [])} and all(not a or low(a) == low(b) for a, b in zip(upper, own))}
+        want[k] = want.get(k, set()) | hits
+    assert {r.address_id: r.n_rows for r in got.collect()} == {k: len(v) for k, v in want.items()}
+    assert {r.lookup_status for r in got.collect() if r.n_rows > 1} == {"ambiguous"}
+    assert "_rows" in got._jdf.queryExecution().optimizedPlan().toString()
