@@ -87,7 +87,7 @@ def each(df: DataFrame, column: str, name: str, *others: str) -> DataFrame:
 
 def _folded(v: Column) -> Column:
     several = F.from_json(F.lit(_MANY_JSON), "map<string,string>")
-    whole = F.when(v.rlike(f"[{''.join(_MANY)}]"), F.array_join(F.transform(F.split(v, ""), lambda c: F.coalesce(several[c], c)), "")).otherwise(v)
+    whole = F.when(F.translate(v, "".join(_MANY), "") != v, F.array_join(F.transform(F.split(v, ""), lambda c: F.coalesce(several[c], c)), "")).otherwise(v)
     return F.when(is_ascii(v), v).otherwise(F.translate(whole, _ONE + _MARKS, _PLAIN))
 
 
