@@ -4,6 +4,7 @@ import unicodedata
 
 from tapal.functions import scalar as S
 from tapal.functions import text_udfs as T
+from tapal.operators import address as A
 
 
 def test_characters_are_looked_up(spark):
@@ -19,3 +20,23 @@ def test_tokens_are_looked_at_once():
     T.looks.cache_clear()
     assert [T.tag("Jl. Mawar No. 5 , RT 03 40111".split()) for _ in range(3)][2] == ["B-JALAN", "I-JALAN", "B-NOMOR", "I-NOMOR", "O", "B-RT", "I-RT", "B-KODEPOS"]
     assert T.looks.cache_info().misses == 8 and T.looks.cache_info().hits == 16
+
+
+def test_no_arrays_go_to_python(spark):
+    """Arrays take Arrow most of the time of the address path, also where they are null."""
+    raw = [(1, "Jl. Mawar No. 5, RT 03, Kel. Ｍａｊｕ é, 40111"), (2, None), (3, ""), (4, "Kel. Satu, Kel. Dua Tiga, Kec."), (5, 'Jl. "A\\B" №7')]
+    found = A.normalize(A.decode(A.tag(spark.createDataFrame(raw, "i int, t string"), "t")))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    calls, nodes = [], [plan]
+    while nodes:
+        at = nodes.pop()
+        nodes += [at.children().apply(k) for k in range(at.children().size())]
+        if at.nodeName() == "ArrowEvalPython":
+            calls += [at.udfs().apply(k) for k in range(at.udfs().size())]
+    assert len(calls) == 2
+    for u in calls:
+        assert {u.dataType().simpleString(), *[u.children().apply(k).dataType().simpleString() for k in range(u.children().size())]} == {"string"}
+    rows = {r.i: r for r in found.collect()}
+    assert rows[1].KELURAHAN == "Kelurahan Maju É" and rows[1].KODEPOS == "40111" and rows[1].labels[:2] == ["B-JALAN", "I-JALAN"]
+    assert rows[2].labels == rows[3].labels == [] and rows[2].KELURAHAN is None
+    assert rows[4].KELURAHAN == "Kelurahan Satu" and rows[4].KECAMATAN == "Kecamatan" and rows[5].JALAN.startswith('Jalan "A\\B"') and "No" in rows[5].JALAN
