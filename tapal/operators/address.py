@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
-from tapal.functions.text_udfs import compose_fields, tag_line
+from tapal.functions.text_udfs import compose_fields, tag_tokens
 from tapal.operators.pii import redact
 
 # --- tagging -------------------------------------------------------------------------------------------------------
@@ -17,9 +17,7 @@ from tapal.operators.pii import redact
 def tag(df: DataFrame, column: str = "address_text") -> DataFrame:
     """df with tokens and their BIO labels."""
     # Called nondeterministic it is a step of its own, which the optimizer does not copy to where its result is used.
-    # Tokens have no white space in them; a line goes to Python and back much faster than an array.
-    out = df.withColumn("tokens", S.tokens(column)).withColumn("_line", tag_line.asNondeterministic()(F.array_join("tokens", " ")))
-    return out.withColumn("labels", F.when(F.col("_line") == "", F.array().cast("array<string>")).otherwise(F.split("_line", " "))).drop("_line")
+    return df.withColumn("tokens", S.tokens(column)).withColumn("labels", tag_tokens.asNondeterministic()("tokens"))
 
 
 def decode(df: DataFrame) -> DataFrame:
@@ -28,11 +26,9 @@ def decode(df: DataFrame) -> DataFrame:
     # A span goes on over the I- labels of its type: up to the first label behind it that is none.
     end = F.expr("transform(_starts, s -> named_struct('type', s.type, 'at', s.at, 'n', coalesce(nullif(array_position(transform(slice(labels, s.at + 2, size(labels)), x -> x <> concat('I-', s.type)), true), 0), size(labels) - s.at)))")
     out = df.withColumn("_starts", after).withColumn("_spans", end)
-    # Each span is cut out once; a field then looks its type up, without a search through the spans of its own.
-    text = lambda s: F.array_join(F.slice("tokens", (s["at"] + 1).cast("int"), s["n"].cast("int")), " ")
-    out = out.withColumns({"_types": F.transform("_spans", lambda s: s["type"]), "_texts": F.transform("_spans", text)})
-    out = out.withColumns({f: F.get("_texts", (F.array_position("_types", F.lit(f)) - 1).cast("int")) for f in S.FIELDS})
-    return out.drop("_starts", "_spans", "_types", "_texts")
+    first = lambda f: F.get(F.filter("_spans", lambda s: s["type"] == f), F.lit(0))
+    out = out.withColumns({f: F.when(first(f).isNotNull(), F.array_join(F.slice("tokens", (first(f)["at"] + 1).cast("int"), first(f)["n"].cast("int")), " ")) for f in S.FIELDS})
+    return out.drop("_starts", "_spans")
 
 
 # --- normalization -------------------------------------------------------------------------------------------------
@@ -54,7 +50,7 @@ def normalize(df: DataFrame, fields: list[str] | None = None, source: str = "rul
     names, every = fields or S.FIELDS, []
     # Only rows with characters beyond ASCII need the compatibility form, which no built-in function has; see tag().
     beyond = ~S.is_ascii(F.concat_ws("", *names))
-    # The values go to Python as one text, which takes a tenth of the time of an array, also where a row has none.
+    # The values go to Python as one text: an array takes Arrow much longer, also where a row has none.
     out = df.withColumn("_json", compose_fields.asNondeterministic()(F.when(beyond, F.to_json(F.array(*names))))).withColumn("_nfkc", F.from_json("_json", "array<string>"))
     composed_ = {f: F.when(F.col(f).isNull(), None).when(F.col("_nfkc").isNull(), S.collapse(f)).otherwise(F.get("_nfkc", F.lit(i))) for i, f in enumerate(names)}
     steps = [
