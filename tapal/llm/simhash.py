@@ -202,17 +202,33 @@ def bands(sketches: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, shingle: int, key: list) -> DataFrame:
-    """The key columns, node (a hash of the set of shingles) and sketch of each row of docs."""
+    """The key columns, node (a hash of the set of shingles), fp (the fingerprint, repeats included) and sketch of each row of docs."""
     held = docs.select(*key, F.col("text").cast("string").alias("text"))
     names = held.columns[:-1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, shingle)) for x in binary(batch.column(len(names))).to_pylist()]
-            found = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found.view(np.int64)), pa.array([sketch(h).tobytes() for h in sets], pa.binary())], names=[*names, "node", "sketch"])
+            nodes, fps, sketches = [], [], []
+            for text in binary(batch.column(len(names))).to_pylist():
+                h = shingle_hashes(text, shingle)
+                own = np.unique(h)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                fps.append(majority(h))
+                sketches.append(sketch(own).tobytes())
+            told = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *told, pa.array(sketches, pa.binary())], names=[*names, "node", "fp", "sketch"])
 
-    return held.mapInArrow(each, ", ".join(f"{x} long" for x in [*names, "node"]) + ", sketch binary")
+    return held.mapInArrow(each, ", ".join(f"{x} long" for x in [*names, "node", "fp"]) + ", sketch binary")
+
+
+def fingerprint_links(own: DataFrame, budget: int = 2, blocks: int = 4) -> DataFrame:
+    """Links (u, v) between nodes of own (node, fp) that join all whose fingerprints differ in `budget` bits at most, by the trie join."""
+    held = cut(own.select("node", "fp").distinct())
+    least = cut(held.groupBy("fp").agg(F.min("node").alias("least")))
+    same = held.join(least, "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    side = lambda a, b: least.select(F.col("fp").alias(a), F.col("least").alias(b))
+    near = links(least.select("fp"), budget, blocks).toDF("a", "b").join(side("a", "u"), "a").join(side("b", "v"), "b").where("u <> v").select("u", "v")
+    return cut(same.union(near).distinct())
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -324,17 +340,20 @@ def links_in_bands(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingl
 
 
 def similar_components(own: DataFrame, docs: DataFrame, shingle: int, key: list) -> DataFrame:
-    """(node, label) for the distinct nodes of own (_id, _th, node, sketch): components of texts of a similarity of SIMILARITY or more.
+    """(node, label) for the distinct nodes of own (_id, _th, node, fp, sketch): components over links of two kinds.
 
-    First each node of a band's key is compared with the least node there, so that a group of copies has one pair for
-    each node. Then all pairs of a key that are not in one component by then are compared, within tasks: other pairs add
-    no link.
+    Nodes whose fingerprints differ in two bits at most are linked by the trie join. It finds few of the pairs that are
+    alike but for a fifth, so texts of a similarity of SIMILARITY or more are linked too: first each node of a band's key
+    is compared with the least node there, so that a group of copies has one pair for each node. Then all pairs of a key
+    that are not in one component by then are compared, within tasks: other pairs add no link.
     """
+    near = fingerprint_links(own)
     nodes = cut(own.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("_id", "_th")).alias("one")))
     dealt = cut(banded(nodes))
     sizes = dealt.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(dealt.join(sizes, "band"))
     first = exact_links(shared.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), nodes, docs, shingle, key)
+    first = near.union(first)
     labels = components(first).withColumnRenamed("u", "node")
     labelled = shared.join(labels, "node", "left").select("node", "band", "n", F.coalesce("label", "node").alias("label"))
     found = components(first.union(links_in_bands(labelled, nodes, docs, shingle, key)))
@@ -342,7 +361,7 @@ def similar_components(own: DataFrame, docs: DataFrame, shingle: int, key: list)
 
 
 def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of docs for each component of similar texts, with its columns unchanged: the smallest doc_id, nulls last.
+    """One row of docs for each component of texts with near fingerprints or similar shingles, with its columns unchanged: the smallest doc_id, nulls last.
 
     Of several texts with that doc_id the one with the least hash stays, and of rows with equal doc_id and text one.
     Texts without words, null ones too, are one component.
