@@ -64,11 +64,19 @@ def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("{array}", "array"), **used)
 
 
+def dealt(df: DataFrame, sf_dir: str, table: str, key: str) -> DataFrame:
+    """The rows of df dealt out by their key, for steps that compute much row by row: as many tasks as there are cores, and up to four times as many for a table of several parts.
+
+    A small file, or one of few row groups, is read by few tasks however many rows it has.
+    """
+    spark = df.sparkSession
+    parts, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet").rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return df.repartition(max(parts, cores * min(4, parts)), key)
+
+
 def addresses(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The same for tables of addresses, which much is computed for row by row: where the orders come in fewer parts than there are cores, the rows are dealt out."""
-    df, cores = spark_table(spark, sf_dir, sql), spark.sparkContext.defaultParallelism
-    parts = spark.read.parquet(f"{sf_dir}/orders.parquet").rdd.getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    """The same for tables of addresses, one for each order, with their rows dealt out."""
+    return dealt(spark_table(spark, sf_dir, sql), sf_dir, "orders", "address_id")
 
 
 def oracle_table(sql: str) -> str:

@@ -457,5 +457,5 @@ def _(spark, sf_dir):
     k = F.col("p_partkey")
     row = F.concat(F.lit("<tr><td>1</td><td>"), "p_name", F.lit("</td><td>d</td><td>c</td><td>p</td><td> 40111 </td></tr>"))
     html = F.concat(F.lit("<table><tr><td>1</td><td>x</td><td>d</td><td>c</td><td>p</td><td>9</td></tr></table><table id='"), F.when(k % 2 == 0, "list-data").otherwise("other"), F.lit("'><tr><th>h</th></tr>"), row, F.lit("<tr><td>short</td></tr></table>"))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", html.alias("h"))
+    part = I.dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name"), sf_dir, "part", "p_partkey").select("p_partkey", html.alias("h"))
     return D.search_results(part, "p_partkey", "h").select("p_partkey", F.col("values")[0].alias("village"), F.col("values")[4].alias("code"))
