@@ -95,7 +95,7 @@ _VARIED = f"""WITH b AS (SELECT *, cast(base_id AS string) || '-' || variant AS
 
 @query("varied_addresses", _VARIED)
 def _(spark, sf_dir):
-    found = G.varied(I.spark_table(spark, sf_dir, _BASES), 2, _SEED)
+    found = G.varied(I.dealt(I.spark_table(spark, sf_dir, _BASES), sf_dir, "customer", "base_id"), 2, _SEED)
     return found.select("base_id", "variant", "village_code", "order_number", F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"), joined("categories").alias("categories"))
 
 
