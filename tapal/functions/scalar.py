@@ -85,6 +85,11 @@ def each(df: DataFrame, column: str, name: str, *others: str) -> DataFrame:
     return df.select(*others, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column as a step of its own: no filter goes below it, so that the value is not computed again for each of its uses there."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def _folded(v: Column) -> Column:
     several = F.from_json(F.lit(_MANY_JSON), "map<string,string>")
     whole = F.when(F.translate(v, "".join(_MANY), "") != v, F.array_join(F.transform(F.split(v, ""), lambda c: F.coalesce(several[c], c)), "")).otherwise(v)

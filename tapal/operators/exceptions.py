@@ -192,13 +192,13 @@ def crosscheck_table(objects: DataFrame, column: str, source_id: str, snapshot:
     """
     if not snapshot.strip():
         raise ValueError("a snapshot is required")
-    r = objects.select(crosscheck_row(column).alias("r"), evidence_url.alias("_url")).withColumn("_code", S.village_code("r.village_code"))
+    r = S.held(objects.select(F.col(column).alias("_j"), evidence_url.alias("_url")), "r", crosscheck_row("_j")).withColumn("_code", S.village_code("r.village_code"))
     checks = {"village_code": F.col("_code") != "", "no_village_name": S.surface("r.village_name") != "", "postal_code": F.trim("r.postal_code").rlike("^[0-9]{5}$"), **{f"no_{x}": F.col(f"r.{x}.code") != "" for x in ("district", "city", "province")}}
     r = r.withColumn("_p", F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()])))
     values = {"source_id": F.lit(source_id), "snapshot": F.lit(snapshot.strip()), "village_code": F.col("_code"), "village_name": F.trim("r.village_name"), "postal_code": F.trim("r.postal_code"), "evidence_url": F.col("_url"), "note": F.lit(note)}
     values |= {f"{x}_{c}": F.trim(f"r.{x}.{c}") for x in ("province", "city", "district") for c in ("code", "name")}
     rows = r.where(F.size("_p") == 0).select(*[values[c].alias(c) for c in CROSSCHECK_COLUMNS])
-    return rows, r.select(F.col("r.village_code").alias("village_code"), F.explode("_p").alias("problem"))
+    return rows, S.each(r.withColumn("village_code", F.col("r.village_code")), "_p", "problem", "village_code")
 
 
 def pos_observations(rows: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def _(spark, sf_dir):
 
 def _objects(spark, sf_dir: str) -> DataFrame:
     """API objects whose regions stand at the object, in the district or in its city."""
-    t = I.spark_table(spark, sf_dir, I.HIERARCHY)
+    t = I.dealt(I.spark_table(spark, sf_dir, I.HIERARCHY), sf_dir, "customer", "c_custkey")
     part = lambda x, code, name: F.concat(F.lit(f'"{x}":{{"code":"'), code, F.lit('","name":"'), name, F.lit('"'))
     k, close = F.col("c_custkey") % 4, F.lit("}")
     city, province = part("city", F.col("city_code"), F.col("city_name")), part("province", F.col("province_code"), F.col("province_name"))

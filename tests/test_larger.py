@@ -1,8 +1,12 @@
 """Steps whose work or whose number of tasks grew worse than their input, and that their results stay the same."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tapal.plans import more
+from tapal.plans import inputs as I
+from tapal.plans import more, registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_document_is_parsed_once_for_its_summary(spark):
@@ -15,3 +19,25 @@ def test_document_is_parsed_once_for_its_summary(spark):
     get = lambda p: F.get_json_object("document", p)
     paths = df.select("address_id", get("$.quality_gate.status"), get("$.quality_gate.issues[0].reason_code"), get("$.normalized_address.value"), get("$.audit_trail[0].action"), size("$.components"), size("$.audit_trail"))
     assert sorted(map(tuple, out.drop("document").collect())) == sorted(map(tuple, paths.collect()))
+
+
+@pytest.mark.parametrize("name", ["search_results", "varied_addresses", "noise_counts", "crosscheck_table", "crosscheck_problems", "pii_views", "annotated_addresses"])
+def test_rows_are_dealt_out(spark, name):
+    """One small file is no one task's work."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "RoundRobin" not in plan
+
+
+def test_objects_are_parsed_once(spark):
+    for name in ("crosscheck_table", "crosscheck_problems"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1, name
+
+
+def test_more_tasks_for_larger_tables(spark, tmp_path):
+    ids = spark.range(100000).select(F.col("id").alias("k"))
+    ids.repartition(6).write.parquet(f"{tmp_path}/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    many = I.dealt(spark.read.parquet(f"{tmp_path}/orders.parquet"), str(tmp_path), "orders", "k")
+    assert many.rdd.getNumPartitions() >= min(4, spark.read.parquet(f"{tmp_path}/orders.parquet").rdd.getNumPartitions()) * cores
+    assert sorted(r.k for r in many.collect()) == list(range(100000))
