@@ -232,8 +232,8 @@ def _quoted(x: Column) -> Column:
 
 
 def _token_label(token: Column, before: Column, behind: Column) -> Column:
-    """The label of a token of a numbered field or a postal code, given its neighbours in the segment; else empty."""
-    low, last, following = (F.lower(F.coalesce(x, F.lit(""))) for x in (token, before, behind))
+    """The label of a token of a numbered field or a postal code, given its neighbours in the segment, all in lower case; else empty."""
+    low, last, following = (F.coalesce(x, F.lit("")) for x in (token, before, behind))
     out = F
     for field, (whole, _) in NUMBERED.items():
         out = out.when(low.rlike(whole), f"B-{field}")
@@ -259,7 +259,7 @@ def annotated(df: DataFrame, tokens: str, district: str, city: str) -> DataFrame
     out = out.withColumn("_edges", F.concat(F.array(F.lit(-1)), cuts, F.array(F.size("_t"))))
     runs = F.transform(F.slice("_edges", F.lit(1), F.size("_edges") - 1), lambda a, k: F.slice("_t", a + 2, F.get("_edges", k + 1) - a - 1))
     out = out.withColumn("_runs", runs)
-    kinds = F.transform("_runs", lambda run: F.transform(run, lambda t, i: _token_label(t, F.get(run, i - 1), F.get(run, i + 1))))
+    kinds = F.transform("_runs", lambda run: S.once(F.transform(run, lambda t: F.lower(t)), lambda low: F.transform(low, lambda t, i: _token_label(t, F.get(low, i - 1), F.get(low, i + 1)))))
     out = out.withColumn("_kinds", kinds)
     # What is left of each segment: its tokens as they are, and their letters and digits.
     left = F.zip_with("_runs", "_kinds", lambda run, kind: F.filter(F.zip_with(run, kind, lambda t, k: F.when(k == "", t)), lambda t: t.isNotNull()))
@@ -267,7 +267,7 @@ def annotated(df: DataFrame, tokens: str, district: str, city: str) -> DataFrame
     own = F.transform("_left", lambda s: F.struct(s["n"].alias("n"), s["text"].alias("text"), s["letters"].alias("letters"), _opened(s["letters"], DISTRICT_OPENERS).alias("d"), _opened(s["letters"], CITY_OPENERS).alias("c")))
     out = out.withColumn("_left", own)
     said = F.flatten(F.transform("_left", lambda s: F.array(F.coalesce(s["d"], s["letters"]), F.coalesce(s["c"], s["letters"]))))
-    known = F.flatten(F.transform("_left", lambda s: F.array(S.clean_token(F.coalesce(F.col(district), F.lit(""))), known_city)))
+    known = F.flatten(F.array_repeat(F.array(S.clean_token(F.coalesce(F.col(district), F.lit(""))), known_city), F.size("_left")))
     out = out.withColumn("_ratios", matching_ratios(MATCH)(said, known))
 
     def told(s: Column, k: Column) -> Column:
@@ -277,7 +277,8 @@ def annotated(df: DataFrame, tokens: str, district: str, city: str) -> DataFrame
 
     out = out.withColumn("_told", F.transform("_left", told)).withColumn("_street", F.array_position("_told", "PLACE"))
     field = F.transform("_told", lambda x, k: F.when(x == "PLACE", F.when(k + 1 == F.col("_street"), "JALAN").otherwise("DETAIL_LOKASI")).otherwise(F.replace(x, F.lit("?"), F.lit(""))))
-    out = out.withColumn("_field", field)
+    # Asked for within a loop over tokens, it would be made again for each of them if it were no step of its own.
+    out = S.held(out, "_field", field)
     spans = lambda kind, name: F.transform(kind, lambda x, i: F.when(x != "", x).otherwise(F.concat(F.when((i == 0) | (F.get(kind, i - 1) != ""), "B-").otherwise("I-"), name)))
     labels = F.flatten(F.transform("_kinds", lambda kind, k: F.concat(F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("O"))), spans(kind, F.get("_field", k)))))
     noisy = lambda run, kind: F.filter(F.zip_with(run, kind, lambda t, k: F.when(k.isin("B-RT", "B-RW") & F.lower(t).rlike("[0-9][a-z]$"), F.concat(F.lower(F.substring(k, 3, 2)), F.lit("_token_has_trailing_noise:"), _quoted(t)))), lambda x: x.isNotNull())

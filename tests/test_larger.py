@@ -66,3 +66,10 @@ def test_ways_are_coded_in_blocks(monkeypatch):
     for broken in (way(O.field_of(1, 1), O.field_of(8, b"\x80")) + way(O.field_of(1, 2), O.field_of(8, b"\2")), way(O.field_of(8, b"\2")), way(O.field_of(1, 1), b"\x42\5\1")):
         with pytest.raises(ValueError):
             O.decode_block(O.field_of(2, broken))
+
+
+def test_annotator_makes_the_fields_once(spark):
+    """The step that gives each segment its field is not put into the loop over the tokens."""
+    plan = registry.QUERIES["annotated_addresses"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    final = next(line for line in plan.splitlines() if " AS labels#" in line)
+    assert "DETAIL_LOKASI" in plan and "DETAIL_LOKASI" not in final
