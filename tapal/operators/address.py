@@ -53,27 +53,34 @@ def normalize(df: DataFrame, fields: list[str] | None = None, source: str = "rul
     # The values go to Python as one text: an array takes Arrow much longer, also where a row has none.
     out = df.withColumn("_json", compose_fields.asNondeterministic()(F.when(beyond, F.to_json(F.array(*names))))).withColumn("_nfkc", F.from_json("_json", "array<string>"))
     composed_ = {f: F.when(F.col(f).isNull(), None).when(F.col("_nfkc").isNull(), S.collapse(f)).otherwise(F.get("_nfkc", F.lit(i))) for i, f in enumerate(names)}
+    # A rule has the fields that it can change, and what it makes of a column of theirs.
     steps = [
-        lambda f: composed_[f],
-        lambda f: S.designator(f, F.col(f"_{f}1")),
-        lambda f: S.rt_rw(f, F.col(f"_{f}2")) if f in ("RT", "RW") else F.col(f"_{f}2"),
-        lambda f: S.postcode(F.col(f"_{f}3")) if f == "KODEPOS" else F.col(f"_{f}3"),
-        lambda f: S.smart_title(f"_{f}4") if f in S.TITLE_FIELDS else F.col(f"_{f}4"),
+        (names, lambda f, x: composed_[f]),
+        ([f for f, _, _ in S.DESIGNATORS], lambda f, x: S.designator(f, F.col(x))),
+        (["RT", "RW"], lambda f, x: S.rt_rw(f, F.col(x))),
+        (["KODEPOS"], lambda f, x: S.postcode(F.col(x))),
+        (S.TITLE_FIELDS, lambda f, x: S.smart_title(x)),
     ]
     # All fields take a rule at once: a plan of few steps is analysed much faster than one of a step for each.
-    for k, step in enumerate(steps, 1):
-        out = out.withColumns({f"_{f}{k}": step(f) for f in names})
+    last = {f: f for f in names}
+    taken: dict[str, list[tuple[str, str, str, str]]] = {f: [] for f in names}
+    for k, ((own, step), (rule, kind)) in enumerate(zip(steps, RULES), 1):
+        some = [f for f in names if f in own]
+        out = out.withColumns({f"_{f}{k}": step(f, last[f]) for f in some})
+        for f in some:
+            taken[f].append((last[f], f"_{f}{k}", rule, kind))
+            last[f] = f"_{f}{k}"
     sources = {}
     for f in names:
         held: Column = F.lit(source)
-        for k, (rule, kind) in enumerate(RULES):
-            before, after = F.col(f) if k == 0 else F.col(f"_{f}{k}"), F.col(f"_{f}{k + 1}")
+        for x, y, rule, kind in taken[f]:
+            before, after = F.col(x), F.col(y)
             entry = F.struct(F.lit(f).alias("field"), before.alias("before"), held.alias("before_source"), after.alias("after"), F.lit(kind).alias("after_source"), F.lit(rule).alias("rule_id"), F.lit("deterministic").alias("decision"), F.lit(True).alias("applied"))
             every.append(F.when(before != after, entry))
             held = F.when(before != after, F.lit(kind)).otherwise(held)
         sources[f"{f}_source"] = F.when(F.col(f).isNotNull(), held)
     out = out.withColumns({**sources, "changes": F.array_compact(F.array(*every))})
-    return out.withColumns({f: F.col(f"_{f}5") for f in names}).drop("_json", "_nfkc", *[f"_{f}{k}" for f in names for k in range(1, 6)])
+    return out.withColumns({f: F.col(last[f]) for f in names}).drop("_json", "_nfkc", *[f"_{f}{k}" for f in names for k in range(1, 6)])
 
 
 def composed() -> Column:
