@@ -52,13 +52,26 @@ _WORD = r"\p{L}+(?:[-']\p{L}+)*\.*"
 _NAME = rf"(?!{_TITLE}{_STOP})(?:{_TITLE}{_BLANK}+)?{_WORD}(?:{_BLANK}+{_WORD}){{0,4}}?{_STOP}"
 
 
-def _phones_marked(text: Column) -> Column:
-    """Mobile numbers, labelled or without an identifier's label before them, and landlines directly after a label."""
-    out = F.regexp_replace(text, rf"{_FLAGS}({_PHONE_LABEL})(?<![\w+])({_MOBILE})", f"$1{P0}$2{P1}")
-    out = F.regexp_replace(out, rf"{_FLAGS}(?<![\w+{P0}]){_VETO}({_MOBILE})(?!{P1})", f"{P0}$1{P1}")
-    out = F.regexp_replace(out, rf"{_FLAGS}({_LINE_LABEL})({_LANDLINE})", f"$1{P0}$2{P1}")
-    # Most texts have nothing that a number starts with; they are spared the longer patterns.
-    return F.when(text.contains("08") | text.contains("62") | text.rlike("(?i)tel|phone"), out).otherwise(text)
+# What a match starts with stands before its look-behinds, which are dear and would else be tried at every place.
+_AT_LABEL, _AT_MOBILE, _AT_LINE = "(?=[tphwn])", r"(?=\+|62|08)", "(?=[tp])"
+
+
+def _without_marks(text: Column) -> Column:
+    """Translation is dear; a valid text without marks stays as it is."""
+    plain = F.is_valid_utf8(text) & ~(text.contains(P0) | text.contains(P1) | text.contains(N0) | text.contains(N1))
+    return F.when(plain, text).otherwise(F.translate(text, P0 + P1 + N0 + N1, "�" * 4))
+
+
+def _mobiles_marked(text: Column) -> Column:
+    """Mobile numbers, labelled or without an identifier's label before them. Most texts have nothing that a number starts with."""
+    out = F.regexp_replace(text, rf"{_FLAGS}{_AT_LABEL}({_PHONE_LABEL})(?<![\w+])({_MOBILE})", f"$1{P0}$2{P1}")
+    out = F.regexp_replace(out, rf"{_FLAGS}{_AT_MOBILE}(?<![\w+{P0}]){_VETO}({_MOBILE})(?!{P1})", f"{P0}$1{P1}")
+    return F.when(text.contains("08") | text.contains("62"), out).otherwise(text)
+
+
+def _landlines_marked(text: Column) -> Column:
+    """Landlines directly after a label."""
+    return F.when(text.rlike("(?i)tel|phone"), F.regexp_replace(text, rf"{_FLAGS}{_AT_LINE}({_LINE_LABEL})({_LANDLINE})", f"$1{P0}$2{P1}")).otherwise(text)
 
 
 def _names_marked(text: Column) -> Column:
@@ -94,13 +107,14 @@ def redact(df: DataFrame, column: str = "text", names: Callable[[Column], Column
     the text, in code points. A detector of names that fails (see named_by) leaves names in and gives a warning. A null
     text counts as empty; a mark in a text becomes U+FFFD.
     """
-    text = F.translate(F.coalesce(F.col(column), F.lit("")), P0 + P1 + N0 + N1, "�" * 4)
-    out = df.withColumn("_phones", _phones_marked(text))
+    # Each step's text stands once in the plan: planning documents runs out of memory where steps repeat it.
+    text = S.once(S.once(S.once(F.coalesce(F.col(column), F.lit("")), _without_marks), _mobiles_marked), _landlines_marked)
+    out = df.withColumn("_phones", text)
     out = out.withColumn("_names", (names or _names_marked)(F.col("_phones"))).withColumn("_marked", F.coalesce("_names", "_phones"))
     found = F.col("_marked").rlike(f"[{P0}{N0}]")
     redacted = F.regexp_replace(F.regexp_replace("_marked", f"{N0}[^{N1}]*{N1}", NAME.replace("[", "\\[").replace("]", "\\]")), f"{P0}[^{P1}]*{P1}", PHONE.replace("[", "\\[").replace("]", "\\]"))
     out = out.withColumn("redacted_text", F.when(found, redacted).otherwise(F.col("_marked")))
-    gone = F.regexp_replace(F.regexp_replace("_marked", rf"{_FLAGS}{_NAME_LABEL}{_BLANK}*{N0}[^{N1}]*{N1}", " "), rf"{_FLAGS}(?:{_PHONE_LABEL})?{P0}[^{P1}]*{P1}", " ")
+    gone = F.regexp_replace(F.regexp_replace("_marked", rf"{_FLAGS}(?=[pna]){_NAME_LABEL}{_BLANK}*{N0}[^{N1}]*{N1}", " "), rf"{_FLAGS}(?=[tphwn{P0}])(?:{_PHONE_LABEL})?{P0}[^{P1}]*{P1}", " ")
     plain = S.collapse(F.when(found, gone).otherwise(F.col("_marked")))
     plain = F.trim(F.regexp_replace(plain, r"^[,;:\-]+\s*|\s*[,;:\-]+$", ""))
     out = out.withColumn("address_text", F.regexp_replace(plain, r"(?:,\s*){2,}", ", "))
@@ -110,10 +124,16 @@ def redact(df: DataFrame, column: str = "text", names: Callable[[Column], Column
     return out.drop("_phones", "_names", "_marked")
 
 
+def _unmarked(x: Column) -> Column:
+    for mark in (P0, P1, N0, N1):
+        x = F.replace(x, F.lit(mark))
+    return x
+
+
 def _entities() -> Column:
     """The wrapped parts of the marked text with their places; a phone inside a name is part of it."""
     pieces = F.flatten(F.transform(F.split("_marked", f"(?={N0})|(?<={N1})"), lambda s: F.when(s.startswith(N0), F.array(s)).otherwise(F.split(s, f"(?={P0})|(?<={P1})"))))
-    part = F.transform(pieces, lambda s: F.struct(F.substring(s, 1, 1).alias("k"), F.length(F.translate(s, P0 + P1 + N0 + N1, "")).alias("n")))
+    part = F.transform(pieces, lambda s: F.struct(F.substring(s, 1, 1).alias("k"), F.length(_unmarked(s)).alias("n")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<type:string,start:int,end:int,redacted_value:string>>").alias("out"))
 
     def add(acc: Column, p: Column) -> Column:
