@@ -76,6 +76,12 @@ def once(x: Column | str, body) -> Column:
     return F.element_at(F.transform(F.array(col(x)), body), 1)
 
 
+def chosen(choices: list[tuple[Column, Column]]) -> Column:
+    """An array of the values, none of them null, whose conditions are true. array_compact() is a loop, and what is given to a loop is not compiled."""
+    none = F.expr("array()")
+    return F.concat(*[F.when(c, F.array(v)).otherwise(none) for c, v in choices])
+
+
 def each(df: DataFrame, column: str, name: str, *others: str) -> DataFrame:
     """One row, with others, for each entry that is not null of an array column.
 
@@ -102,7 +108,7 @@ def _hierarchy_form(v: Column) -> Column:
 
 def normalize_hierarchy(x: Column | str) -> Column:
     """Names of the hierarchy: in compatibility decomposition without marks, other characters than letters and digits of ASCII one space, lower case."""
-    return once(x, _hierarchy_form)
+    return _hierarchy_form(F.col(x)) if isinstance(x, str) else once(x, _hierarchy_form)
 
 
 def normalize_workbook(x: Column | str) -> Column:
@@ -157,7 +163,8 @@ def detokenized(x: Column | str) -> Column:
 
 
 def _first_word(x: Column) -> Column:
-    return F.regexp_extract(x, "^([0-9a-z]+)", 1)
+    """The first word of a normalized name."""
+    return F.substring_index(x, " ", 1)
 
 
 def _kind(n: Column) -> Column:
@@ -166,7 +173,7 @@ def _kind(n: Column) -> Column:
 
 
 def _base(n: Column) -> Column:
-    return F.when(_first_word(n).isin(list(KINDS)), F.trim(F.regexp_replace(n, "^[0-9a-z]+", ""))).otherwise(n)
+    return F.when(_first_word(n).isin(list(KINDS)), F.trim(F.substring(n, F.length(_first_word(n)) + 1, F.length(n)))).otherwise(n)
 
 
 def name_kind(x: Column | str) -> Column:
@@ -181,7 +188,12 @@ def name_base(x: Column | str) -> Column:
 
 def name_parts(x: Column | str) -> Column:
     """A name's base and kind, with the name normalized once."""
-    return once(normalize_hierarchy(x), lambda n: F.struct(_base(n).alias("base"), _kind(n).alias("kind")))
+    return once(normalize_hierarchy(x), parts_of)
+
+
+def parts_of(n: Column) -> Column:
+    """The same of a name that is normalized already."""
+    return F.struct(_base(n).alias("base"), _kind(n).alias("kind"))
 
 
 def clean_values(x: Column | str) -> Column:
@@ -224,7 +236,9 @@ def smart_title(x: Column | str) -> Column:
         core = F.regexp_replace(w, "^[.,]+|[.,]+$", "")
         return F.when(core.rlike("(?i)^[ivxlcdm]+$"), F.upper(w)).when((i > 0) & F.lower(core).isin("dan", "di", "ke", "dari"), F.lower(w)).otherwise(title_word(w))
 
-    return once(x, lambda v: F.when(v.rlike(_PLAIN_TITLE), F.initcap(v)).otherwise(F.array_join(F.transform(F.split(v, " "), word), " ")))
+    titled = lambda v: F.when(v.rlike(_PLAIN_TITLE), F.initcap(v)).otherwise(F.array_join(F.transform(F.split(v, " "), word), " "))
+    # A column stands for itself: inside a lambda nothing is compiled.
+    return titled(F.col(x)) if isinstance(x, str) else once(x, titled)
 
 
 #: White space of Unicode as a plain class, which is matched much faster than (?U)\\s; and what of it is not one space already.

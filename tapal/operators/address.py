@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapal.functions import scalar as S
-from tapal.functions.text_udfs import compose_fields, tag_tokens
-from tapal.operators.pii import redact
+from tapal.functions.text_udfs import compose_fields, tag_fields, tag_tokens
+from tapal.operators import pii as P
+from tapal.operators.pii import redact  # noqa: F401
 
 # --- tagging -------------------------------------------------------------------------------------------------------
 
@@ -31,6 +32,15 @@ def decode(df: DataFrame) -> DataFrame:
     return out.drop("_starts", "_spans")
 
 
+def extract(df: DataFrame, column: str = "address_text") -> DataFrame:
+    """df with the fields of decode(tag(df)) as x_<field>, and _json: their compatibility forms where they go beyond ASCII.
+
+    One call to Python for a text takes the place of arrays of tokens and labels, and of the loops over them.
+    """
+    out = df.withColumn("_fields", tag_fields.asNondeterministic()(F.make_valid_utf8(F.col(column))))
+    return out.select(*df.columns, *[F.col(f"_fields.{f}").alias(f"x_{f}") for f in S.FIELDS], F.col("_fields.composed").alias("_json"))
+
+
 # --- normalization -------------------------------------------------------------------------------------------------
 
 RULES = [
@@ -42,17 +52,23 @@ RULES = [
 ]
 
 
-def normalize(df: DataFrame, fields: list[str] | None = None, source: str = "rule_extracted") -> DataFrame:
+def normalize(df: DataFrame, fields: list[str] | None = None, source: str = "rule_extracted", own: str = "{}", composed: str | None = None) -> DataFrame:
     """df with its fields normalized, <field>_source, and changes: one entry for each rule that changed a value.
 
-    An entry's before has the provenance that the value had, its after that of the rule. Null fields stay null.
+    An entry's before has the provenance that the value had, its after that of the rule. Null fields stay null. own is the
+    form of the columns that have the fields; composed one that has the compatibility forms of all fields in JSON, null
+    where they need none.
     """
     names, every = fields or S.FIELDS, []
-    # Only rows with characters beyond ASCII need the compatibility form, which no built-in function has; see tag().
-    beyond = ~S.is_ascii(F.concat_ws("", *names))
-    # The values go to Python as one text: an array takes Arrow much longer, also where a row has none.
-    out = df.withColumn("_json", compose_fields.asNondeterministic()(F.when(beyond, F.to_json(F.array(*names))))).withColumn("_nfkc", F.from_json("_json", "array<string>"))
-    composed_ = {f: F.when(F.col(f).isNull(), None).when(F.col("_nfkc").isNull(), S.collapse(f)).otherwise(F.get("_nfkc", F.lit(i))) for i, f in enumerate(names)}
+    out, given = df, {f: own.format(f) for f in names}
+    if composed is None:
+        # Only rows with characters beyond ASCII need the compatibility form, which no built-in function has; see tag().
+        beyond = ~S.is_ascii(F.concat_ws("", *given.values()))
+        # The values go to Python as one text: an array takes Arrow much longer, also where a row has none.
+        out = out.withColumn("_composed", compose_fields.asNondeterministic()(F.when(beyond, F.to_json(F.array(*given.values())))))
+    out = out.withColumn("_nfkc", F.from_json(composed or "_composed", "array<string>"))
+    order = S.FIELDS if composed else names
+    composed_ = {f: F.when(F.col(x).isNull(), None).when(F.col("_nfkc").isNull(), S.collapse(x)).otherwise(F.get("_nfkc", F.lit(order.index(f)))) for f, x in given.items()}
     # A rule has the fields that it can change, and what it makes of a column of theirs.
     steps = [
         (names, lambda f, x: composed_[f]),
@@ -61,26 +77,31 @@ def normalize(df: DataFrame, fields: list[str] | None = None, source: str = "rul
         (["KODEPOS"], lambda f, x: S.postcode(F.col(x))),
         (S.TITLE_FIELDS, lambda f, x: S.smart_title(x)),
     ]
-    # All fields take a rule at once: a plan of few steps is analysed much faster than one of a step for each.
-    last = {f: f for f in names}
     taken: dict[str, list[tuple[str, str, str, str]]] = {f: [] for f in names}
-    for k, ((own, step), (rule, kind)) in enumerate(zip(steps, RULES), 1):
-        some = [f for f in names if f in own]
-        out = out.withColumns({f"_{f}{k}": step(f, last[f]) for f in some})
-        for f in some:
-            taken[f].append((last[f], f"_{f}{k}", rule, kind))
-            last[f] = f"_{f}{k}"
+    levels: list[dict[str, Column]] = []
+    for f in names:
+        last = given[f]
+        for (some, step), (rule, kind) in zip(steps, RULES):
+            if f in some:
+                level, made = len(taken[f]), f"_{f}{len(taken[f]) + 1}"
+                levels += [{}] if level == len(levels) else []
+                levels[level][made] = step(f, last)
+                taken[f].append((last, made, rule, kind))
+                last = made
+    # All fields take their first rule at once, then their second, and so on: each step of the plan copies all columns.
+    for level in levels:
+        out = out.withColumns(level)
     sources = {}
     for f in names:
         held: Column = F.lit(source)
         for x, y, rule, kind in taken[f]:
             before, after = F.col(x), F.col(y)
             entry = F.struct(F.lit(f).alias("field"), before.alias("before"), held.alias("before_source"), after.alias("after"), F.lit(kind).alias("after_source"), F.lit(rule).alias("rule_id"), F.lit("deterministic").alias("decision"), F.lit(True).alias("applied"))
-            every.append(F.when(before != after, entry))
+            every.append((before != after, entry))
             held = F.when(before != after, F.lit(kind)).otherwise(held)
-        sources[f"{f}_source"] = F.when(F.col(f).isNotNull(), held)
-    out = out.withColumns({**sources, "changes": F.array_compact(F.array(*every))})
-    return out.withColumns({f: F.col(last[f]) for f in names}).drop("_json", "_nfkc", *[f"_{f}{k}" for f in names for k in range(1, 6)])
+        sources[f"{f}_source"] = F.when(F.col(given[f]).isNotNull(), held)
+    out = out.withColumns({**sources, "changes": S.chosen(every)})
+    return out.withColumns({f: F.col(taken[f][-1][1]) for f in names}).drop("_composed", "_nfkc", *[y for f in names for _, y, _, _ in taken[f]])
 
 
 def composed() -> Column:
@@ -140,24 +161,29 @@ def validate(addresses: DataFrame, prepared: Lookup, key: str = "address_id") ->
     """
     others = S.ADMIN_FIELDS[1:]
     levels = others[:-1]
-    own = addresses.withColumn("_own", parts(S.surface("KELURAHAN"))).withColumns({f"p_{f}": F.when(S.surface(f) != "", parts(S.surface(f))) for f in levels})
-    own = own.withColumns({"_base": F.col("_own.base"), "_kind": F.col("_own.kind"), "_postal": S.surface("KODEPOS")})
+    # Names are normalized in a step of their own, not in a lambda, which is not compiled.
+    own = addresses.withColumns({f"p_{f}": S.surface(f) for f in ("KELURAHAN", *levels)})
+    own = own.withColumns({f"p_{f}": F.when(F.col(f"p_{f}") != "", S.normalize_hierarchy(f"p_{f}")) for f in ("KELURAHAN", *levels)})
+    own = own.withColumns({f"p_{f}": F.when(F.col(f"p_{f}").isNotNull(), S.parts_of(F.col(f"p_{f}"))) for f in levels})
+    name = S.parts_of(F.coalesce("p_KELURAHAN", F.lit("")))
+    own = own.withColumns({"_base": name["base"], "_kind": name["kind"], "_postal": S.surface("KODEPOS")}).drop("p_KELURAHAN")
     out = own.join(prepared.postals, (F.col("_base") == F.col("v_base")) & (F.col("_postal") == F.col("v_postal")), "left")
     none = F.array().cast("array<string>")
     rows = F.array().cast("array<struct<village_code:string,village_name:string,district_name:string,city_name:string,province_name:string>>")
     near = lambda v: F.coalesce(F.col("_kind") == v["v_kind"], F.lit(True))
     level = lambda v, f: F.col(f"p_{f}").isNull() | F.exists(v[f"n_{f}"], _same_name(f))
     meets = lambda v: near(v) & level(v, levels[0]) & level(v, levels[1]) & level(v, levels[2])
-    out = out.withColumn("_coded", F.coalesce(F.array_distinct(F.transform(F.filter("villages", meets), lambda v: v["row"])), rows))
-    # Other rows get keys of their own that no name has, so that they do not meet in one task.
-    out = out.withColumn("_asked", F.when((F.col("_base") != "") & (F.size("_coded") == 0), F.col("_base")).otherwise(F.concat(F.lit("-"), F.xxhash64(key).cast("string"))))
+    out = out.withColumn("_coded", F.coalesce(F.array_distinct(F.transform(F.filter("villages", meets), lambda v: v["row"])), rows)).withColumn("_n_coded", F.size("_coded").cast("long"))
+    # Other rows get keys of their own that no name has, so that they do not meet in one task; they need no villages more.
+    asked = (F.col("_base") != "") & (F.col("_n_coded") == 0)
+    out = out.withColumn("_asked", F.when(asked, F.col("_base")).otherwise(F.concat(F.lit("-"), F.xxhash64(key).cast("string")))).withColumn("villages", F.when(asked, F.col("villages")))
     out = out.join(prepared.names, F.col("_asked") == F.col("n_base"), "left")
 
     counted = lambda which: F.coalesce(F.aggregate(F.filter("chains", lambda x: F.exists(x["profile"], which)), F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
     listed = lambda which: F.coalesce(F.array_sort(F.flatten(F.transform(F.filter("members", lambda x: F.exists(x["profile"], which)), lambda x: x["rows"]))), rows)
-    out = out.withColumn("_b", counted(near)).withColumn("_c", F.when(F.col("_postal") != "", F.size("_coded").cast("long")).otherwise(counted(meets)))
+    out = out.withColumn("_b", counted(near)).withColumn("_c", F.when(F.col("_postal") != "", F.col("_n_coded")).otherwise(counted(meets)))
     blank = {f: S.surface(f) == "" for f in S.ADMIN_FIELDS}
-    missing = F.array_compact(F.array(*[F.when(blank[f], F.lit(f)) for f in S.ADMIN_FIELDS]))
+    missing = S.chosen([(blank[f], F.lit(f)) for f in S.ADMIN_FIELDS])
     out = out.withColumn("missing_fields", missing)
     case = F.when(blank["KELURAHAN"], "village").when((F.col("_b") == 0) & (F.col("_c") == 0), "gap").when(F.col("_c") == 0, "conflict").when(F.col("_c") > 1, "ambiguous").when(F.size("missing_fields") > 0, "missing").otherwise("valid")
     out = out.withColumn("_case", case)
@@ -181,7 +207,7 @@ def validate(addresses: DataFrame, prepared: Lookup, key: str = "address_id") ->
     found = F.col("_case").isin("ambiguous", "missing", "valid")
     out = out.withColumn("n_candidates", F.when(F.col("_case") == "conflict", F.col("_b")).when(found, F.col("_c")).otherwise(0))
     out = out.withColumn("candidates", F.when(F.col("_case") == "conflict", listed(near)).when(found & (F.col("_postal") != ""), F.array_sort("_coded")).when(found, listed(meets)).otherwise(rows))
-    return out.drop("_own", "_base", "_kind", "_postal", "v_base", "v_postal", "villages", "_coded", "_asked", "n_base", "chains", "members", "_m", "_b", "_c", "_case", "_hit", *[f"p_{f}" for f in levels])
+    return out.drop("_base", "_kind", "_postal", "v_base", "v_postal", "villages", "_coded", "_n_coded", "_asked", "n_base", "chains", "members", "_m", "_b", "_c", "_case", "_hit", *[f"p_{f}" for f in levels])
 
 
 def exact_lookup(wanted: DataFrame, hierarchy: DataFrame, key: str = "address_id") -> DataFrame:
@@ -218,9 +244,9 @@ def gate(df: DataFrame) -> DataFrame:
     conflict = F.col("status") == "invalid"
     other = F.filter("affected_fields", lambda x: x != "KODEPOS")
 
-    def issue(when: Column, code: str, severity: str, message: Column | str, affected: Column, question: Column | str, origin: str) -> Column:
+    def issue(when: Column, code: str, severity: str, message: Column | str, affected: Column, question: Column | str, origin: str) -> tuple[Column, Column]:
         text = lambda x: F.lit(x) if isinstance(x, str) else x
-        return F.when(when, F.struct(F.lit(code).alias("reason_code"), F.lit(severity).alias("severity"), text(message).alias("message"), affected.alias("affected_fields"), text(question).alias("clarification_question"), F.lit(origin).alias("source_reason_code")))
+        return when, F.struct(F.lit(code).alias("reason_code"), F.lit(severity).alias("severity"), text(message).alias("message"), affected.alias("affected_fields"), text(question).alias("clarification_question"), F.lit(origin).alias("source_reason_code"))
 
     names = lambda *x: F.array(*map(F.lit, x))
     found = [
@@ -234,7 +260,7 @@ def gate(df: DataFrame) -> DataFrame:
         open_ = F.array_distinct(F.transform(F.filter("changes", lambda c: (c["decision"] == "requires_confirmation") & ~c["applied"]), lambda c: c["field"]))
         ordered = F.filter(names(*S.FIELDS), lambda f: F.array_contains(open_, f))
         found.append(issue(F.size(ordered) > 0, "CORRECTION_REQUIRES_CONFIRMATION", "medium", F.concat(F.lit("Koreksi semantik belum diterapkan untuk: "), fields(ordered), F.lit(".")), ordered, F.concat(F.lit("Apakah koreksi yang disarankan untuk "), fields(ordered), F.lit(" boleh diterapkan?")), "CORRECTION_REQUIRES_CONFIRMATION"))
-    out = df.withColumn("issues", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    out = df.withColumn("issues", S.chosen(found))
     high = F.exists("issues", lambda x: x["severity"] == "high")
     return out.withColumn("gate_status", F.when(high, "TIDAK_VALID").when(F.size("issues") > 0, "PERLU_KONFIRMASI").otherwise("SIAP_DIPROSES"))
 
@@ -279,6 +305,8 @@ VERSIONS = {"contract": "1.0.0", "model": "regex-baseline-v1", "normalizer": "no
 PRECEDENCE = [("TIDAK_VALID", "at least one high-severity issue exists"), ("PERLU_KONFIRMASI", "at least one medium-severity issue exists"), ("SIAP_DIPROSES", "no quality issue exists")]
 
 _AUDIT_VALUE = "struct<field:string,value:string,source:string,confirmed:boolean>"
+_BASIC = "struct<value:string,source:string,confirmed:boolean>"
+_CORRECTIONS = f"array<struct<correction_id:string,field:string,previous_value:{_BASIC},proposed_value:{_BASIC},rule_id:string,decision:string,applied:boolean,user_confirmation:string>>"
 
 
 def null_of(kind: str) -> Column:
@@ -299,8 +327,7 @@ def components(value: str = "{}", source: str | Column = "{}_source") -> Column:
     """The contract's components: fields that are not blank, in canonical order, from the columns that the forms name."""
     given = lambda f: F.col(value.format(f))
     origin = lambda f: source if isinstance(source, Column) else F.col(source.format(f))
-    each = [F.when(given(f).isNotNull() & (F.trim(given(f)) != ""), F.struct(F.lit(f).alias("field"), result_value(given(f), origin(f)).alias("result"))) for f in S.FIELDS]
-    return F.array_compact(F.array(*each))
+    return S.chosen([(F.trim(given(f)) != "", F.struct(F.lit(f).alias("field"), result_value(given(f), origin(f)).alias("result"))) for f in S.FIELDS])
 
 
 def geocoding_block() -> Column:
@@ -320,22 +347,21 @@ def audit_trail() -> Column:
     """Numbered events: pii, model, one for each change, validator, gate. The personal-data event carries no values."""
     none = F.array().cast(f"array<{_AUDIT_VALUE}>")
 
-    def event(stage: str, action: Column, rule: Column, before: Column = none, after: Column = none) -> Column:
-        return F.struct(F.lit(stage).alias("stage"), action.alias("action"), F.lit("system").alias("actor"), rule.alias("rule_id"), before.alias("previous_values"), after.alias("resulting_values"))
+    def event(at: Column, stage: str, action: Column, rule: Column, before: Column = none, after: Column = none) -> Column:
+        return F.struct(at.alias("sequence"), F.lit(stage).alias("stage"), action.alias("action"), F.lit("system").alias("actor"), rule.alias("rule_id"), before.alias("previous_values"), after.alias("resulting_values"))
 
     def audit_value(field: Column, value: Column, source: Column) -> Column:
         return F.struct(field.alias("field"), value.alias("value"), source.alias("source"), (source == "confirmed_by_user").alias("confirmed"))
 
-    extracted = F.array_compact(F.array(*[F.when(F.col(f"x_{f}").isNotNull(), audit_value(F.lit(f), F.col(f"x_{f}"), F.lit("rule_extracted"))) for f in S.FIELDS]))
-    changes = F.transform("changes", lambda c: event("normalizer", F.concat(c["decision"], F.lit(":"), F.when(c["applied"], "applied").otherwise("proposed")), c["rule_id"], F.array(audit_value(c["field"], c["before"], c["before_source"])), F.array(audit_value(c["field"], c["after"], c["after_source"]))))
+    extracted = S.chosen([(F.col(f"x_{f}").isNotNull(), audit_value(F.lit(f), F.col(f"x_{f}"), F.lit("rule_extracted"))) for f in S.FIELDS])
+    changes = F.transform("changes", lambda c, i: event(i + 3, "normalizer", F.concat(c["decision"], F.lit(":"), F.when(c["applied"], "applied").otherwise("proposed")), c["rule_id"], F.array(audit_value(c["field"], c["before"], c["before_source"])), F.array(audit_value(c["field"], c["after"], c["after_source"]))))
     listed = lambda x, other: F.when(F.size(x) > 0, F.array_join(x, ",")).otherwise(F.lit(other))
-    codes = F.transform("issues", lambda x: x["reason_code"])
-    events = F.concat(
-        F.array(event("pii", listed("pii_codes", "no_pii_detected"), null_of("string")), event("model", F.lit("extract_components"), F.lit(VERSIONS["model"]), none, extracted)), changes,
-        F.array(event("validator", F.concat_ws(":", "status", "reason_code"), F.lit(VERSIONS["validator"])), event("quality_gate", F.concat_ws(":", "gate_status", listed(codes, "no_issue")), F.lit(VERSIONS["quality_gate"]))),
+    codes, n = F.transform("issues", lambda x: x["reason_code"]), F.size("changes")
+    # Events are numbered where they are made: a loop over the finished ones would copy them all.
+    return F.concat(
+        F.array(event(F.lit(1), "pii", listed("pii_codes", "no_pii_detected"), null_of("string")), event(F.lit(2), "model", F.lit("extract_components"), F.lit(VERSIONS["model"]), none, extracted)), changes,
+        F.array(event(n + 3, "validator", F.concat_ws(":", "status", "reason_code"), F.lit(VERSIONS["validator"])), event(n + 4, "quality_gate", F.concat_ws(":", "gate_status", listed(codes, "no_issue")), F.lit(VERSIONS["quality_gate"]))),
     )
-    keys = ["stage", "action", "actor", "rule_id", "previous_values", "resulting_values"]
-    return F.transform(events, lambda e, i: F.struct((i + 1).alias("sequence"), *[e[k].alias(k) for k in keys]))
 
 
 def corrections() -> Column:
@@ -344,7 +370,8 @@ def corrections() -> Column:
         F.concat(F.lit("corr_"), F.lower(c["field"]), F.lit("_"), F.lpad((i + 1).cast("string"), 3, "0")).alias("correction_id"), c["field"].alias("field"),
         basic(c["before"], c["before_source"]).alias("previous_value"), basic(c["after"], c["after_source"]).alias("proposed_value"), c["rule_id"].alias("rule_id"), c["decision"].alias("decision"), c["applied"].alias("applied"), null_of("string").alias("user_confirmation"),
     ))
-    return F.filter(each, lambda c: c["decision"] != "deterministic")
+    some = F.exists("changes", lambda c: c["decision"] != "deterministic")
+    return F.when(some, F.filter(each, lambda c: c["decision"] != "deterministic")).otherwise(F.array().cast(_CORRECTIONS))
 
 
 def document_body(df: DataFrame, key: str = "address_id") -> DataFrame:
@@ -368,9 +395,16 @@ def document(df: DataFrame, key: str = "address_id") -> DataFrame:
 
 
 def process(raw: DataFrame, prepared: Lookup, column: str = "text", key: str = "address_id") -> DataFrame:
-    """Raw address texts through all steps up to the gate; stateless but for the prepared hierarchy."""
-    extracted = decode(tag(redact(raw, column))).withColumns({f"x_{f}": F.col(f) for f in S.FIELDS})
-    return gate(validate(normalize(extracted), prepared, key))
+    """Raw address texts through all steps up to the gate; stateless but for the prepared hierarchy.
+
+    Only what the later steps are made of goes through the two joins: the marked and the cleaned text, the fields as they
+    were found, and the normalized names and code that the hierarchy is asked for. Personal data, changes and their
+    sources come after them. No change of normalization is left open, so that the gate can come before it.
+    """
+    found = extract(P.cleaned(P.marked(raw, column)))
+    asked = normalize(found, S.ADMIN_FIELDS, own="x_{}", composed="_json").select(*found.columns, *S.ADMIN_FIELDS)
+    told = gate(validate(asked, prepared, key)).drop(*S.ADMIN_FIELDS)
+    return P.shown(normalize(told, own="x_{}", composed="_json")).drop("_marked", "_named", "_json")
 
 
 def stage_counts(extracted: DataFrame, prepared: Lookup, key: str = "address_id") -> DataFrame:

@@ -107,21 +107,41 @@ def redact(df: DataFrame, column: str = "text", names: Callable[[Column], Column
     the text, in code points. A detector of names that fails (see named_by) leaves names in and gives a warning. A null
     text counts as empty; a mark in a text becomes U+FFFD.
     """
+    return shown(cleaned(marked(df, column, names))).drop("_marked", "_named")
+
+
+def marked(df: DataFrame, column: str = "text", names: Callable[[Column], Column] | None = None) -> DataFrame:
+    """df with _marked, the text with what was found in marks, and _named, if the detector of names did not fail.
+
+    All that redact() gives comes from these two, so that rows which travel need no more.
+    """
     # Each step's text stands once in the plan: planning documents runs out of memory where steps repeat it.
     text = S.once(S.once(S.once(F.coalesce(F.col(column), F.lit("")), _without_marks), _mobiles_marked), _landlines_marked)
     out = df.withColumn("_phones", text)
     out = out.withColumn("_names", (names or _names_marked)(F.col("_phones"))).withColumn("_marked", F.coalesce("_names", "_phones"))
-    found = F.col("_marked").rlike(f"[{P0}{N0}]")
-    redacted = F.regexp_replace(F.regexp_replace("_marked", f"{N0}[^{N1}]*{N1}", NAME.replace("[", "\\[").replace("]", "\\]")), f"{P0}[^{P1}]*{P1}", PHONE.replace("[", "\\[").replace("]", "\\]"))
-    out = out.withColumn("redacted_text", F.when(found, redacted).otherwise(F.col("_marked")))
+    return out.withColumn("_named", F.col("_names").isNotNull()).drop("_phones", "_names")
+
+
+def _found() -> Column:
+    return F.col("_marked").rlike(f"[{P0}{N0}]")
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """df with address_text, from _marked."""
     gone = F.regexp_replace(F.regexp_replace("_marked", rf"{_FLAGS}(?=[pna]){_NAME_LABEL}{_BLANK}*{N0}[^{N1}]*{N1}", " "), rf"{_FLAGS}(?=[tphwn{P0}])(?:{_PHONE_LABEL})?{P0}[^{P1}]*{P1}", " ")
-    plain = S.collapse(F.when(found, gone).otherwise(F.col("_marked")))
+    plain = S.collapse(F.when(_found(), gone).otherwise(F.col("_marked")))
     plain = F.trim(F.regexp_replace(plain, r"^[,;:\-]+\s*|\s*[,;:\-]+$", ""))
-    out = out.withColumn("address_text", F.regexp_replace(plain, r"(?:,\s*){2,}", ", "))
+    return df.withColumn("address_text", F.regexp_replace(plain, r"(?:,\s*){2,}", ", "))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """df with redacted_text, pii_entities, pii_codes and pii_warnings, from _marked and _named."""
+    found = _found()
+    redacted = F.regexp_replace(F.regexp_replace("_marked", f"{N0}[^{N1}]*{N1}", NAME.replace("[", "\\[").replace("]", "\\]")), f"{P0}[^{P1}]*{P1}", PHONE.replace("[", "\\[").replace("]", "\\]"))
+    out = df.withColumn("redacted_text", F.when(found, redacted).otherwise(F.col("_marked")))
     out = out.withColumn("pii_entities", F.when(found, _entities()).otherwise(F.array().cast("array<struct<type:string,start:int,end:int,redacted_value:string>>")))
     out = out.withColumn("pii_codes", F.when(found, F.array(F.lit(DETECTED))).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("pii_warnings", F.when(F.col("_names").isNull(), F.array(F.lit(NAMES_FAILED))).otherwise(F.array().cast("array<string>")))
-    return out.drop("_phones", "_names", "_marked")
+    return out.withColumn("pii_warnings", F.when(~F.col("_named"), F.array(F.lit(NAMES_FAILED))).otherwise(F.array().cast("array<string>")))
 
 
 def _unmarked(x: Column) -> Column:

@@ -54,7 +54,7 @@ def _kind(x: str) -> str:
 
 
 def hierarchy(spark, sf_dir: str) -> DataFrame:
-    h = I.spark_table(spark, sf_dir, I.HIERARCHY)
+    h = I.dealt(I.spark_table(spark, sf_dir, I.HIERARCHY), sf_dir, "customer", "c_custkey")
     none = F.array().cast("array<string>")
     h = h.withColumn("village_aliases", F.filter(F.array("village_alias"), lambda x: x != "")).withColumn("postal_codes", F.array("postal_code"))
     return h.withColumn("district_aliases", none).withColumn("city_aliases", none).withColumn("province_aliases", none)
