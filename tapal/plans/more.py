@@ -79,7 +79,8 @@ def summary(docs: DataFrame) -> DataFrame:
         d["quality_gate"]["status"].alias("status"), first(d["quality_gate"]["issues"])["reason_code"].alias("reason_code"), d["normalized_address"]["value"].alias("normalized"),
         first(d["audit_trail"])["action"].alias("pii_action"), F.size(d["components"]).cast("long").alias("n_components"), F.size(d["audit_trail"]).cast("long").alias("n_events"),
     )
-    return docs.withColumn("_s", S.once(F.from_json("document", _SUMMED), told)).select("*", "_s.*").drop("_s")
+    # A step of its own: inside a lambda nothing is compiled, the making of the document included.
+    return S.held(docs, "_d", F.from_json("document", _SUMMED)).select(*docs.columns, told(F.col("_d")).alias("_s")).select("*", "_s.*").drop("_s")
 
 
 @query("document_summary", f"""WITH h AS (SELECT village_name, district_name, postal_code, count(*) AS n FROM {_h} h GROUP BY ALL)

@@ -44,3 +44,8 @@ def test_what_is_shown_comes_from_marks_alone(spark):
     df = spark.createDataFrame([("Penerima: Budi, hp 0812-3456-7890, Jl. A",), (None,), ("Jl. B",)], "text string")
     apart = P.shown(P.cleaned(P.marked(df)).drop("text")).drop("_marked", "_named")
     assert apart.collect() == P.redact(df).select(*apart.columns).collect()
+
+
+def test_documents_are_not_made_inside_a_lambda(spark):
+    plan = registry.QUERIES["document_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json(" in plan and "transform(array(from_json(" not in plan
