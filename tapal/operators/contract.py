@@ -161,11 +161,13 @@ def _one_of(options: list[dict], schema: dict, v: Column, path: Column) -> Colum
     kind = F.try_variant_get(v, "$.document_type", "string")
     out = _broken(path, "oneOf")
     for x in options:
-        out = F.when(kind == x["properties"]["document_type"]["const"], compiled(x, schema, v, path)).otherwise(out)
+        # A document that breaks a rule breaks it in few of its parts; the others are told fast.
+        whole = _let(F.try_variant_get(v, "$", "map<string,variant>"), lambda m: F.when(m.isNull(), _broken(path, "type")).otherwise(_properties(x, schema, m, path, by_parts=True)))  # noqa: B023
+        out = F.when(kind == x["properties"]["document_type"]["const"], whole).otherwise(out)
     return out
 
 
-def _properties(node: dict, schema: dict, m: Column, path: Column) -> Column:
+def _properties(node: dict, schema: dict, m: Column, path: Column, by_parts: bool = False) -> Column:
     own = node.get("properties", {})
     names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
     told = lambda keys, rule: F.transform(keys, lambda k: F.struct(F.concat(path, F.lit("."), k).alias("path"), F.lit(rule).alias("rule")))
@@ -173,7 +175,7 @@ def _properties(node: dict, schema: dict, m: Column, path: Column) -> Column:
     if node.get("additionalProperties") is False:
         found.append(told(F.array_except(F.map_keys(m), names(own)), "additionalProperties"))
     for k, child in own.items():
-        found.append(F.when(F.map_contains_key(m, k), _let(m[k], _child(child, schema, F.concat(path, F.lit("." + k))))).otherwise(_none()))
+        found.append(F.when(F.map_contains_key(m, k), _let(m[k], _child(child, schema, F.concat(path, F.lit("." + k)), by_parts))).otherwise(_none()))
     if {"value", "source", "confirmed"} <= set(own):
         found.append(_unless(F.try_variant_get(m["confirmed"], "$", "boolean") == (F.try_variant_get(m["source"], "$", "string") == "confirmed_by_user"), path, "confirmed_by_user"))
     if {"model_score", "source"} <= set(own):
@@ -181,8 +183,9 @@ def _properties(node: dict, schema: dict, m: Column, path: Column) -> Column:
     return F.concat(*found)
 
 
-def _child(node: dict, schema: dict, path: Column) -> Callable[[Column], Column]:
-    return lambda x: compiled(node, schema, x, path)
+def _child(node: dict, schema: dict, path: Column, fast: bool = False) -> Callable[[Column], Column]:
+    told = fast and _inner(node, schema)[0].get("type") in ("object", "array") and _typed_whole(resolved(node, schema))
+    return lambda x: F.when(_sound_part(node, schema, x), _none()).otherwise(compiled(node, schema, x, path)) if told else compiled(node, schema, x, path)
 
 
 def _items(node: dict, schema: dict, a: Column, path: Column) -> Column:
@@ -222,13 +225,13 @@ def _inner(node: dict, schema: dict) -> tuple[dict, bool]:
     return node, False
 
 
-def typed(node: dict, schema: dict) -> str:
-    """The Spark type of what keeps to a schema node, with the keys in the schema's order."""
+def typed(node: dict, schema: dict, order: Callable = list) -> str:
+    """The Spark type of what keeps to a schema node, with the keys in the schema's order, or in another."""
     node, _ = _inner(node, schema)
     if node.get("type") == "object":
-        return "struct<" + ",".join(f"`{k}`:{typed(x, schema)}" for k, x in node["properties"].items()) + ">"
+        return "struct<" + ",".join(f"`{k}`:{typed(x, schema, order)}" for k, x in order(node["properties"].items())) + ">"
     if node.get("type") == "array":
-        return f"array<{typed(node['items'], schema)}>"
+        return f"array<{typed(node['items'], schema, order)}>"
     values = node.get("enum", [node.get("const")])
     return {"boolean": "boolean", "integer": "bigint", "number": "double"}.get(node.get("type"), "boolean" if isinstance(values[0], bool) else "string")
 
@@ -266,6 +269,12 @@ def _typed_whole(node: dict) -> bool:
     return all(_typed_whole(x) for x in [*node.get("properties", {}).values(), *node.get("oneOf", []), *([node["items"]] if "items" in node else [])])
 
 
+def _sound_part(node: dict, schema: dict, v: Column) -> Column:
+    """True for a VARIANT that breaks no rule of an object or array node, told as by sound(): VARIANTs are written with sorted keys."""
+    same = lambda d: F.to_json(d, {"ignoreNullFields": "false"}) == F.to_json(v)
+    return S.once(F.try_variant_get(v, "$", typed(node, schema, sorted)), lambda d: F.coalesce(same(d) & _keeps(node, schema, d), F.lit(False)))
+
+
 def sound(schema: dict, raw: Column) -> Column:
     """True for documents that break no rule of the schema, told fast; false for others and for those not told.
 
